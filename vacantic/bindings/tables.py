@@ -25,7 +25,10 @@ def ts(text: str) -> Column:
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    # times without a zone are UTC, as everywhere in the data model
+    zoned = {f.name: F.col(f.name).cast("timestamp") for f in df.schema if f.dataType.typeName() == "timestamp_ntz"}
+    return df.withColumns(zoned) if zoned else df
 
 
 def case(column: Column, mapping: dict[str, str]) -> Column:
@@ -59,7 +62,7 @@ def postings(spark: SparkSession, sf: str) -> DataFrame:
     return df.select(
         ids.job_id(F.lit("orders"), F.lit("tpch"), key.cast("string")).alias("job_id"), key.cast("string").alias("source_job_id"),
         c("o_custkey").cast("string").alias("company_id"), F.coalesce("c_name", F.lit("")).alias("company_name"),
-        F.initcap(F.coalesce("p_name", F.lit("untitled"))).alias("title"),
+        F.coalesce("p_name", F.lit("untitled")).alias("title"),
         F.concat(F.lit("https://jobs.example.com/"), key.cast("string")).alias("job_url"),
         F.concat(F.lit("https://jobs.example.com/"), key.cast("string"), F.lit("/apply")).alias("apply_url"),
         F.concat_ws(" ", c("p_name"), c("p_type"), c("o_orderpriority")).alias("summary"),
@@ -69,7 +72,7 @@ def postings(spark: SparkSession, sf: str) -> DataFrame:
         F.array(F.struct(
             F.concat_ws(", ", "n_name", "r_name").alias("raw"), F.lit(None).cast("string").alias("city"),
             F.lit(None).cast("string").alias("region"), c("n_name").alias("country"), F.lit(None).cast("string").alias("country_code"),
-            F.when(c("r_name") == "AMERICA", "North America").otherwise(F.initcap("r_name")).alias("continent"))).alias("locations"),
+            F.when(c("r_name") == "AMERICA", "North America").otherwise(F.col("r_name")).alias("continent"))).alias("locations"),
         F.when(c("p_size") % 3 == 0, "remote").when(c("p_size") % 3 == 1, "onsite").otherwise("hybrid").alias("workplace_type"),
         F.when(F.month("o_orderdate").isin(6, 7, 8), "summer").when(F.month("o_orderdate").isin(9, 10, 11), "fall")
         .when(F.month("o_orderdate").isin(12, 1, 2), "winter").otherwise("unknown").alias("academic_term"),

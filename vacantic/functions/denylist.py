@@ -5,27 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vacantic.functions.urls import canonical_url, host_suffixes, hostname
+from vacantic.functions.urls import canonical_url, host_suffixes, hostname, let
 from vacantic.rules import DENIED_DOMAINS, DENIED_PATTERNS
 
 
 def denied_host(host: Column, domains: list[str] = DENIED_DOMAINS) -> Column:
     """Matched entry for the host itself, without `www.` or with it; null when allowed."""
-    h = F.regexp_replace(F.lower(F.trim(host)), r"\.+$", "")
-    bare = F.regexp_replace(h, r"^www\.", "")
-    forms = [h, bare, F.concat(F.lit("www."), bare)]
-    return F.coalesce(*[F.when(f.isin(domains), f) for f in forms])
+    def match(h: Column) -> Column:
+        bare = F.regexp_replace(h, r"^www\.", "")
+        www = F.concat(F.lit("www."), bare)
+        return F.when(h.isin(domains), h).when(bare.isin(domains), bare).when(www.isin(domains), www)
+
+    return let(F.regexp_replace(F.lower(F.trim(host)), r"\.+$", ""), match)
 
 
 def denied_url(url: Column, domains: list[str] = DENIED_DOMAINS,
                patterns: list[str] = DENIED_PATTERNS) -> Column:
     """struct(reason, matched) when the URL points to an aggregator, else null."""
-    canon = canonical_url(url)
-    host = denied_host(hostname(canon), domains)
-    low = F.lower(canon)
-    hit = F.coalesce(*[F.when(low.contains(p.lower()), F.lit(p)) for p in patterns])
-    return (F.when(host.isNotNull(), F.struct(F.lit("domain").alias("reason"), host.alias("matched")))
-            .when(hit.isNotNull(), F.struct(F.lit("pattern").alias("reason"), hit.alias("matched"))))
+    def match(canon: Column) -> Column:
+        host = denied_host(hostname(canon), domains)
+        low = F.lower(canon)
+        hit = F.coalesce(*[F.when(low.contains(p.lower()), F.lit(p)) for p in patterns])
+        return let(F.struct(host.alias("h"), hit.alias("p")), lambda s: (
+            F.when(s["h"].isNotNull(), F.struct(F.lit("domain").alias("reason"), s["h"].alias("matched")))
+            .when(s["p"].isNotNull(), F.struct(F.lit("pattern").alias("reason"), s["p"].alias("matched")))))
+
+    return let(canonical_url(url), match)
 
 
 def domain_blocked(host: Column, domains: list[str] = DENIED_DOMAINS) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ from vacantic.rules import PLATFORM_HOST, PLATFORMS
 _URI = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once and use it many times: keeps plans small when the argument is a long expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _part(url: Column, index: int) -> Column:
     return F.regexp_extract(url, _URI, index)
 
@@ -120,9 +127,11 @@ def join_url(base: Column, ref: Column) -> Column:
 
 def canonical_url(url: Column, base: Column | None = None) -> Column:
     """One spelling per URL; null when scheme or host is missing."""
-    u = F.trim(join_url(base, url) if base is not None else url)
-    s, host = scheme(u), F.rtrim(hostname(u))
-    host = F.regexp_replace(host, r"\.+$", "")
+    return let(F.trim(join_url(base, url) if base is not None else url), _canonical)
+
+
+def _canonical(u: Column) -> Column:
+    s, host = scheme(u), F.regexp_replace(hostname(u), r"\.+$", "")
     port = F.regexp_extract(authority(u), r":(\d+)$", 1)
     default = ((s == "http") & (port == "80")) | ((s == "https") & (port == "443"))
     user = F.regexp_extract(authority(u), r"^(.*)@", 1)
@@ -138,9 +147,10 @@ def canonical_url(url: Column, base: Column | None = None) -> Column:
 
 def canonical_http_url(url: Column, base: Column | None = None) -> Column:
     """As `canonical_url`, but only http(s) and no embedded credentials."""
-    u = F.trim(join_url(base, url) if base is not None else url)
-    good = scheme(u).isin("http", "https") & ~authority(u).contains("@")
-    return F.when(good, canonical_url(u))
+    def checked(u: Column) -> Column:
+        return F.when(scheme(u).isin("http", "https") & ~authority(u).contains("@"), _canonical(u))
+
+    return let(F.trim(join_url(base, url) if base is not None else url), checked)
 
 
 def url_problem(url: Column) -> Column:

@@ -115,9 +115,7 @@ def regions(workplace: Column, locations: Column) -> Column:
             by_word.append(F.when(test, F.lit(r)))
         return F.array(F.coalesce(*by_code, *by_word), F.when(blob.contains("remote"), F.lit("remote")))
 
-    found = F.flatten(F.transform(F.coalesce(locations, F.array().cast(
-        "array<struct<raw:string,city:string,region:string,country:string,country_code:string,continent:string>>")),
-        of_place))
+    found = F.coalesce(F.flatten(F.transform(locations, of_place)), F.array().cast("array<string>"))
     everything = F.concat(F.array(F.when(workplace == "remote", F.lit("remote"))), found)
     return F.array_distinct(F.filter(everything, lambda r: r.isNotNull()))
 

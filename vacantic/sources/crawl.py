@@ -44,10 +44,12 @@ def mine_tenants(texts: DataFrame, column: str, patterns: list[tuple[str, str]]
                  stopwords: list[str] = TENANT_STOPWORDS) -> DataFrame:
     """Distinct (platform, tenant) named by board URLs anywhere in a text corpus."""
     low = F.lower(F.col(column))
-    found = F.flatten(F.array(*[
-        F.transform(F.regexp_extract_all(low, F.lit(p), F.lit(1)),
-                    lambda t, name=name: F.struct(F.lit(name).alias("platform"), F.btrim(t, F.lit("-_")).alias("tenant")))
-        for name, p in patterns]))
+
+    def pairs(name: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(low, F.lit(pattern), F.lit(1)), lambda t: F.struct(
+            F.lit(name).alias("platform"), F.btrim(t, F.lit("-_")).alias("tenant")))
+
+    found = F.flatten(F.array(*[pairs(name, p) for name, p in patterns]))
     return (texts.select(F.inline(found))
             .where(~F.col("tenant").isin(stopwords) & (F.length("tenant") >= 2)).distinct())
 
