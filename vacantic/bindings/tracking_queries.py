@@ -121,7 +121,7 @@ new AS (SELECT *, CASE WHEN visa THEN title || ' II' ELSE title END AS t2, CASE
   sha256(CASE WHEN visa THEN title || ' II' ELSE title END) AS h2, CASE WHEN airfare THEN '' ELSE summary || CASE WHEN housing THEN '.' ELSE '' END END AS s2 FROM post WHERE o_orderstatus <> 'F'),
 j AS (SELECT coalesce(o.job_id, n.job_id) AS job_id, o.job_id IS NOT NULL AS a, n.job_id IS NOT NULL AS b, o.title AS t1, n.t2, o.career_level AS l1, n.l2, o.h, n.h2,
     o.summary AS s1, n.s2, coalesce(o.visa, n.visa) AS visa FROM old o FULL JOIN new n ON o.job_id = n.job_id),
-k AS (SELECT *, concat_ws(',', CASE WHEN a AND b AND l1 <> l2 THEN 'career_level' END, CASE WHEN a AND b AND s2 <> '' AND s1 <> s2 THEN 'summary' END,
+merged AS (SELECT *, concat_ws(',', CASE WHEN a AND b AND l1 <> l2 THEN 'career_level' END, CASE WHEN a AND b AND s2 <> '' AND s1 <> s2 THEN 'summary' END,
     CASE WHEN a AND b AND h <> h2 AND t1 <> t2 THEN 'title' END) AS changed_fields FROM j)
 """
 
@@ -146,7 +146,7 @@ def _versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 @query("upsert_postings", _UPSERT + """
 SELECT job_id, CASE WHEN NOT a THEN 'inserted' WHEN NOT b THEN 'absent' WHEN changed_fields <> '' THEN 'updated' ELSE 'unchanged' END AS change, changed_fields,
   coalesce(CASE WHEN a AND b AND h <> h2 THEN t2 WHEN a THEN t1 ELSE t2 END, '') AS title, coalesce(l2, l1) AS career_level,
-  CASE WHEN a AND b AND s2 = '' AND h = h2 THEN s1 WHEN b THEN s2 ELSE s1 END AS summary FROM k""")
+  CASE WHEN a AND b AND s2 = '' AND h = h2 THEN s1 WHEN b THEN s2 ELSE s1 END AS summary FROM merged""")
 def upsert_postings(spark, sf):
     old, new = _versions(spark, sf)
     return lifecycle.upsert_postings(old, new, t.ts(t.AS_OF)).select(
@@ -155,7 +155,7 @@ def upsert_postings(spark, sf):
 
 @query("change_events", _UPSERT + """
 SELECT job_id, CASE WHEN NOT a THEN 'OPENED' ELSE 'UPDATED' END AS event_type, changed_fields, coalesce(h, '') AS previous_hash, h2 AS new_hash
-FROM k WHERE b AND (NOT a OR changed_fields <> '')""")
+FROM merged WHERE b AND (NOT a OR changed_fields <> '')""")
 def change_events(spark, sf):
     old, new = _versions(spark, sf)
     return lifecycle.change_events(old, new, t.ts(t.AS_OF)).select(
@@ -235,7 +235,7 @@ def run_summary(spark, sf):
 
 @query("run_report", f"""{_UPSERT}, {POLLS}, {GRID}
 SELECT (SELECT count(*) FROM polls WHERE outcome = 'ok') AS fetched, (SELECT count(*) FROM polls WHERE outcome = 'error') AS failures,
-  (SELECT count(*) FROM k WHERE NOT a) AS new_jobs, (SELECT count(*) FROM k WHERE changed_fields <> '') AS updated_jobs,
+  (SELECT count(*) FROM merged WHERE NOT a) AS new_jobs, (SELECT count(*) FROM merged WHERE changed_fields <> '') AS updated_jobs,
   (SELECT count(*) FROM st WHERE misses = 4) AS closed, (SELECT count(*) FROM st WHERE hit = 1 AND before >= 2) AS reopened, (SELECT count(*) FROM supplier) AS promoted_boards""")
 def run_report(spark, sf):
     old, new = _versions(spark, sf)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vacantic.functions.urls import canonical_url, host_suffixes, hostname, let
-from vacantic.rules import DENIED_DOMAINS, DENIED_PATTERNS
+from vacantic.functions.let import let
+from vacantic.functions.urls import canonical_url, host_suffixes, hostname
+from vacantic.rules import DENIED_DOMAINS, DENIED_PATTERNS, literal
 
 
 def denied_host(host: Column, domains: list[str] = DENIED_DOMAINS) -> Column:
@@ -35,5 +36,5 @@ def denied_url(url: Column, domains: list[str] = DENIED_DOMAINS,
 
 def domain_blocked(host: Column, domains: list[str] = DENIED_DOMAINS) -> Column:
     """Discovery rule: the host or any parent domain is on the list."""
-    return F.coalesce(F.arrays_overlap(host_suffixes(F.lower(host)), F.array(*[F.lit(d) for d in domains])),
+    return F.coalesce(F.arrays_overlap(host_suffixes(F.lower(host)), literal(domains, "array<string>")),
                       F.lit(False))

@@ -12,11 +12,13 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vacantic.functions.let import let
 from vacantic.rules import SUMMARY_MAX_CHARS
 
 # fixed patterns: what counts as a block end, a tag, a control character
@@ -85,62 +87,68 @@ def _canonical_udf(values: pd.Series) -> pd.Series:
 
 
 # --- rows that stay in the JVM ----------------------------------------------------------------
-def is_ascii(text: Column) -> Column:
+def _ascii(text: Column) -> Column:
     return ~text.rlike(r"[^\x00-\x7f]")
 
 
+def _ascii_without_entities(text: Column) -> Column:
+    return ~text.rlike(r"[^\x00-\x7f]|&")
+
+
 def _jvm_one_line(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, CONTROL, ""), r"\s+", " "))
 
 
 def _jvm_strip(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, BLOCK_END, "\n"), TAG, " ")
+    return F.when(text.contains("<"), F.regexp_replace(F.regexp_replace(text, BLOCK_END, "\n"), TAG, " ")).otherwise(text)
 
 
 def _jvm_plain(text: Column) -> Column:
-    marked = text.contains("<")
-    once = F.when(marked, _jvm_strip(text)).otherwise(text)
-    again = F.when(marked & once.contains("<") & once.contains(">"), _jvm_strip(once)).otherwise(once)
-    flat = F.regexp_replace(F.regexp_replace(again, CONTROL, ""), r"[^\S\n]+", " ")
+    twice = let(_jvm_strip(text), lambda t: F.when(t.contains(">"), _jvm_strip(t)).otherwise(t))
+    flat = F.regexp_replace(F.regexp_replace(twice, CONTROL, ""), r"[^\S\n]+", " ")
     return F.btrim(F.regexp_replace(flat, r" *\n[ \n]*", "\n"), F.lit(" \n"))
 
 
+def _jvm_canonical(text: Column) -> Column:
+    return F.lower(_jvm_one_line(_jvm_plain(text)))
+
+
+def _either(text: Column, simple: Callable[[Column], Column], jvm: Callable[[Column], Column],
+            udf: Callable[[Column], Column]) -> Column:
+    """JVM way for simple rows; all others, and only they, go to Python."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(simple(text), let(text, jvm)).otherwise(udf(F.when(~simple(text), text)))
+
+
 def normalize_ws(text: Column) -> Column:
     """Compatibility folding, plain quotes, no control characters, single spaces."""
-    text = F.coalesce(text, F.lit(""))
-    simple = is_ascii(text)
-    return F.when(simple, _jvm_one_line(text)).otherwise(_one_line_udf(F.when(~simple, text)))
+    return _either(text, _ascii, _jvm_one_line, _one_line_udf)
+
+
+def html_to_text(text: Column) -> Column:
+    """Markup to text; block ends become line breaks, empty lines go."""
+    return _either(text, _ascii_without_entities, _jvm_plain, _plain_udf)
+
+
+def canonical_text(text: Column) -> Column:
+    """One-line, case-folded form for matching and hashing."""
+    return _either(text, _ascii_without_entities, _jvm_canonical, _canonical_udf)
 
 
 def normalize_ws_list(texts: Column) -> Column:
     """C1 for an array of short strings."""
     texts = F.transform(texts, lambda t: F.coalesce(t, F.lit("")))
-    simple = F.forall(texts, is_ascii)
+    simple = F.forall(texts, _ascii)
     return F.when(simple, F.transform(texts, _jvm_one_line)).otherwise(_one_line_list_udf(F.when(~simple, texts)))
 
 
-def html_to_text(text: Column) -> Column:
-    """Markup to text; block ends become line breaks, empty lines go."""
-    text = F.coalesce(text, F.lit(""))
-    simple = is_ascii(text) & ~text.contains("&")
-    return F.when(simple, _jvm_plain(text)).otherwise(_plain_udf(F.when(~simple, text)))
-
-
 def html_list_to_text(texts: Column) -> Column:
     """C2 for an array of fragments, element by element."""
     texts = F.transform(texts, lambda t: F.coalesce(t, F.lit("")))
-    simple = F.forall(texts, lambda t: is_ascii(t) & ~t.contains("&"))
+    simple = F.forall(texts, _ascii_without_entities)
     return F.when(simple, F.transform(texts, _jvm_plain)).otherwise(_plain_list_udf(F.when(~simple, texts)))
 
 
-def canonical_text(text: Column) -> Column:
-    """One-line, case-folded form for matching and hashing."""
-    text = F.coalesce(text, F.lit(""))
-    simple = is_ascii(text) & ~text.contains("&")
-    jvm = F.lower(_jvm_one_line(_jvm_plain(text)))
-    return F.when(simple, jvm).otherwise(_canonical_udf(F.when(~simple, text)))
-
-
 def truncate_summary(text: Column, limit: int = SUMMARY_MAX_CHARS) -> Column:
     """C4: at most `limit` characters, cut at the last space, with an ellipsis."""
     t = F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), r"(?U)\s+$", "")
@@ -171,12 +179,14 @@ def clean_summary(text: Column) -> Column:
     def strip(x: Column) -> Column:
         return F.regexp_replace(F.regexp_replace(x, block, "\n"), TAG, " ")
 
+    def drop_soup(flat: Column) -> Column:
+        share = F.regexp_count(flat, F.lit("[<>&]")) / F.greatest(F.length(flat), F.lit(1))
+        return F.when(share > 0.08, F.lit("")).otherwise(flat)
+
     once = strip(_named_entities(F.coalesce(text, F.lit(""))))
-    again = F.when(once.contains("<") & once.contains(">"), strip(_named_entities(once))).otherwise(once)
+    again = let(once, lambda t: F.when(t.contains("<") & t.contains(">"), strip(_named_entities(t))).otherwise(t))
     flat = F.regexp_replace(again, r"(?U)[^\S\n]+", " ")
-    flat = F.btrim(F.regexp_replace(flat, r" *\n[ \n]*", "\n"), F.lit(" \n"))
-    share = F.regexp_count(flat, F.lit("[<>&]")) / F.greatest(F.length(flat), F.lit(1))
-    return F.when(share > 0.08, F.lit("")).otherwise(flat)
+    return let(F.btrim(F.regexp_replace(flat, r" *\n[ \n]*", "\n"), F.lit(" \n")), drop_soup)
 
 
 WORD_MARK = "\x01"

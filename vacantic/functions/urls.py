@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vacantic.rules import PLATFORM_HOST, PLATFORMS
+from vacantic.functions.let import let
+from vacantic.rules import PLATFORM_HOST, PLATFORMS, literal, literal_map
 
 # generic URI grammar (RFC 3986, appendix B): scheme, authority, path, query
 _URI = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate `value` once and use it many times: keeps plans small when the argument is a long expression."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _part(url: Column, index: int) -> Column:
     return F.regexp_extract(url, _URI, index)
 
@@ -169,14 +163,11 @@ def host_suffixes(host: Column) -> Column:
 
 
 def _platform_ranks(platforms: list) -> Column:
-    cells: list[Column] = []
-    seen: set[str] = set()
+    ranks: dict[str, int] = {}
     for rank, p in enumerate(platforms):
         for host in p.hosts:
-            if host not in seen:
-                seen.add(host)
-                cells += [F.lit(host), F.lit(rank)]
-    return F.create_map(*cells)
+            ranks.setdefault(host, rank)
+    return literal_map(ranks)
 
 
 def platform_rank(host: Column, platforms: list = PLATFORMS) -> Column:
@@ -187,7 +178,7 @@ def platform_rank(host: Column, platforms: list = PLATFORMS) -> Column:
 
 
 def _by_rank(rank: Column, values: list) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), rank)
+    return F.get(literal(values, "array<boolean>" if isinstance(values[0], bool) else "array<string>"), rank)
 
 
 def detect_platform(url: Column, platforms: list = PLATFORMS) -> Column:
@@ -196,23 +187,25 @@ def detect_platform(url: Column, platforms: list = PLATFORMS) -> Column:
     The platform table is bounded by the rule file, so it is a literal map:
     the lookup is an equality test per host suffix and needs no join.
     """
-    rank = platform_rank(hostname(url), platforms)
-    segs = segments(path(url))
-    platform = _by_rank(rank, [p.name for p in platforms])
-    nth = F.when((platform == "workable") & (F.get(segs, F.lit(0)) == "api") & (F.size(segs) >= 2), 1).otherwise(0)
-    tenant = F.lower(F.get(segs, nth))
+    def describe(s: Column) -> Column:
+        platform = _by_rank(s["rank"], [p.name for p in platforms])
+        segs = s["segs"]
+        nth = F.when((platform == "workable") & (F.get(segs, F.lit(0)) == "api") & (F.size(segs) >= 2), 1).otherwise(0)
+        return F.struct(s["rank"].alias("rank"), platform.alias("platform"), F.lower(F.get(segs, nth)).alias("tenant"))
 
-    def template(values: list) -> Column:
-        t = _by_rank(rank, values)
-        return F.when(tenant.isNotNull(), F.replace(t, F.lit("{tenant}"), tenant))
+    def finish(s: Column) -> Column:
+        def template(values: list) -> Column:
+            return F.when(s["tenant"].isNotNull(), F.replace(_by_rank(s["rank"], values), F.lit("{tenant}"), s["tenant"]))
 
-    out = F.struct(
-        platform.alias("platform"), tenant.alias("tenant"),
-        F.when(tenant.isNull(), F.lit(0.7)).otherwise(F.lit(0.95)).alias("confidence"),
-        _by_rank(rank, [p.supported for p in platforms]).alias("supported"),
-        template([p.board for p in platforms]).alias("careers_url"),
-        template([p.api for p in platforms]).alias("api_url"))
-    return F.when(rank.isNotNull(), out)
+        return F.when(s["rank"].isNotNull(), F.struct(
+            s["platform"].alias("platform"), s["tenant"].alias("tenant"),
+            F.when(s["tenant"].isNull(), F.lit(0.7)).otherwise(F.lit(0.95)).alias("confidence"),
+            _by_rank(s["rank"], [p.supported for p in platforms]).alias("supported"),
+            template([p.board for p in platforms]).alias("careers_url"),
+            template([p.api for p in platforms]).alias("api_url")))
+
+    facts = let(url, lambda u: F.struct(platform_rank(hostname(u), platforms).alias("rank"), segments(path(u)).alias("segs")))
+    return let(let(facts, describe), finish)
 
 
 def embedded_board_url(html: Column, platforms: list = PLATFORMS) -> Column:
@@ -240,9 +233,13 @@ def detect_platform_page(url: Column | None, html: Column, platforms: list = PLA
 
 def board_tenant(url: Column) -> Column:
     """C20: struct(platform, tenant); knows API paths and keeps the tenant's case."""
-    host = F.regexp_replace(hostname(url), r"\.+$", "")
-    raw = hostname(url)
-    seg = segments(path(url))
+    facts = let(url, lambda u: F.struct(hostname(u).alias("raw"), F.lower(u).alias("low"), segments(path(u)).alias("seg")))
+    return let(facts, _board_tenant)
+
+
+def _board_tenant(facts: Column) -> Column:
+    raw, seg, low = facts["raw"], facts["seg"], facts["low"]
+    host = F.regexp_replace(raw, r"\.+$", "")
     n = F.size(seg)
 
     def at(i: int) -> Column:
@@ -253,7 +250,6 @@ def board_tenant(url: Column) -> Column:
 
     workday = host.rlike(r"(^|\.)(myworkdayjobs\.com|myworkdaysite\.com)$")
     listing = (host.isin("raw.githubusercontent.com", "cdn.jsdelivr.net") | host.contains("simplifyjobs"))
-    low = F.lower(url)
     feed = (F.when(low.contains("summer2026-internships"), "summer2026-internships")
             .when(low.contains("summer2027-internships"), "summer2027-internships")
             .when(low.contains("new-grad-positions"), "new-grad-positions"))
@@ -296,10 +292,7 @@ def workday_parts(tenant: Column) -> Column:
 def board_urls(platform: Column, tenant: Column, platforms: list = PLATFORMS) -> Column:
     """struct(api_url, careers_url) from the platform's templates."""
     def fill(values: dict[str, str]) -> Column:
-        cells: list[Column] = []
-        for k, v in values.items():
-            cells += [F.lit(k), F.lit(v)]
-        return F.replace(F.try_element_at(F.create_map(*cells), platform), F.lit("{tenant}"), tenant)
+        return F.replace(F.try_element_at(literal_map(values), platform), F.lit("{tenant}"), tenant)
 
     wd = workday_parts(tenant)
     wd_api = F.coalesce(F.concat(F.lit("https://"), wd["host"], F.lit("/wday/cxs/"), wd["cxs"], F.lit("/"),

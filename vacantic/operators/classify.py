@@ -11,16 +11,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vacantic.functions.let import let
 from vacantic.functions.text import canonical_text, html_to_text, mark_words, marked_phrase, truncate_summary
-from vacantic.rules import (EARLY_TITLE, LEAD_TITLE, SENIOR_TITLE, SOURCE_LEVEL_HINTS, RuleSet)
+from vacantic.rules import (EARLY_TITLE, LEAD_TITLE, SENIOR_TITLE, SOURCE_LEVEL_HINTS, RuleSet, literal)
 
 
-def _phrases(phrases: list[str], extra: str = "") -> Column:
-    return F.array(*[F.lit(marked_phrase(p.lower(), extra)) for p in phrases])
+def _marked(phrases: list[str], extra: str = "") -> list[str]:
+    return [marked_phrase(p.lower(), extra) for p in phrases if p]
 
 
-def _hits(marked: Column, phrases: list[str]) -> Column:
-    return F.size(F.filter(_phrases(phrases), lambda p: F.contains(marked, p)))
+def _hits(marked: Column, phrases: Column) -> Column:
+    """How many of the phrases (an array column) occur in word-marked text."""
+    return F.size(F.filter(phrases, lambda p: F.contains(marked, p)))
 
 
 def _joined(*parts: Column) -> Column:
@@ -36,7 +38,7 @@ def best_level(candidates: Column) -> Column:
 
 def is_senior_title(title: Column, rules: RuleSet | None = None) -> Column:
     r = rules or RuleSet()
-    phrase = F.exists(F.array(*[F.lit(p) for p in r.senior_phrases]), lambda p: F.contains(title, p))
+    phrase = F.exists(literal(r.senior_phrases, "array<string>"), lambda p: F.contains(title, p))
     return phrase | title.rlike(SENIOR_TITLE) | (title.rlike(LEAD_TITLE) & ~title.rlike(EARLY_TITLE))
 
 
@@ -47,30 +49,30 @@ def career_level(title: Column, corpus: Column, hints: Column | None = None,
     r = rules or RuleSet()
     mt = mark_words(title) if marked_title is None else marked_title
     mc = mark_words(corpus) if marked_corpus is None else marked_corpus
-    scored = []
-    for order, (level, phrases) in enumerate(r.career_levels):
-        both = F.struct(
-            _hits(mt, phrases).alias("t"),
-            F.size(F.filter(_phrases(phrases), lambda p: ~F.contains(mt, p) & F.contains(mc, p))).alias("b"))
-        scored.append(F.struct(both.alias("h"), F.lit(order).alias("ord"), F.lit(level).alias("level")))
+    table = literal([{"ord": i, "level": level, "phrases": _marked(phrases)} for i, (level, phrases) in enumerate(r.career_levels)],
+                    "array<struct<ord:int,level:string,phrases:array<string>>>")
+
+    def count(s: Column) -> Column:
+        in_body = F.filter(s["phrases"], lambda p: ~F.contains(mt, p) & F.contains(mc, p))
+        return F.struct(_hits(mt, s["phrases"]).alias("t"), F.size(in_body).alias("b"), s["ord"].alias("ord"), s["level"].alias("level"))
 
     def score(h: Column) -> Column:
         body = F.least(h["b"], F.lit(2))
         strong = F.least(F.lit(0.72) + F.lit(0.1) * F.least(h["t"], F.lit(2)) + F.lit(0.05) * body, F.lit(0.95))
         weak = F.least(F.lit(0.45), F.lit(0.28) + F.lit(0.08) * body)
-        return F.when(h["t"] > 0, strong).when(h["b"] > 0, weak).otherwise(F.lit(0.0))
+        return F.struct(F.when(h["t"] > 0, strong).when(h["b"] > 0, weak).otherwise(F.lit(0.0)).alias("score"),
+                        h["ord"].alias("ord"), h["level"].alias("level"))
 
-    ranked = F.transform(F.array(*scored), lambda s: F.struct(
-        score(s["h"]).alias("score"), s["ord"].alias("ord"), s["level"].alias("level")))
-    best = F.coalesce(best_level(F.filter(ranked, lambda s: s["score"] > 0)),
-                      F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("o"), F.lit("unknown").alias("level")))
-    own = F.struct(best["level"].alias("level"), best["score"].alias("confidence"))
+    ranked = F.transform(F.transform(table, count), score)
+    best = best_level(F.filter(ranked, lambda s: s["score"] > 0))
+    own = let(best, lambda w: F.struct(F.coalesce(w["level"], F.lit("unknown")).alias("level"),
+                                       F.coalesce(w["score"], F.lit(0.0)).alias("confidence")))
     if hints is not None:
         text = F.coalesce(hints, F.lit(""))
         hint = F.coalesce(*[F.when(text.rlike(p), F.struct(F.lit(lv).alias("level"), F.lit(sc).alias("confidence")))
                             for p, lv, sc in SOURCE_LEVEL_HINTS])
-        own = F.when((own["confidence"] < 0.55) & hint.isNotNull() & (hint["confidence"] > own["confidence"]),
-                     hint).otherwise(own)
+        own = let(F.struct(own.alias("own"), hint.alias("hint")), lambda s: F.when(
+            (s["own"]["confidence"] < 0.55) & (s["hint"]["confidence"] > s["own"]["confidence"]), s["hint"]).otherwise(s["own"]))
     none = F.struct(F.lit("unknown").alias("level"), F.lit(0.0).alias("confidence"))
     return F.when(is_senior_title(title, r), none).otherwise(own)
 
@@ -78,14 +80,14 @@ def career_level(title: Column, corpus: Column, hints: Column | None = None,
 # --- discipline ---------------------------------------------------------------------------------
 def rank_disciplines(scored: Column) -> Column:
     """G1: array of struct(score, id) -> struct(primary, secondary, confidence)."""
-    order = F.array_sort(F.transform(scored, lambda s: F.struct((-s["score"]).alias("n"), s["id"].alias("id"))))
-    rest = F.filter(F.slice(order, 2, 3), lambda s: -s["n"] >= 0.5)
-    found = F.size(order) > 0
-    top = F.get(order, F.lit(0))
-    return F.struct(
-        F.when(found, top["id"]).otherwise(F.lit("other")).alias("primary"),
-        F.transform(rest, lambda s: s["id"]).alias("secondary"),
-        F.when(found, F.round(-top["n"], 3)).otherwise(F.lit(0.0)).alias("confidence"))
+    def split(order: Column) -> Column:
+        top = F.get(order, F.lit(0))
+        rest = F.filter(F.slice(order, 2, 3), lambda s: -s["n"] >= 0.5)
+        return F.struct(F.coalesce(top["id"], F.lit("other")).alias("primary"), F.transform(rest, lambda s: s["id"]).alias("secondary"),
+                        F.coalesce(F.round(-top["n"], 3), F.lit(0.0)).alias("confidence"))
+
+    keyed = F.transform(scored, lambda s: F.struct((-s["score"]).alias("n"), s["id"].alias("id")))
+    return let(F.array_sort(keyed), split)
 
 
 def discipline(title: Column, department: Column, corpus: Column, rules: RuleSet | None = None,
@@ -93,12 +95,11 @@ def discipline(title: Column, department: Column, corpus: Column, rules: RuleSet
     """0.4 + 0.1 per hit (3 at most) + 0.25 for a title hit + 0.15 for a department hit, 0.98 at most."""
     r = rules or RuleSet()
     mt, md, mc = marked or (mark_words(title), mark_words(department), mark_words(corpus))
-    rows = []
-    for ident, label, aliases in r.disciplines:
-        phrases = [p for p in [label, *aliases] if p]
-        rows.append(F.struct(F.lit(ident).alias("id"), _hits(mc, phrases).alias("h"),
-                             _hits(mt, phrases).alias("t"), _hits(md, phrases).alias("d")))
-    scored = F.transform(F.filter(F.array(*rows), lambda s: s["h"] > 0), lambda s: F.struct(
+    table = literal([{"id": ident, "phrases": _marked([label, *aliases])} for ident, label, aliases in r.disciplines],
+                    "array<struct<id:string,phrases:array<string>>>")
+    counted = F.transform(table, lambda s: F.struct(
+        s["id"].alias("id"), _hits(mc, s["phrases"]).alias("h"), _hits(mt, s["phrases"]).alias("t"), _hits(md, s["phrases"]).alias("d")))
+    scored = F.transform(F.filter(counted, lambda s: s["h"] > 0), lambda s: F.struct(
         F.least(F.lit(0.4) + F.lit(0.1) * F.least(s["h"], F.lit(3))
                 + F.when(s["t"] > 0, 0.25).otherwise(0.0)
                 + F.when(s["d"] > 0, 0.15).otherwise(0.0), F.lit(0.98)).alias("score"), s["id"].alias("id")))
@@ -124,7 +125,7 @@ def academic_term(title: Column, canon_title: Column, summary: Column, descripti
     steps += [earliest_match(F.coalesce(title, F.lit("")), r.precise_terms),
               earliest_match(F.coalesce(summary, F.lit("")), r.precise_terms)]
     marked = mark_words(canon_title)
-    steps += [F.when(_hits(marked, words) > 0, F.lit(label)) for label, words in r.title_terms]
+    steps += [F.when(_hits(marked, literal(_marked(words), "array<string>")) > 0, F.lit(label)) for label, words in r.title_terms]
     steps.append(earliest_match(F.coalesce(description, F.lit("")), r.precise_terms))
     return F.coalesce(*steps, F.lit("unknown"))
 
@@ -140,8 +141,8 @@ def skills(text: Column, rules: RuleSet | None = None, marked: Column | None = N
     """
     r = rules or RuleSet()
     m = mark_words(text, SKILL_CHARS) if marked is None else marked
-    table = F.array(*[F.struct(F.lit(name).alias("name"), _phrases([name, *aliases], SKILL_CHARS).alias("phrases"))
-                      for name, aliases in r.skills])
+    table = literal([{"name": name, "phrases": _marked([name, *aliases], SKILL_CHARS)} for name, aliases in r.skills],
+                    "array<struct<name:string,phrases:array<string>>>")
     found = F.filter(table, lambda s: F.exists(s["phrases"], lambda p: F.contains(m, p)))
     return F.array_sort(F.array_distinct(F.transform(found, lambda s: s["name"])))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vacantic.functions import ids
 from vacantic.functions.denylist import domain_blocked
+from vacantic.functions.let import let
 from vacantic.functions.text import canonical_text
 from vacantic.functions.urls import detect_platform, domain, hostname, scheme
 from vacantic.operators.companies import SOURCE_FIELDS
@@ -175,16 +176,14 @@ def boards_from_postings(postings: DataFrame, platforms: tuple[str, ...] = FAST_
     name = F.coalesce(F.nullif(F.trim("company_name"), F.lit("")), F.col("_m.tenant"))
     base = base.withColumn("_name", name).withColumn("_norm", F.replace(canonical_text(name), F.lit(" "), F.lit("-")))
     given = F.regexp_replace(F.lower(F.trim(F.coalesce("company_domain", F.lit("")))), r"^www\.", "")
-    hosted = given == ""
-    for token in PLATFORM_DOMAIN_TOKENS:
-        hosted = hosted | given.contains(token)
+    hosted = "^$|" + "|".join(token.replace(".", r"\.") for token in PLATFORM_DOMAIN_TOKENS)
     own = F.concat(F.coalesce(F.nullif(F.col("_norm"), F.lit("")), F.col("_m.tenant")), F.lit(".com"))
-    dom = F.when(hosted, own).otherwise(given)
+    base = base.withColumn("_dom", let(given, lambda g: F.when(g.rlike(hosted), own).otherwise(g)))
     return base.select(
         F.lit(True).alias("accepted"), F.lit(0.9).alias("confidence"), F.col("_m.platform").alias("adapter"),
-        F.col("_m.tenant").alias("tenant"), dom.alias("company_domain"), F.col("_name").alias("company_name"),
+        F.col("_m.tenant").alias("tenant"), F.col("_dom").alias("company_domain"), F.col("_name").alias("company_name"),
         F.coalesce("_m.careers_url", "apply_url").alias("candidate_url"),
-        ids.source_id(dom, F.col("_m.platform"), F.col("_m.tenant")).alias("source_id"))
+        ids.source_id(F.col("_dom"), F.col("_m.platform"), F.col("_m.tenant")).alias("source_id"))
 
 
 def promote_from_postings(postings: DataFrame, sources: DataFrame, now: Column, discovered_via: str = "simplify") -> DataFrame:

@@ -8,6 +8,7 @@ take them as parameters; pass other rows to bind an operator to another corpus.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -485,12 +486,15 @@ def count_true(tests: list[Column]) -> Column:
     return out
 
 
-def literal_map(mapping: dict[str, str]) -> Column:
+def literal(value: object, kind: str) -> Column:
+    """A rule table as one literal of the given type; the optimizer folds it to a constant."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def literal_map(mapping: dict) -> Column:
     """Small rule table (bounded by this file) as a map literal: a lookup without a join."""
-    cells: list[Column] = []
-    for k, v in mapping.items():
-        cells += [F.lit(k), F.lit(v)]
-    return F.create_map(*cells)
+    kind = "int" if mapping and isinstance(next(iter(mapping.values())), int) else "string"
+    return literal(mapping, f"map<string,{kind}>")
 
 
 def lookup(mapping: dict[str, str], key: Column) -> Column:

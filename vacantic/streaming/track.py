@@ -105,7 +105,7 @@ def arrivals_stream(landing: DataFrame, key: str = "posting_id", watermark: str
 
 
 # --- per-key state machines --------------------------------------------------------------------------------
-LIFECYCLE_OUT = "source_id string, part int, posting_id string, state string, miss_count long, at timestamp"
+LIFECYCLE_OUT = "source_id string, posting_id string, state string, miss_count long, at_micros long"
 
 
 def lifecycle_processor(suspected: int = MISSES_SUSPECTED, closed: int = MISSES_CLOSED):
@@ -121,26 +121,22 @@ def lifecycle_processor(suspected: int = MISSES_SUSPECTED, closed: int = MISSES_
             import pandas as pd
             data = pd.concat(list(rows))
             out = []
-            for at, poll in data.sort_values("poll_ts", kind="stable").groupby("poll_ts", sort=True):
+            for at, poll in data.groupby("poll_micros", sort=True):
                 listed = set(poll["posting_id"].dropna())
-                for (name,), (count,) in [(k, v) for k, v in self.misses.iterator()]:
-                    if name in listed:
-                        continue
-                    self.misses.updateValue((name,), (count + 1,))
-                    if count + 1 == suspected:
-                        out.append((name, "suspected_closed", count + 1, at))
-                    elif count + 1 == closed:
-                        out.append((name, "closed", count + 1, at))
-                for name in sorted(listed):
-                    if not self.misses.containsKey((name,)):
-                        out.append((name, "open", 0, at))
-                    elif self.misses.getValue((name,))[0] >= suspected:
-                        out.append((name, "reopened", 0, at))
+                held = {k[0]: v[0] for k, v in self.misses.iterator()}
+                for name in held.keys() - listed:
+                    self.misses.updateValue((name,), (held[name] + 1,))
+                    state = {suspected: "suspected_closed", closed: "closed"}.get(held[name] + 1)
+                    if state:
+                        out.append((key[0], name, state, held[name] + 1, int(at)))
+                for name in listed:
+                    if name not in held:
+                        out.append((key[0], name, "open", 0, int(at)))
+                    elif held[name] >= suspected:
+                        out.append((key[0], name, "reopened", 0, int(at)))
                     self.misses.updateValue((name,), (0,))
-            yield pd.DataFrame({
-                "source_id": [key[0]] * len(out), "part": [key[1]] * len(out),
-                "posting_id": [o[0] for o in out], "state": [o[1] for o in out], "miss_count": [o[2] for o in out],
-                "at": pd.Series([o[3] for o in out], dtype="datetime64[ns]")})
+            if out:
+                yield pd.DataFrame(out, columns=["source_id", "posting_id", "state", "miss_count", "at_micros"])
 
         def close(self) -> None:
             pass
@@ -148,20 +144,24 @@ def lifecycle_processor(suspected: int = MISSES_SUSPECTED, closed: int = MISSES_
     return Lifecycle()
 
 
-def lifecycle_changes(landing: DataFrame, parts: int = 16) -> DataFrame:
-    """K2, K3 as a stateful stream.
+def lifecycle_changes(landing: DataFrame, parts: int = 16, watermark: str | None = None) -> DataFrame:
+    """K2, K3 as a stateful stream; the rows of one poll have to land in one batch.
 
     A source's postings are spread over `parts` keys by hash, and each poll is
     announced once to every part, so a source with a third of all postings does
-    not sit in one task.
+    not sit in one task.  A watermark bounds the remembered polls.
     """
     good = landing.where(F.col("outcome") == "ok")
     own = good.where(F.col("posting_id").isNotNull()).withColumn("part", F.pmod(F.hash("posting_id"), F.lit(parts)))
-    ticks = good.select("source_id", "poll_ts").where(F.col("poll_ts").isNotNull()) \
-        .withColumn("posting_id", F.lit(None).cast("string")) \
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<int>"))) \
-        .dropDuplicates(["source_id", "poll_ts", "part"])
-    keyed = own.select("source_id", "poll_ts", "posting_id", F.col("part").cast("int").alias("part")) \
-        .unionByName(ticks.select("source_id", "poll_ts", "posting_id", "part"))
-    return keyed.groupBy("source_id", "part").transformWithStateInPandas(
-        lifecycle_processor(), T._parse_datatype_string(LIFECYCLE_OUT), outputMode="Update", timeMode="None")
+    once = good.select("source_id", "poll_ts")
+    if watermark:
+        once = once.withWatermark("poll_ts", watermark).dropDuplicatesWithinWatermark(["source_id", "poll_ts"])
+    else:
+        once = once.dropDuplicates(["source_id", "poll_ts"])
+    ticks = once.withColumn("posting_id", F.lit(None).cast("string")) \
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    cols = ["source_id", F.unix_micros("poll_ts").alias("poll_micros"), "posting_id", F.col("part").cast("int").alias("part")]
+    keyed = own.select(*cols).unionByName(ticks.select(*cols))
+    out = keyed.groupBy("source_id", "part").transformWithStateInPandas(
+        lifecycle_processor(), LIFECYCLE_OUT, outputMode="Update", timeMode="None")
+    return out.select("source_id", "posting_id", "state", "miss_count", F.timestamp_micros("at_micros").alias("at"))
