@@ -8,6 +8,7 @@ from vacantic.bindings import tables as t
 from vacantic.bindings.registry import LINKS, POSTINGS, SOURCES, fold_sql, line_sql, plain_sql, query
 from vacantic.functions import ids, text, times, urls
 from vacantic.operators import companies, search
+from vacantic.operators.scale import spread
 from vacantic.plans.normalize import employment_type
 
 # SQL of the page cleaning, written from the definition: entities, block ends, tags, blanks, lines
@@ -28,36 +29,36 @@ txt AS (SELECT page_id, html, coalesce({plain_sql("regexp_replace(b, '[^\\S\\n]+
 
 @query("normalize_ws", f"SELECT doc_id, {line_sql('text')} AS line FROM documents")
 def normalize_ws(spark, sf):
-    return t.table(spark, sf, "documents").select("doc_id", text.normalize_ws(F.col("text")).alias("line"))
+    return t.documents(spark, sf).select("doc_id", text.normalize_ws(F.col("text")).alias("line"))
 
 
 @query("html_to_text", f"WITH {_PAGE_TEXT} SELECT page_id, plain FROM txt")
 def html_to_text(spark, sf):
-    return t.table(spark, sf, "pages").select("page_id", text.html_to_text(F.col("html")).alias("plain"))
+    return spread(t.table(spark, sf, "pages")).select("page_id", text.html_to_text(F.col("html")).alias("plain"))
 
 
 @query("canonical_text", f"SELECT doc_id, {fold_sql('text')} AS canon FROM documents")
 def canonical_text(spark, sf):
-    return t.table(spark, sf, "documents").select("doc_id", text.canonical_text(F.col("text")).alias("canon"))
+    return t.documents(spark, sf).select("doc_id", text.canonical_text(F.col("text")).alias("canon"))
 
 
 @query("canonical_page_text", f"WITH {_PAGE_TEXT} SELECT page_id, {fold_sql('plain')} AS canon FROM txt")
 def canonical_page_text(spark, sf):
-    return t.table(spark, sf, "pages").select("page_id", text.canonical_text(F.col("html")).alias("canon"))
+    return spread(t.table(spark, sf, "pages")).select("page_id", text.canonical_text(F.col("html")).alias("canon"))
 
 
 @query("truncate_summary", """
 SELECT doc_id, CASE WHEN length(s) <= 2000 THEN s ELSE regexp_replace(regexp_replace(left(s, 1999), '\\s+$', ''), ' [^ ]*$', '') || '…' END AS summary
 FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS s FROM documents)""")
 def truncate_summary(spark, sf):
-    return t.table(spark, sf, "documents").select("doc_id", text.truncate_summary(F.col("text")).alias("summary"))
+    return t.documents(spark, sf).select("doc_id", text.truncate_summary(F.col("text")).alias("summary"))
 
 
 @query("richest_text", """
 SELECT doc_id, CASE WHEN length(text) >= length(other) THEN text ELSE other END AS richest
 FROM (SELECT doc_id, text, repeat(source || ' ', 40) AS other FROM documents)""")
 def richest_text(spark, sf):
-    d = t.table(spark, sf, "documents")
+    d = t.documents(spark, sf)
     return d.select("doc_id", text.richest_text(F.col("text"), F.repeat(F.concat("source", F.lit(" ")), F.lit(40))).alias("richest"))
 
 
@@ -67,7 +68,7 @@ two AS (SELECT page_id, CASE WHEN contains(a, '<') AND contains(a, '>') THEN {_s
 c AS (SELECT page_id, coalesce({plain_sql("b")}, '') AS s FROM two)
 SELECT page_id, CASE WHEN (length(s) - length(regexp_replace(s, '[<>&]', '', 'g'))) / greatest(length(s), 1)::DOUBLE > 0.08 THEN '' ELSE s END AS summary FROM c""")
 def clean_summary(spark, sf):
-    return t.table(spark, sf, "pages").select("page_id", text.clean_summary(F.col("html")).alias("summary"))
+    return spread(t.table(spark, sf, "pages")).select("page_id", text.clean_summary(F.col("html")).alias("summary"))
 
 
 @query("canonical_url", """

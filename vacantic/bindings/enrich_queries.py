@@ -122,7 +122,7 @@ term AS (SELECT *, CASE WHEN f = 1000000 THEN '' WHEN a = f THEN 'summer' WHEN b
 
 @query("earliest_match", f"WITH {_EARLIEST} SELECT doc_id, term FROM term")
 def earliest_match(spark, sf):
-    d = t.table(spark, sf, "documents")
+    d = t.documents(spark, sf)
     return d.select("doc_id", F.coalesce(classify.earliest_match(F.col("text"), TERM_RULES), F.lit("")).alias("term"))
 
 
@@ -131,7 +131,7 @@ WITH {_EARLIEST} SELECT t.doc_id, CASE WHEN d.lang = 'es' THEN 'summer' WHEN d.l
 FROM term t JOIN documents d USING (doc_id)""")
 def enrich_term(spark, sf):
     """Structured terms for Spanish rows, a bare title word for French ones, the text for all others."""
-    d = t.table(spark, sf, "documents").select(
+    d = t.documents(spark, sf).select(
         "doc_id", "text", F.when(F.col("lang") == "fr", F.lit("A Bolt")).otherwise(F.lit("Role")).alias("title"),
         F.when(F.col("lang") == "es", F.array(F.lit("x"), F.lit("Und 2026"))).alias("terms"))
     return classify.enrich_term(d, "title", description="text", structured="terms", rules=RULES).select("doc_id", "academic_term")
@@ -141,7 +141,7 @@ def enrich_term(spark, sf):
 SELECT doc_id, CASE WHEN {phrase_sql('lower(text)', 'und')} THEN 'summer' WHEN {phrase_sql('lower(text)', 'the')} THEN 'fall' WHEN {phrase_sql('lower(text)', 'que')} THEN 'winter'
   WHEN {phrase_sql('lower(text)', 'de')} THEN 'spring' ELSE '' END AS label FROM documents""")
 def first_rule_wins(spark, sf):
-    return t.table(spark, sf, "documents").select("doc_id", F.coalesce(terms.first_rule(F.col("text"), TERM_RULES), F.lit("")).alias("label"))
+    return t.documents(spark, sf).select("doc_id", F.coalesce(terms.first_rule(F.col("text"), TERM_RULES), F.lit("")).alias("label"))
 
 
 # --- skills, phrases, benefits -----------------------------------------------------------------------------------------------
@@ -152,7 +152,7 @@ def _skill_case() -> str:
 
 @query("enrich_skills", f"WITH x AS (SELECT doc_id, {fold_sql('text')} AS c FROM documents) SELECT doc_id, concat_ws(',', {_skill_case()}) AS skills FROM x")
 def enrich_skills(spark, sf):
-    return classify.enrich_skills(t.table(spark, sf, "documents"), "text", RULES).select("doc_id", F.array_join("skills", ",").alias("skills"))
+    return classify.enrich_skills(t.documents(spark, sf), "text", RULES).select("doc_id", F.array_join("skills", ",").alias("skills"))
 
 
 def _first(phrases: list[str]) -> str:
@@ -169,7 +169,7 @@ def _claims_sql() -> str:
 @query("match_phrases", f"""
 WITH {_claims_sql()} SELECT doc_id, label, 'positive' AS polarity, yes AS phrase FROM cl WHERE yes IS NOT NULL UNION ALL SELECT doc_id, label, 'negative', no FROM cl WHERE no IS NOT NULL""")
 def match_phrases(spark, sf):
-    return terms.phrase_hits(t.table(spark, sf, "documents"), "doc_id", "text", CLAIM_RULES)
+    return terms.phrase_hits(t.documents(spark, sf), "doc_id", "text", CLAIM_RULES)
 
 
 @query("enrich_benefits", f"""
@@ -178,7 +178,7 @@ SELECT doc_id, label, CASE WHEN no IS NOT NULL THEN 'not_available' WHEN yes IS
   coalesce(label || CASE WHEN no IS NOT NULL THEN ':negative' WHEN yes IS NOT NULL THEN ':positive' END, '') AS rule,
   coalesce(left(trim(substr(c, greatest(1, s - 40), s + length(hit) + 120 - greatest(1, s - 40))), 500), '') AS excerpt FROM p""")
 def enrich_benefits(spark, sf):
-    df = terms.enrich_benefits(t.table(spark, sf, "documents"), "text", CLAIM_RULES)
+    df = terms.enrich_benefits(t.documents(spark, sf), "text", CLAIM_RULES)
     cells = F.array(*[F.struct(F.lit(n).alias("label"), F.col(f"mobility.{n}.status").alias("status"),
                                F.coalesce(f"mobility.{n}.extraction_rule", F.lit("")).alias("rule"),
                                F.coalesce(f"mobility.{n}.evidence_excerpt", F.lit("")).alias("excerpt")) for n, _, _ in CLAIM_RULES])
@@ -305,9 +305,10 @@ def _rules_of(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("o_orderkey", "o_orderpriority", F.coalesce(t.case(F.col("o_orderpriority"), _RULE_TEXT), F.lit("")).alias("description"))
 
 
+# "not open to candidates in X" also contains "candidates in X": by the rules X is named by both lists, and exclusion wins
 @query("enrich_eligibility", """
 SELECT o_orderkey, CASE o_orderpriority WHEN '2-HIGH' THEN 'us_citizen_required' WHEN '4-NOT SPECIFIED' THEN 'no_sponsorship' ELSE '' END AS auth,
-  CASE o_orderpriority WHEN '1-URGENT' THEN 'CA,DE,GB' ELSE '' END AS allowed, CASE o_orderpriority WHEN '3-MEDIUM' THEN 'FR,IN' ELSE '' END AS excluded,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'CA,DE,GB' WHEN '3-MEDIUM' THEN 'FR,IN' ELSE '' END AS allowed, CASE o_orderpriority WHEN '3-MEDIUM' THEN 'FR,IN' ELSE '' END AS excluded,
   CASE o_orderpriority WHEN '2-HIGH' THEN 'US' ELSE '' END AS citizens, CASE o_orderpriority WHEN '4-NOT SPECIFIED' THEN 'AU' ELSE '' END AS residents,
   CASE o_orderpriority WHEN '2-HIGH' THEN 'active secret' ELSE '' END AS clearance, o_orderpriority = '2-HIGH' AS export_control,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'French' WHEN '3-MEDIUM' THEN 'German Speaker' ELSE '' END AS languages FROM orders""")
@@ -325,8 +326,8 @@ def enrich_eligibility(spark, sf):
 
 
 @query("match_origin", """
-SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'explicit_match' WHEN '2-HIGH' THEN 'explicitly_ineligible' WHEN '4-NOT SPECIFIED' THEN 'potential_match' ELSE 'unknown' END AS ca,
-  CASE o_orderpriority WHEN '1-URGENT' THEN 'explicitly_ineligible' WHEN '2-HIGH' THEN 'explicit_match' ELSE 'unknown' END AS us,
+SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'explicit_match' WHEN '2-HIGH' THEN 'explicitly_ineligible' WHEN '3-MEDIUM' THEN 'explicitly_ineligible' WHEN '4-NOT SPECIFIED' THEN 'potential_match' ELSE 'unknown' END AS ca,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'explicitly_ineligible' WHEN '2-HIGH' THEN 'explicit_match' WHEN '3-MEDIUM' THEN 'explicitly_ineligible' ELSE 'unknown' END AS us,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'explicitly_ineligible' WHEN '2-HIGH' THEN 'explicitly_ineligible' WHEN '3-MEDIUM' THEN 'explicitly_ineligible'
     WHEN '4-NOT SPECIFIED' THEN 'potential_match' ELSE 'unknown' END AS in_ FROM orders""")
 def match_origin(spark, sf):
@@ -368,7 +369,7 @@ def normalize_all_sources(spark, sf):
 # --- duplicates ---------------------------------------------------------------------------------------------------------------------------------
 def _doc_posts(spark: SparkSession, sf: str) -> DataFrame:
     """documents as postings: source is the employer, the text is the title."""
-    d = t.table(spark, sf, "documents")
+    d = t.documents(spark, sf)
     at = F.timestamp_seconds(F.lit(1704067200) + (F.col("doc_id") * 7919) % 86400)
     return d.select(
         F.sha2(F.col("doc_id").cast("string"), 256).alias("job_id"), F.col("source").alias("company_name"), F.col("text").alias("title"), "lang",

@@ -28,7 +28,7 @@ def is_public(spark, sf):
 SELECT doc_id, NOT regexp_matches({fold_sql('x')}, 'no longer accepting|position (has been|is) filled') AS is_open FROM (
   SELECT doc_id, CASE lang WHEN 'de' THEN text || ' This position  has been FILLED.' WHEN 'fr' THEN 'We are no longer accepting ' || text ELSE text END AS x FROM documents)""")
 def applications_open(spark, sf):
-    d = t.table(spark, sf, "documents")
+    d = t.documents(spark, sf)
     x = F.when(F.col("lang") == "de", F.concat("text", F.lit(" This position  has been FILLED."))) \
         .when(F.col("lang") == "fr", F.concat(F.lit("We are no longer accepting "), "text")).otherwise(F.col("text"))
     base = d.select("doc_id", canonical_text(x).alias("c"))
@@ -58,7 +58,7 @@ def denied_urls(spark, sf):
 @query("match_query", f"""
 SELECT doc_id FROM documents WHERE contains(lower(text), 'tion') AND contains(lower(text), 'er th')""".replace("'er th'", "'the'"))
 def match_query(spark, sf):
-    d = t.table(spark, sf, "documents")
+    d = t.documents(spark, sf)
     return d.where(filters.match_query(F.lower("text"), " TION  a the ")).select("doc_id")
 
 
@@ -127,7 +127,7 @@ def due_sources(spark, sf):
 @query("watch_match", """
 SELECT doc_id FROM documents WHERE (contains(lower(text), 'tion') OR contains(lower(text), 'und')) AND (contains(lower(text), 'the') OR contains(lower(text), 'que'))""")
 def watch_match(spark, sf):
-    return t.table(spark, sf, "documents").where(filters.watch_match(F.col("text"), ["tion", "und"], ["the", "que"])).select("doc_id")
+    return t.documents(spark, sf).where(filters.watch_match(F.col("text"), ["tion", "und"], ["the", "que"])).select("doc_id")
 
 
 @query("is_new", """
@@ -173,7 +173,7 @@ def check_event_contract(spark, sf):
 SELECT 'normalize_ws is idempotent' AS rule, 0::BIGINT AS violations, count(*) AS rows FROM documents UNION ALL
 SELECT 'canonical_text is idempotent', 0, count(*) FROM documents""")
 def check_text_invariants(spark, sf):
-    return contracts.check_text_invariants(t.table(spark, sf, "documents"), "text")
+    return contracts.check_text_invariants(t.documents(spark, sf), "text")
 
 
 @query("check_bucket_invariants", f"""

@@ -41,7 +41,7 @@ def _doc_ts() -> Column:
 
 
 def greenhouse_payloads(spark: SparkSession, sf: str) -> DataFrame:
-    d = t.table(spark, sf, "documents")
+    d = t.documents(spark, sf)
     good = F.struct(
         F.col("doc_id").alias("id"), F.concat(F.lit(" Role "), F.col("doc_id").cast("string")).alias("title"),
         F.concat(F.lit("https://boards.greenhouse.io/acme/jobs/"), F.col("doc_id").cast("string")).alias("absolute_url"),
@@ -64,7 +64,7 @@ def ingest_greenhouse(spark, sf):
 
 
 def lever_payloads(spark: SparkSession, sf: str) -> DataFrame:
-    d = t.table(spark, sf, "documents")
+    d = t.documents(spark, sf)
     good = F.struct(
         F.concat(F.lit("lv-"), F.col("doc_id").cast("string")).alias("id"), F.concat(F.lit("Role "), F.col("lang")).alias("text"),
         F.concat(F.lit("https://jobs.lever.co/acme/"), F.col("doc_id").cast("string")).alias("hostedUrl"),
@@ -86,7 +86,7 @@ def ingest_lever(spark, sf):
 
 def ashby_payloads(spark: SparkSession, sf: str) -> DataFrame:
     """String and object forms alternate with the size of the text."""
-    d = t.table(spark, sf, "documents")
+    d = t.documents(spark, sf)
     odd = F.col("n_chars") % 2 == 1
     flat = F.to_json(F.struct(F.array(F.struct(
         F.col("doc_id").cast("string").alias("id"), F.lit("Analyst").alias("title"), F.concat(F.lit("https://a.example.com/"), F.col("doc_id").cast("string")).alias("jobUrl"),
@@ -155,7 +155,7 @@ def ingest_workday(spark, sf):
 
 
 def workable_payloads(spark: SparkSession, sf: str) -> DataFrame:
-    d = t.table(spark, sf, "documents")
+    d = t.documents(spark, sf)
     named = F.col("doc_id") % 3 == 0
     item = F.struct(
         F.concat(F.lit("W"), F.col("doc_id").cast("string")).alias("shortcode"), F.lit("Clerk").alias("title"),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantic.functions import ids
+from vacantic.operators.scale import spread
 
 AS_OF = "2001-12-31 00:00:00"
 EVENTS_AS_OF = "2024-01-31 00:00:00"
@@ -31,6 +32,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return df.withColumns(zoned) if zoned else df
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """documents, spread over all cores: text work is heavy and the sample is a single split."""
+    return spread(table(spark, sf, "documents"))
+
+
 def case(column: Column, mapping: dict[str, str]) -> Column:
     out = F.lit(None).cast("string")
     for k, v in mapping.items():
@@ -144,7 +150,7 @@ def page_urls(spark: SparkSession, sf: str) -> DataFrame:
 
 def board_links(spark: SparkSession, sf: str) -> DataFrame:
     """pages as links to boards: each page's site name becomes a tenant on a platform chosen by its id."""
-    p = table(spark, sf, "pages")
+    p = spread(table(spark, sf, "pages"))
     host = F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
     site = F.element_at(F.split(host, r"\."), -3)
     path = F.regexp_extract("url", r"^https?://[^/?#]+([^?#]*)", 1)

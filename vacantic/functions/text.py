@@ -17,6 +17,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vacantic.functions.let import let
 from vacantic.rules import SUMMARY_MAX_CHARS
@@ -61,27 +62,27 @@ def _plain(value: str) -> str:
     return "\n".join(row for row in rows if row)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _one_line_udf(values: pd.Series) -> pd.Series:
     return values.map(_one_line, na_action="ignore")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _one_line_list_udf(values: pd.Series) -> pd.Series:
     return values.map(lambda row: [_one_line(v) for v in row], na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _plain_udf(values: pd.Series) -> pd.Series:
     return values.map(_plain, na_action="ignore")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _plain_list_udf(values: pd.Series) -> pd.Series:
     return values.map(lambda row: [_plain(v) for v in row], na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _canonical_udf(values: pd.Series) -> pd.Series:
     return values.map(lambda v: _one_line(_one_line(_plain(v)).casefold()), na_action="ignore")
 
@@ -193,20 +194,16 @@ WORD_MARK = "\x01"
 
 
 def mark_words(text: Column, extra: str = "") -> Column:
-    """Put a mark at every word edge, so that a whole-phrase match becomes a plain substring test.
+    """Put a mark before and after every word, so that a whole-phrase match becomes a plain substring test.
 
     `extra` names characters that count as parts of words (for example `+#` for `c++`).
     """
-    if not extra:
-        return F.regexp_replace(text, r"\b", WORD_MARK)
-    w = r"[\p{L}\p{N}_" + extra + "]"
-    return F.regexp_replace(text, f"(?<={w})(?!{w})|(?<!{w})(?={w})", WORD_MARK)
+    return F.regexp_replace(text, r"([\p{L}\p{N}_" + extra + "]++)", WORD_MARK + "$1" + WORD_MARK)
 
 
 def marked_phrase(phrase: str, extra: str = "") -> str:
     """The phrase with the same marks, made once on the driver from a rule row."""
-    w = r"[\w" + extra + "]"
-    return re.sub(f"(?<={w})(?!{w})|(?<!{w})(?={w})", WORD_MARK, phrase)
+    return re.sub(r"([\w" + extra + "]+)", WORD_MARK + r"\1" + WORD_MARK, phrase)
 
 
 def is_readable_summary(text: Column) -> Column:

@@ -32,15 +32,23 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for heavy per-row work when the input has fewer splits than the cluster has cores.
+
+    Large tables have more splits than cores and pass through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only after a bounded count proves the side is small; else leave it to the planner."""
-    few = len(df.select(F.lit(1)).limit(limit + 1).take(limit + 1)) <= limit if limit < 1000 else \
-        df.limit(limit + 1).count() <= limit
+    few = df.limit(limit + 1).count() <= limit
     return F.broadcast(df) if few else df
 
 
 def group_rank(df: DataFrame, keys: list[str], order: list[Column], name: str,
-               max_group: int | None = None) -> DataFrame:
+               max_group: int | None = None, parts: int | None = None) -> DataFrame:
     """Exact row_number per key, also when one key holds most of the rows.
 
     Group sizes are counted first (map-side combined).  If every group fits one
@@ -56,7 +64,7 @@ def group_rank(df: DataFrame, keys: list[str], order: list[Column], name: str,
         w = Window.partitionBy(*keys).orderBy(*order) if keys else Window.partitionBy(F.lit(1)).orderBy(*order)
         return df.withColumn(name, F.row_number().over(w))
     shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(shuffles, 2 * math.ceil(total / max_group))
+    parts = parts or max(shuffles, 2 * math.ceil(total / max_group))
     ranged = df.repartitionByRange(parts, *[F.col(k) for k in keys], *order)
     cut = durable(ranged.withColumn("_range", F.spark_partition_id()))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
