@@ -10,6 +10,7 @@ from vacantic.bindings.ingest_queries import all_payloads, greenhouse_payloads
 from vacantic.bindings.registry import fold_sql, phrase_sql, plain_sql, query
 from vacantic.functions.text import canonical_text
 from vacantic.operators import classify, dedupe, places, terms
+from vacantic.operators.scale import spread
 from vacantic.plans.normalize import normalize
 from vacantic.rules import RuleSet
 from vacantic.sources import boards
@@ -192,7 +193,7 @@ _PLACES = ["Austin, TX", "San Francisco, CA", "Toronto, ON, Canada", "Paris, TX"
 def _addresses(spark: SparkSession, sf: str) -> DataFrame:
     """customer with two place strings: one of the fixed forms by key, and nation with region."""
     n = t.table(spark, sf, "nation").join(t.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    c = t.table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    c = spread(t.table(spark, sf, "customer")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     form = F.get(F.array(*[F.lit(p) for p in _PLACES]), (F.col("c_custkey") % 8).cast("int"))
     return c.select("c_custkey", "c_mktsegment", F.array(form, F.concat_ws(",  ", "n_name", "r_name")).alias("locations_raw"))
 
@@ -265,7 +266,7 @@ amt AS (SELECT o_orderkey, CASE p WHEN '1-URGENT' THEN lo::DOUBLE WHEN '2-HIGH'
 
 
 def _ads(spark: SparkSession, sf: str) -> DataFrame:
-    o = t.table(spark, sf, "orders")
+    o = spread(t.table(spark, sf, "orders"))
     lo, k = (F.floor("o_totalprice").cast("long") % 90000) + 10000, (F.col("o_custkey") % 50) + 20
     p = F.col("o_orderpriority")
     text = (F.when(p == "1-URGENT", F.concat(F.lit("Join us. Salary: $"), F.format_number(lo, 0), F.lit(" per year. Total care")))
@@ -301,7 +302,7 @@ _RULE_TEXT = {
 
 
 def _rules_of(spark: SparkSession, sf: str) -> DataFrame:
-    o = t.table(spark, sf, "orders")
+    o = spread(t.table(spark, sf, "orders"))
     return o.select("o_orderkey", "o_orderpriority", F.coalesce(t.case(F.col("o_orderpriority"), _RULE_TEXT), F.lit("")).alias("description"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vacantic import rules
 from vacantic.bindings import tables as t
 from vacantic.bindings.registry import LINKS, POSTINGS, SOURCES, plain_sql, query
+from vacantic.operators.scale import spread
 from vacantic.plans.publish import scratch_folder
 from vacantic.sources import boards, crawl, seeds
 
@@ -114,7 +115,7 @@ _ORDER_TIME = "strftime(o_orderdate::TIMESTAMP, '%Y-%m-%d %H:%M:%S')"
 
 
 def smartrecruiters_payloads(spark: SparkSession, sf: str) -> DataFrame:
-    o = t.table(spark, sf, "orders")
+    o = spread(t.table(spark, sf, "orders"))
     urgent = F.col("o_orderpriority") == "1-URGENT"
     item = F.struct(
         F.col("o_orderkey").alias("id"), F.concat(F.lit("Order "), F.col("o_orderpriority")).alias("name"),
@@ -137,7 +138,7 @@ def ingest_smartrecruiters(spark, sf):
 
 
 def workday_payloads(spark: SparkSession, sf: str) -> DataFrame:
-    o = t.table(spark, sf, "orders")
+    o = spread(t.table(spark, sf, "orders"))
     long_bullet = F.repeat(F.lit("long "), F.lit(20))
     item = F.struct(
         F.col("o_orderpriority").alias("title"), F.concat(F.lit("/job/Berlin/R-"), F.col("o_orderkey").cast("string"), F.lit("/")).alias("externalPath"),
@@ -176,7 +177,7 @@ def ingest_workable(spark, sf):
 
 def jsonld_payloads(spark: SparkSession, sf: str) -> DataFrame:
     """pages with a JSON-LD script added: bare object, list, or member of a graph, by page."""
-    p = t.table(spark, sf, "pages")
+    p = spread(t.table(spark, sf, "pages"))
     node = F.struct(
         F.lit("JobPosting").alias("@type"), F.concat(F.lit("Page "), F.col("page_id").cast("string")).alias("title"),
         F.struct(F.concat(F.lit("P"), F.col("page_id").cast("string")).alias("value")).alias("identifier"),

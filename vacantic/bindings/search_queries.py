@@ -125,9 +125,9 @@ def run_search(spark, sf):
 
 
 @query("search_newest", f"""
-WITH {POSTINGS} SELECT job_id, title FROM post WHERE posted >= TIMESTAMP '2001-12-31' - INTERVAL 30 DAY AND posted IS NOT NULL ORDER BY posted DESC, job_id LIMIT 10 OFFSET 10""")
+WITH {POSTINGS} SELECT job_id, title FROM post WHERE posted >= TIMESTAMP '2001-08-05' - INTERVAL 30 DAY ORDER BY posted DESC, job_id LIMIT 10 OFFSET 10""")
 def search_newest(spark, sf):
-    return search.search(t.postings(spark, sf), FilterSpec(freshness="30d", sort="newest", page=2, page_size=10), as_of=t.ts(t.AS_OF)).select("job_id", "title")
+    return search.search(t.postings(spark, sf), FilterSpec(freshness="30d", sort="newest", page=2, page_size=10), as_of=t.ts("2001-08-05 00:00:00")).select("job_id", "title")
 
 
 @query("company_search", f"""

@@ -47,12 +47,12 @@ def career_level(title: Column, corpus: Column, hints: Column | None = None,
                  marked_corpus: Column | None = None) -> Column:
     """struct(level, confidence). A title hit is needed for a high score; source metadata helps below 0.55."""
     r = rules or RuleSet()
-    mt = mark_words(title) if marked_title is None else marked_title
-    mc = mark_words(corpus) if marked_corpus is None else marked_corpus
+    marks = F.struct((mark_words(title) if marked_title is None else marked_title).alias("t"),
+                     (mark_words(corpus) if marked_corpus is None else marked_corpus).alias("c"))
     table = literal([{"ord": i, "level": level, "phrases": _marked(phrases)} for i, (level, phrases) in enumerate(r.career_levels)],
                     "array<struct<ord:int,level:string,phrases:array<string>>>")
 
-    def count(s: Column) -> Column:
+    def count(s: Column, mt: Column, mc: Column) -> Column:
         in_body = F.filter(s["phrases"], lambda p: ~F.contains(mt, p) & F.contains(mc, p))
         return F.struct(_hits(mt, s["phrases"]).alias("t"), F.size(in_body).alias("b"), s["ord"].alias("ord"), s["level"].alias("level"))
 
@@ -63,8 +63,9 @@ def career_level(title: Column, corpus: Column, hints: Column | None = None,
         return F.struct(F.when(h["t"] > 0, strong).when(h["b"] > 0, weak).otherwise(F.lit(0.0)).alias("score"),
                         h["ord"].alias("ord"), h["level"].alias("level"))
 
-    ranked = F.transform(F.transform(table, count), score)
-    best = best_level(F.filter(ranked, lambda s: s["score"] > 0))
+    # bound once per row: a column named inside a lambda may otherwise be evaluated per rule
+    counted = let(marks, lambda m: F.transform(table, lambda s: count(s, m["t"], m["c"])))
+    best = best_level(F.filter(F.transform(counted, score), lambda s: s["score"] > 0))
     own = let(best, lambda w: F.struct(F.coalesce(w["level"], F.lit("unknown")).alias("level"),
                                        F.coalesce(w["score"], F.lit(0.0)).alias("confidence")))
     if hints is not None:
@@ -95,10 +96,12 @@ def discipline(title: Column, department: Column, corpus: Column, rules: RuleSet
     """0.4 + 0.1 per hit (3 at most) + 0.25 for a title hit + 0.15 for a department hit, 0.98 at most."""
     r = rules or RuleSet()
     mt, md, mc = marked or (mark_words(title), mark_words(department), mark_words(corpus))
+    marks = F.struct(mt.alias("t"), md.alias("d"), mc.alias("c"))
     table = literal([{"id": ident, "phrases": _marked([label, *aliases])} for ident, label, aliases in r.disciplines],
                     "array<struct<id:string,phrases:array<string>>>")
-    counted = F.transform(table, lambda s: F.struct(
-        s["id"].alias("id"), _hits(mc, s["phrases"]).alias("h"), _hits(mt, s["phrases"]).alias("t"), _hits(md, s["phrases"]).alias("d")))
+    counted = let(marks, lambda m: F.transform(table, lambda s: F.struct(
+        s["id"].alias("id"), _hits(m["c"], s["phrases"]).alias("h"), _hits(m["t"], s["phrases"]).alias("t"),
+        _hits(m["d"], s["phrases"]).alias("d"))))
     scored = F.transform(F.filter(counted, lambda s: s["h"] > 0), lambda s: F.struct(
         F.least(F.lit(0.4) + F.lit(0.1) * F.least(s["h"], F.lit(3))
                 + F.when(s["t"] > 0, 0.25).otherwise(0.0)
@@ -124,8 +127,9 @@ def academic_term(title: Column, canon_title: Column, summary: Column, descripti
         steps.append(F.get(F.filter(each, lambda x: x.isNotNull()), F.lit(0)))
     steps += [earliest_match(F.coalesce(title, F.lit("")), r.precise_terms),
               earliest_match(F.coalesce(summary, F.lit("")), r.precise_terms)]
-    marked = mark_words(canon_title)
-    steps += [F.when(_hits(marked, literal(_marked(words), "array<string>")) > 0, F.lit(label)) for label, words in r.title_terms]
+    words = [(label, literal(_marked(ws), "array<string>")) for label, ws in r.title_terms]
+    steps.append(let(mark_words(canon_title), lambda m: F.coalesce(
+        *[F.when(_hits(m, ws) > 0, F.lit(label)) for label, ws in words], F.lit(None).cast("string"))))
     steps.append(earliest_match(F.coalesce(description, F.lit("")), r.precise_terms))
     return F.coalesce(*steps, F.lit("unknown"))
 
@@ -143,7 +147,7 @@ def skills(text: Column, rules: RuleSet | None = None, marked: Column | None = N
     m = mark_words(text, SKILL_CHARS) if marked is None else marked
     table = literal([{"name": name, "phrases": _marked([name, *aliases], SKILL_CHARS)} for name, aliases in r.skills],
                     "array<struct<name:string,phrases:array<string>>>")
-    found = F.filter(table, lambda s: F.exists(s["phrases"], lambda p: F.contains(m, p)))
+    found = let(m, lambda x: F.filter(table, lambda s: F.exists(s["phrases"], lambda p: F.contains(x, p))))
     return F.array_sort(F.array_distinct(F.transform(found, lambda s: s["name"])))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantic.functions.text import canonical_text
+from vacantic.operators.scale import durable
 
 
 def _digest(*parts: Column) -> Column:
@@ -67,38 +68,51 @@ def pick_canonical(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(row, F.struct("first_seen_at", "job_id")).alias("_r")).select("_r.*")
 
 
-def merge_group(df: DataFrame, keys: list[str]) -> DataFrame:
+SALTS = 16
+
+
+def merge_group(df: DataFrame, keys: list[str], salts: int = SALTS) -> DataFrame:
     """I4: canonical row, union of skills, latest last_seen, earliest first_seen.
 
-    Skills are made distinct per (group, skill) before they meet, so a hot group
-    only ever gathers as many values as the skill list is long.
+    Two aggregations over one lineage: first per (group, salt), where skill lists
+    shrink to their distinct names, then per group.  A hot group is spread over
+    `salts` tasks and its last step sees at most `salts` rows.
     """
-    for k in keys:
-        if k not in df.columns:
-            raise ValueError(f"missing group column {k}")
     others = [c for c in df.columns if c not in ("skills", "first_seen_at", "last_seen_at")]
-    row = F.struct(*[F.col(c) for c in others])
-    core = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(
-        F.min_by(row, F.struct("first_seen_at", "job_id")).alias("_r"),
-        F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"),
-        F.count("*").alias("merged_rows"))
-    skill = df.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.explode("skills").alias("_s")).distinct() \
-        .groupBy(*[f"_k_{k}" for k in keys]).agg(F.array_sort(F.collect_list("_s")).alias("skills"))
-    out = core.join(skill, [f"_k_{k}" for k in keys], "left")
-    empty = F.array().cast("array<string>")
-    return out.select(*[F.col(f"_r.{c}").alias(c) for c in others], F.coalesce("skills", empty).alias("skills"),
-                      "first_seen_at", "last_seen_at", "merged_rows")
+    group = [f"_k_{k}" for k in keys]
+    names = F.array_sort(F.array_distinct(F.flatten(F.collect_set("skills")))).alias("skills")
+    order = F.struct("first_seen_at", "job_id")
+    salted = df.withColumns({**{f"_k_{k}": F.col(k) for k in keys},
+                             "_salt": F.pmod(F.xxhash64("job_id", "first_seen_at", "last_seen_at"), F.lit(salts))})
+    part = salted.groupBy(*group, "_salt").agg(
+        F.min_by(F.struct(*others), order).alias("_r"), F.min(order).alias("_o"), F.max("last_seen_at").alias("last_seen_at"),
+        F.count("*").alias("_n"), names)
+    out = part.groupBy(*group).agg(
+        F.min_by("_r", "_o").alias("_r"), F.min("_o.first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"),
+        F.sum("_n").alias("merged_rows"), names)
+    return out.select(*[F.col(f"_r.{c}").alias(c) for c in others], "skills", "first_seen_at", "last_seen_at", "merged_rows")
 
 
 def dedupe(df: DataFrame, company: str = "company_name", title: str = "title", places: str | None = None,
            hash_fields: dict[str, str] | None = None) -> DataFrame:
-    """Merge by id, then by fingerprint, then by content hash."""
-    one = merge_group(df, ["job_id"]).drop("merged_rows")
-    two = merge_group(with_fingerprint(one, company, title, places), ["fingerprint"]).drop("merged_rows")
+    """Merge by id, then by fingerprint, then by content hash.
+
+    Both keys are computed once, right after the first merge, and only ids, keys,
+    times and skills go through the later merges; the wide rows join back at the
+    end by their unique id.
+    """
     fields = hash_fields or {"company_name": company, "title": title, "summary": "summary", "job_url": "job_url",
                              "apply_url": "apply_url", "source_job_id": "source_job_id"}
-    three = with_content_hash(two.drop("fingerprint"), fields, "_content")
-    return merge_group(three, ["_content"]).drop("merged_rows", "_content")
+    one = merge_group(df, ["job_id"]).drop("merged_rows")
+    # skills change while rows merge, so they take part in the content key as they are by then
+    stable = {k: c for k, c in fields.items() if c != "skills"}
+    keyed = durable(with_content_hash(with_fingerprint(one, company, title, places), stable, "_content"))
+    slim = keyed.select("job_id", "fingerprint", "_content", "first_seen_at", "last_seen_at", "skills")
+    two = merge_group(slim, ["fingerprint"]).drop("merged_rows")
+    if len(stable) < len(fields):
+        two = two.withColumn("_content", F.sha2(F.concat_ws("|", "_content", F.array_join("skills", ",")), 256))
+    three = merge_group(two, ["_content"]).select("job_id", "first_seen_at", "last_seen_at", "skills")
+    return keyed.drop("fingerprint", "_content", "first_seen_at", "last_seen_at", "skills").join(three, "job_id")
 
 
 def find_duplicates(df: DataFrame, company: str = "company_name", title: str = "title",
@@ -111,7 +125,8 @@ def find_duplicates(df: DataFrame, company: str = "company_name", title: str = "
     by_id = df.groupBy("job_id").agg(F.count("*").alias("copies")).where(F.col("copies") > 1) \
         .select(F.lit("job_id").alias("stage"), F.col("job_id").alias("canonical_job_id"), "job_id", "copies")
     base = df.withColumn("_p", F.array(F.col(place))) if place else df.withColumn("_p", F.array().cast("array<string>"))
-    marked = with_fingerprint(base, company, title, "_p").select("job_id", "fingerprint").distinct()
+    # ids and hashes only: written once, read by both the grouping and the join
+    marked = durable(with_fingerprint(base, company, title, "_p").select("job_id", "fingerprint").distinct())
     groups = marked.groupBy("fingerprint").agg(F.min("job_id").alias("canonical_job_id"),
                                                F.count("*").alias("copies")).where(F.col("copies") > 1)
     members = marked.join(groups, "fingerprint").select(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vacantic.functions.ids import bucket
 from vacantic.functions.times import posted_at
-from vacantic.operators.scale import broadcast_if_small, checkpoint_dir, group_rank
+from vacantic.operators.scale import broadcast_if_small, checkpoint_dir, durable, group_rank
 from vacantic.operators.search import newest_n
 from vacantic.rules import HASH_BUCKETS, MAX_FEED_ITEMS, MAX_SHARD_BYTES, MAX_SHARD_ROWS
 from vacantic.sources.seeds import current_snapshot, publish_pointer
@@ -132,7 +132,7 @@ def write_shards(public: DataFrame, path: str, **options) -> DataFrame:
 
     Rows are hashed by (bucket, chunk), so a big bucket is written by many tasks.
     """
-    planned = plan_shards(public, **options)
+    planned = durable(plan_shards(public, **options))
     cols = public.columns
     (planned.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "position")
      .select(*cols, "bucket", "chunk").write.mode("overwrite").partitionBy("bucket", "chunk").json(path))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from vacantic.functions.denylist import denied_url
 from vacantic.functions.ids import slug
+from vacantic.functions.let import let
 from vacantic.functions.text import TAG, html_list_to_text, html_to_text
 from vacantic.functions.times import parse_epoch_auto, parse_epoch_ms, parse_iso
 from vacantic.functions.urls import hostname, join_url, workday_parts
@@ -57,7 +58,8 @@ def _is(v: Column, path: str, kind: str) -> Column:
 def _text(v: Column, path: str) -> Column:
     """Non-empty scalar as string; objects and lists count as missing."""
     value = F.nullif(F.try_variant_get(v, path, "string"), F.lit(""))
-    return F.when(~_is(v, path, "OBJECT") & ~_is(v, path, "ARRAY"), value)
+    # only text that looks like an object or a list needs a look at its type
+    return let(value, lambda t: F.when(~t.rlike(r"^[\[{]") | ~_kind(_raw(v, path)).isin("OBJECT", "ARRAY"), t))
 
 
 def _string(v: Column, path: str) -> Column:
