@@ -29,7 +29,6 @@ CONTROL = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]"
 QUOTES_FROM = "\u2018\u2019\u201c\u201d\u2013\u2014\u00a0"
 QUOTES_TO = "''\"\"-- "
 
-_QUOTES = str.maketrans(QUOTES_FROM, QUOTES_TO)
 _BLOCK, _TAG, _CTRL = re.compile(BLOCK_END), re.compile(TAG), re.compile(CONTROL)
 
 
@@ -46,7 +45,13 @@ def _decode(value: str) -> str:
 
 
 def _tidy(value: str) -> str:
-    return _CTRL.sub("", unicodedata.normalize("NFKC", value).translate(_QUOTES))
+    if value.isascii():
+        return _CTRL.sub("", value)
+    if not unicodedata.is_normalized("NFKC", value):
+        value = unicodedata.normalize("NFKC", value)
+    for old, new in zip(QUOTES_FROM, QUOTES_TO):
+        value = value.replace(old, new)
+    return _CTRL.sub("", value)
 
 
 def _one_line(value: str) -> str:
@@ -54,10 +59,13 @@ def _one_line(value: str) -> str:
 
 
 def _plain(value: str) -> str:
-    passes = 0
-    while passes == 0 or (passes == 1 and "<" in value and ">" in value):
-        value = _TAG.sub(" ", _BLOCK.sub("\n", _decode(value)))
-        passes += 1
+    for _ in range(2):
+        value = _decode(value)
+        if "<" not in value:
+            break
+        value = _TAG.sub(" ", _BLOCK.sub("\n", value))
+        if ">" not in value:
+            break
     rows = (" ".join(row.split()) for row in _tidy(value).split("\n"))
     return "\n".join(row for row in rows if row)
 
@@ -84,34 +92,42 @@ def _plain_list_udf(values: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def _canonical_udf(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: _one_line(_one_line(_plain(v)).casefold()), na_action="ignore")
+    return values.map(lambda v: _one_line(_plain(v).casefold()), na_action="ignore")
 
 
 # --- rows that stay in the JVM ----------------------------------------------------------------
+# simple text: printable ASCII, tab and line ends; anything else (control characters included) goes to Python
+_NOT_SIMPLE = r"[^\t\n\r\x20-\x7e]"
+
+
 def _ascii(text: Column) -> Column:
-    return ~text.rlike(r"[^\x00-\x7f]")
+    return ~text.rlike(_NOT_SIMPLE)
 
 
 def _ascii_without_entities(text: Column) -> Column:
-    return ~text.rlike(r"[^\x00-\x7f]|&")
+    return ~text.rlike(_NOT_SIMPLE + "|&")
 
 
 def _jvm_one_line(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(text, CONTROL, ""), r"\s+", " "))
+    # replaces only what is not a single blank already: far fewer matches than one per gap between words
+    return F.trim(F.regexp_replace(text, r"\s{2,}|[^\S ]", " "))
 
 
 def _jvm_strip(text: Column) -> Column:
     return F.when(text.contains("<"), F.regexp_replace(F.regexp_replace(text, BLOCK_END, "\n"), TAG, " ")).otherwise(text)
 
 
+def _jvm_strip_twice(text: Column) -> Column:
+    return let(_jvm_strip(text), lambda t: F.when(t.contains(">"), _jvm_strip(t)).otherwise(t))
+
+
 def _jvm_plain(text: Column) -> Column:
-    twice = let(_jvm_strip(text), lambda t: F.when(t.contains(">"), _jvm_strip(t)).otherwise(t))
-    flat = F.regexp_replace(F.regexp_replace(twice, CONTROL, ""), r"[^\S\n]+", " ")
+    flat = F.regexp_replace(_jvm_strip_twice(text), r"[^\S\n]{2,}|[^\S\n ]", " ")
     return F.btrim(F.regexp_replace(flat, r" *\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def _jvm_canonical(text: Column) -> Column:
-    return F.lower(_jvm_one_line(_jvm_plain(text)))
+    return F.lower(_jvm_one_line(_jvm_strip_twice(text)))
 
 
 def _either(text: Column, simple: Callable[[Column], Column], jvm: Callable[[Column], Column],
