@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vacantic.functions.ids import bucket
 from vacantic.functions.text import canonical_text, html_to_text, normalize_ws
+from vacantic.operators.scale import side_by_side
 from vacantic.rules import EARLY_LEVELS, HASH_BUCKETS, SUMMARY_MAX_CHARS
 
 # fixed values: allowed values of the coded columns
@@ -82,4 +83,4 @@ def check_bucket_invariants(df: DataFrame, key: str = "job_id", buckets: int = H
     shards = df.groupBy(bucket(F.col(key), buckets).alias("bucket")).agg(F.count("*").alias("n")).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("sharded"), F.count("*").alias("buckets_used"),
         F.coalesce(F.count_if((F.col("bucket") < 0) | (F.col("bucket") >= buckets)), F.lit(0)).alias("bad_buckets"))
-    return total.join(shards, F.lit(True)).select("rows", "sharded", "bad_ids", "bad_buckets", "buckets_used")
+    return side_by_side(total, shards).select("rows", "sharded", "bad_ids", "bad_buckets", "buckets_used")

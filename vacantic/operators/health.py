@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacantic.operators.scale import broadcast_if_small
+from vacantic.operators.scale import broadcast_if_small, side_by_side
 from vacantic.rules import (ADAPTER_CRITICAL_RATE, ADAPTER_FAILURE_THRESHOLD, ADAPTER_MIN_SAMPLES,
                             DEFAULT_TIER_MINUTES, MAX_SOURCES_PER_RUN, POLL_TIER_MINUTES)
 
@@ -109,10 +109,7 @@ def run_report(polls: DataFrame, changes: DataFrame, moves: DataFrame, promoted:
                   F.count_if(F.col("event") == "REOPENED").alias("reopened")),
         promoted.agg(F.count("*").alias("promoted_boards")),
     ]
-    out = parts[0].withColumn("_k", F.lit(1))
-    for p in parts[1:]:
-        out = out.join(p.withColumn("_k", F.lit(1)), "_k")
-    return out.drop("_k")
+    return side_by_side(*parts)
 
 
 # --- polling ------------------------------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacantic.operators.scale import broadcast_if_small, group_rank
+from vacantic.operators.scale import broadcast_if_small, durable, group_rank
 from vacantic.rules import CLOSE_STATUS_CODES, MISSES_CLOSED, MISSES_SUSPECTED
 
 SRC, POST, POLL = "source_id", "posting_id", "poll_ts"
@@ -40,7 +40,7 @@ def number_sightings(sightings: DataFrame, numbered: DataFrame) -> DataFrame:
 
 def miss_streak(sightings: DataFrame, polls: DataFrame, max_group: int | None = None) -> DataFrame:
     """G7 + K2: current miss count and state per posting; two aggregations and one join."""
-    numbered = number_polls(polls, max_group)
+    numbered = durable(number_polls(polls, max_group))
     last = numbered.groupBy(SRC).agg(F.max("poll_no").alias("source_polls"))
     seen = number_sightings(sightings, numbered).groupBy(SRC, POST).agg(
         F.min(POLL).alias("first_seen_at"), F.max(POLL).alias("last_seen_at"),
@@ -63,7 +63,7 @@ def _gaps(sightings: DataFrame, numbered: DataFrame) -> DataFrame:
 def transitions(sightings: DataFrame, polls: DataFrame, suspected: int = MISSES_SUSPECTED,
                 closed: int = MISSES_CLOSED, max_group: int | None = None) -> DataFrame:
     """K2, K3: every state change as a row (source, posting, event, at)."""
-    numbered = number_polls(polls, max_group)
+    numbered = durable(number_polls(polls, max_group))
     gaps = _gaps(sightings, numbered).where(F.col("gap") >= suspected)
     events = F.filter(F.array(
         F.struct(F.lit("SUSPECTED_CLOSED").alias("event"), (F.col("poll_no") + suspected).alias("at_no")),
@@ -75,20 +75,26 @@ def transitions(sightings: DataFrame, polls: DataFrame, suspected: int = MISSES_
     return rows.join(when, [SRC, "at_no"]).select(SRC, POST, "event", "at")
 
 
-def lifecycle_table(sightings: DataFrame, polls: DataFrame, max_group: int | None = None) -> DataFrame:
+def lifecycle_table(sightings: DataFrame, polls: DataFrame, max_group: int | None = None,
+                    suspected: int = MISSES_SUSPECTED, closed: int = MISSES_CLOSED) -> DataFrame:
     """K2, K3: state, miss count, closed_at and reopened_at per posting.
 
-    Being seen again clears `closed_at` and sets `reopened_at`; the state is then open.
+    Being seen again clears `closed_at` and sets `reopened_at`; the state is then
+    open.  One pass over the numbered sightings gives everything but the time of
+    closing, which is the poll `closed` numbers after the last sighting.
     """
-    now = miss_streak(sightings, polls, max_group)
-    moves = transitions(sightings, polls, max_group=max_group).groupBy(SRC, POST).agg(
-        F.max(F.when(F.col("event") == "REOPENED", F.col("at"))).alias("reopened_at"),
-        F.max(F.when(F.col("event") == "CLOSED", F.col("at"))).alias("_closed_at"),
-        F.count_if(F.col("event") == "REOPENED").alias("times_reopened"))
-    out = now.join(moves, [SRC, POST], "left")
-    return out.select(SRC, POST, "first_seen_at", "last_seen_at", "miss_count", "state",
-                      F.when(F.col("state") == "closed", F.col("_closed_at")).alias("closed_at"), "reopened_at",
-                      F.coalesce("times_reopened", F.lit(0)).alias("times_reopened"))
+    numbered = durable(number_polls(polls, max_group))
+    back = (F.col("gap") >= suspected) & F.col("next_no").isNotNull()
+    per_posting = _gaps(sightings, numbered).groupBy(SRC, POST).agg(
+        F.min(POLL).alias("first_seen_at"), F.max(POLL).alias("last_seen_at"),
+        F.max("poll_no").alias("_last"), F.max("source_polls").alias("_polls"),
+        F.max(F.when(back, F.col("next_ts"))).alias("reopened_at"), F.count_if(back).alias("times_reopened"))
+    misses = (F.col("_polls") - F.col("_last")).cast("long")
+    now = per_posting.withColumn("miss_count", misses).withColumn("_at", F.when(misses >= closed, F.col("_last") + closed))
+    when = numbered.select(SRC, F.col("poll_no").alias("_at"), F.col(POLL).alias("closed_at"))
+    return now.join(when, [SRC, "_at"], "left").select(
+        SRC, POST, "first_seen_at", "last_seen_at", "miss_count",
+        lifecycle_state(F.col("miss_count"), suspected, closed).alias("state"), "closed_at", "reopened_at", "times_reopened")
 
 
 def reopened(sightings: DataFrame, polls: DataFrame) -> DataFrame:

@@ -47,6 +47,14 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
+def side_by_side(*frames: DataFrame) -> DataFrame:
+    """One-row summaries as one row (equality join on a constant; every input is a global aggregate)."""
+    out = frames[0].withColumn("_one", F.lit(1))
+    for f in frames[1:]:
+        out = out.join(f.withColumn("_one", F.lit(1)), "_one")
+    return out.drop("_one")
+
+
 def group_rank(df: DataFrame, keys: list[str], order: list[Column], name: str,
                max_group: int | None = None, parts: int | None = None) -> DataFrame:
     """Exact row_number per key, also when one key holds most of the rows.

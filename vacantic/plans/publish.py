@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vacantic.functions.ids import bucket
 from vacantic.functions.times import posted_at
-from vacantic.operators.scale import broadcast_if_small, checkpoint_dir, durable, group_rank
+from vacantic.operators.scale import broadcast_if_small, checkpoint_dir, durable, group_rank, side_by_side
 from vacantic.operators.search import newest_n
 from vacantic.rules import HASH_BUCKETS, MAX_FEED_ITEMS, MAX_SHARD_BYTES, MAX_SHARD_ROWS
 from vacantic.sources.seeds import current_snapshot, publish_pointer
@@ -299,4 +299,4 @@ def state_counts(public: DataFrame, tracked: DataFrame, companies: DataFrame, so
     d = sources.agg(F.count_if("enabled").alias("sources"),
                     F.count_if(F.col("enabled") & (F.col("health_status") == "healthy")).alias("healthy_sources"),
                     F.countDistinct(F.when(F.col("enabled"), F.col("adapter"))).alias("adapters"))
-    return a.join(b, F.lit(True)).join(c, F.lit(True)).join(d, F.lit(True))
+    return side_by_side(a, b, c, d)
