@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import sys
 
+import uuid
+
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from vacantic.operators.scale import checkpoint_dir
 
 FULL = (1 << 64) - 1
 
@@ -66,10 +69,12 @@ def by_chars(texts: list, budget: int) -> list[tuple[int, int]]:
     return out
 
 
-def table(spark, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table once into the shared checkpoint folder and read it back: columnar and compressed, with no lineage."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def null_first(column):
-    """Ascending order with nulls first, as a sort key."""
-    return F.col(column).asc_nulls_first()
+def table(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantic.llm import langid, packing
+from vacantic.llm import chat, jaccard, langid, lmscore, packing, pieces, pii, pivots, substrings, syncmers
 from vacantic.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,8 +31,80 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES: dict[str, Query] = {"op1_language": op1_language, "op9_pack": op9_pack}
-SQL: dict[str, str] = {}
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(table(spark, sf_dir, "conversations"))
+
+
+OP2_SQL = """
+WITH d AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i FROM d),
+h AS (SELECT *, string_agg(i || '|' || (role IS NULL) || '|' || coalesce(role, '') || '|' || (text IS NULL) || '|' || sha256(coalesce(text, '')), ';')
+    OVER (PARTITION BY conv_id ORDER BY i) AS prefix, count(*) OVER (PARTITION BY conv_id) AS n FROM o),
+ends AS (SELECT prefix, min(conv_id) AS conv_id FROM h WHERE i = n GROUP BY prefix),
+keep AS (SELECT conv_id FROM ends WHERE prefix NOT IN (SELECT prefix FROM h WHERE i < n))
+SELECT conv_id, count(*) AS n_turns,
+  string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY i) AS rendered
+FROM o WHERE conv_id IN (SELECT conv_id FROM keep) GROUP BY conv_id
+"""
+
+
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer("piece_bpe_32k.model")
+    coded = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("ids", pieces.encode(F.col("text"), path))
+    return coded.withColumn("decoded", pieces.decode(F.col("ids"), path)).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.xxhash64("ids").alias("ids_xxhash64"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = syncmers.edited_neighbours(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+                        syncmers.fingerprint(F.col("anchors")).alias("fingerprint"),
+                        syncmers.fingerprint(F.col("edited_anchors")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+PSEUDONYM_KEY = "sample key; give your own"
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PSEUDONYM_KEY, counter="n_changed")
+
+
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT r, i, sha256(array_to_string(ws[i:i + 34], ' ')) AS h FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
+rep AS (SELECT r, i FROM win WHERE h IN (SELECT h FROM win GROUP BY h HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM rep),
+lists AS (SELECT r, list(p) AS ps FROM gone GROUP BY r),
+kept AS (SELECT w.r, array_to_string(list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda x: ps IS NULL OR NOT list_contains(ps, x[2])), lambda x: x[1]), ' ') AS k
+  FROM w LEFT JOIN lists USING (r))
+SELECT doc_id, len(ws) AS n_words, coalesce(len(ps), 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM w LEFT JOIN lists USING (r) LEFT JOIN kept USING (r)
+"""
+
+def op3_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lmscore.score(table(spark, sf_dir, "documents").select("doc_id", "text"), good)
+
+
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, percent=85)
+
+
+def op8_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), least=0.9)
+
+
+QUERIES: dict[str, Query] = {
+    "op1_language": op1_language, "op2_chat": op2_chat, "op3_lmscore": op3_lmscore, "op4_pieces": op4_pieces, "op5_syncmers": op5_syncmers, "op6_pii": op6_pii,
+    "op7_jaccard": op7_jaccard, "op8_pivots": op8_pivots,    "op9_pack": op9_pack, "op10_substrings": op10_substrings}
+SQL: dict[str, str] = {"op2_chat": OP2_SQL, "op10_substrings": OP10_SQL}
 
 
 def all_queries() -> dict[str, Query]:
