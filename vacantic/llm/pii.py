@@ -29,7 +29,7 @@ ISO_DATE = r"(?<![\d\-])\d{4}-\d{2}-\d{2}(?![\d\-])"
 SHORT_DATE = r"(?<![\d./])(?:\d{1,2}/\d{1,2}/|\d{1,2}\.\d{1,2}\.)\d{4}(?![\d/])"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 PHONE = r"(?<![\d+])(?:\+1[ .\-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .\-])[2-9]\d{2}[ .\-]\d{4}(?!\d)"
-FOREIGN_PHONE = r"(?<![\d+])\+(?!1[ .\-(])[1-9]\d{0,2}(?:[ .\-]\(?\d{1,4}\)?){2,5}(?!\d)"
+FOREIGN_PHONE = r"(?<![\d+])\+(?:[1-9]\d{7,14}|(?!1[ .\-(])[1-9]\d{0,2}(?:[ .\-]\(?\d{1,8}\)?){1,5})(?!\d)"
 IP = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 CARD = r"(?<![\d.\-])\d(?:[ \-]?\d){12,18}(?![\d\-])"
@@ -129,7 +129,7 @@ def _phone(m: Column, key: str) -> Column:
 
 
 def _foreign_phone(m: Column, key: str) -> Column:
-    head = F.regexp_extract(m, r"^\+\d+", 0)
+    head = F.regexp_extract(m, r"^\+(?:\d{2}(?=\d{6})|\d+)", 0)
     valid = F.length(_digits(m)).between(8, 15)
     return F.when(valid, F.concat(head, by_character(F.substr(m, F.length(head) + 1, F.length(m)), key, "phone+")))
 
