@@ -22,15 +22,31 @@ from pyspark.sql import functions as F
 from vacantic.llm.common import process_cache
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
-_ODD = re.compile(r"\s\s|^\s|\s$")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_TAIL = re.compile("([,.;:!?])\0(?<=[^\\W_][,.;:!?]\0)")
+_OTHER_BLANKS = [chr(c) for c in (0, 9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+def cut(text: str) -> list[str]:
+    """Parts that a byte-level tokenizer encodes on their own.
+
+    Between two words one blank leads the second word and one line end stands alone; a punctuation mark between a
+    letter or digit and a blank stands alone.  Texts with other or with adjacent blanks are cut at single blanks only.
+    """
+    plain = not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n"
+                 or any(c in text for c in _OTHER_BLANKS))
+    if plain:
+        return _TAIL.sub("\0\\1\0", text.replace(" ", "\0 ").replace("\n", "\0\n\0") + "\0").split("\0")
+    parts = _CUT.split(text)
+    parts[1:] = [" " + w for w in parts[1:]]
+    return parts
 
 
 class Encoder:
     """Ids of texts by a byte-level BPE file, as little-endian 32-bit numbers.
 
-    Such a tokenizer always cuts before a single blank between two words, and encodes what lies between two cuts on its
-    own, so ids are remembered per blank-led word (up to `limit` words; more are encoded each time).
+    Such a tokenizer encodes the parts that `cut` yields on their own, so ids are remembered per part (up to `limit`
+    parts; more are encoded each time).
     """
 
     def __init__(self, path: str, limit: int = 400_000):
@@ -38,24 +54,17 @@ class Encoder:
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
 
     def encode(self, texts: list) -> list[bytes]:
-        cut = []
-        for t in texts:
-            if not t:
-                cut.append([])
-                continue
-            parts = _CUT.split(t) if _ODD.search(t) else t.split(" ")
-            parts[1:] = [" " + w for w in parts[1:]]
-            cut.append(parts)
+        every = [cut(t) if t else [] for t in texts]
         known = self.known
-        fresh = {w for parts in cut for w in parts if w not in known}
+        fresh = set().union(*every).difference(known)
         if fresh:
             words = list(fresh)
             ids = [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
             room = self.limit - len(known)
             known.update(zip(words[:room], ids[:room]))
             if room < len(words):
-                known = {**dict(zip(words, ids)), **{w: known[w] for parts in cut for w in parts if w in known}}
-        return [b"".join([known[w] for w in parts]) for parts in cut]
+                known = {**dict(zip(words, ids)), **{w: known[w] for w in set().union(*every) if w in known}}
+        return [b"".join([known[w] for w in parts]) for parts in every]
 
 
 def encoder(path: str) -> Encoder:
