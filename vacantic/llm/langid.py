@@ -67,7 +67,7 @@ def _ngrams(texts: list, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     alphabet = np.flatnonzero(present)
     place = np.zeros(0x110000, dtype=np.int64)
     place[alphabet] = np.arange(len(alphabet))
-    ids, size = place[symbols], len(ids_ := symbols) - n + 1
+    ids, size = place[symbols], len(symbols) - n + 1
     if size <= 0:
         return alphabet, np.zeros(0, np.int64), np.zeros(0, np.int64)
     number = np.zeros(size, dtype=np.int64)
@@ -143,15 +143,15 @@ def fit(docs: DataFrame, label: str = "lang", text: str = "text", n: int = 3, di
     return Model([x for x, _ in found], (raw / np.where(norm == 0, 1, norm)).astype(np.float32), n, dim)
 
 
-def scores(model: Model, texts: list) -> tuple[list[str], np.ndarray]:
-    """Language and cosine of each text (None allowed)."""
-    pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+def scores(model: Model, texts: list) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, cosine and number of n-grams of each text (None allowed)."""
+    pred, score, size_of = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
     for a, b in by_chars(texts, BATCH_CHARS):
         part = [t or "" for t in texts[a:b]]
         alphabet, owner, grams = _ngrams(part, model.n)
         if not model.languages or not len(grams):
             continue
-        known = np.bincount(owner, minlength=len(part)) > 0
+        size_of[a:b] = np.bincount(owner, minlength=len(part))
         size = len(alphabet) ** model.n
         rows = max(1, (16 << 20) // min(size, max(1, len(grams))))
         for s in range(0, len(part), rows):
@@ -161,18 +161,18 @@ def scores(model: Model, texts: list) -> tuple[list[str], np.ndarray]:
             norm = np.linalg.norm(doc, axis=1, keepdims=True)
             cos = (doc / np.where(norm == 0, 1, norm)).astype(np.float64) @ model.prototypes.T.astype(np.float64)
             best = cos.argmax(axis=1)
-            for i in np.flatnonzero(known[s:e]):
+            for i in np.flatnonzero(size_of[a + s:a + e]):
                 pred[a + s + i] = model.languages[best[i]]
                 score[a + s + i] = min(1.0, max(0.0, float(cos[i, best[i]])))
-    return pred, score
+    return pred, score, size_of
 
 
 def language(model: Model, text: Column) -> Column:
-    """Struct (lang_pred, score) of a text column."""
-    @F.pandas_udf("lang_pred string, score double")
+    """Struct (lang_pred, score, n_grams) of a text column."""
+    @F.pandas_udf("lang_pred string, score double, n_grams bigint")
     def run(batches: pd.Series) -> pd.DataFrame:
-        pred, score = scores(model, batches.tolist())
-        return pd.DataFrame({"lang_pred": pred, "score": score})
+        pred, score, size = scores(model, batches.tolist())
+        return pd.DataFrame({"lang_pred": pred, "score": score, "n_grams": size})
 
     return run(text)
 
@@ -181,11 +181,15 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add `lang_pred` and `score` to every row."""
     tmp = free_name(docs, "_language")
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    return docs.withColumn(tmp, language(model, F.col(text))).select(*kept, f"{tmp}.lang_pred", f"{tmp}.score")
+    return docs.withColumn(tmp, language(model, F.col(f"`{text}`"))).select(*kept, f"{tmp}.lang_pred", f"{tmp}.score")
 
 
-def reject(docs: DataFrame, model: Model, text: str = "text", min_score: float = 0.0) -> DataFrame:
-    """Keep the rows whose language is known and whose cosine reaches `min_score`; columns stay as they are."""
+def reject(docs: DataFrame, model: Model, text: str = "text", min_score: float = 0.3, min_grams: int = 200) -> DataFrame:
+    """Drop the rows without a known language; columns stay as they are.
+
+    These are rows without a letter, and rows of at least `min_grams` n-grams whose cosine stays below `min_score`, as
+    no prose of a learned language does.  The cosine of a shorter text says little, so short texts stay.
+    """
     tmp = free_name(docs, "_language")
-    known = (F.col(f"{tmp}.lang_pred") != UNKNOWN) & (F.col(f"{tmp}.score") >= min_score)
-    return docs.withColumn(tmp, language(model, F.col(text))).where(known).drop(tmp)
+    unlike = (F.col(f"{tmp}.n_grams") >= min_grams) & (F.col(f"{tmp}.score") < min_score)
+    return docs.withColumn(tmp, language(model, F.col(f"`{text}`"))).where((F.col(f"{tmp}.lang_pred") != UNKNOWN) & ~unlike).drop(tmp)
