@@ -9,7 +9,7 @@ minimisers, so a window can only be repeated where its minimiser is.
    bucket of the minimiser; there all windows are sorted, and equal neighbours are repeated windows.  The words
    themselves are compared, so the result does not rest on hashes.
 3. A minimiser with more than `bucket_rows` places never meets in one task: its distinct strings are counted first,
-   their windows are counted by a combining aggregate, and the marks go back to the places by a join.
+   their windows are counted by a combining aggregate, and the runs found go back to the places by a join.
 4. Every word under a marked window goes.
 
 Defined results: null text has no words; texts below `width` words are never changed; two rows with the same key and
@@ -40,7 +40,14 @@ def super_kmers(words: list, width: int, m: int) -> tuple[np.ndarray, np.ndarray
         for j in range(m):
             mers = mers * np.uint64(0x9E3779B97F4A7C15) + h[j:j + count]
     mers = mix64(mers)
-    at = np.lib.stride_tricks.sliding_window_view(mers, width - m + 1).argmin(axis=1) + np.arange(windows)
+    # upper half of the hash, then the place: the smallest such number is the leftmost smallest m-mer
+    low = (mers & np.uint64(0xFFFFFFFF00000000)) | np.arange(count, dtype=np.uint64)
+    span, step = width - m + 1, 1
+    while 2 * step <= span:  # smallest of 2, 4, 8 ... neighbours
+        low = np.minimum(low[:-step], low[step:])
+        step *= 2
+    low = np.minimum(low[:windows], low[span - step:span - step + windows])
+    at = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     return mers[at[first]].view(np.int64), first, np.diff(np.append(first, windows))
 
@@ -78,37 +85,38 @@ def repeated_spans(rows: DataFrame, width: int, m: int, bucket_rows: int) -> Dat
     """(key, mark, spans): runs of repeated windows per row; `rows` has key, mark (hash of the text) and text."""
     def cut(frames):
         for pdf in frames:
-            out = []
-            for k, mark, text in zip(_numbers(pdf["key"]), pdf["mark"], pdf["text"]):
-                mini, first, n = super_kmers(_words(text), width, m)
-                if len(mini):
-                    out.append(pd.DataFrame({"mini": mini, "key": pd.array([k] * len(mini), dtype="Int64"), "mark": mark,
-                                             "first": first.astype(np.int32), "n": n.astype(np.int32)}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    listed = stored(rows.mapInPandas(cut, "mini bigint, key bigint, mark bigint, first int, n int"))
-    again = listed.groupBy("mini").agg(F.count("*").alias("places")).where("places > 1")
+            found = [super_kmers(_words(t), width, m) for t in pdf["text"]]
+            sizes = [len(x[0]) for x in found]
+            if sum(sizes):
+                yield pd.DataFrame({
+                    "mini": np.concatenate([x[0] for x in found]), "key": pdf["key"].astype("Int64").repeat(sizes).array,
+                    "mark": pdf["mark"].repeat(sizes).array, "first": np.concatenate([x[1] for x in found]).astype(np.int32),
+                    "n": np.concatenate([x[2] for x in found]).astype(np.int32)})
+
+    listed = stored(rows.mapInPandas(cut, "mini bigint, key bigint, mark int, first int, n int"))
+    again = stored(listed.groupBy("mini").agg(F.count("*").alias("places")).where("places > 1"))  # stored: the join below can split a hot minimiser
     asked = listed.join(again, "mini").groupBy("key", "mark").agg(F.collect_set(F.struct(
         "first", "n", "mini", (F.col("places") > bucket_rows).alias("hot"))).alias("asked"))
 
-    def pack(frames):
-        for pdf in frames:
-            out = []
-            for k, mark, text, asked in zip(_numbers(pdf["key"]), pdf["mark"], pdf["text"], pdf["asked"]):
-                words = [w.decode("utf-8", "surrogatepass") for w in _words(text)]
-                for r in asked:
-                    out.append((r["mini"], r["hot"], k, mark, r["first"], " ".join(words[r["first"]:r["first"] + r["n"] + width - 1])))
-                if len(out) > 20_000:
-                    yield _packed(out)
-                    out = []
-            if out:
-                yield _packed(out)
-
-    schema = "mini bigint, hot boolean, key bigint, mark bigint, first int, packed string"
-    packed = rows.join(asked.select(F.col("key").alias("k2"), F.col("mark").alias("m2"), "asked"),
-                       rows["key"].eqNullSafe(F.col("k2")) & (rows["mark"] == F.col("m2"))) \
-        .select("key", "mark", "text", "asked").mapInPandas(pack, schema)
+    def packed(hot: bool) -> DataFrame:
+        """Super-k-mers as strings of words, of frequent minimisers or of all others."""
+        def pack(frames):
+            for pdf in frames:
+                out = []
+                for k, mark, text, asked in zip(_numbers(pdf["key"]), pdf["mark"], pdf["text"], pdf["asked"]):
+                    asked = [r for r in asked if r["hot"] == hot]
+                    if asked:
+                        words = [w.decode("utf-8", "surrogatepass") for w in _words(text)]
+                        out += [(r["mini"], k, mark, r["first"], " ".join(words[r["first"]:r["first"] + r["n"] + width - 1])) for r in asked]
+                    if len(out) > 20_000:
+                        yield _frame(out, ["mini", "key", "mark", "first", "packed"])
+                        out = []
+                if out:
+                    yield _frame(out, ["mini", "key", "mark", "first", "packed"])
+
+        return rows.join(asked.select(F.col("key").alias("k2"), F.col("mark").alias("m2"), "asked"),
+                         rows["key"].eqNullSafe(F.col("k2")) & (rows["mark"] == F.col("m2"))) \
+            .select("key", "mark", "text", "asked").mapInPandas(pack, "mini bigint, key bigint, mark int, first int, packed string")
 
     def sort_buckets(frames):
         """Input sorted by minimiser: one bucket after another, each of at most `bucket_rows` strings."""
@@ -128,14 +136,13 @@ def repeated_spans(rows: DataFrame, width: int, m: int, bucket_rows: int) -> Dat
                             marks.setdefault(i, []).append(int(bucket[i][3]) + j)
                 out += [(bucket[i][1], bucket[i][2], a, b) for i, w in marks.items() for a, b in _spans(sorted(w))]
             if len(out) > 50_000:
-                yield _spanned(out)
+                yield _frame(out, ["key", "mark", "first", "last"])
                 out = []
         if out:
-            yield _spanned(out)
+            yield _frame(out, ["key", "mark", "first", "last"])
 
-    span = "key bigint, mark bigint, first int, last int"
-    cold = packed.where("not hot").select("mini", "key", "mark", "first", "packed").repartition("mini") \
-        .sortWithinPartitions("mini").mapInPandas(sort_buckets, span)
+    cold = packed(False).repartition("mini").sortWithinPartitions("mini") \
+        .mapInPandas(sort_buckets, "key bigint, mark int, first int, last int")
 
     def explode(frames):
         for pdf in frames:
@@ -143,35 +150,31 @@ def repeated_spans(rows: DataFrame, width: int, m: int, bucket_rows: int) -> Dat
             for s in range(0, len(out), 20_000):
                 yield pd.DataFrame(out[s:s + 20_000], columns=["packed", "n", "j", "window"])
 
-    places = packed.where("hot")
+    places = packed(True)
     parts = places.groupBy("packed").agg(F.count("*").alias("n")).mapInPandas(explode, "packed string, n bigint, j int, window string")
     twice = parts.groupBy("window").agg(F.sum("n").alias("times")).where("times > 1").select("window")
     marked = parts.join(twice, "window").groupBy("packed").agg(F.collect_set("j").alias("marks"))
-    hot = places.join(marked, "packed").select("key", "mark", F.explode("marks").alias("j"), "first") \
-        .select("key", "mark", (F.col("first") + F.col("j")).alias("first"), (F.col("first") + F.col("j")).alias("last"))
+    edge = lambda step: F.sort_array(F.filter("marks", lambda j: ~F.array_contains("marks", j + step)))
+    runs = marked.select("packed", F.arrays_zip(edge(-1).alias("a"), edge(1).alias("b")).alias("runs"))
+    hot = places.join(runs, "packed").select("key", "mark", "first", F.explode("runs").alias("run")) \
+        .select("key", "mark", (F.col("first") + F.col("run.a")).alias("first"), (F.col("first") + F.col("run.b")).alias("last"))
     return cold.unionByName(hot).groupBy("key", "mark").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
-def _packed(rows: list) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["mini", "hot", "key", "mark", "first", "packed"])
-    out["key"] = out["key"].astype("Int64")
-    return out
-
-
-def _spanned(rows: list) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["key", "mark", "first", "last"])
+def _frame(rows: list, columns: list[str]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=columns)
     out["key"] = out["key"].astype("Int64")
     return out
 
 
-def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 35, m: int = 8,
+def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 35, m: int = 6,
                  bucket_rows: int = 1000) -> DataFrame:
     """Add `n_words`, `n_removed` and `kept` (the remaining words joined by one blank) to every row."""
     if not 0 < m <= width:
         raise ValueError("0 < m <= width is needed")
     named = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed", "kept")]
     rest = [c for c in named if c not in (key, text)]
-    every = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("mark"),
+    every = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.hash(F.col(f"`{text}`")).alias("mark"),
                         F.col(f"`{text}`").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else []))
     spans = repeated_spans(every.select("key", "mark", "text"), width, m, bucket_rows)
 
