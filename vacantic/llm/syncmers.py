@@ -64,11 +64,10 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def positional_matches(a: Column, b: Column) -> Column:
-    """Pairs (pos_a, pos_b) of equal anchors that occur once in each text."""
-    once = lambda x: F.filter(x, lambda e: F.size(F.filter(x, lambda o: o["hash"] == e["hash"])) == 1)
-    return let(once(b), lambda right: F.filter(F.transform(once(a), lambda e: F.struct(
-        e["pos"].alias("pos_a"), F.element_at(F.filter(right, lambda o: o["hash"] == e["hash"]), 1)["pos"].alias("pos_b"))),
-        lambda p: p["pos_b"].isNotNull()))
+    """Array of (pos_a, pos_b): where each anchor that two texts share first stands in either."""
+    def first(x: Column, h: Column) -> Column:
+        return F.get(x["pos"], F.array_position(x["hash"], h).cast("int") - 1)
+    return F.transform(F.array_intersect(a["hash"], b["hash"]), lambda h: F.struct(first(a, h).alias("pos_a"), first(b, h).alias("pos_b")))
 
 
 def ring(rows: DataFrame, key: str, parts: int | None = None) -> DataFrame:
