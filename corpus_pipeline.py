@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantic.llm import jaccard, langid, packing, pii, substrings
-from vacantic.llm.common import stored
+from vacantic.llm.common import free_name, stored
 
 PSEUDONYM_KEY = "sample key; give your own"
 ORACLE_SQL = None  # hyperdimensional profiles, pseudonyms and packing are beyond SQL: tests/llm/test_pipeline.py
@@ -42,7 +42,11 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with pseudonyms for personal numbers, dates and addresses."""
-    return pii.pseudonymise(docs, PSEUDONYM_KEY)
+    changed = free_name(docs, "_changed")
+    out = pii.pseudonymise(docs, PSEUDONYM_KEY, counter=changed)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col(changed) > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
+    return out.drop(changed)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
