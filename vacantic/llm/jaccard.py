@@ -34,7 +34,8 @@ from vacantic.llm.common import mix64, stored, word_hashes
 from vacantic.llm.components import components, in_blocks
 from vacantic.operators.scale import durable
 
-GROUPS = 64  # coordinates of a point
+GROUPS = 256  # coordinates of a point
+FULL = 255  # stands for this count and all larger ones
 LEAF = 32  # points of a leaf
 BLOCK = 512  # rows of an entry that meet in one task
 PORTION = 500  # sets that are compared with one asked set in one task
@@ -60,7 +61,15 @@ def set_key(s: np.ndarray) -> int:
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((mix64(s ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
+    """Number of n-grams per group, one byte each."""
+    counts = np.bincount((mix64(s ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
+    return np.minimum(counts, FULL).astype(np.uint8)
+
+
+def read_points(column, sizes: np.ndarray) -> np.ndarray:
+    """Points as a matrix; a count that is FULL or more is replaced by the size of the set, which is never less."""
+    points = np.frombuffer(b"".join(column), dtype=np.uint8).reshape(-1, GROUPS).astype(np.int32)
+    return np.where(points == FULL, np.asarray(sizes)[:, None], points)
 
 
 def least_overlap(a, b, percent: int):
@@ -134,19 +143,26 @@ def _listed(rows: DataFrame, n: int, percent: int) -> DataFrame:
     return rows.mapInPandas(run, "entry bigint, node bigint")
 
 
-def _sets(rows: DataFrame, n: int) -> DataFrame:
-    """(node, n, point, items) of texts; one row per node."""
+def _sets(rows: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
+    """(node, n, point, items) of the nodes in `chosen` (id, node); rows that repeat a text stand once per partition."""
     def run(frames):
+        seen = set()
         for pdf in frames:
-            for a in range(0, len(pdf), 500):
-                sets = [shingles(t, n) for t in pdf["text"].iloc[a:a + 500]]
-                yield pd.DataFrame({"node": [set_key(s) for s in sets], "n": [len(s) for s in sets],
-                                    "point": [point(s).astype("<i4").tobytes() for s in sets], "items": [s.tobytes() for s in sets]})
-    return rows.mapInPandas(run, "node bigint, n bigint, point binary, items binary")
-
+            out = []
+            for text, node in zip(pdf["text"], pdf["node"]):
+                s = shingles(text, n)
+                if node not in seen and set_key(s) == node:
+                    seen.add(node)
+                    out.append((node, len(s), point(s).tobytes(), s.tobytes()))
+                if len(out) == 500:
+                    yield pd.DataFrame(out, columns=["node", "n", "point", "items"])
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=["node", "n", "point", "items"])
 
-def _points(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype="<i4").reshape(-1, GROUPS)
+    wanted = chosen.select(F.col("id").alias("k"), "node")
+    texts = rows.join(wanted, rows["id"].eqNullSafe(wanted["k"]))
+    return texts.select("text", "node").mapInPandas(run, "node bigint, n bigint, point binary, items binary")
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -158,8 +174,9 @@ def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(frames):
         for pdf in frames:
             if len(pdf):
-                bound = np.minimum(_points(pdf["p_a"]), _points(pdf["p_b"])).sum(axis=1)
-                need = least_overlap(pdf["n_a"].to_numpy(), pdf["n_b"].to_numpy(), percent)
+                n_a, n_b = pdf["n_a"].to_numpy(), pdf["n_b"].to_numpy()
+                bound = np.minimum(read_points(pdf["p_a"], n_a), read_points(pdf["p_b"], n_b)).sum(axis=1)
+                need = least_overlap(n_a, n_b, percent)
                 yield pdf.loc[bound >= need, ["a", "b"]]
     return pairs.join(left, "a").join(right, "b").mapInPandas(run, "a bigint, b bigint")
 
@@ -242,7 +259,7 @@ def _open_pairs(listed: DataFrame, labels: DataFrame, tested: DataFrame, sets: D
         for (_, i, j), group in groupby(stream(), key=lambda r: r[:3]):
             cols = list(zip(*group))
             if len(set(cols[4])) > 1:
-                out += tree_candidates(np.array(cols[3]), np.array(cols[4]), np.array(cols[5]), _points(cols[6]), np.array(cols[7]), i, j,
+                out += tree_candidates(np.array(cols[3]), np.array(cols[4]), np.array(cols[5]), read_points(cols[6], np.array(cols[5])), np.array(cols[7]), i, j,
                                        [set() if x is None else set(x) for x in cols[8]], percent, all_pairs)
             if len(out) > 50_000:
                 yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
@@ -261,10 +278,9 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "
     w = Window.partitionBy("entry")
     listed = stored(_listed(rows, n, percent).withColumn("hub", F.min("node").over(w)).withColumn("_high", F.max("node").over(w))
                     .where("hub < _high").drop("_high").distinct())
-    # texts of the nodes that share an entry: one row stands for all equal sets
-    chosen = members.join(listed.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("id").alias("k"), F.lit(1).alias("_"))
-    sets = stored(_sets(rows.join(chosen.select("k").distinct(), rows["id"].eqNullSafe(F.col("k")), "left_semi"), n)
-                  .join(chosen.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    # texts of the nodes that share an entry: one id stands for all equal sets
+    chosen = members.join(listed.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
+    sets = stored(_sets(rows, chosen, n))
     tested = links = None
     labels = None
     for turn in range(rounds + 2):
