@@ -82,7 +82,9 @@ def union(pairs):
     return {x: find(x) for x in root}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("task_links", [500_000, 40])
+def test_components(spark, monkeypatch, task_links):
+    monkeypatch.setattr(components, "TASK_LINKS", task_links)
     rng = random.Random(1)
     pairs = [(i, i + 1) for i in range(300)] + [(rng.randint(1000, 1400), rng.randint(1000, 1400)) for _ in range(220)] + [(-5, x) for x in range(5000, 5200)] + [(7000, 7000)]
     rng.shuffle(pairs)
@@ -143,7 +145,7 @@ def test_entries_of_similar_sets_meet():
             both = len(np.intersect1d(a, b))
             if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
                 assert np.array_equal(a, b) or set(jaccard.entries(a, percent)) & set(jaccard.entries(b, percent))
-                assert np.minimum(jaccard.point(a), jaccard.point(b)).sum() >= both >= jaccard.least_overlap(len(a), len(b), percent)
+                assert np.minimum(*jaccard.read_points([jaccard.point(a).tobytes(), jaccard.point(b).tobytes()], [len(a), len(b)])).sum() >= both >= jaccard.least_overlap(len(a), len(b), percent)
 
 
 def test_tree_leaves_out_only_what_the_bound_excludes():
