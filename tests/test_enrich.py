@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from vacantic.operators import classify, places, terms
 from vacantic.plans.normalize import employment_type
-from vacantic.rules import load_rules, rule_set_from
+from vacantic.rules import RuleSet, load_rules, read_rule_files, rule_set_from
 
 
 def table(spark, rows, schema):
@@ -143,3 +143,15 @@ def test_rules_round_trip(spark):
     r = rule_set_from(rows)
     assert [x[0] for x in r.career_levels][:2] == ["internship", "co_op"] and len(r.benefits) == 12 and len(r.skills) == 48
     assert len(rows.where("family = 'platform'").collect()) > 20
+
+
+def test_rules_keep_order_and_case_through_any_shuffle(spark):
+    rows = load_rules(spark)
+    for seed in (1, 2):
+        assert rule_set_from(rows.orderBy(F.rand(seed)).repartition(11, "pattern")) == RuleSet()
+
+
+def test_rule_files():
+    r = read_rule_files("disciplines:\n  - {id: x, label: X Y, aliases: [b, a]}\ncareer_levels:\n  - {id: l, patterns: [p q]}\n", "skills:\n  C++: {aliases: [cpp]}\n  Go:\n")
+    assert r.disciplines == [("x", "X Y", ["b", "a"])] and r.career_levels == [("l", ["p q"])] and r.skills == [("C++", ["cpp"]), ("Go", [])]
+    assert read_rule_files("", "") == RuleSet()

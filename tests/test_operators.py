@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vacantic.operators import companies, contracts, dedupe, discovery, filters, health, lifecycle, search
-from vacantic.operators.scale import broadcast_if_small, group_rank
+from vacantic.operators.scale import group_rank
 from vacantic.plans import publish
 from vacantic.sources import crawl, seeds
 from vacantic.streaming import track
@@ -19,27 +19,20 @@ def at_now():
 
 
 # --- hot groups ------------------------------------------------------------------------------------------------
-@pytest.mark.parametrize("max_group", [None, 50])
-def test_group_rank_with_a_hot_key(spark, max_group):
+def test_group_rank_with_a_hot_key(spark):
     rnd = random.Random(3)
     rows = [("hot" if rnd.random() < 0.6 else f"k{rnd.randint(0, 20)}", rnd.randint(0, 30), i) for i in range(2000)] + [(None, 1, 9000), (None, 0, 9001)]
     df = spark.createDataFrame(rows, "k string, v int, i int").repartition(5)
-    got = {(r.k, r.i): r.n for r in group_rank(df, ["k"], [F.col("v").desc(), F.col("i")], "n", max_group, parts=8).collect()}
+    got = {(r.k, r.i): r.n for r in group_rank(df, ["k"], [F.col("v").desc(), F.col("i")], "n", parts=8).collect()}
     want = {}
     for key in {r[0] for r in rows}:
         for n, r in enumerate(sorted([x for x in rows if x[0] == key], key=lambda x: (-x[1], x[2])), 1):
             want[(key, r[2])] = n
     assert got == want
-    total = group_rank(df, [], [F.col("i")], "n", max_group, parts=8).orderBy("i").collect()
+    total = group_rank(df, [], [F.col("i")], "n", parts=8).orderBy("i").collect()
     assert [r.n for r in total] == list(range(1, len(rows) + 1))
 
 
-def test_broadcast_only_when_small(spark):
-    df = spark.range(100)
-    assert "broadcast" in broadcast_if_small(df, 1000)._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in broadcast_if_small(df, 10)._jdf.queryExecution().logical().toString().lower()
-
-
 def _greedy(sizes, max_rows, max_bytes):
     out, rows, used, chunk = [], 0, 0, 0
     for s in sizes:
@@ -55,7 +48,7 @@ def test_chunks_equal_a_greedy_walk(spark, segment):
     rnd = random.Random(5)
     rows = [("big" if i % 4 else "small", i, rnd.choice([10, 50, 200, 400, 1200])) for i in range(800)]
     df = spark.createDataFrame(rows, "b string, i int, s int")
-    out = publish.chunk_by_budget(df, ["b"], [F.col("i")], F.col("s"), 20, 1000, segment=segment, max_group=100 if segment else None, parts=8)
+    out = publish.chunk_by_budget(df, ["b"], [F.col("i")], F.col("s"), 20, 1000, segment=segment, parts=8)
     for key in ("big", "small"):
         got = [r.chunk for r in out.where(F.col("b") == key).orderBy("i").collect()]
         assert got == _greedy([r[2] for r in rows if r[0] == key], 20, 1000)
@@ -108,13 +101,12 @@ def _frames(spark, polls, seen):
             spark.createDataFrame(polls, "source_id string, poll_ts timestamp, outcome string"))
 
 
-@pytest.mark.parametrize("max_group", [None, 5])
-def test_lifecycle_equals_a_poll_by_poll_walk(spark, max_group):
+def test_lifecycle_equals_a_poll_by_poll_walk(spark):
     polls, seen = _history()
     state, events = _simulate(polls, seen)
     s, p = _frames(spark, polls, seen)
     got = {(r.source_id, r.posting_id): (r.miss_count, r.state, r.closed_at, r.reopened_at, r.times_reopened)
-           for r in lifecycle.lifecycle_table(s, p, max_group).collect()}
+           for r in lifecycle.lifecycle_table(s, p).collect()}
     assert got == {k: (r["misses"], r["state"], r["closed"], r["reopened"], r["times"]) for k, r in state.items()}
     moves = [tuple(r) for r in lifecycle.transitions(s, p).collect()]
     assert sorted(moves) == sorted(events)
@@ -200,13 +192,30 @@ def test_merge_and_dedupe(spark):
     rows = [("j1", "Acme", "Dev", ["Python"], 1, 5), ("j2", "ACME ", "dev", ["React", "Python"], 2, 9), ("j3", "Other", "Dev", [], 3, 3), ("j1", "Acme", "Dev", ["SQL"], 4, 4)]
     df = spark.createDataFrame([(a, b, c, d, T0 + dt.timedelta(hours=e), T0 + dt.timedelta(hours=f)) for a, b, c, d, e, f in rows],
                                "job_id string, company_name string, title string, skills array<string>, first_seen_at timestamp, last_seen_at timestamp")
-    out = {r.job_id: r for r in dedupe.dedupe(df, hash_fields={"company_name": "company_name", "title": "title"}).collect()}
+    out = {r.job_id: r for r in dedupe.dedupe(df, places=F.array().cast("array<string>"), hash_fields={"company_name": "company_name", "title": "title"}).collect()}
     assert set(out) == {"j1", "j3"}
     assert out["j1"].skills == ["Python", "React", "SQL"] and out["j1"].last_seen_at == T0 + dt.timedelta(hours=9) and out["j1"].first_seen_at == T0 + dt.timedelta(hours=1)
-    dup = {(r.stage, r.canonical_job_id, r.job_id) for r in dedupe.find_duplicates(df).collect()}
+    dup = {(r.stage, r.canonical_job_id, r.job_id) for r in dedupe.find_duplicates(df, place=F.lit("")).collect()}
     assert dup == {("job_id", "j1", "j1"), ("fingerprint", "j1", "j1"), ("fingerprint", "j1", "j2")}
 
 
+def test_identity_holds_places_and_all_fields(spark):
+    """One title in two places stays two postings; spelling of a place does not count; levels and skills merge by fingerprint."""
+    fields = "employment_type string, apply_url string, job_url string, source_job_id string, summary string"
+    rows = [("a", "Acme", "Dev", [("Berlin",)], "internship", ["x"], 1), ("b", "Acme", "Dev", [("Paris",)], "internship", ["x"], 2),
+            ("c", "ACME", "dev", [("Ｂerlin",)], "unknown", ["y"], 3), ("d", "Acme", "Dev", [("Paris",), ("Café &amp; Bar",)], "internship", [], 4),
+            ("e", "Acme", "Dev", [("café & bar",), ("paris",)], "internship", [], 5), ("f", "Acme", "Dev", [], "internship", [], 6)]
+    df = spark.createDataFrame([(*r[:4], r[4], r[5], ("data",), *["z"] * 5, T0 + dt.timedelta(hours=r[6]), T0 + dt.timedelta(hours=r[6])) for r in rows],
+                               "job_id string, company_name string, title string, locations array<struct<raw:string>>, career_level string, skills array<string>, "
+                               f"disciplines struct<primary:string>, {fields}, first_seen_at timestamp, last_seen_at timestamp")
+    out = {r.job_id: r.skills for r in dedupe.dedupe(df).collect()}
+    assert out == {"a": ["x", "y"], "b": ["x"], "d": [], "f": []}
+    dup = {(r.canonical_job_id, r.job_id) for r in dedupe.find_duplicates(df).collect()}
+    assert dup == {("a", "a"), ("a", "c"), ("b", "b"), ("b", "d")}  # the primary place is the first one
+    hashes = {r.job_id: r.content_hash for r in dedupe.with_content_hash(df).collect()}
+    assert len(set(hashes.values())) == 6
+
+
 # --- discovery ------------------------------------------------------------------------------------------------------------
 def _sources(spark):
     return discovery.promotable(discovery.validate_candidates(spark.createDataFrame([], "url string")), "seed", at_now())
@@ -320,3 +329,32 @@ def test_company_upsert_keeps_old_names(spark):
     out = {r.name: r for r in companies.resolve_company(raw, have, now).collect()}
     assert out["Acme Inc"].aliases == ["Acme", "Acme Inc"] and out["Acme Inc"].ats_sources == ["lever", "simplify"]
     assert out["New Co"].canonical_domain == "new-co.com" and len(out) == 2
+
+
+# --- split and late polls, health --------------------------------------------------------------------------------------------
+def _landing(spark, rows):
+    return spark.createDataFrame([("s", T0 + dt.timedelta(days=d), "ok", p, "h") for d, p in rows], track.LANDING)
+
+
+def test_a_poll_in_two_batches_and_a_late_poll(spark):
+    state = track.empty_state(spark)
+    for batch in ([(1, "a"), (2, "a")], [(1, "b"), (2, "c"), (4, "a")], [(4, "b"), (3, "z"), (2, "b")]):
+        state = {k: spark.createDataFrame(v.collect(), v.schema) for k, v in track.apply_batch(state, _landing(spark, batch)).items()}
+    got = {r.posting_id: (r.miss_count, r.first_seen_at, r.last_seen_at) for r in track.current_lifecycle(state).collect()}
+    at = lambda d: T0 + dt.timedelta(days=d)
+    assert got == {"a": (0, at(1), at(4)), "b": (0, at(1), at(4)), "c": (1, at(2), at(2))}
+    assert [(r.poll_ts, r.posting_id) for r in state["late_rows"].collect()] == [(at(3), "z")]  # never numbered, but kept
+
+
+def test_an_unhealthy_source_closes_nothing(spark):
+    days = [("s", T0 + dt.timedelta(days=d), "healthy" if d < 2 else h) for d, h in enumerate(["", "", "degraded", "failing", "unsupported", "blocked"])]
+    polls = spark.createDataFrame(days, "source_id string, poll_ts timestamp, health_status string")
+    seen = spark.createDataFrame([("s", "p", T0)], "source_id string, posting_id string, poll_ts timestamp")
+    assert [(r.miss_count, r.state) for r in lifecycle.miss_streak(seen, polls).collect()] == [(1, "open")]
+    assert [(r.miss_count, r.state) for r in lifecycle.miss_streak(seen, polls.drop("health_status")).collect()] == [(5, "closed")]
+    state = spark.createDataFrame([("s", "p", 3, "suspected_closed", None, None, T0)], "source_id string, posting_id string, miss_count long, state string, "
+                                  "closed_at timestamp, reopened_at timestamp, last_seen_at timestamp")
+    for health, want in (("degraded", (3, "suspected_closed")), ("healthy", (4, "closed"))):
+        polled = spark.createDataFrame([("s", health)], "source_id string, health_status string")
+        out = lifecycle.advance_lifecycle(state, seen.limit(0), polled, F.lit(T0)).first()
+        assert (out.miss_count, out.state) == want

@@ -427,11 +427,53 @@ def run_dedupe(spark, sf):
     return _times(df, "job_id", F.array_join("skills", ",").alias("skills"))
 
 
+def _full_posts(spark: SparkSession, sf: str) -> DataFrame:
+    """documents as whole postings: places, level, discipline and skills differ among equal titles."""
+    n = F.col("doc_id")
+    return t.documents(spark, sf).select(
+        F.sha2(n.cast("string"), 256).alias("job_id"), F.col("source").alias("company_name"), F.col("text").alias("title"),
+        F.array(F.struct(F.concat(F.lit(" CAFÉ &amp; "), "lang").alias("raw"), F.col("lang").alias("city"), F.lit("").alias("country_code")),
+                F.struct(F.when(n % 2 == 0, "Ｂerlin").otherwise("berlin").alias("raw"), F.lit("").alias("city"), F.lit("").alias("country_code")))
+        .alias("locations"),
+        F.when(n % 3 == 0, "internship").otherwise("unknown").alias("career_level"), F.lit("full_time").alias("employment_type"),
+        F.struct(F.when(n % 5 == 0, "data").otherwise("software").alias("primary")).alias("disciplines"),
+        F.array_sort(F.array("lang", "source")).alias("skills"), F.concat(F.lit("s"), (n % 2).cast("string")).alias("summary"),
+        F.lit("https://x.example/apply").alias("apply_url"), F.lit("https://x.example/job").alias("job_url"), n.cast("string").alias("source_job_id"),
+        F.timestamp_seconds(F.lit(1704067200) + (n * 7919) % 86400).alias("first_seen_at"),
+        F.timestamp_seconds(F.lit(1704070800) + (n * 7919) % 86400).alias("last_seen_at"))
+
+
+@query("dedupe_postings", f"""
+WITH {_DOCS}, g AS (SELECT source, canon, lang, count(*) AS copies, {_F.format('min(f)')} AS first_seen_at, {_F.format('max(f) + INTERVAL 1 HOUR')} AS last_seen_at FROM d GROUP BY ALL),
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, canon, lang ORDER BY f, job_id) AS n FROM d) WHERE n = 1)
+SELECT w.job_id, w.lang, g.first_seen_at, g.last_seen_at FROM w JOIN g USING (source, canon, lang)""")
+def dedupe_postings(spark, sf):
+    """All default keys: postings of one title in two places stay two; spelling of a place does not matter."""
+    return _times(dedupe.dedupe(_full_posts(spark, sf)), "job_id", F.col("locations")[0]["city"].alias("lang"))
+
+
+@query("posting_hash", f"""
+WITH {_DOCS} SELECT job_id, sha256(to_json({{'apply_url': 'https://x.example/apply', 'career_level': CASE WHEN doc_id % 3 = 0 THEN 'internship' ELSE 'unknown' END, 'company_name': source,
+  'employment_type': 'full_time', 'job_url': 'https://x.example/job', 'locations': 'café & ' || lang || '|berlin', 'primary_discipline': CASE WHEN doc_id % 5 = 0 THEN 'data' ELSE 'software' END,
+  'skills': least(lang, source) || ',' || greatest(lang, source), 'source_job_id': doc_id::VARCHAR, 'summary': 's' || (doc_id % 2), 'title': canon}})::VARCHAR) AS content_hash FROM d""")
+def posting_hash(spark, sf):
+    """The content hash of eleven fields."""
+    return dedupe.with_content_hash(_full_posts(spark, sf)).select("job_id", "content_hash")
+
+
+@query("find_duplicate_postings", f"""
+WITH {_DOCS}, g AS (SELECT source, canon, lang, min(job_id) AS canonical_job_id, count(*) AS copies FROM d GROUP BY ALL HAVING count(*) > 1)
+SELECT 'fingerprint' AS stage, canonical_job_id, job_id, copies FROM d JOIN g USING (source, canon, lang)""")
+def find_duplicate_postings(spark, sf):
+    """Company, title and primary place."""
+    return dedupe.find_duplicates(_full_posts(spark, sf))
+
+
 @query("find_duplicates", f"""
 WITH {_DOCS}, g AS (SELECT source, canon, min(job_id) AS canonical_job_id, count(*) AS copies FROM d GROUP BY source, canon HAVING count(*) > 1)
 SELECT 'fingerprint' AS stage, canonical_job_id, job_id, copies FROM d JOIN g USING (source, canon)""")
 def find_duplicates(spark, sf):
-    return dedupe.find_duplicates(_doc_posts(spark, sf))
+    return dedupe.find_duplicates(_doc_posts(spark, sf), place=F.lit(""))
 
 
 @query("find_duplicate_texts", f"""

@@ -276,15 +276,16 @@ def seeds_to_dims(spark, sf):
 
 
 @query("load_rules", """
-SELECT o_orderpriority AS label, count(*) AS orders FROM orders
-WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY o_orderpriority""")
+SELECT o_orderpriority AS label, CASE o_orderpriority WHEN '1-URGENT' THEN 'urgent' WHEN '5-LOW' THEN 'unknown' ELSE 'later' END AS level, count(*) AS orders
+FROM orders GROUP BY ALL""")
 def load_rules(spark, sf):
-    """Rules as rows, bound to the priorities that occur: a broadcast rule dimension joined to the table."""
-    bound = rules.RuleSet(career_levels=[("1-URGENT", ["1-URGENT"]), ("2-HIGH", ["2-HIGH"])])
-    dim = rules.load_rules(spark, bound).where(
-        (F.col("family") == "career_level") & (F.col("polarity") == "positive")).select("label", "pattern")
+    """Rules written out as rows, shuffled, read back and applied: every priority gets its level."""
+    stored = rules.RuleSet(career_levels=[("urgent", ["1-URGENT"]), ("later", ["4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH"])], senior_phrases=["5-LOW"])
+    back = rules.rule_set_from(rules.load_rules(spark, stored).repartition(7, "pattern"))
+    level = {p: k for k, phrases in back.career_levels for p in phrases} | dict.fromkeys(back.senior_phrases, "unknown")
     o = t.table(spark, sf, "orders")
-    return o.join(F.broadcast(dim), o.o_orderpriority == dim.pattern).groupBy("label").agg(F.count("*").alias("orders"))
+    return o.select(F.col("o_orderpriority").alias("label"), rules.lookup(level, F.col("o_orderpriority")).alias("level")) \
+        .groupBy("label", "level").agg(F.count("*").alias("orders"))
 
 
 @query("read_state", """

@@ -75,7 +75,7 @@ def diversify(spark, sf):
 @query("diversify_hot_groups", _DIVERSE + "SELECT job_id, company_id, company_rank::BIGINT AS company_rank FROM r")
 def diversify_hot_groups(spark, sf):
     """The same rank by the way that cuts hot companies into ranges."""
-    return search.diversify(t.postings(spark, sf), max_group=3, parts=16).select("job_id", "company_id", F.col("company_rank").cast("long").alias("company_rank"))
+    return search.diversify(t.postings(spark, sf), parts=16).select("job_id", "company_id", F.col("company_rank").cast("long").alias("company_rank"))
 
 
 @query("sort_postings", f"""
@@ -181,7 +181,7 @@ def chunk_by_budget(spark, sf):
 @query("chunk_by_budget_segments", _CHUNKS + "SELECT bucket, job_id, chunk::INT AS chunk FROM walk")
 def chunk_by_budget_segments(spark, sf):
     """The same files with buckets cut into small pieces, as a huge bucket is."""
-    return _chunked(spark, sf, segment=40, max_group=8, parts=16).select("bucket", "job_id", "chunk")
+    return _chunked(spark, sf, segment=40, parts=16).select("bucket", "job_id", "chunk")
 
 
 @query("write_shards", f"WITH {POSTINGS} SELECT {_BUCKET} AS bucket, count(*) AS job_count FROM post WHERE lifecycle = 'open' GROUP BY 1")

@@ -9,6 +9,7 @@ from vacantic.bindings import tables as t
 from vacantic.bindings.registry import GRID, LINKS, POLLS, POSTINGS, SOURCES, query
 from vacantic.functions import ids
 from vacantic.operators import companies, health, lifecycle, search
+from vacantic.operators.scale import durable
 from vacantic.plans.publish import scratch_folder
 from vacantic.streaming import track
 
@@ -52,6 +53,22 @@ def advance_lifecycle(spark, sf):
         "source_id", "posting_id", "miss_count", "state", stamp("reopened_at"), stamp("closed_at"), "times_reopened")
 
 
+def _gated(health: str) -> str:
+    return GRID.replace("AS d FROM events)", f"AS d FROM events WHERE {health} = 'healthy')", 1)
+
+
+_HEALTH = "CASE dayofmonth(ts) % 5 WHEN 2 THEN 'degraded' WHEN 4 THEN 'failing' ELSE 'healthy' END"
+
+
+@query("lifecycle_health", _LIFE.replace(GRID, _gated(_HEALTH)))
+def lifecycle_health(spark, sf):
+    """Polls of a source that is degraded or failing on that day move nothing towards closed."""
+    day = F.dayofmonth("poll_ts") % 5
+    polls = t.day_polls(spark, sf).withColumn("health_status", F.when(day == 2, "degraded").when(day == 4, "failing").otherwise("healthy"))
+    return lifecycle.lifecycle_table(t.sightings(spark, sf), polls).select(
+        "source_id", "posting_id", "miss_count", "state", stamp("reopened_at"), stamp("closed_at"), "times_reopened")
+
+
 @query("lifecycle_events", f"""
 WITH {GRID} SELECT source_id, posting_id, 'SUSPECTED_CLOSED' AS event, {_ts('d', 'at')} FROM st WHERE misses = 2
 UNION ALL SELECT source_id, posting_id, 'CLOSED', {_ts('d', 'at')} FROM st WHERE misses = 4
@@ -354,6 +371,43 @@ def track_stream(spark, sf):
         "source_id", "posting_id", "miss_count", "state", stamp("reopened_at"), "times_reopened")
 
 
+@query("track_split_polls", f"""
+WITH {GRID}, back AS (SELECT source_id, posting_id, max(d) AS reopened_at, count(*) AS times FROM st WHERE hit = 1 AND before >= 2 GROUP BY ALL),
+now AS (SELECT source_id, posting_id, arg_max(misses, d) AS miss_count, arg_max(state, d) AS state FROM st GROUP BY ALL)
+SELECT n.source_id, n.posting_id, n.miss_count, n.state, {_ts('b.reopened_at', 'reopened_at')}, coalesce(b.times, 0) AS times_reopened, 0 AS late
+FROM now n LEFT JOIN back b USING (source_id, posting_id)""")
+def track_split_polls(spark, sf):
+    """Every poll's rows come in two batches; the second ones find the numbers of their polls."""
+    rows = t.sightings(spark, sf).select("source_id", "poll_ts", F.lit("ok").alias("outcome"), "posting_id", F.sha2("posting_id", 256).alias("content_hash"))
+    state = track.empty_state(spark)
+    half = F.pmod(F.xxhash64("posting_id"), F.lit(2))
+    for low, high in (("2000-01-01", "2024-01-16"), ("2024-01-16", "2100-01-01")):
+        for part in (0, 1):
+            polls = rows.select("source_id", "poll_ts", "outcome").distinct().withColumns({"posting_id": F.lit(None).cast("string"), "content_hash": F.lit(None).cast("string")})
+            batch = rows.where(half == part).unionByName(polls).where((F.col("poll_ts") >= low) & (F.col("poll_ts") < high))
+            state = {k: durable(v) for k, v in track.apply_batch(state, batch).items()}
+    return track.current_lifecycle(state).select("source_id", "posting_id", "miss_count", "state", stamp("reopened_at"), "times_reopened") \
+        .withColumn("late", F.lit(state["late_rows"].count()))
+
+
+@query("run_events", _UPSERT + """, s AS (SELECT o_orderkey, job_id, title, h, o_orderstatus FROM old), n AS (SELECT job_id, h2 FROM new)
+SELECT n.job_id, 'OPENED' AS event_type, '' AS previous_hash, h2 AS new_hash FROM n LEFT JOIN s USING (job_id) WHERE s.job_id IS NULL
+UNION ALL SELECT job_id, 'UPDATED', h, h2 FROM n JOIN s USING (job_id) WHERE h <> h2
+UNION ALL SELECT job_id, 'CLOSED', h, h FROM s LEFT JOIN n USING (job_id) WHERE n.job_id IS NULL AND o_orderkey % 2 = 0
+UNION ALL SELECT job_id, 'REOPENED', h, h2 FROM n JOIN s USING (job_id) WHERE o_orderkey % 3 = 0""")
+def run_events(spark, sf):
+    """State before a run (a third of the kept rows closed) against the state after it: all four kinds of events."""
+    old, new = _versions(spark, sf)
+    number = t.table(spark, sf, "orders").select(F.sha2(F.concat(F.lit("orders:tpch:"), F.col("o_orderkey").cast("string")), 256).alias("job_id"), "o_orderkey")
+    cols = ["job_id", "content_hash", "first_seen_at", "lifecycle", F.lit(None).cast("timestamp").alias("closed_at"), F.lit(None).cast("timestamp").alias("reopened_at")]
+    gone = old.join(new, "job_id", "left_anti").join(number, "job_id")
+    kept = old.join(new.select("job_id"), "job_id").join(number, "job_id").withColumn("lifecycle", F.when(F.col("o_orderkey") % 3 == 0, "closed").otherwise("open"))
+    before = kept.select(*cols).unionByName(gone.withColumn("lifecycle", F.lit("open")).select(*cols))
+    after = new.withColumn("lifecycle", F.lit("open")).select(*cols).unionByName(
+        gone.withColumn("lifecycle", F.when(F.col("o_orderkey") % 2 == 0, "closed").otherwise("suspected_closed")).select(*cols))
+    return lifecycle.run_events(before, after, t.ts(t.AS_OF)).select("job_id", "event_type", F.coalesce("previous_hash", F.lit("")).alias("previous_hash"), "new_hash")
+
+
 @query("lifecycle_stream", f"""
 WITH {GRID} SELECT source_id, posting_id, 'suspected_closed' AS state, {_ts('d', 'at')} FROM st WHERE misses = 2
 UNION ALL SELECT source_id, posting_id, 'closed', {_ts('d', 'at')} FROM st WHERE misses = 4

@@ -95,6 +95,11 @@ def _canonical_udf(values: pd.Series) -> pd.Series:
     return values.map(lambda v: _one_line(_plain(v).casefold()), na_action="ignore")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _canonical_list_udf(values: pd.Series) -> pd.Series:
+    return values.map(lambda row: [_one_line(_plain(v).casefold()) for v in row], na_action="ignore")
+
+
 # --- rows that stay in the JVM ----------------------------------------------------------------
 # simple text: printable ASCII, tab and line ends; anything else (control characters included) goes to Python
 _NOT_SIMPLE = r"[^\t\n\r\x20-\x7e]"
@@ -166,6 +171,13 @@ def html_list_to_text(texts: Column) -> Column:
     return F.when(simple, F.transform(texts, _jvm_plain)).otherwise(_plain_list_udf(F.when(~simple, texts)))
 
 
+def canonical_text_list(texts: Column) -> Column:
+    """C3 for an array of short strings."""
+    texts = F.transform(texts, lambda t: F.coalesce(t, F.lit("")))
+    simple = F.forall(texts, _ascii_without_entities)
+    return F.when(simple, F.transform(texts, _jvm_canonical)).otherwise(_canonical_list_udf(F.when(~simple, texts)))
+
+
 def truncate_summary(text: Column, limit: int = SUMMARY_MAX_CHARS) -> Column:
     """C4: at most `limit` characters, cut at the last space, with an ellipsis."""
     t = F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), r"(?U)\s+$", "")

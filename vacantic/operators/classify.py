@@ -183,11 +183,6 @@ def skills(text: Column, rules: RuleSet | None = None, marked: Column | None = N
 
 
 # --- whole-table jobs -----------------------------------------------------------------------------------
-def with_canonical(df: DataFrame, **columns: str) -> DataFrame:
-    """Add canonical text columns, `name=source`; one Arrow pass covers them all."""
-    return df.select("*", *[canonical_text(F.col(src)).alias(name) for name, src in columns.items()])
-
-
 def enrich_level(df: DataFrame, title: str, body: str | None = None, hints: Column | None = None,
                  rules: RuleSet | None = None) -> DataFrame:
     """J1 as a job: adds `career_level` and `career_level_confidence`."""

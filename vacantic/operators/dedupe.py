@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacantic.functions.text import canonical_text
+from vacantic.functions.text import canonical_text, canonical_text_list
 from vacantic.operators.scale import durable
 
 
@@ -24,16 +24,29 @@ def fingerprint(canon_company: Column, canon_title: Column, canon_places: Column
     return _digest(canon_company, canon_title, F.array_join(places, "|"))
 
 
-def with_fingerprint(df: DataFrame, company: str, title: str, places: str | None = None,
-                     name: str = "fingerprint") -> DataFrame:
-    """I2 as a job; places are an array of strings."""
-    canon_places = F.transform(F.col(places), _lower_line) if places else F.array().cast("array<string>")
-    base = df.select("*", canonical_text(F.col(company)).alias("_c"), canonical_text(F.col(title)).alias("_t"))
-    return base.withColumn(name, fingerprint(F.col("_c"), F.col("_t"), canon_places)).drop("_c", "_t")
+def place_names(df: DataFrame, places: str) -> Column:
+    """Array of place texts: the column itself, or the raw text of each place struct."""
+    struct = "struct" in dict(df.dtypes)[places]
+    texts = F.transform(F.col(places), lambda p: F.coalesce(p["raw"] if struct else p, F.lit("")))
+    return F.coalesce(texts, F.array().cast("array<string>"))
+
+
+def primary_place(df: DataFrame, places: str = "locations") -> Column:
+    """The first place: its raw text, else its city, else its country code; empty without places."""
+    first = F.get(places, 0)
+    if "struct" not in dict(df.dtypes)[places]:
+        return F.coalesce(first, F.lit(""))
+    options = [F.when(first[c] != "", first[c]) for c in ("raw", "city", "country_code") if f"{c}:" in dict(df.dtypes)[places]]
+    return F.coalesce(*options, F.lit(""))
 
 
-def _lower_line(text: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
+def with_fingerprint(df: DataFrame, company: str = "company_name", title: str = "title", places: str | Column = "locations",
+                     name: str = "fingerprint") -> DataFrame:
+    """I2 as a job; `places` is a column of strings or of place structs, or an array of texts."""
+    texts = place_names(df, places) if isinstance(places, str) else places
+    base = df.select("*", canonical_text(F.col(company)).alias("_c"), canonical_text(F.col(title)).alias("_t"),
+                     canonical_text_list(texts).alias("_p"))
+    return base.withColumn(name, fingerprint(F.col("_c"), F.col("_t"), F.col("_p"))).drop("_c", "_t", "_p")
 
 
 # fixed values: fields of the two content hashes, in key order
@@ -43,17 +56,24 @@ POSTING_HASH_FIELDS = ["apply_url", "career_level", "company_name", "employment_
                        "primary_discipline", "skills", "source_job_id", "summary", "title"]
 
 
+def posting_fields(df: DataFrame) -> dict[str, Column]:
+    """The fields of a posting's content hash, by name."""
+    special = {"locations": lambda: F.array_join(place_names(df, "locations"), "|"), "primary_discipline": lambda: F.col("disciplines.primary"),
+               "skills": lambda: F.array_join("skills", ",")}
+    return {k: special[k]() if k in special else F.col(k) for k in POSTING_HASH_FIELDS}
+
+
 def content_hash(fields: dict[str, Column]) -> Column:
     """sha256 of compact JSON with sorted keys over canonical text fields."""
     cells = [F.coalesce(fields[k], F.lit("")).alias(k) for k in sorted(fields)]
     return F.sha2(F.to_json(F.struct(*cells)), 256)
 
 
-def with_content_hash(df: DataFrame, fields: dict[str, str], name: str = "content_hash") -> DataFrame:
-    """I3 as a job: `fields` maps hash field -> column; every value is made canonical in one pass."""
-    keys = sorted(fields)
-    base = df.select("*", *[canonical_text(F.col(fields[k]).cast("string")).alias(f"_h_{k}") for k in keys])
-    return base.withColumn(name, content_hash({k: F.col(f"_h_{k}") for k in keys})).drop(*[f"_h_{k}" for k in keys])
+def with_content_hash(df: DataFrame, fields: dict[str, str | Column] | None = None, name: str = "content_hash") -> DataFrame:
+    """I3 as a job: `fields` maps hash field -> column, by default the eleven of a posting; values are made canonical in one pass."""
+    chosen = {k: F.col(c) if isinstance(c, str) else c for k, c in (fields or posting_fields(df)).items()}
+    base = df.select("*", *[canonical_text(c.cast("string")).alias(f"_h_{k}") for k, c in chosen.items()])
+    return base.withColumn(name, content_hash({k: F.col(f"_h_{k}") for k in chosen})).drop(*[f"_h_{k}" for k in chosen])
 
 
 def group_by_id(df: DataFrame, key: str = "job_id") -> DataFrame:
@@ -80,7 +100,7 @@ def merge_group(df: DataFrame, keys: list[str], salts: int = SALTS) -> DataFrame
     """
     others = [c for c in df.columns if c not in ("skills", "first_seen_at", "last_seen_at")]
     group = [f"_k_{k}" for k in keys]
-    names = F.array_sort(F.array_distinct(F.flatten(F.collect_set("skills")))).alias("skills")
+    names = F.array_sort(F.array_distinct(F.flatten(F.collect_set("skills")))).alias("skills")  # at most one list per distinct set
     order = F.struct("first_seen_at", "job_id")
     salted = df.withColumns({**{f"_k_{k}": F.col(k) for k in keys},
                              "_salt": F.pmod(F.xxhash64("job_id", "first_seen_at", "last_seen_at"), F.lit(salts))})
@@ -93,19 +113,18 @@ def merge_group(df: DataFrame, keys: list[str], salts: int = SALTS) -> DataFrame
     return out.select(*[F.col(f"_r.{c}").alias(c) for c in others], "skills", "first_seen_at", "last_seen_at", "merged_rows")
 
 
-def dedupe(df: DataFrame, company: str = "company_name", title: str = "title", places: str | None = None,
-           hash_fields: dict[str, str] | None = None) -> DataFrame:
+def dedupe(df: DataFrame, company: str = "company_name", title: str = "title", places: str = "locations",
+           hash_fields: dict[str, str | Column] | None = None) -> DataFrame:
     """Merge by id, then by fingerprint, then by content hash.
 
-    Both keys are computed once, right after the first merge, and only ids, keys,
-    times and skills go through the later merges; the wide rows join back at the
-    end by their unique id.
+    By default the fingerprint holds company, title and all places, the content hash the eleven fields of a posting;
+    narrower keys have to be asked for.  Both keys are computed once, right after the first merge, and only ids, keys,
+    times and skills go through the later merges; the wide rows join back at the end by their unique id.
     """
-    fields = hash_fields or {"company_name": company, "title": title, "summary": "summary", "job_url": "job_url",
-                             "apply_url": "apply_url", "source_job_id": "source_job_id"}
+    fields = hash_fields or posting_fields(df)
     one = merge_group(df, ["job_id"]).drop("merged_rows")
     # skills change while rows merge, so they take part in the content key as they are by then
-    stable = {k: c for k, c in fields.items() if c != "skills"}
+    stable = {k: c for k, c in fields.items() if k != "skills" and not (isinstance(c, str) and c == "skills")}
     keyed = durable(with_content_hash(with_fingerprint(one, company, title, places), stable, "_content"))
     slim = keyed.select("job_id", "fingerprint", "_content", "first_seen_at", "last_seen_at", "skills")
     two = merge_group(slim, ["fingerprint"]).drop("merged_rows")
@@ -116,17 +135,18 @@ def dedupe(df: DataFrame, company: str = "company_name", title: str = "title", p
 
 
 def find_duplicates(df: DataFrame, company: str = "company_name", title: str = "title",
-                    place: str | None = None) -> DataFrame:
+                    place: str | Column | None = None) -> DataFrame:
     """Rows (stage, canonical_job_id, job_id, copies), one per member of a group of two or more.
 
-    Linear: each stage is one aggregation and one join on the group key.  The
+    Rows with one company, title and primary place are duplicates; `place` names another column or expression.
+    Linear: each stage is one aggregation and one join on the group key, which carries ids and hashes only.  The
     canonical id is the smallest of the group.
     """
     by_id = df.groupBy("job_id").agg(F.count("*").alias("copies")).where(F.col("copies") > 1) \
         .select(F.lit("job_id").alias("stage"), F.col("job_id").alias("canonical_job_id"), "job_id", "copies")
-    base = df.withColumn("_p", F.array(F.col(place))) if place else df.withColumn("_p", F.array().cast("array<string>"))
+    where = primary_place(df) if place is None else F.col(place) if isinstance(place, str) else place
     # ids and hashes only: written once, read by both the grouping and the join
-    marked = durable(with_fingerprint(base, company, title, "_p").select("job_id", "fingerprint").distinct())
+    marked = durable(with_fingerprint(df, company, title, F.array(where)).select("job_id", "fingerprint").distinct())
     groups = marked.groupBy("fingerprint").agg(F.min("job_id").alias("canonical_job_id"),
                                                F.count("*").alias("copies")).where(F.col("copies") > 1)
     members = marked.join(groups, "fingerprint").select(

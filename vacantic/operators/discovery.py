@@ -218,19 +218,9 @@ def latest_n_by_url(current: DataFrame, rejected: DataFrame, n: int = MAX_QUARAN
     return quarantine(current, rejected).orderBy(F.col("quarantined_at").desc(), F.col("url")).limit(n)
 
 
-def due_for_retry(entries: DataFrame, as_of: Column, hours: int = 48) -> DataFrame:
-    """Entries old enough to be tried again."""
-    age = (F.unix_micros(as_of) - F.unix_micros("quarantined_at")) / F.lit(3_600_000_000.0)
-    return entries.where(age >= hours)
-
-
 def discovery_counts(validated: DataFrame, sources: DataFrame) -> DataFrame:
     """candidates by outcome: already tracked, promoted, quarantined."""
     known = sources.select("source_id").distinct().withColumn("_known", F.lit(True))
     out = validated.join(known, "source_id", "left")
     outcome = F.when(F.col("_known"), "already_tracked").when(F.col("accepted"), "promoted").otherwise("quarantined")
     return out.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("candidates"))
-
-
-def candidate_domain(url: Column) -> Column:
-    return domain(url)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacantic.operators.scale import broadcast_if_small, side_by_side
+from vacantic.operators.scale import side_by_side
 from vacantic.rules import (ADAPTER_CRITICAL_RATE, ADAPTER_FAILURE_THRESHOLD, ADAPTER_MIN_SAMPLES,
                             DEFAULT_TIER_MINUTES, MAX_SOURCES_PER_RUN, POLL_TIER_MINUTES)
 
@@ -25,7 +25,7 @@ def failure_streak(polls: DataFrame) -> DataFrame:
     """Failed polls since the last success, per source."""
     at = F.struct("poll_ts", "poll_id")
     good = polls.groupBy("source_id").agg(F.max(F.when(F.col("outcome").isin("ok", "not_modified"), at)).alias("_ok"))
-    after = polls.join(broadcast_if_small(good), "source_id") \
+    after = polls.join(good, "source_id") \
         .withColumn("_after", F.col("_ok").isNull() | (at > F.col("_ok")))
     return after.groupBy("source_id").agg(
         F.count_if(F.col("_after") & (F.col("outcome") == "error")).alias("consecutive_failures"),
@@ -86,7 +86,7 @@ def health_regressions(polls: DataFrame, threshold: float = ADAPTER_FAILURE_THRE
 
 def apply_adapter_health(sources: DataFrame, regressions: DataFrame) -> DataFrame:
     """Sources of regressed adapters become degraded."""
-    bad = broadcast_if_small(regressions.select("adapter").distinct().withColumn("_bad", F.lit(True)))
+    bad = regressions.select("adapter").distinct().withColumn("_bad", F.lit(True))
     return sources.join(bad, "adapter", "left").withColumn(
         "health_status", F.when(F.col("_bad"), "degraded").otherwise(F.col("health_status"))).drop("_bad")
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacantic.operators.scale import broadcast_if_small, durable, group_rank
+from vacantic.operators.scale import durable, group_rank
 from vacantic.rules import CLOSE_STATUS_CODES, MISSES_CLOSED, MISSES_SUSPECTED
 
 SRC, POST, POLL = "source_id", "posting_id", "poll_ts"
@@ -23,13 +23,25 @@ def lifecycle_state(misses: Column, suspected: int = MISSES_SUSPECTED, closed: i
     return F.when(misses >= closed, "closed").when(misses >= suspected, "suspected_closed").otherwise("open")
 
 
-def number_polls(polls: DataFrame, max_group: int | None = None) -> DataFrame:
+def telling(polls: DataFrame) -> DataFrame:
+    """K2: the polls whose silence about a posting counts: answered with a body, source healthy (null: not judged)."""
+    good = polls.where(F.col("outcome") == "ok") if "outcome" in polls.columns else polls
+    if "health_status" in polls.columns:
+        good = good.where(F.coalesce("health_status", F.lit("healthy")) == "healthy")
+    return good
+
+
+def number_polls(polls: DataFrame) -> DataFrame:
     """Successful polls with a body, numbered from 1 within their source.
 
-    Errors, unsupported and not-modified polls say nothing about absence and get no number.
+    Errors, unsupported and not-modified polls say nothing about absence and get no number; nor do polls of a source
+    that was not healthy then (column `health_status`, where there is one).  `source_polls` is the number of the
+    source's last poll; it stands on the polls, so that sightings get it with their number, on (source, poll).
     """
-    good = polls.where(F.col("outcome") == "ok") if "outcome" in polls.columns else polls
-    return group_rank(good.select(SRC, POLL).distinct(), [SRC], [F.col(POLL)], "poll_no", max_group)
+    good = telling(polls)
+    numbered = group_rank(good.select(SRC, POLL).distinct(), [SRC], [F.col(POLL)], "poll_no")
+    last = numbered.groupBy(SRC).agg(F.max("poll_no").alias("source_polls"))
+    return numbered.join(last, SRC)
 
 
 def number_sightings(sightings: DataFrame, numbered: DataFrame) -> DataFrame:
@@ -38,32 +50,30 @@ def number_sightings(sightings: DataFrame, numbered: DataFrame) -> DataFrame:
     return seen.join(numbered, [SRC, POLL])
 
 
-def miss_streak(sightings: DataFrame, polls: DataFrame, max_group: int | None = None) -> DataFrame:
+def miss_streak(sightings: DataFrame, polls: DataFrame) -> DataFrame:
     """G7 + K2: current miss count and state per posting; two aggregations and one join."""
-    numbered = durable(number_polls(polls, max_group))
-    last = numbered.groupBy(SRC).agg(F.max("poll_no").alias("source_polls"))
+    numbered = durable(number_polls(polls))
     seen = number_sightings(sightings, numbered).groupBy(SRC, POST).agg(
-        F.min(POLL).alias("first_seen_at"), F.max(POLL).alias("last_seen_at"),
+        F.max("source_polls").alias("source_polls"), F.min(POLL).alias("first_seen_at"), F.max(POLL).alias("last_seen_at"),
         F.max("poll_no").alias("last_no"), F.count("*").alias("times_seen"))
-    out = seen.join(last, SRC).withColumn("miss_count", (F.col("source_polls") - F.col("last_no")).cast("long"))
+    out = seen.withColumn("miss_count", (F.col("source_polls") - F.col("last_no")).cast("long"))
     return out.select(SRC, POST, "first_seen_at", "last_seen_at", "times_seen", "miss_count",
                       lifecycle_state(F.col("miss_count")).alias("state"))
 
 
 def _gaps(sightings: DataFrame, numbered: DataFrame) -> DataFrame:
     """Per sighting: how many polls until the posting is seen again, or until now."""
-    last = numbered.groupBy(SRC).agg(F.max("poll_no").alias("source_polls"))
     w = Window.partitionBy(SRC, POST).orderBy("poll_no")
     seen = number_sightings(sightings, numbered)
     with_next = seen.withColumn("next_no", F.lead("poll_no").over(w)).withColumn("next_ts", F.lead(POLL).over(w))
-    return with_next.join(last, SRC).withColumn(
+    return with_next.withColumn(
         "gap", F.coalesce(F.col("next_no") - F.col("poll_no") - 1, F.col("source_polls") - F.col("poll_no")))
 
 
 def transitions(sightings: DataFrame, polls: DataFrame, suspected: int = MISSES_SUSPECTED,
-                closed: int = MISSES_CLOSED, max_group: int | None = None) -> DataFrame:
+                closed: int = MISSES_CLOSED) -> DataFrame:
     """K2, K3: every state change as a row (source, posting, event, at)."""
-    numbered = durable(number_polls(polls, max_group))
+    numbered = durable(number_polls(polls))
     gaps = _gaps(sightings, numbered).where(F.col("gap") >= suspected)
     events = F.filter(F.array(
         F.struct(F.lit("SUSPECTED_CLOSED").alias("event"), (F.col("poll_no") + suspected).alias("at_no")),
@@ -75,7 +85,7 @@ def transitions(sightings: DataFrame, polls: DataFrame, suspected: int = MISSES_
     return rows.join(when, [SRC, "at_no"]).select(SRC, POST, "event", "at")
 
 
-def lifecycle_table(sightings: DataFrame, polls: DataFrame, max_group: int | None = None,
+def lifecycle_table(sightings: DataFrame, polls: DataFrame,
                     suspected: int = MISSES_SUSPECTED, closed: int = MISSES_CLOSED) -> DataFrame:
     """K2, K3: state, miss count, closed_at and reopened_at per posting.
 
@@ -83,7 +93,7 @@ def lifecycle_table(sightings: DataFrame, polls: DataFrame, max_group: int | Non
     open.  One pass over the numbered sightings gives everything but the time of
     closing, which is the poll `closed` numbers after the last sighting.
     """
-    numbered = durable(number_polls(polls, max_group))
+    numbered = durable(number_polls(polls))
     back = (F.col("gap") >= suspected) & F.col("next_no").isNotNull()
     per_posting = _gaps(sightings, numbered).groupBy(SRC, POST).agg(
         F.min(POLL).alias("first_seen_at"), F.max(POLL).alias("last_seen_at"),
@@ -113,10 +123,11 @@ def lifecycle_totals(sightings: DataFrame, polls: DataFrame) -> DataFrame:
 def join_misses(state: DataFrame, seen: DataFrame, polled: DataFrame) -> DataFrame:
     """State rows of sources polled in this run get their new miss count; others stay as they are.
 
-    `seen(source_id, posting_id)`, `polled(source_id)`: sources that answered with a body.
+    `seen(source_id, posting_id)`, `polled(source_id)`: sources that answered with a body; with a column
+    `health_status` in it, those that are not healthy count as not polled.
     """
     hit = seen.select(SRC, POST).distinct().withColumn("_seen", F.lit(True))
-    answered = broadcast_if_small(polled.select(SRC).distinct().withColumn("_polled", F.lit(True)))
+    answered = telling(polled).select(SRC).distinct().withColumn("_polled", F.lit(True))
     out = state.join(hit, [SRC, POST], "left").join(answered, SRC, "left")
     count = F.when(F.col("_polled").isNull(), F.col("miss_count")).when(F.col("_seen"), F.lit(0)) \
         .otherwise(F.coalesce("miss_count", F.lit(0)) + 1)
@@ -226,3 +237,27 @@ def change_events(state: DataFrame, snapshot: DataFrame, now: Column, key: str =
         F.when(F.col("change") == "inserted", "OPENED").otherwise("UPDATED").alias("event_type"), key,
         F.when(F.col("change") == "inserted", F.col("first_seen_at")).otherwise(now).alias("timestamp"),
         "changed_fields", "previous_hash", F.col("content_hash").alias("new_hash"))
+
+
+def run_events(before: DataFrame, after: DataFrame, now: Column, key: str = "job_id") -> DataFrame:
+    """K5: OPENED, UPDATED, CLOSED and REOPENED of one run in one schema, from the state before and after it.
+
+    Both states hold key, lifecycle, content_hash, first_seen_at, closed_at and reopened_at; `changed_fields` of the
+    later one, where it has it, says what an update changed.
+    """
+    changed = F.col("n.changed_fields") if "changed_fields" in after.columns else F.array().cast("array<string>")
+    b, n = before.alias("b"), after.alias("n")
+    fresh, old_hash, new_hash = F.col(f"b.{key}").isNull(), F.col("b.content_hash"), F.col("n.content_hash")
+    none = F.array().cast("array<string>")
+
+    def event(test: Column, name: str, at: Column, fields: Column = none) -> Column:
+        return F.when(test, F.struct(F.lit(name).alias("event_type"), at.cast("timestamp").alias("timestamp"), fields.alias("changed_fields"),
+                                     F.when(~fresh, old_hash).alias("previous_hash"), new_hash.alias("new_hash")))
+
+    down = F.coalesce(F.col("b.lifecycle").isin("suspected_closed", "closed"), F.lit(False))
+    moved = ~fresh & ((F.size(changed) > 0) | ~old_hash.eqNullSafe(new_hash))
+    events = F.filter(F.array(
+        event(fresh, "OPENED", F.col("n.first_seen_at")), event(moved, "UPDATED", now, changed),
+        event((F.col("n.lifecycle") == "closed") & ~F.coalesce(F.col("b.lifecycle") == "closed", F.lit(False)), "CLOSED", F.col("n.closed_at")),
+        event((F.col("n.lifecycle") == "open") & down, "REOPENED", F.coalesce("n.reopened_at", now))), lambda e: e.isNotNull())
+    return n.join(b, F.col(f"b.{key}") == F.col(f"n.{key}"), "left").select(F.col(f"n.{key}").alias(key), F.inline(events))

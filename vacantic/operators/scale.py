@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import math
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# a group up to this many rows is ranked by one task's window; larger ones are cut into ranges
-MAX_GROUP_ROWS = 2_000_000
-BROADCAST_ROWS = 100_000
-
 
 def checkpoint_dir(spark) -> str:
-    """The folder the session names; a private one only where none is set and Spark runs locally."""
+    """The folder the session names; only where none is set and Spark runs locally, a private one that goes with the process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,6 +19,7 @@ def checkpoint_dir(spark) -> str:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="vacantic-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
@@ -41,12 +39,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after a bounded count proves the side is small; else leave it to the planner."""
-    few = df.limit(limit + 1).count() <= limit
-    return F.broadcast(df) if few else df
-
-
 def side_by_side(*frames: DataFrame) -> DataFrame:
     """One-row summaries as one row (equality join on a constant; every input is a global aggregate)."""
     out = frames[0].withColumn("_one", F.lit(1))
@@ -55,29 +47,17 @@ def side_by_side(*frames: DataFrame) -> DataFrame:
     return out.drop("_one")
 
 
-def group_rank(df: DataFrame, keys: list[str], order: list[Column], name: str,
-               max_group: int | None = None, parts: int | None = None) -> DataFrame:
-    """Exact row_number per key, also when one key holds most of the rows.
+def group_rank(df: DataFrame, keys: list[str], order: list[Column], name: str, parts: int | None = None) -> DataFrame:
+    """Exact row_number per key (or over all rows, without keys), also when one key holds most of the rows.
 
-    Group sizes are counted first (map-side combined).  If every group fits one
-    task, a plain window does it.  Otherwise the table is range-partitioned by
-    (keys, order), which spreads a hot key over many partitions; the ranges are
-    written out once, numbered locally, and shifted by the summed sizes of the
-    key's earlier ranges.  `order` must end in a unique column.
+    The table is range-partitioned by (keys, order), which spreads a hot key over many partitions; the ranges are
+    written out once, numbered locally, and shifted by the summed sizes of the key's earlier ranges.  `order` must
+    end in a unique column.  Give it slim rows and join the number back to wide ones.
     """
-    max_group = max_group or MAX_GROUP_ROWS
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("top"), F.sum("n").alias("all"))
-    top, total = sizes.first()
-    if (top or 0) <= max_group:
-        w = Window.partitionBy(*keys).orderBy(*order) if keys else Window.partitionBy(F.lit(1)).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(w))
-    shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = parts or max(shuffles, 2 * math.ceil(total / max_group))
-    ranged = df.repartitionByRange(parts, *[F.col(k) for k in keys], *order)
-    cut = durable(ranged.withColumn("_range", F.spark_partition_id()))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    if not keys:
-        before = Window.partitionBy(F.lit(1)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = durable(df.repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # at most one row per key and range
     offsets = cut.groupBy(*keys, "_range").agg(F.count("*").alias("_n")) \
         .withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     local = Window.partitionBy(*keys, "_range").orderBy(*order)
@@ -86,5 +66,4 @@ def group_rank(df: DataFrame, keys: list[str], order: list[Column], name: str,
     for k in keys:
         on = on & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
     joined = left.join(right, on).select("l.*", F.col("r._shift").alias("_shift"))
-    return joined.withColumn(name, (F.row_number().over(local) + F.col("_shift")).cast("int")) \
-        .drop("_range", "_shift")
+    return joined.withColumn(name, (F.row_number().over(local) + F.col("_shift")).cast("int")).drop("_range", "_shift")

@@ -131,13 +131,14 @@ def join_index(postings: DataFrame, index: DataFrame) -> DataFrame:
 
 
 # --- order and pages ----------------------------------------------------------------------------------
-def diversify(postings: DataFrame, max_group: int | None = None, parts: int | None = None) -> DataFrame:
+def diversify(postings: DataFrame, parts: int | None = None) -> DataFrame:
     """Adds `company_rank` and `company_top`: the n-th newest posting of every company before any n+1-th."""
     posted = posted_at(F.col("source_posted_at"), F.col("first_seen_at"))
-    base = postings.withColumn("_posted", posted)
-    ranked = group_rank(base, ["company_id"], [F.col("_posted").desc(), F.col("job_id")], "company_rank", max_group, parts)
-    top = base.groupBy("company_id").agg(F.max("_posted").alias("company_top"))
-    return ranked.join(top, "company_id").drop("_posted")
+    slim = postings.select("company_id", "job_id", posted.alias("_posted"))
+    ranked = group_rank(slim, ["company_id"], [F.col("_posted").desc(), F.col("job_id")], "company_rank", parts)
+    top = ranked.where("company_rank = 1").select(F.col("company_id").alias("_c"), F.col("_posted").alias("company_top"))
+    placed = ranked.join(top, F.col("company_id").eqNullSafe(F.col("_c"))).select("job_id", "company_rank", "company_top")
+    return postings.join(placed, "job_id")
 
 
 def sort_keys(mode: str, collation: str | None = None) -> list[Column]:

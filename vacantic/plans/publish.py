@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vacantic.functions.ids import bucket
 from vacantic.functions.times import posted_at
-from vacantic.operators.scale import broadcast_if_small, checkpoint_dir, durable, group_rank, side_by_side
+from vacantic.operators.scale import checkpoint_dir, durable, group_rank, side_by_side
 from vacantic.operators.search import newest_n
 from vacantic.rules import HASH_BUCKETS, MAX_FEED_ITEMS, MAX_SHARD_BYTES, MAX_SHARD_ROWS
 from vacantic.sources.seeds import current_snapshot, publish_pointer
@@ -33,7 +33,7 @@ def _next_start(sizes: np.ndarray, max_rows: int, max_bytes: int) -> np.ndarray:
 
 def chunk_by_budget(df: DataFrame, keys: list[str], order: list[Column], size: Column,
                     max_rows: int = MAX_SHARD_ROWS, max_bytes: int = MAX_SHARD_BYTES,
-                    segment: int | None = None, max_group: int | None = None, parts: int | None = None) -> DataFrame:
+                    segment: int | None = None, parts: int | None = None) -> DataFrame:
     """Adds `chunk`: greedy files by row and byte cap, in order, exact for groups of any size.
 
     Greedy filling is sequential, but a file never spans more than `max_rows`
@@ -43,7 +43,7 @@ def chunk_by_budget(df: DataFrame, keys: list[str], order: list[Column], size: C
     few rows per piece, and the pieces are then filled in parallel.
     """
     segment = max(segment or SEGMENT_ROWS, max_rows)
-    ranked = group_rank(df.withColumn("_size", size), keys, order, "_pos", max_group, parts).withColumn("_pos", F.col("_pos") - 1)
+    ranked = group_rank(df.withColumn("_size", size), keys, order, "_pos", parts).withColumn("_pos", F.col("_pos") - 1)
     slim = ranked.select(*keys, F.col("_pos").cast("long").alias("_pos"), F.col("_size").cast("long").alias("_size")) \
         .withColumn("_seg", F.floor(F.col("_pos") / segment).cast("long"))
     key_types = ", ".join(f"{k} {slim.schema[k].dataType.simpleString()}" for k in keys)
@@ -93,7 +93,7 @@ def chunk_by_budget(df: DataFrame, keys: list[str], order: list[Column], size: C
     if long_groups:
         steps = pieces.groupBy(*group).applyInPandas(exits, f"{key_types}, _seg long, lo long, exit long, files long")
         entries = steps.groupBy(*keys).applyInPandas(chain, f"{key_types}, _seg long, _entry long, _first long")
-        pieces = pieces.join(broadcast_if_small(entries), group)
+        pieces = pieces.join(entries, group)
     else:
         pieces = pieces.withColumn("_entry", F.lit(0)).withColumn("_first", F.lit(0))
     numbered = pieces.groupBy(*group).applyInPandas(fill, f"{key_types}, _pos long, chunk long")

@@ -467,25 +467,6 @@ def phrase_pattern(phrase: str, extra_edge: str = "") -> str:
     return f"(?<!{edge}){regex_escape(phrase)}(?!{edge})"
 
 
-def has_phrase(text: Column, phrase: str, extra_edge: str = "") -> Column:
-    """Phrase test with a cheap substring test in front of the regular expression."""
-    return text.contains(phrase) & text.rlike(phrase_pattern(phrase, extra_edge))
-
-
-def any_of(tests: list[Column]) -> Column:
-    out = F.lit(False)
-    for t in tests:
-        out = out | t
-    return out
-
-
-def count_true(tests: list[Column]) -> Column:
-    out = F.lit(0)
-    for t in tests:
-        out = out + t.cast("int")
-    return out
-
-
 def literal(value: object, kind: str) -> Column:
     """A rule table as one literal of the given type; the optimizer folds it to a constant."""
     return F.from_json(F.lit(json.dumps(value)), kind)
@@ -514,62 +495,84 @@ class RuleSet:
     benefits: list = field(default_factory=lambda: BENEFITS)
 
 
-RULE_SCHEMA = "family string, label string, ord int, polarity string, pattern string"
+RULE_SCHEMA = "family string, label string, title string, ord int, phrase int, polarity string, pattern string"
+MOST_RULES = 100_000  # a rule table is configuration; more rows are an error, never cut off
 
 
 def load_rules(spark: SparkSession, rules: RuleSet | None = None) -> DataFrame:
-    """Every rule as a row (family, label, ord, polarity, pattern)."""
+    """Every phrase as a row; `ord` numbers the labels of a family, `phrase` the phrases of a label.
+
+    `title` is the label as it is shown, `pattern` the phrase as it is stored; order and case survive any shuffle.
+    """
     r = rules or RuleSet()
     rows: list[tuple] = []
+
+    def add(family: str, label: str, i: int, phrases: list[str], polarity: str = "positive", title: str | None = None) -> None:
+        rows.extend((family, label, title or label, i, n, polarity, p) for n, p in enumerate(phrases))
+
     for i, (ident, label, aliases) in enumerate(r.disciplines):
-        rows += [("discipline", ident, i, "positive", p.lower()) for p in [label, *aliases]]
+        add("discipline", ident, i, [label, *aliases], title=label)
     for i, (ident, phrases) in enumerate(r.career_levels):
-        rows += [("career_level", ident, i, "positive", p) for p in phrases]
-    rows += [("career_level", "unknown", i, "negative", p) for i, p in enumerate(r.senior_phrases)]
+        add("career_level", ident, i, phrases)
+    add("career_level", "unknown", len(r.career_levels), r.senior_phrases, "negative")
     for i, (ident, pattern) in enumerate(r.precise_terms):
-        rows.append(("academic_term", ident, i, "positive", pattern))
+        add("academic_term", ident, i, [pattern])
+    for i, (ident, phrases) in enumerate(r.title_terms):
+        add("title_term", ident, i, phrases)
     for i, (name, aliases) in enumerate(r.skills):
-        rows += [("skill", name, i, "positive", p.lower()) for p in [name, *aliases]]
+        add("skill", name, i, [name, *aliases])
     for i, (claim, positive, negative) in enumerate(r.benefits):
-        rows += [("benefit", claim, i, "positive", p) for p in positive]
-        rows += [("benefit", claim, i, "negative", p) for p in negative]
+        add("benefit", claim, i, positive)
+        add("benefit", claim, i, negative, "negative")
     for i, p in enumerate(PLATFORMS):
-        rows += [("platform", p.name, i, "positive" if p.supported else "partial", h) for h in p.hosts]
-    rows += [("denied_domain", d, i, "negative", d) for i, d in enumerate(DENIED_DOMAINS)]
-    rows += [("denied_url", d, i, "negative", d) for i, d in enumerate(DENIED_PATTERNS)]
+        add("platform", p.name, i, p.hosts, "positive" if p.supported else "partial")
+    for i, d in enumerate(DENIED_DOMAINS):
+        add("denied_domain", d, i, [d], "negative")
+    for i, d in enumerate(DENIED_PATTERNS):
+        add("denied_url", d, i, [d], "negative")
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
-def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Rule rows kept as JSON lines next to the data."""
-    return spark.read.schema(RULE_SCHEMA).json(path)
-
-
 def rule_set_from(df: DataFrame) -> RuleSet:
-    """Rule rows (a bounded configuration table) back to a RuleSet that operators take."""
-    rows = df.orderBy("family", "ord").limit(20_000).collect()
-
-    def grouped(family: str) -> dict[str, list]:
-        out: dict[str, list] = {}
+    """Rule rows back to a RuleSet, label by label and phrase by phrase in their stored order.
+
+    A table of more than MOST_RULES rows is not a configuration and raises an error.
+    """
+    rows = df.limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"a rule table holds at most {MOST_RULES} rows")
+    rows.sort(key=lambda r: (r.family, r.ord, r.polarity != "positive", r.phrase))
+
+    def labels(family: str) -> list[tuple[str, str, list[str], list[str]]]:
+        """(label, title, positive phrases, negative phrases) in their order."""
+        out: dict[str, tuple] = {}
         for r in rows:
             if r.family == family:
-                out.setdefault(r.label, []).append((r.polarity, r.pattern))
-        return out
+                entry = out.setdefault(r.label, (r.label, r.title, [], []))
+                entry[2 if r.polarity == "positive" else 3].append(r.pattern)
+        return list(out.values())
 
     base = RuleSet()
-    disc = grouped("discipline")
-    levels = {k: [p for pol, p in v if pol == "positive"] for k, v in grouped("career_level").items()}
-    senior = [r.pattern for r in rows if r.family == "career_level" and r.polarity == "negative"]
-    skills = grouped("skill")
-    benefits = grouped("benefit")
-    terms = grouped("academic_term")
+    levels = labels("career_level")
     return RuleSet(
-        disciplines=[(k, v[0][1], [p for _, p in v[1:]]) for k, v in disc.items()] or base.disciplines,
-        career_levels=[(k, v) for k, v in levels.items() if v] or base.career_levels,
-        senior_phrases=senior or base.senior_phrases,
-        skills=[(k, [p for _, p in v]) for k, v in skills.items()] or base.skills,
-        precise_terms=[(k, p) for k, v in terms.items() for _, p in v] or base.precise_terms,
-        title_terms=base.title_terms,
-        benefits=[(k, [p for pol, p in v if pol == "positive"], [p for pol, p in v if pol == "negative"])
-                  for k, v in benefits.items()] or base.benefits,
+        disciplines=[(k, title, pos[1:]) for k, title, pos, _ in labels("discipline")] or base.disciplines,
+        career_levels=[(k, pos) for k, _, pos, _ in levels if pos] or base.career_levels,
+        senior_phrases=[p for *_, neg in levels for p in neg] or base.senior_phrases,
+        skills=[(k, pos[1:]) for k, _, pos, _ in labels("skill")] or base.skills,
+        precise_terms=[(k, p) for k, _, pos, _ in labels("academic_term") for p in pos] or base.precise_terms,
+        title_terms=[(k, pos) for k, _, pos, _ in labels("title_term")] or base.title_terms,
+        benefits=[(k, pos, neg) for k, _, pos, neg in labels("benefit")] or base.benefits,
     )
+
+
+def read_rule_files(taxonomy: str, skills: str) -> RuleSet:
+    """Rules from two YAML documents: disciplines and career levels, and skills with their aliases.
+
+    Takes the documents' text; parts that a document leaves out keep the fixed values.
+    """
+    import yaml
+    tax, known, base = yaml.safe_load(taxonomy) or {}, yaml.safe_load(skills) or {}, RuleSet()
+    return RuleSet(
+        disciplines=[(d["id"], d.get("label", d["id"]), list(d.get("aliases") or [])) for d in tax.get("disciplines") or []] or base.disciplines,
+        career_levels=[(c["id"], list(c.get("patterns") or [])) for c in tax.get("career_levels") or []] or base.career_levels,
+        skills=[(name, list((entry or {}).get("aliases") or [])) for name, entry in (known.get("skills") or {}).items()] or base.skills)

@@ -10,11 +10,6 @@ from vacantic.rules import CRAWL_URLS_PER_RUN, DISCOVERY_PATTERNS, TENANT_PATTER
 from vacantic.sources.boards import is_job_posting, jsonld_nodes
 
 
-def read_crawl_index(spark: SparkSession, path: str) -> DataFrame:
-    """Newline-delimited JSON of a URL index."""
-    return spark.read.schema("url string, timestamp string").json(path)
-
-
 def scan_crawl_index(index: DataFrame, patterns: list[str] | None = None, total: int | None = CRAWL_URLS_PER_RUN,
                      default_confidence: float = 0.55) -> DataFrame:
     """Listing rows -> candidates: fragment off, duplicates off, platform tagged, quota per pattern.
@@ -116,12 +111,3 @@ def sitemap_urls(files: DataFrame, per_file: int = 10) -> DataFrame:
         return low.contains(words[0]) | low.contains(words[1]) | low.contains(words[2])
 
     return files.select("domain", F.explode(F.slice(F.filter(locs, about_careers), 1, per_file)).alias("url")).distinct()
-
-
-def candidate_union(*tables: tuple[str, DataFrame]) -> DataFrame:
-    """All candidate tables as one, tagged with how they were found."""
-    out = None
-    for via, t in tables:
-        part = t.select("url", "platform", "tenant", "base_confidence").withColumn("discovered_via", F.lit(via))
-        out = part if out is None else out.unionByName(part)
-    return out

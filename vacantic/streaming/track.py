@@ -1,12 +1,16 @@
 """Incremental tracking of landed snapshots.
 
 Landing rows: one per listed posting of a poll, `(source_id, poll_ts, outcome,
-posting_id, content_hash)`; a poll without postings, or one that failed, is a
-row with a null posting_id.  Polls of one source arrive in time order.
-
-State holds per source the number of successful polls and per posting the number
-of the poll that saw it last.  A batch touches only the postings it lists; misses
-of all others follow from the two numbers when the state is read.
+posting_id, content_hash)`, with `health_status` where the source's health gates
+closing; a poll without postings, or one that failed, is a row with a null
+posting_id.
+
+State holds per source the number of successful polls, the numbers of its last
+`RECENT_POLLS` polls, and per posting the number of the poll that saw it last.  A
+batch touches only the postings it lists; misses of all others follow from the two
+numbers when the state is read.  A poll may arrive in several batches: its rows get
+the number it has.  A poll older than the newest one that was never numbered comes
+too late to be counted as a poll; its rows are kept in the table `late_rows`.
 """
 
 from __future__ import annotations
@@ -16,34 +20,42 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from vacantic.operators.lifecycle import lifecycle_state
+from vacantic.operators.lifecycle import lifecycle_state, telling
 from vacantic.plans.publish import save_state
 from vacantic.rules import MISSES_CLOSED, MISSES_SUSPECTED
 from vacantic.sources.seeds import current_snapshot, read_state
 
 LANDING = "source_id string, poll_ts timestamp, outcome string, posting_id string, content_hash string"
+RECENT_POLLS = 200  # per source; a poll's rows may arrive while it is among them
 SOURCES = "source_id string, polls long, last_poll_ts timestamp"
+RECENT = "source_id string, poll_ts timestamp, poll_no long"
+LATE = "source_id string, poll_ts timestamp, posting_id string, content_hash string"
 POSTINGS = ("source_id string, posting_id string, first_seen_at timestamp, last_seen_at timestamp, last_no long, "
             "content_hash string, reopened_at timestamp, times_reopened long, last_changed_at timestamp")
 
 
 def empty_state(spark: SparkSession) -> dict[str, DataFrame]:
-    return {"source_polls": spark.createDataFrame([], SOURCES), "postings": spark.createDataFrame([], POSTINGS)}
+    return {"source_polls": spark.createDataFrame([], SOURCES), "recent_polls": spark.createDataFrame([], RECENT),
+            "late_rows": spark.createDataFrame([], LATE), "postings": spark.createDataFrame([], POSTINGS)}
 
 
 def apply_batch(state: dict[str, DataFrame], batch: DataFrame, suspected: int = MISSES_SUSPECTED) -> dict[str, DataFrame]:
     """K1: state after one micro-batch of landed snapshots; one shuffle by source, one by (source, posting)."""
-    known = state["source_polls"]
-    good = batch.where(F.col("outcome") == "ok")
-    # batches hold few polls per source: number them after the ones already known
+    known, recent = state["source_polls"], state["recent_polls"]
+    good = telling(batch)
+    listed = good.select("source_id", "poll_ts").distinct().join(recent, ["source_id", "poll_ts"], "left").join(known, "source_id", "left")
+    # batches hold few polls per source: number the new ones after the ones already known
     w = Window.partitionBy("source_id").orderBy("poll_ts")
-    polls = (good.select("source_id", "poll_ts").distinct()
-             .join(known, "source_id", "left")
-             .where(F.col("last_poll_ts").isNull() | (F.col("poll_ts") > F.col("last_poll_ts")))
-             .select("source_id", "poll_ts", (F.row_number().over(w) + F.coalesce("polls", F.lit(0))).alias("poll_no")))
-    per_source = polls.groupBy("source_id").agg(F.max("poll_no").alias("b_polls"), F.max("poll_ts").alias("b_ts"))
+    newer = F.col("poll_no").isNull() & (F.col("last_poll_ts").isNull() | (F.col("poll_ts") > F.col("last_poll_ts")))
+    fresh = listed.where(newer).select("source_id", "poll_ts", (F.row_number().over(w) + F.coalesce("polls", F.lit(0))).cast("long").alias("poll_no"))
+    polls = fresh.unionByName(listed.where("poll_no is not null").select("source_id", "poll_ts", "poll_no"))
+    too_late = listed.where(F.col("poll_no").isNull() & (F.col("poll_ts") <= F.col("last_poll_ts"))).select("source_id", "poll_ts")
+    late = state["late_rows"].unionByName(good.join(too_late, ["source_id", "poll_ts"], "left_semi").select("source_id", "poll_ts", "posting_id", "content_hash"))
+    per_source = fresh.groupBy("source_id").agg(F.max("poll_no").alias("b_polls"), F.max("poll_ts").alias("b_ts"))
     sources = known.join(per_source, "source_id", "full_outer").select(
         "source_id", F.coalesce("b_polls", "polls").cast("long").alias("polls"), F.coalesce("b_ts", "last_poll_ts").alias("last_poll_ts"))
+    remembered = recent.unionByName(fresh).join(sources.select("source_id", "polls"), "source_id") \
+        .where(F.col("poll_no") > F.col("polls") - RECENT_POLLS).select("source_id", "poll_ts", "poll_no")
 
     seen = good.where(F.col("posting_id").isNotNull()).groupBy("source_id", "posting_id", "poll_ts").agg(
         F.max("content_hash").alias("content_hash")).join(polls, ["source_id", "poll_ts"])
@@ -53,18 +65,21 @@ def apply_batch(state: dict[str, DataFrame], batch: DataFrame, suspected: int =
         .withColumn("prev_no", F.coalesce(F.lag("poll_no").over(by_posting), F.col("o_last_no"))) \
         .withColumn("prev_hash", F.coalesce(F.lag("content_hash").over(by_posting), F.col("o_content_hash")))
     back = F.col("prev_no").isNotNull() & (F.col("poll_no") - F.col("prev_no") - 1 >= suspected)
-    moved = F.col("prev_no").isNotNull() & ~F.col("prev_hash").eqNullSafe(F.col("content_hash"))
+    moved = (F.col("poll_no") > F.col("prev_no")) & ~F.col("prev_hash").eqNullSafe(F.col("content_hash"))
     new = steps.groupBy("source_id", "posting_id").agg(
         F.min("poll_ts").alias("n_first"), F.max("poll_ts").alias("n_last"), F.max("poll_no").alias("n_no"),
         F.max_by("content_hash", "poll_no").alias("n_hash"), F.max(F.when(back, F.col("poll_ts"))).alias("n_reopened"),
         F.count_if(back).alias("n_times"), F.max(F.when(moved, F.col("poll_ts"))).alias("n_changed"))
+    # rows of a poll that is not the newest one may come after newer sightings
+    later = F.coalesce(F.col("n_no") >= F.col("o_last_no"), F.col("n_no").isNotNull())
     postings = old.join(new, ["source_id", "posting_id"], "full_outer").select(
-        "source_id", "posting_id", F.coalesce("o_first_seen_at", "n_first").alias("first_seen_at"),
-        F.coalesce("n_last", "o_last_seen_at").alias("last_seen_at"), F.coalesce("n_no", "o_last_no").cast("long").alias("last_no"),
-        F.coalesce("n_hash", "o_content_hash").alias("content_hash"), F.coalesce("n_reopened", "o_reopened_at").alias("reopened_at"),
+        "source_id", "posting_id", F.least("o_first_seen_at", "n_first").alias("first_seen_at"),
+        F.greatest("n_last", "o_last_seen_at").alias("last_seen_at"), F.greatest("n_no", "o_last_no").cast("long").alias("last_no"),
+        F.when(later, F.col("n_hash")).otherwise(F.col("o_content_hash")).alias("content_hash"),
+        F.greatest("n_reopened", "o_reopened_at").alias("reopened_at"),
         (F.coalesce("o_times_reopened", F.lit(0)) + F.coalesce("n_times", F.lit(0))).cast("long").alias("times_reopened"),
-        F.coalesce("n_changed", "o_last_changed_at").alias("last_changed_at"))
-    return {"source_polls": sources, "postings": postings}
+        F.greatest("n_changed", "o_last_changed_at").alias("last_changed_at"))
+    return {"source_polls": sources, "recent_polls": remembered, "late_rows": late, "postings": postings}
 
 
 def current_lifecycle(state: dict[str, DataFrame], suspected: int = MISSES_SUSPECTED, closed: int = MISSES_CLOSED) -> DataFrame:
@@ -151,7 +166,7 @@ def lifecycle_changes(landing: DataFrame, parts: int = 16, watermark: str | None
     announced once to every part, so a source with a third of all postings does
     not sit in one task.  A watermark bounds the remembered polls.
     """
-    good = landing.where(F.col("outcome") == "ok")
+    good = telling(landing)
     own = good.where(F.col("posting_id").isNotNull()).withColumn("part", F.pmod(F.hash("posting_id"), F.lit(parts)))
     once = good.select("source_id", "poll_ts")
     if watermark:
