@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacantic.llm.common import by_chars
+from vacantic.llm.common import by_chars, stored
 
 N = 4  # three characters of context fill one 64-bit number
 BITS = 21
@@ -87,8 +87,8 @@ def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "
         number = int(part["block"].iloc[0]) if len(part) else 0
         return pd.DataFrame({"block": number, "context": ctx, "char": ch, "t": t, "g": g})
 
-    counted = dealt.groupBy("block").cogroup(chosen.groupBy("block")).applyInPandas(
-        count, "block int, context bigint, char int, t bigint, g bigint")
+    counted = stored(dealt.groupBy("block").cogroup(chosen.groupBy("block")).applyInPandas(
+        count, "block int, context bigint, char int, t bigint, g bigint"))
     # one table per (context, character) and per context; a context has at most as many rows as there are characters
     sums = counted.groupBy("context", "char").agg(F.sum("t").alias("t"), F.sum("g").alias("g"))
     letters = sums.groupBy("char").agg(F.sum("t").alias("char_t"), F.sum("g").alias("char_g"))
