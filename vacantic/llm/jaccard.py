@@ -12,7 +12,7 @@ two; a set is listed in its own class, and in the one below if a smaller partner
 * Of each entry, the smallest set is compared with all others (a star, never all pairs), and linked sets are merged.
 * Entries that still hold several components get a tree of boxes over their points (leaves of neighbouring points with
   their largest coordinates).  Boxes and then points whose bound is too low are left out; every set asks for its most
-  promising partner in another component.  This repeats until no bound leaves a pair open; after `rounds` turns all open
+  promising partner in another component.  This repeats, with the entries that had one, until no bound leaves a pair open; after `rounds` turns all open
   pairs are asked at once.  So every linked pair is either compared or already in one component.
 * Asked pairs are verified on the sets themselves; they travel to the asked set, in portions of bounded size.
 
@@ -244,7 +244,7 @@ def tree_candidates(nodes: np.ndarray, labels: np.ndarray, sizes: np.ndarray, po
 
 
 def _open_pairs(listed: DataFrame, labels: DataFrame, tested: DataFrame, sets: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
-    """Untested pairs (a asks b) of different components in one entry."""
+    """(entry, a, b): untested pairs, a asks b, of different components in one entry."""
     named = listed.join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     w = Window.partitionBy("entry")
     mixed = named.withColumn("_low", F.min("label").over(w)).withColumn("_high", F.max("label").over(w)).where("_low < _high").drop("_low", "_high")
@@ -256,17 +256,18 @@ def _open_pairs(listed: DataFrame, labels: DataFrame, tested: DataFrame, sets: D
             for pdf in frames:
                 yield from zip(pdf["entry"], pdf["_i"], pdf["_j"], pdf["node"], pdf["label"], pdf["n"], pdf["point"], pdf["_own"], pdf["asked"])
         out = []
-        for (_, i, j), group in groupby(stream(), key=lambda r: r[:3]):
+        for (entry, i, j), group in groupby(stream(), key=lambda r: r[:3]):
             cols = list(zip(*group))
             if len(set(cols[4])) > 1:
-                out += tree_candidates(np.array(cols[3]), np.array(cols[4]), np.array(cols[5]), read_points(cols[6], np.array(cols[5])), np.array(cols[7]), i, j,
-                                       [set() if x is None else set(x) for x in cols[8]], percent, all_pairs)
+                found = tree_candidates(np.array(cols[3]), np.array(cols[4]), np.array(cols[5]), read_points(cols[6], np.array(cols[5])), np.array(cols[7]), i, j,
+                                        [set() if x is None else set(x) for x in cols[8]], percent, all_pairs)
+                out += [(entry, a, b) for a, b in found]
             if len(out) > 50_000:
-                yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                yield pd.DataFrame(out, columns=["entry", "a", "b"], dtype="int64")
                 out = []
-        yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        yield pd.DataFrame(out, columns=["entry", "a", "b"], dtype="int64")
 
-    return rows.repartition("entry", "_i", "_j").sortWithinPartitions("entry", "_i", "_j").mapInPandas(run, "a bigint, b bigint").distinct()
+    return rows.repartition("entry", "_i", "_j").sortWithinPartitions("entry", "_i", "_j").mapInPandas(run, "entry bigint, a bigint, b bigint")
 
 
 def join_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", rounds: int = 4) -> DataFrame:
@@ -287,7 +288,10 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "
         if labels is None:
             asked = listed.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
         else:
-            asked = _open_pairs(listed, labels, tested, sets, percent, all_pairs=turn > rounds)
+            # an entry that leaves no pair open now leaves none later: components only grow
+            found = stored(_open_pairs(listed, labels, tested, sets, percent, all_pairs=turn > rounds))
+            asked = found.select("a", "b").distinct()
+            listed = stored(listed.join(found.select("entry").distinct(), "entry", "left_semi"))
         asked = stored(asked)
         if asked.isEmpty():
             break
