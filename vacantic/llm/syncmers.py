@@ -98,19 +98,20 @@ def edited_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text",
     fewer).  Returns key, text, n_chars, edited, anchors, edited_anchors, near_edited, near_next.  Texts travel by key
     once, and their needed beginnings once more to the row before; anchors travel as 32-bit numbers.
     """
-    rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    sizes = rows.groupBy("key").agg(F.max(F.char_length("text")).alias("need"), F.min(F.xxhash64("text")).alias("mark"))
-    before = ring(sizes, "key").select(F.col("key").alias("k1"), "prev", F.floor(F.col("prev_need") / 3).cast("int").alias("prev_need"), "mark")
-    joined = rows.join(before, rows["key"].eqNullSafe(before["k1"]))
-    given = joined.where(F.xxhash64("text") == F.col("mark")).select(
-        F.col("prev").alias("k3"), F.left("text", F.col("prev_need")).alias("head"),
-        anchors(F.col("text"), k, s)["hash"].alias("next_hashes")).dropDuplicates(["k3"])
-    both = rows.join(given, rows["key"].eqNullSafe(given["k3"])).drop("k3") \
-        .withColumn("n_chars", F.char_length("text").cast("bigint"))
+    # a null key is told apart by a flag; all joins and the grouping use the same two columns, so texts are dealt out once
+    k_ = F.col(f"`{key}`").cast("bigint")
+    rows = docs.select(F.coalesce(k_, F.lit(0)).alias("kk"), k_.isNull().alias("kn"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    sizes = rows.groupBy("kk", "kn").agg(F.max(F.char_length("text")).alias("need"), F.min(F.xxhash64("text")).alias("mark"))
+    before = ring(sizes.select(F.when(~F.col("kn"), F.col("kk")).alias("key"), "need", "mark"), "key").select(
+        F.coalesce("key", F.lit(0)).alias("kk"), F.col("key").isNull().alias("kn"), "prev", F.floor(F.col("prev_need") / 3).cast("int").alias("prev_need"), "mark")
+    given = rows.join(before, ["kk", "kn"]).where(F.xxhash64("text") == F.col("mark")).select(
+        F.coalesce("prev", F.lit(0)).alias("kk"), F.col("prev").isNull().alias("kn"), F.left("text", F.col("prev_need")).alias("head"),
+        anchors(F.col("text"), k, s)["hash"].alias("next_hashes")).dropDuplicates(["kk", "kn"])
+    both = rows.join(given, ["kk", "kn"]).withColumn("n_chars", F.char_length("text").cast("bigint"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     both = both.withColumn("edited", F.concat(F.left("text", (F.col("n_chars") - cut).cast("int")), F.left("head", cut))).drop("head")
     both = both.withColumn("anchors", anchors(F.col("text"), k, s)).withColumn("edited_anchors", anchors(F.col("edited"), k, s))
     return both.select(
-        F.col("key").alias(key), F.col("text").alias(text), "n_chars", "edited", "anchors", "edited_anchors",
+        F.when(~F.col("kn"), F.col("kk")).alias(key), F.col("text").alias(text), "n_chars", "edited", "anchors", "edited_anchors",
         likeness(F.col("anchors.hash"), F.col("edited_anchors.hash")).alias("near_edited"),
         likeness(F.col("anchors.hash"), F.col("next_hashes")).alias("near_next"))
