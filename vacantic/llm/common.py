@@ -38,7 +38,7 @@ def mix64(x):
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash, remembered for the words met so far; emptied when it has grown large."""
 
-    LIMIT = 500_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

@@ -49,7 +49,7 @@ class Encoder:
     parts; more are encoded each time).
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 250_000):
         from tokenizers import Tokenizer
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
 

@@ -33,7 +33,7 @@ _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 class Pieces:
     """The vocabulary of a file, and the ids of the words met so far (up to `limit`)."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 200_000):
         from sentencepiece import SentencePieceProcessor
         sp = SentencePieceProcessor(model_file=path)
         self.table: dict[str, tuple[float, int]] = {}
