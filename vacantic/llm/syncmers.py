@@ -104,7 +104,8 @@ def edited_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text",
     sizes = rows.groupBy("kk", "kn").agg(F.max(F.char_length("text")).alias("need"), F.min(F.xxhash64("text")).alias("mark"))
     before = ring(sizes.select(F.when(~F.col("kn"), F.col("kk")).alias("key"), "need", "mark"), "key").select(
         F.coalesce("key", F.lit(0)).alias("kk"), F.col("key").isNull().alias("kn"), "prev", F.floor(F.col("prev_need") / 3).cast("int").alias("prev_need"), "mark")
-    given = rows.join(before, ["kk", "kn"]).where(F.xxhash64("text") == F.col("mark")).select(
+    # of rows with one key the first text stands for all; not written as an equality, which would become part of the join key
+    given = rows.join(before, ["kk", "kn"]).where(F.xxhash64("text").bitwiseXOR(F.col("mark")) == 0).select(
         F.coalesce("prev", F.lit(0)).alias("kk"), F.col("prev").isNull().alias("kn"), F.left("text", F.col("prev_need")).alias("head"),
         anchors(F.col("text"), k, s)["hash"].alias("next_hashes")).dropDuplicates(["kk", "kn"])
     both = rows.join(given, ["kk", "kn"]).withColumn("n_chars", F.char_length("text").cast("bigint"))
