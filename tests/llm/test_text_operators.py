@@ -215,6 +215,20 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert pii.pseudonymise(docs(spark, []), "k").count() == 0
 
 
+def test_phone_numbers_of_any_area_code(spark):
+    texts = ["+1 (017) 555-7713", "+1 (132) 555-1352 or 132-555-1352", "(212) 155-1352", "+1 212 5550199 +12125550199 (212)-555-0199", "+1.212.555.0199 2125550199"]
+    out = [r.text for r in pii.pseudonymise(docs(spark, texts), "k").orderBy("doc_id").collect()]
+    assert re.fullmatch(r"\+1 \([01]\d\d\) [2-9]\d\d-\d{4}", out[0]) and out[0] != texts[0]
+    a, b = out[1].split(" or ")
+    assert re.sub(r"\D", "", a)[1:] == b.replace("-", "") != "1325551352"
+    assert re.fullmatch(r"\([2-9]\d\d\) [01]\d\d-\d{4}", out[2]) and out[2] != texts[2]
+    digits = [re.sub(r"\D", "", x)[-10:] for x in re.split(r" (?=[+(])", out[3])]
+    assert len(set(digits)) == 1 and digits[0] != "2125550199"
+    assert re.sub(r"\D", "", out[4].split()[0]) == "1" + digits[0] and out[4].split()[1] == "2125550199"
+    every = spark.range(4000).select(F.format_string("%03d-%03d-0000", (F.col("id") % 400).cast("int"), (F.col("id") / 4).cast("int")).alias("text"))
+    assert pii.pseudonymise(every, "k").distinct().count() == every.distinct().count() == 4000
+
+
 def test_permutation_is_one_to_one_and_keyed(spark):
     every = spark.range(2000).select("id", F.array((F.col("id") / 40).cast("int"), (F.col("id") % 40).cast("int")).alias("v"))
     got = {}

@@ -28,7 +28,7 @@ EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.
 ISO_DATE = r"(?<![\d\-])\d{4}-\d{2}-\d{2}(?![\d\-])"
 SHORT_DATE = r"(?<![\d./])(?:\d{1,2}/\d{1,2}/|\d{1,2}\.\d{1,2}\.)\d{4}(?![\d/])"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
-PHONE = r"(?<![\d+])(?:\+1[ .\-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .\-])[2-9]\d{2}[ .\-]\d{4}(?!\d)"
+PHONE = r"(?<![\d+])(?:\+1[ .\-]?(?:\(\d{3}\)|\d{3})[ .\-]?\d{3}[ .\-]?\d{4}|(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4})(?!\d)"
 FOREIGN_PHONE = r"(?<![\d+])\+(?:[1-9]\d{7,14}|(?!1[ .\-(])[1-9]\d{0,2}(?:[ .\-]\(?\d{1,8}\)?){1,5})(?!\d)"
 IP = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
@@ -65,10 +65,10 @@ def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
 
-def by_character(m: Column, key: str, label: str, lowest: Column | None = None) -> Column:
+def by_character(m: Column, key: str, label: str, lowest: Column | None = None, highest: Column | None = None) -> Column:
     """Permute digits within digits and letters within letters of their case; other characters stay.
 
-    `lowest`: smallest digit allowed for the n-th digit, as an array (missing: 0).
+    `lowest`, `highest`: smallest and largest digit allowed for the n-th digit, as arrays (missing: 0 and 9).
     """
     chars = F.split(m, "")
 
@@ -78,9 +78,12 @@ def by_character(m: Column, key: str, label: str, lowest: Column | None = None)
     def low(n: Column) -> Column:
         return F.lit(0) if lowest is None else F.coalesce(F.get(lowest, n), F.lit(0))
 
+    def high(n: Column) -> Column:
+        return F.lit(9) if highest is None else F.coalesce(F.get(highest, n), F.lit(9))
+
     slots = F.filter(chars, lambda c: c.rlike("^[0-9a-zA-Z]$"))
     values = lambda s: F.transform(s, lambda c, i: (F.ascii(c) - base(c) - low(i)).cast("int"))
-    ranges = lambda s: F.transform(s, lambda c, i: F.when(base(c) == 48, 10 - low(i)).otherwise(26).cast("int"))
+    ranges = lambda s: F.transform(s, lambda c, i: F.when(base(c) == 48, high(i) - low(i) + 1).otherwise(26).cast("int"))
 
     def rebuilt(new: Column) -> Column:
         empty = F.struct(F.lit("").alias("s"), F.lit(0).alias("n"))
@@ -124,8 +127,11 @@ def _iban(m: Column, key: str) -> Column:
 
 def _phone(m: Column, key: str) -> Column:
     head = F.regexp_extract(m, r"^(\+1[ .\-]?)?", 0)
-    lowest = F.array(*[F.lit(x) for x in (2, 0, 0, 2)])
-    return F.concat(head, by_character(F.substr(m, F.length(head) + 1, F.length(m)), key, "phone", lowest))
+    rest = F.substr(m, F.length(head) + 1, F.length(m))
+    # area code and exchange keep to 2-9 or to 0-1, so no number of either kind meets a pseudonym of the other kind
+    first = lambda n: F.substr(_digits(rest), F.lit(n), F.lit(1)) >= "2"
+    limits = lambda common, rare, other: F.array(*[F.when(first(n), common).otherwise(rare) if n in (1, 4) else F.lit(other) for n in (1, 2, 3, 4)])
+    return F.concat(head, by_character(rest, key, "phone", limits(2, 0, 0), limits(9, 1, 9)))
 
 
 def _foreign_phone(m: Column, key: str) -> Column:
