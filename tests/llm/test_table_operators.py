@@ -134,6 +134,18 @@ def test_join_of_nothing_and_of_nulls(spark):
     assert sorted(str(r.component_id) for r in jaccard.join_components(rows).collect()) == ["4", "4", "4", "4", "None"]
 
 
+def test_one_row_of_each_group_stays_whatever_its_key(spark):
+    long = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcde"]
+    rows = [(1, long[0]), (1, long[0]), (None, long[1]), (None, long[1]), (None, long[2]), (2, long[3]), (3, long[4]), (3, long[3] + " tail"), (None, None), (None, None),
+            (7, long[1] + " end")]
+    table = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(rows)], "doc_id bigint, text string, _row int").repartition(3)
+    kept = jaccard.keep_one(table)
+    assert kept.columns == table.columns
+    got = sorted((str(r.doc_id), r.text or "") for r in kept.collect())
+    assert got == sorted([("1", long[0]), ("7", long[1] + " end"), ("None", long[2]), ("2", long[3]), ("3", long[4]), ("None", ""), ("None", "")])
+    assert {r.n_removed for r in substrings.drop_repeats(kept.select("doc_id", "text")).collect()} == {0}
+
+
 def test_entries_of_similar_sets_meet():
     rng = np.random.default_rng(3)
     for percent in (60, 80, 85, 95):

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacantic.llm.common import mix64, stored, word_hashes
+from vacantic.llm.common import free_name, mix64, stored, word_hashes
 from vacantic.llm.components import components, in_blocks
 from vacantic.operators.scale import durable
 
@@ -308,6 +308,18 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows with the smallest key of their component, and all rows with an empty set; columns stay as they are."""
-    found = join_components(docs, n, percent, key, text).where(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_gone"))
-    return docs.join(found.distinct(), docs[key].cast("bigint") == F.col("_gone"), "left_anti")
+    """One row of each component, that of the smallest key (nulls last), and all rows with an empty set; columns stay as they are.
+
+    Rows are told apart by a number of their own, so keys may be null, repeat, or stand on different texts.  Of rows
+    with the same key the one with the smallest hash of its text stays, of equal texts any one.
+    """
+    row, same, component = (free_name(docs, f"_{x}") for x in ("row", "same_row", "component"))
+    # stored: the numbers have to be the same in every pass
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = stored(join_components(numbered.select(row, F.col(f"`{text}`").alias(text)), n, percent, row, text)
+                   .where("n_shingles > 0").select(F.col(row).alias(same), F.col("component_id").alias(component)))
+    ranked = numbered.select(row, F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("hash")) \
+        .join(found, F.col(row) == F.col(same)).groupBy(component) \
+        .agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "hash", F.col(row).alias("row"))).alias("first"), F.count("*").alias("rows"))
+    gone = found.join(ranked.where("rows > 1"), component).where(F.col(same) != F.col("first.row")).select(same)
+    return numbered.join(gone, numbered[row] == gone[same], "left_anti").drop(row)
