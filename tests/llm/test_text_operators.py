@@ -229,6 +229,23 @@ def test_phone_numbers_of_any_area_code(spark):
     assert pii.pseudonymise(every, "k").distinct().count() == every.distinct().count() == 4000
 
 
+def test_cards_and_ibans_next_to_other_numbers(spark):
+    card, grouped, iban = "4799134681044206", "4799 1346 8104 4206", "BE68 5390 0754 7034"
+    texts = [card, f"card {card} 12/27", f"paid {card} 30 days", f"no 12 {card} x", f"{grouped} 123", f"{card} {grouped} 4799-1346-8104-4206 1 2 3 4 5 6 7 8 9 10 11",
+             f"{card} 2024-05-03", f"{card} 12.05.2024", f"{card} 212 555 0199", f"{card} 7@c2.org", f"{card}- {'7 ' * 5000}{card}", f"ID42 {grouped} {grouped}", "47 99 13 46 81 04 42 06",
+             iban, f"{iban} A note", f"{iban} NOTE THIS", f"{iban} {grouped}", "BE68539007547034 30", "9999 9999 9999 9999"]
+    rows = pii.pseudonymise(docs(spark, texts), "k", counter="n_changed").orderBy("doc_id").collect()
+    out = [r.text for r in rows]
+    new, new_iban = out[0], out[13]
+    assert luhn(new) and new != card and new_iban != iban
+    parted = " ".join(new[i:i + 4] for i in (0, 4, 8, 12))
+    assert [r.n_changed for r in rows] == [1, 1, 1, 1, 1, 3, 2, 2, 2, 2, 2, 2, 1, 1, 1, 1, 2, 1, 0]
+    assert out[1:6] == [f"card {new} 12/27", f"paid {new} 30 days", f"no 12 {new} x", f"{parted} 123", f"{new} {parted} {parted.replace(' ', '-')} 1 2 3 4 5 6 7 8 9 10 11"]
+    assert all(out[i].startswith(new + " ") and len(out[i]) >= len(texts[i]) - 2 for i in (6, 7, 8, 9))
+    assert out[10] == f"{new}- {'7 ' * 5000}{new}" and out[11] == f"ID42 {parted} {parted}" and out[12].replace(" ", "") == new
+    assert out[14:] == [f"{new_iban} A note", f"{new_iban} NOTE THIS", f"{new_iban} {parted}", new_iban.replace(" ", "") + " 30", "9999 9999 9999 9999"]
+
+
 def test_permutation_is_one_to_one_and_keyed(spark):
     every = spark.range(2000).select("id", F.array((F.col("id") / 40).cast("int"), (F.col("id") % 40).cast("int")).alias("v"))
     got = {}

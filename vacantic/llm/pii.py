@@ -31,8 +31,18 @@ SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 PHONE = r"(?<![\d+])(?:\+1[ .\-]?(?:\(\d{3}\)|\d{3})[ .\-]?\d{3}[ .\-]?\d{4}|(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4})(?!\d)"
 FOREIGN_PHONE = r"(?<![\d+])\+(?:[1-9]\d{7,14}|(?!1[ .\-(])[1-9]\d{0,2}(?:[ .\-]\(?\d{1,8}\)?){1,5})(?!\d)"
 IP = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-CARD = r"(?<![\d.\-])\d(?:[ \-]?\d){12,18}(?![\d\-])"
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+_BY_COUNTRY = "|".join(rf"(?:{c.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+# a whole run of numbers with 13 digits or more; a number that begins another kind of candidate is not part of it
+_OTHER = "|".join([r"\d{1,2}/\d{1,2}/\d{4}(?![\d/])", r"\d{1,2}\.\d{1,2}\.\d{4}(?![\d/])", r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)", r"\d{4}-\d{2}-\d{2}(?![\d\-])",
+                   r"\d{3}-\d{2}-\d{4}(?![\d\-])", r"\d{3}[.\-]\d{3}[ .\-]\d{4}(?!\d)", r"[A-Za-z0-9._%+\-]{1,64}@"])
+# of the length that the country has, else of any length; the numbers behind it belong to the candidate, for it may be none
+IBAN = rf"(?<![A-Za-z0-9])(?:{_BY_COUNTRY}|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])(?: (?!{_OTHER})\d++)*+"
+CARD = rf"(?<![\d.\-])(?=\d(?:[ \-]?\d){{12}})\d++(?:[ \-](?!{_OTHER})\d++)*+"
+PLAIN_CARD = r"\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{4}|\d{4}([ \-])\d{6}\2\d{4,5}"
 CANDIDATE = "|".join([EMAIL, ISO_DATE, SHORT_DATE, SSN, PHONE, FOREIGN_PHONE, IP, IBAN, CARD])
 
 
@@ -110,19 +120,94 @@ def mod97(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.lit(0), step)
 
 
-def _card(m: Column, key: str) -> Column:
+def valid_card(m: Column) -> Column:
     digits = _digits(m)
-    valid = F.length(digits).between(13, 19) & digits.rlike("^[2-6]") & (luhn_sum(digits) % 10 == 0)
+    return F.length(digits).between(13, 19) & digits.rlike("^[2-6]") & (luhn_sum(digits) % 10 == 0)
+
+
+def _card(m: Column, key: str) -> Column:
     body = F.concat(F.left(m, F.lit(1)), by_character(F.substr(m, F.lit(2), F.length(m) - 2), key, "card"))
-    return F.when(valid, let(body, lambda b: F.concat(b, ((10 - luhn_sum(F.concat(_digits(b), F.lit("0"))) % 10) % 10).cast("string"))))
+    return let(body, lambda b: F.concat(b, ((10 - luhn_sum(F.concat(_digits(b), F.lit("0"))) % 10) % 10).cast("string")))
 
 
-def _iban(m: Column, key: str) -> Column:
+def _numbers(m: Column, key: str) -> Column:
+    """(s, n): a run of numbers with new cards, and how many; `m` may hold cards next to dates, codes and other cards.
+
+    Any numbers that stand side by side may be a card.  Those laid out like one are chosen first, from left to right,
+    then valid ones of other layouts that begin or end the run, the longest first, then phone numbers.
+    """
+    def spans(tokens: Column) -> Column:
+        n = F.size(tokens)
+        each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(19), n - i)), lambda k: F.struct(
+            i.alias("i"), k.alias("k"), F.regexp_replace(F.array_join(F.slice(tokens, i + 1, k), ""), r"[ \-]$", "").alias("t"))))
+        open_ = F.filter(F.flatten(each), lambda x: F.length(x["t"]).between(12, 37))
+
+        def kind(x: Column) -> Column:
+            edge = (x["i"] == 0) | (x["i"] + x["k"] == n)
+            plain = _is(x["t"], PLAIN_CARD)
+            return F.when((plain | edge) & valid_card(x["t"]), F.when(plain, 1).otherwise(2)).when(_is(x["t"], PHONE), 3)
+
+        graded = F.transform(open_, lambda x: F.struct(kind(x).alias("kind"), x["i"].alias("i"), (-x["k"]).alias("k"), x["t"].alias("t")))
+        return F.array_sort(F.filter(graded, lambda x: x["kind"].isNotNull()))
+
+    def apart(found: Column) -> Column:
+        return F.aggregate(found, F.filter(found, lambda x: F.lit(False)), lambda kept, x: F.when(
+            F.exists(kept, lambda y: (y["i"] < x["i"] - x["k"]) & (x["i"] < y["i"] - y["k"])), kept).otherwise(F.concat(kept, F.array(x))))
+
+    def rebuilt(tokens: Column, chosen: Column) -> Column:
+        new = F.transform(chosen, lambda x: F.struct(x["i"].alias("i"), (x["i"] - x["k"]).alias("j"), x["t"].alias("t"),
+                                                     F.when(x["kind"] < 3, _card(x["t"], key)).otherwise(_phone(x["t"], key)).alias("s")))
+
+        def one(token: Column, at: Column, c: Column) -> Column:
+            over = F.filter(c, lambda x: (x["i"] <= at) & (at < x["j"]))
+            tail = F.regexp_extract(token, r"[ \-]?$", 0)
+            return let(over, lambda o: F.when(F.size(o) == 0, token).otherwise(F.concat(
+                F.when(F.get(o, F.lit(0))["i"] == at, F.get(o, F.lit(0))["s"]).otherwise(F.lit("")),
+                F.when(F.get(o, F.lit(0))["j"] == at + 1, tail).otherwise(F.lit("")))))
+
+        return let(new, lambda c: F.struct(F.array_join(F.transform(tokens, lambda x, at: one(x, at, c)), "").alias("s"),
+                                           F.size(F.filter(c, lambda x: x["s"] != x["t"])).alias("n")))
+
+    return let(F.regexp_extract_all(m, F.lit(r"\d+[ \-]?"), F.lit(0)), lambda t: let(spans(t), lambda f: let(apart(f), lambda c: rebuilt(t, c))))
+
+
+def _iban_only(m: Column, key: str) -> Column:
     country, rest = F.left(m, F.lit(2)), F.substr(m, F.lit(5), F.length(m))
     plain = lambda r: F.regexp_replace(r, " ", "")
-    valid = mod97(F.concat(plain(rest), F.left(m, F.lit(4)))) == 1
-    return F.when(valid, let(by_character(rest, key, "iban"), lambda r: F.concat(
-        country, F.lpad((98 - mod97(F.concat(plain(r), country, F.lit("00")))).cast("string"), 2, "0"), r)))
+    return let(by_character(rest, key, "iban"), lambda r: F.concat(
+        country, F.lpad((98 - mod97(F.concat(plain(r), country, F.lit("00")))).cast("string"), 2, "0"), r))
+
+
+def _iban(m: Column, key: str) -> Column:
+    """(s, n): the beginning that validates, that of the country's length or the longest; what follows it, or all of a candidate without one, may hold cards and phone numbers."""
+    words = F.split(m, " ")
+
+    def valid(p: Column) -> Column:
+        flat = F.regexp_replace(p, " ", "")
+        return F.length(flat).between(12, 35) & (mod97(F.concat(F.substr(flat, F.lit(5), F.length(flat)), F.left(flat, F.lit(4)))) == 1)
+
+    starts = F.concat(F.array(F.regexp_extract(m, rf"^(?:{_BY_COUNTRY})(?![A-Za-z0-9])", 0)), F.transform(
+        F.sequence(F.least(F.size(words), F.lit(34)), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(words, F.lit(1), k), " ")))
+
+    def both(p: Column) -> Column:
+        rest = F.when(p.isNull(), m).otherwise(F.substr(m, F.length(p) + 1, F.length(m)))
+        new = F.when(p.isNotNull(), _iban_only(p, key))
+        return let(rest, lambda r: let(_within(r, key), lambda x: let(new, lambda q: F.struct(
+            F.concat(F.coalesce(q, F.lit("")), x["s"]).alias("s"), (x["n"] + F.when(q != p, 1).otherwise(0)).alias("n")))))
+
+    return let(F.get(F.filter(starts, valid), F.lit(0)), both)
+
+
+def _within(text: Column, key: str) -> Column:
+    """(s, n): the cards and phone numbers inside a failed or too long candidate."""
+    inner = f"{PHONE}|{CARD}"
+
+    def joined(new: Column) -> Column:
+        return F.struct(F.array_join(F.zip_with(F.split(text, inner, -1), new, lambda a, b: F.concat(a, F.coalesce(b["s"], F.lit("")))), "").alias("s"),
+                        F.aggregate(new, F.lit(0), lambda a, x: a + x["n"]).alias("n"))
+
+    each = lambda m: F.when(_is(m, PHONE), _counted(_phone(m, key), m)).otherwise(_numbers(m, key))
+    return let(F.transform(F.regexp_extract_all(text, F.lit(inner), F.lit(0)), each), joined)
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -195,16 +280,24 @@ def _short_date(m: Column, key: str) -> Column:
     return F.when(day_first.isNotNull(), by_day).otherwise(by_month)
 
 
+def _counted(new: Column, m: Column) -> Column:
+    """(s, n) of one value: its pseudonym, or the value itself if it does not validate."""
+    return let(new, lambda s: F.struct(F.coalesce(s, m).alias("s"), F.when(s != m, 1).otherwise(0).alias("n")))
+
+
 KINDS = [(EMAIL, _email), (ISO_DATE, _iso_date), (SHORT_DATE, _short_date), (SSN, _ssn), (PHONE, _phone),
-         (FOREIGN_PHONE, _foreign_phone), (IP, _ip), (IBAN, _iban), (CARD, _card)]
+         (FOREIGN_PHONE, _foreign_phone), (IP, _ip)]
+RUNS = [(IBAN, _iban), (CARD, _numbers)]  # may hold several values
 
 
 def pseudonym(m: Column, key: str) -> Column:
-    """The string that stands for one candidate; the candidate itself if it does not validate."""
-    out = F.lit(None).cast("string")
-    for pattern, kind in reversed(KINDS):
+    """(s, n): the string that stands for one candidate, and how many values in it are changed."""
+    out = F.struct(m.alias("s"), F.lit(0).alias("n"))
+    for pattern, kind in reversed(RUNS):
         out = F.when(_is(m, pattern), kind(m, key)).otherwise(out)
-    return F.coalesce(out, m)
+    for pattern, kind in reversed(KINDS):
+        out = F.when(_is(m, pattern), _counted(kind(m, key), m)).otherwise(out)
+    return out
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", counter: str | None = None) -> DataFrame:
@@ -212,9 +305,8 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", counter: str | N
     t, found, new = F.col(f"`{text}`"), free_name(docs, "_found"), free_name(docs, "_new")
     out = docs.withColumn(found, F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)))) \
         .withColumn(new, F.when(F.size(found) > 0, F.transform(found, lambda m: pseudonym(m, key))))
-    joined = F.array_join(F.zip_with(F.split(t, CANDIDATE, -1), F.col(new), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    joined = F.array_join(F.zip_with(F.split(t, CANDIDATE, -1), F.col(new), lambda a, b: F.concat(a, F.coalesce(b["s"], F.lit("")))), "")
     columns = {text: F.when(F.col(new).isNull(), t).otherwise(joined)}
     if counter:
-        changed = F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x)
-        columns[counter] = F.when(F.col(new).isNull(), 0).otherwise(F.size(changed))
+        columns[counter] = F.when(F.col(new).isNull(), 0).otherwise(F.aggregate(F.col(new), F.lit(0), lambda a, x: a + x["n"]))
     return out.withColumns(columns).drop(found, new)
