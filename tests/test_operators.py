@@ -180,6 +180,17 @@ def test_diverse_order(spark):
     assert [r.job_id for r in search.sort_postings(df, "company", "UNICODE").collect()] == ["a1", "a2", "b1"]
 
 
+def test_diverse_order_of_repeated_and_null_ids(spark):
+    at = dt.datetime(2025, 9, 1)
+    rows = [("a1", "a", "Alpha", at)] * 3 + [(None, "a", "Alpha", at), (None, "b", "Beta", at), ("b1", "b", "Beta", at), (None, None, None, at)]
+    df = spark.createDataFrame(rows, "job_id string, company_id string, company_name string, first_seen_at timestamp") \
+        .withColumn("source_posted_at", F.lit(None).cast("timestamp")).withColumn("title", F.col("job_id"))
+    got = search.diversify(df).collect()
+    assert sorted(str((r.job_id, r.company_id)) for r in got) == sorted(str(r[:2]) for r in rows)
+    assert sorted((str(r.company_id), r.company_rank) for r in got) == [("None", 1), ("a", 1), ("a", 2), ("a", 3), ("a", 4), ("b", 1), ("b", 2)]
+    assert search.sort_postings(df, "diverse").count() == 7
+
+
 def test_deep_page_equals_top_k(spark, monkeypatch):
     df = spark.range(500).select((F.col("id") * 7919 % 500).alias("v"))
     want = [r.v for r in search.page(df, [F.col("v")], 4, 30).collect()]

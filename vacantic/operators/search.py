@@ -11,7 +11,7 @@ from vacantic.functions.ids import bucket, slug
 from vacantic.functions.times import posted_at, within_window
 from vacantic.operators.filters import (confirmed_flags, has_benefits, hide_dismissed, in_region, is_startup,
                                         match_query, one_of, open_to_origin, regions, saved_only)
-from vacantic.operators.scale import group_rank
+from vacantic.operators.scale import durable, group_rank
 from vacantic.rules import DISCIPLINES, HASH_BUCKETS, STARTUPS, lookup
 
 # above this many leading rows a page is cut by rank instead of by a driver-side top-k
@@ -132,13 +132,17 @@ def join_index(postings: DataFrame, index: DataFrame) -> DataFrame:
 
 # --- order and pages ----------------------------------------------------------------------------------
 def diversify(postings: DataFrame, parts: int | None = None) -> DataFrame:
-    """Adds `company_rank` and `company_top`: the n-th newest posting of every company before any n+1-th."""
+    """Adds `company_rank` and `company_top`: the n-th newest posting of every company before any n+1-th.
+
+    Every row gets one rank, also rows with a null or repeated job id: ranks join back by a row number, written out first.
+    """
     posted = posted_at(F.col("source_posted_at"), F.col("first_seen_at"))
-    slim = postings.select("company_id", "job_id", posted.alias("_posted"))
-    ranked = group_rank(slim, ["company_id"], [F.col("_posted").desc(), F.col("job_id")], "company_rank", parts)
+    rows = durable(postings.withColumn("_row", F.monotonically_increasing_id()))
+    slim = rows.select("company_id", "job_id", posted.alias("_posted"), "_row")
+    ranked = group_rank(slim, ["company_id"], [F.col("_posted").desc(), F.col("job_id"), F.col("_row")], "company_rank", parts)
     top = ranked.where("company_rank = 1").select(F.col("company_id").alias("_c"), F.col("_posted").alias("company_top"))
-    placed = ranked.join(top, F.col("company_id").eqNullSafe(F.col("_c"))).select("job_id", "company_rank", "company_top")
-    return postings.join(placed, "job_id")
+    placed = ranked.join(top, F.col("company_id").eqNullSafe(F.col("_c"))).select("_row", "company_rank", "company_top")
+    return rows.join(placed, "_row").drop("_row")
 
 
 def sort_keys(mode: str, collation: str | None = None) -> list[Column]:
