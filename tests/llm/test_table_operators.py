@@ -38,6 +38,15 @@ def test_snapshots_collapse(spark):
     assert chat.collapse(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
 
 
+def test_turns_as_rows(spark):
+    rows = [(None, i, "user", f"t{i}") for i in range(300)] + [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "bot", None)]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = {(r.conv_id, r.n): r.text for r in chat.rendered_turns(table).collect()}
+    assert len(got) == 302 and got[None, 300] == "<|im_start|>user\nt299<|im_end|>\n" and got[2, 2] == "<|im_start|>bot\n<|im_end|>\n"
+    for r in chat.collapse(table).collect():
+        assert r.rendered == "".join(got[r.conv_id, n + 1] for n in range(r.n_turns))
+
+
 # --- scores ------------------------------------------------------------------------------------
 def plain_scores(texts, target, weight):
     grams = [[("   " + (t or ""))[i:i + 4] for i in range(len(t or ""))] for t in texts]

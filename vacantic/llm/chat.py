@@ -1,7 +1,7 @@
 """Chat formatting: of logged conversations that grow from snapshot to snapshot only the longest ones are rendered.
 
 Turns are numbered within their conversation, and a running hash over the turns so far stands at each of them (two
-independent 64-bit hashes of number, role and text, added up by a window, so that a conversation is never gathered).
+independent 64-bit hashes of number, role and text, added up by a window; a conversation is sorted in one task).
 A conversation whose last hash stands inside another one is a prefix of it: an anti-join drops it.  Of conversations
 with the same turns the smallest id stays.  What remains is rendered.
 
@@ -54,10 +54,16 @@ def render_turn(role: Column, text: Column) -> Column:
     return F.concat(F.lit(START), F.coalesce(role, F.lit("")), F.lit("\n"), F.coalesce(text, F.lit("")), F.lit(END + "\n"))
 
 
-def collapse(turns: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, rendered) of every maximal conversation."""
+def rendered_turns(turns: DataFrame) -> DataFrame:
+    """(conv_id, n, text) of every turn of the maximal conversations, as rows: no conversation is put together."""
     hashed = running_hashes(turns)
     ids = maximal(hashed).select(F.col("conv_id").alias("_id"))
     kept = hashed.join(ids, hashed["conv_id"].eqNullSafe(ids["_id"]), "left_semi")
-    parts = F.sort_array(F.collect_list(F.struct("n", render_turn(F.col("role"), F.col("text")).alias("s"))))
+    return kept.select("conv_id", "n", render_turn(F.col("role"), F.col("text")).alias("text"))
+
+
+def collapse(turns: DataFrame) -> DataFrame:
+    """(conv_id, n_turns, rendered) of every maximal conversation; one string has to fit into a task (see `rendered_turns`)."""
+    kept = rendered_turns(turns)
+    parts = F.sort_array(F.collect_list(F.struct("n", F.col("text").alias("s"))))
     return kept.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.array_join(F.transform(parts, lambda x: x["s"]), "").alias("rendered"))
