@@ -169,6 +169,16 @@ def test_entries_of_similar_sets_meet():
                 assert np.minimum(*jaccard.read_points([jaccard.point(a).tobytes(), jaccard.point(b).tobytes()], [len(a), len(b)])).sum() >= both >= jaccard.least_overlap(len(a), len(b), percent)
 
 
+def test_entries_meet_across_classes():
+    rng = np.random.default_rng(4)
+    for percent in (10, 25, 40):
+        for _ in range(100):
+            n = int(rng.integers(20, 120))
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            b = np.sort(rng.permutation(a)[:int(rng.integers(-(-percent * n // 100), n))])  # any share above percent
+            assert set(jaccard.entries(a, percent)) & set(jaccard.entries(b, percent))
+
+
 def test_tree_leaves_out_only_what_the_bound_excludes():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 6, (5, jaccard.GROUPS))

@@ -7,7 +7,7 @@ Points of unrelated texts of one length lie at nearly the same distance from eac
 all points would not separate them.  The points are therefore dealt out first, without loss: similar sets differ in at
 most d n-grams, so among d + 1 non-empty groups at least one is identical in both.  Each set is listed under the
 content of its first d + 1 non-empty groups; only sets that share an entry meet.  Sizes fall into classes by powers of
-two; a set is listed in its own class, and in the one below if a smaller partner may be there.
+two; a set is listed in its own class, and in all those below where a smaller partner may be.
 
 * Of each entry, the smallest set is compared with all others (a star, never all pairs), and linked sets are merged.
 * Entries that still hold several components get a tree of boxes over their points (leaves of neighbouring points with
@@ -81,7 +81,7 @@ def entries(s: np.ndarray, percent: int) -> np.ndarray:
     """Keys under which a set is listed."""
     n, out = len(s), []
     own = n.bit_length() - 1
-    for c in {own, (-(-percent * n // 100)).bit_length() - 1}:
+    for c in range((-(-percent * n // 100)).bit_length() - 1, own + 1):
         top = (1 << (c + 1)) - 1  # largest size of the class
         partner = 100 * n // percent if c == own else top
         d = (100 - percent) * (n + partner) // (100 + percent)
