@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantic.llm import chat, jaccard, langid, lmscore, packing, pieces, pii, pivots, substrings, syncmers
+from vacantic.llm import chat, jaccard, langid, lmscore, packing, pieces, pii, pivots, substrings, syncmers, trie
 from vacantic.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,10 +101,39 @@ def op8_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), least=0.9)
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    borrowed = (F.crc32(F.col("conv_id").cast("string")) % 4).cast("int")
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"), family=20, borrowed=borrowed)
+
+
+OP11_SQL = r"""
+WITH turns AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS i, k, n FROM (
+    SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+      len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM conversations WHERE conv_id IS NOT NULL)),
+crc AS (SELECT c, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT],
+    flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)) % 4 AS h FROM (SELECT DISTINCT c FROM turns)),
+lent AS (SELECT crc.c, t.i AS d, k, n FROM crc JOIN turns t ON t.c = crc.c - crc.c % 20 AND t.i <= h),
+got AS (SELECT crc.c, h, count(d) AS b FROM crc LEFT JOIN lent USING (c) GROUP BY ALL),
+s AS (SELECT * FROM lent UNION ALL SELECT c, t.i - h + b, k, n FROM turns t JOIN got USING (c) WHERE t.i > h
+  UNION ALL SELECT c, 0, '', 0 FROM crc),
+p AS (SELECT c, d, n, d || string_agg(k, ',') OVER (PARTITION BY c ORDER BY d) AS x, max(d) OVER (PARTITION BY c) AS z FROM s),
+q AS (SELECT *, lag(x) OVER (PARTITION BY c ORDER BY d) AS up FROM p),
+nodes AS (SELECT x, d, min(up) AS up, min(c) AS conv_id, count(*) AS n_convs, min(n) AS n,
+    sha256(coalesce(string_agg(c, ',' ORDER BY c) FILTER (d = z), '')) AS ends_sha256 FROM q GROUP BY x, d),
+kids AS (SELECT up AS x, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY up),
+below AS (SELECT DISTINCT a.x, b.x AS y FROM q a JOIN q b ON a.c = b.c AND b.d >= a.d),
+sums AS (SELECT below.x, sum((m.n_convs - 1) * m.n)::BIGINT AS saved_tokens, count(*) FILTER (kids.x IS NULL) AS n_leaves
+  FROM below JOIN nodes m ON m.x = below.y LEFT JOIN kids ON kids.x = below.y GROUP BY below.x)
+SELECT o.conv_id, o.d AS depth, u.conv_id AS parent_conv_id, o.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, o.ends_sha256
+FROM nodes o JOIN sums USING (x) LEFT JOIN kids USING (x) LEFT JOIN nodes u ON u.x = o.up
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_language": op1_language, "op2_chat": op2_chat, "op3_lmscore": op3_lmscore, "op4_pieces": op4_pieces, "op5_syncmers": op5_syncmers, "op6_pii": op6_pii,
-    "op7_jaccard": op7_jaccard, "op8_pivots": op8_pivots,    "op9_pack": op9_pack, "op10_substrings": op10_substrings}
-SQL: dict[str, str] = {"op2_chat": OP2_SQL, "op10_substrings": OP10_SQL}
+    "op7_jaccard": op7_jaccard, "op8_pivots": op8_pivots, "op9_pack": op9_pack, "op10_substrings": op10_substrings,
+    "op11_trie": op11_trie}
+SQL: dict[str, str] = {"op2_chat": OP2_SQL, "op10_substrings": OP10_SQL, "op11_trie": OP11_SQL}
 
 
 def all_queries() -> dict[str, Query]:
