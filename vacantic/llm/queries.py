@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantic.llm import chat, jaccard, langid, lmscore, packing, pieces, pii, pivots, substrings, syncmers, trie
+from vacantic.llm import chat, jaccard, langid, lexical, lmscore, packing, pieces, pii, pivots, substrings, syncmers, trie
 from vacantic.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,11 +129,30 @@ SELECT o.conv_id, o.d AS depth, u.conv_id AS parent_conv_id, o.n_convs, coalesce
 FROM nodes o JOIN sums USING (x) LEFT JOIN kids USING (x) LEFT JOIN nodes u ON u.x = o.up
 """
 
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+c AS (SELECT count(*) AS n_docs, sum(len(ws))::BIGINT AS n_terms FROM d WHERE len(ws) > 0),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ws) AS term FROM d) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, c GROUP BY term, n_docs),
+m AS (SELECT r, doc_id, 100 - 50 + ((50 * len(ws) * n_docs) // n_terms) AS m FROM d, c),
+s AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY item_id, r, doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM o WHERE rank <= 50
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_language": op1_language, "op2_chat": op2_chat, "op3_lmscore": op3_lmscore, "op4_pieces": op4_pieces, "op5_syncmers": op5_syncmers, "op6_pii": op6_pii,
     "op7_jaccard": op7_jaccard, "op8_pivots": op8_pivots, "op9_pack": op9_pack, "op10_substrings": op10_substrings,
-    "op11_trie": op11_trie}
-SQL: dict[str, str] = {"op2_chat": OP2_SQL, "op10_substrings": OP10_SQL, "op11_trie": OP11_SQL}
+    "op11_trie": op11_trie, "op13_search": op13_search}
+SQL: dict[str, str] = {"op2_chat": OP2_SQL, "op10_substrings": OP10_SQL, "op11_trie": OP11_SQL, "op13_search": OP13_SQL}
 
 
 def all_queries() -> dict[str, Query]:
