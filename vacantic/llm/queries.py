@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantic.llm import chat, jaccard, langid, lexical, lmscore, packing, pieces, pii, pivots, substrings, syncmers, trie
+from vacantic.llm import chat, jaccard, langid, lexical, lmscore, packing, pieces, pii, pivots, substrings, syncmers, toxicity, trie
 from vacantic.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,6 +129,12 @@ SELECT o.conv_id, o.d AS depth, u.conv_id AS parent_conv_id, o.n_convs, coalesce
 FROM nodes o JOIN sums USING (x) LEFT JOIN kids USING (x) LEFT JOIN nodes u ON u.x = o.up
 """
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out), "toxic")
+    return toxicity.detect(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), k=50)
 
@@ -151,7 +157,7 @@ SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM o WHERE rank <= 50
 QUERIES: dict[str, Query] = {
     "op1_language": op1_language, "op2_chat": op2_chat, "op3_lmscore": op3_lmscore, "op4_pieces": op4_pieces, "op5_syncmers": op5_syncmers, "op6_pii": op6_pii,
     "op7_jaccard": op7_jaccard, "op8_pivots": op8_pivots, "op9_pack": op9_pack, "op10_substrings": op10_substrings,
-    "op11_trie": op11_trie, "op13_search": op13_search}
+    "op11_trie": op11_trie, "op12_toxicity": op12_toxicity, "op13_search": op13_search}
 SQL: dict[str, str] = {"op2_chat": OP2_SQL, "op10_substrings": OP10_SQL, "op11_trie": OP11_SQL, "op13_search": OP13_SQL}
 
 
