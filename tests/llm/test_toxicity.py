@@ -100,10 +100,13 @@ def test_fit_bounds_and_odd_labels(spark):
     rows = corpus(3, 300)
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(5, None), (None, "scumbag"), (7, "a")] + [(9, "repeated idiotic")] * 50, "doc_id bigint, text string")
     marks = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (1, None), (2, 7), (10_000, 1)], "doc_id bigint, toxic int")
-    pairs = toxicity.sample(docs, marks, "toxic", (40, 20), 10**9)
+    def sample(docs, marks, rows, chars):
+        return [tuple(r) for r in toxicity.sample(docs, marks, "toxic", rows, chars).collect()]
+
+    pairs = sample(docs, marks, (40, 20), 10**9)
     assert 15 <= sum(y for _, y in pairs) <= 20 and 35 <= sum(1 - y for _, y in pairs) <= 40
-    assert pairs == toxicity.sample(docs.repartition(5), marks.repartition(3), "toxic", (40, 20), 10**9)
-    few = toxicity.sample(docs, marks, "toxic", (4000, 2000), 3000)
+    assert pairs == sample(docs.repartition(5), marks.repartition(3), (40, 20), 10**9)
+    few = sample(docs, marks, (4000, 2000), 3000)
     assert sum(len(t) for t, y in few if y) <= 3000 and sum(len(t) for t, y in few if not y) <= 3000 and few
     for only, share in ((0, 0.0), (1, 1.0)):
         m = toxicity.fit(docs, marks.where(F.col("toxic") == only))

@@ -9,8 +9,8 @@ passages are weighted by how toxic they look, evenly at first and ever more shar
 learned (multiple-instance learning).  Scoring is linear in the words: one number per distinct word, running means, a maximum.
 
 While learning, some n-grams are left out at random in every round, so that no single one carries a word.  The model is
-learned on the driver from a sample of the labelled rows with a bound in rows and code points for each label, taken in the
-order of a hash of the key; everything else reads all rows and whole texts.
+learned in one task from a sample of the labelled rows with a bound in rows and code points for each label, taken in the
+order of a hash of the key; everything else reads all rows and whole texts.  Only the model comes to the driver.
 
 Defined results: a text without a word (null, empty, no letter) gets the score 0; label rows with null key or a label other
 than 0 and 1 are not used; a key with both labels counts once with each, a key with several texts with the smallest one;
@@ -21,7 +21,7 @@ repeat and each gets its score; other columns stay, and columns named like an ad
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +36,7 @@ LETTER = re.compile(r"[^\W\d_]")
 SHORTEST, LONGEST = 3, 5
 SLICE_CHARS = 1_000_000
 WORDS_KEPT = 300_000
+WORDS_AT_ONCE = 50_000
 
 
 @dataclass
@@ -88,9 +89,10 @@ def _means(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def _passages(sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word, word after the last one, and text of every run of `width` words (of a shorter text: the whole of it)."""
     number = np.maximum(sizes - width + 1, 1)
-    text = np.repeat(np.arange(len(sizes)), number)
-    first = np.repeat(np.cumsum(sizes) - sizes, number) + np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number)
-    return first, first + np.minimum(sizes, width)[text], text
+    text = np.repeat(np.arange(len(sizes), dtype=np.int32), number)
+    shift = np.cumsum(sizes) - sizes - (np.cumsum(number) - number)
+    first = np.arange(len(text), dtype=np.int32) + shift.astype(np.int32)[text]
+    return first, first + np.minimum(sizes, width).astype(np.int32)[text], text
 
 
 def _within(last: np.ndarray, first: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -111,9 +113,13 @@ def train(texts: list[list[str]], labels: list[int], passage: int = 2, buckets:
         return Model(np.zeros((1, dim), np.float32), np.zeros((dim, 2), np.float32), 0.0, passage, float(np.mean(labels)) if labels else 0.0)
     names: dict[str, int] = {}
     flat = np.fromiter((names.setdefault(w, len(names)) for t, _ in kept for w in t), np.int32)
-    grams, per_word = ngram_buckets(list(names), buckets)
+    parts = [ngram_buckets(list(names)[a:a + WORDS_AT_ONCE], buckets) for a in range(0, len(names), WORDS_AT_ONCE)]
+    grams, per_word = (np.concatenate(x) for x in zip(*parts))
+    words = len(names)
+    del names, parts
     first, last, text = _passages(np.fromiter((len(t) for t, _ in kept), np.int64, len(kept)), passage)
-    length, starts = last - first, np.searchsorted(text, np.arange(len(kept)))
+    length, starts = (last - first).astype(np.float32), np.searchsorted(text, np.arange(len(kept)))
+    del kept
     share = (0.5 / np.bincount(y, minlength=2))[y]  # both labels weigh the same
     out = [rng.uniform(-0.5 / dim, 0.5 / dim, (buckets, dim)).astype(np.float32), rng.normal(0, 0.5, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)]
     mean, square = [np.zeros_like(p) for p in out], [np.zeros_like(p) for p in out]
@@ -121,14 +127,15 @@ def train(texts: list[list[str]], labels: list[int], passage: int = 2, buckets:
         embeddings, softmax, bias = out
         here = (rng.random(buckets) < keep).astype(np.float32) / np.float32(keep)
         of_word = _means((embeddings @ (softmax[:, 1] - softmax[:, 0]) * here)[grams], per_word)
-        odds = _within(last, first, of_word[flat]) / length + (bias[1] - bias[0])
-        heat = odds * (sharpest * (step - 1) / rounds)
+        odds = _within(last, first, of_word[flat]).astype(np.float32) / length + (bias[1] - bias[0])
+        heat = odds * np.float32(sharpest * (step - 1) / rounds)
         weight = np.exp(heat - np.maximum.reduceat(heat, starts)[text])
-        weight *= (share / np.add.reduceat(weight, starts))[text]
-        miss = (1 / (1 + np.exp(-np.clip(odds, -50, 50))) - y[text]) * weight  # slope of the loss by the logit of label 1; label 0 has its negative
+        weight *= (share / np.add.reduceat(weight, starts)).astype(np.float32)[text]
+        # slope of the loss by the logit of label 1; label 0 has its negative
+        miss = (1 / (1 + np.exp(-np.clip(odds, -50, 50))) - y.astype(np.float32)[text]) * weight
         per = miss / length
         by_place = np.cumsum(np.bincount(first, per, len(flat) + 1) - np.bincount(last, per, len(flat) + 1))[:-1]
-        by_word = np.bincount(flat, by_place, len(names)) / per_word
+        by_word = (np.bincount(flat, by_place, words) / per_word).astype(np.float32)
         by_gram = np.bincount(grams, np.repeat(by_word, per_word), buckets).astype(np.float32) * here
         slope = np.stack([-by_gram, by_gram], axis=1)
         total = np.float32(miss.sum())
@@ -164,25 +171,35 @@ def scores(model: Model, texts: Iterable[str | None], memory: dict | None = None
     return out
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, rows: tuple[int, int], chars: int, key: str = "doc_id", text: str = "text") -> list:
-    """(text, label) of the first rows of each label by the hash of the key: at most `rows[label]` and `chars` code points each."""
+def sample(docs: DataFrame, labels: DataFrame, label: str, rows: tuple[int, int], chars: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(t, y): text and label of the first rows of each label by the hash of the key, at most `rows[label]` and `chars` code points
+    each, in that order in one partition."""
     pairs = labels.select(F.col(key).cast("bigint").alias("k"), F.col(label).cast("int").alias("y")).where("k IS NOT NULL AND y IN (0, 1)").distinct()
     by_hash = [F.xxhash64("k"), F.col("k")]
     ids = [tuple(r) for y in (0, 1) for r in pairs.where(F.col("y") == y).orderBy(*by_hash).limit(rows[y]).collect()]
-    if not ids:
-        return []
     wanted = F.broadcast(docs.sparkSession.createDataFrame(ids, "k bigint, y int"))  # rows[0] + rows[1] rows at most
     found = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()).join(wanted, "k") \
         .groupBy("k", "y").agg(F.min("t").alias("t"))
     so_far = Window.partitionBy("y").orderBy(*by_hash).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bounded = found.withColumn("n", F.sum(F.char_length("t")).over(so_far)).where(F.col("n") <= chars)
-    return [(r["t"], r["y"]) for r in bounded.orderBy("y", *by_hash).collect()]
+    return bounded.repartition(1).sortWithinPartitions("y", *by_hash).select("t", "y")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: tuple[int, int] = (4000, 2000), chars: int = 16_000_000, **options) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: tuple[int, int] = (4000, 2000), chars: int = 12_000_000, **options) -> Model:
     """Learn `label` (0 or 1) of the labelled keys from their texts; `rows` and `chars` bound the sample of each label."""
-    pairs = sample(docs, labels, label, rows, chars)
-    return train([words_of(t) for t, _ in pairs], [y for _, y in pairs], **options)
+    def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        texts, labels = [], []
+        for frame in frames:
+            texts += [words_of(t) for t in frame["t"]]
+            labels += frame["y"].tolist()
+        m = train(texts, labels, **options)
+        yield pd.DataFrame({"e": [m.embeddings.tobytes()], "s": [m.softmax.tobytes()], "bias": [m.bias], "passage": [m.passage], "constant": [m.constant]})
+
+    got = sample(docs, labels, label, rows, chars).mapInPandas(learn, "e binary, s binary, bias double, passage int, constant double").first()
+    if got is None:
+        return train([], [], **options)
+    softmax = np.frombuffer(got["s"], np.float32).reshape(-1, 2)
+    return Model(np.frombuffer(got["e"], np.float32).reshape(-1, len(softmax)), softmax, got["bias"], got["passage"], got["constant"])
 
 
 def toxicity(model: Model, text: Column, spark) -> Column:
