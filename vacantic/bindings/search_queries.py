@@ -10,7 +10,7 @@ from vacantic.bindings.registry import POSTINGS, SOURCES, query
 from vacantic.operators import search
 from vacantic.operators.scale import group_rank
 from vacantic.operators.search import FilterSpec
-from vacantic.plans import publish
+from vacantic.plans import publish, state
 
 _STARTUPS = ["Customer#000000001", "Customer 000000005", "customer-000000010"]
 _SLUG = "trim(regexp_replace(lower(company_name), '[^a-z0-9]+', '-', 'g'), '-')"
@@ -253,6 +253,20 @@ def save_state(spark, sf):
     return read_state(spark, path)["events"].groupBy("event_type").agg(F.count("*").alias("rows"))
 
 
+@query("save_buckets", "SELECT user_id::VARCHAR AS source_id, count(*) AS rows, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id")
+def save_buckets(spark, sf):
+    """Three batches of events into a state in hash buckets: each reads and rewrites the buckets of its own users only."""
+    path = publish.scratch_folder(spark, "buckets")
+    e = t.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("source_id"), "event_id", "event_type", "ts")
+    layout = state.Layout("source_id", within="event_id", spread=2)
+    for low, high in (("2000-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2100-01-01")):
+        batch = e.where((F.col("ts") >= t.ts(f"{low} 00:00:00")) & (F.col("ts") < t.ts(f"{high} 00:00:00")))
+        touched = layout.touched(batch.select("source_id"), 64)
+        known = state.read_table(spark, path, "events", touched)
+        state.commit(spark, path, {"events": (batch if known is None else known.unionByName(batch), layout, touched)}, buckets=64)
+    return state.read_table(spark, path, "events").groupBy("source_id").agg(F.count("*").alias("rows"), F.countDistinct("event_type").alias("kinds"))
+
+
 @query("state_counts", f"""
 WITH {POSTINGS}, {SOURCES} SELECT (SELECT count(*) FROM post WHERE lifecycle = 'open') AS open_jobs, (SELECT count(*) FROM post) AS total_jobs, (SELECT count(*) FROM customer) AS companies,
   count(*) FILTER (WHERE enabled) AS sources, count(*) FILTER (WHERE enabled AND health_status = 'healthy') AS healthy_sources, count(DISTINCT adapter) FILTER (WHERE enabled) AS adapters FROM src""")

@@ -369,7 +369,7 @@ READERS: dict[str, Reader] = {
 
 def union_sources(payloads: DataFrame, readers: dict[str, Reader] | None = None) -> DataFrame:
     """All formats as one raw table; the adapter name picks the reader."""
-    tables = [reader(payloads) for _, reader in sorted((readers or READERS).items())]
+    tables = [reader(payloads) for _, reader in sorted((READERS if readers is None else readers).items())]
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t, allowMissingColumns=True)
