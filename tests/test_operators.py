@@ -351,10 +351,70 @@ def test_a_poll_in_two_batches_and_a_late_poll(spark):
     state = track.empty_state(spark)
     for batch in ([(1, "a"), (2, "a")], [(1, "b"), (2, "c"), (4, "a")], [(4, "b"), (3, "z"), (2, "b")]):
         state = {k: spark.createDataFrame(v.collect(), v.schema) for k, v in track.apply_batch(state, _landing(spark, batch)).items()}
-    got = {r.posting_id: (r.miss_count, r.first_seen_at, r.last_seen_at) for r in track.current_lifecycle(state).collect()}
+    got = {r.posting_id: (r.miss_count, r.first_seen_at, r.last_seen_at, r.state) for r in track.current_lifecycle(state).collect()}
     at = lambda d: T0 + dt.timedelta(days=d)
-    assert got == {"a": (0, at(1), at(4)), "b": (0, at(1), at(4)), "c": (1, at(2), at(2))}
-    assert [(r.poll_ts, r.posting_id) for r in state["late_rows"].collect()] == [(at(3), "z")]  # never numbered, but kept
+    # the poll of day 3 came last; it counts as the third one
+    assert got == {"a": (0, at(1), at(4), "open"), "b": (0, at(1), at(4), "open"), "c": (2, at(2), at(2), "suspected_closed"), "z": (1, at(3), at(3), "open")}
+
+
+def test_polls_in_random_order_equal_the_ordered_run(spark):
+    import random
+    polls, seen = _history(5)
+    want, _ = _simulate(polls, seen)
+    rows = [(s, at, o, None, None) for s, at, o in polls] + [(s, at, "ok", p, "h") for s, p, at in seen]
+    random.Random(2).shuffle(rows)
+    state, cut = track.empty_state(spark), len(rows) // 3 + 1
+    for i in range(0, len(rows), cut):
+        batch = spark.createDataFrame(rows[i:i + cut], track.LANDING)
+        state = {k: spark.createDataFrame(v.collect(), v.schema) for k, v in track.apply_batch(state, batch).items()}
+    got = {(r.source_id, r.posting_id): (r.miss_count, r.state, r.reopened_at, r.times_reopened) for r in track.current_lifecycle(state).collect()}
+    assert got == {k: (r["misses"], r["state"], r["reopened"], r["times"]) for k, r in want.items()}
+
+
+def test_numbers_by_slices(spark):
+    rows = [(s, T0 + dt.timedelta(hours=7 * i)) for s in ("a", "b", None) for i in range(40) if (i + len(s or "")) % 3]
+    got = {(r.source_id, r.poll_ts): (r.poll_no, r.polls) for r in track.number_by_slices(spark.createDataFrame(rows[:52], track.POLLS)).collect()}
+    for s in ("a", "b"):
+        mine = sorted(at for x, at in rows[:52] if x == s)
+        assert [got[s, at] for at in mine] == [(i, len(mine)) for i in range(1, len(mine) + 1)]
+
+
+class Counted(dict):
+    """A mapping that counts the keys it is asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.touched = 0
+
+    def get(self, key, default=None):
+        self.touched += 1
+        return super().get(key, default)
+
+    def __iter__(self):
+        raise AssertionError("walked")
+
+
+def test_a_poll_touches_only_postings_that_come_go_or_are_due():
+    down, due, before, rng = Counted(), Counted(), set(), __import__("random").Random(4)
+    misses, want, got = {}, [], []
+    for number in range(1, 60):
+        listed = {f"p{i}" for i in range(2000) if rng.random() < (0.999 if i % 50 else 0.6)} if number != 30 else set()
+        down.touched, waiting = 0, set(dict.get(due, number) or [])
+        moves = list(track.lifecycle_step(number, before, listed, down, due))
+        got += [(number, *m) for m in moves]
+        changed = len(listed - before) + len(before - listed)
+        assert down.touched <= changed + len(waiting)  # 2000 postings are known
+        for p in list(misses):
+            if p not in listed:
+                misses[p] += 1
+                if misses[p] in (2, 4):
+                    want.append((number, p, "suspected_closed" if misses[p] == 2 else "closed", misses[p]))
+        for p in listed:
+            if p not in misses or misses[p] >= 2:
+                want.append((number, p, "open" if p not in misses else "reopened", 0))
+            misses[p] = 0
+        before = listed
+    assert sorted(got) == sorted(want)
 
 
 def test_an_unhealthy_source_closes_nothing(spark):

@@ -363,11 +363,10 @@ SELECT n.source_id, n.posting_id, n.miss_count, n.state, {_ts('b.reopened_at', '
 FROM now n LEFT JOIN back b USING (source_id, posting_id)""")
 def track_stream(spark, sf):
     """The incremental run over three landed batches, one micro-batch each."""
-    from vacantic.sources.seeds import read_state
     root = scratch_folder(spark, "track")
     land(spark, sf, f"{root}/landing")
     track.track_stream(spark, f"{root}/landing", f"{root}/state", f"{root}/offsets", files_per_batch=1).awaitTermination()
-    return track.current_lifecycle(read_state(spark, f"{root}/state")).select(
+    return track.current_lifecycle(track.read_tracked(spark, f"{root}/state")).select(
         "source_id", "posting_id", "miss_count", "state", stamp("reopened_at"), "times_reopened")
 
 
@@ -387,7 +386,23 @@ def track_split_polls(spark, sf):
             batch = rows.where(half == part).unionByName(polls).where((F.col("poll_ts") >= low) & (F.col("poll_ts") < high))
             state = {k: durable(v) for k, v in track.apply_batch(state, batch).items()}
     return track.current_lifecycle(state).select("source_id", "posting_id", "miss_count", "state", stamp("reopened_at"), "times_reopened") \
-        .withColumn("late", F.lit(state["late_rows"].count()))
+        .withColumn("late", F.lit(state["sightings"].join(state["polls"], ["source_id", "poll_ts"], "left_anti").count()))
+
+
+@query("track_late_polls", f"""
+WITH {GRID}, back AS (SELECT source_id, posting_id, max(d) AS reopened_at, count(*) AS times FROM st WHERE hit = 1 AND before >= 2 GROUP BY ALL),
+now AS (SELECT source_id, posting_id, arg_max(misses, d) AS miss_count, arg_max(state, d) AS state FROM st GROUP BY ALL)
+SELECT n.source_id, n.posting_id, n.miss_count, n.state, {_ts('b.reopened_at', 'reopened_at')}, coalesce(b.times, 0) AS times_reopened
+FROM now n LEFT JOIN back b USING (source_id, posting_id)""")
+def track_late_polls(spark, sf):
+    """Polls land in random order: four batches chosen by a hash of source and poll, so that most polls come after later ones."""
+    root = scratch_folder(spark, "late")
+    rows = t.sightings(spark, sf).select("source_id", "poll_ts", F.lit("ok").alias("outcome"), "posting_id", F.sha2("posting_id", 256).alias("content_hash"))
+    for part in range(4):
+        rows.where(F.pmod(F.xxhash64("source_id", "poll_ts"), F.lit(4)) == part).coalesce(1).write.mode("append").parquet(f"{root}/landing")
+    track.track_stream(spark, f"{root}/landing", f"{root}/state", f"{root}/offsets", files_per_batch=1).awaitTermination()
+    return track.current_lifecycle(track.read_tracked(spark, f"{root}/state")).select(
+        "source_id", "posting_id", "miss_count", "state", stamp("reopened_at"), "times_reopened")
 
 
 @query("run_events", _UPSERT + """, s AS (SELECT o_orderkey, job_id, title, h, o_orderstatus FROM old), n AS (SELECT job_id, h2 FROM new)

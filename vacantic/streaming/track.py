@@ -5,94 +5,116 @@ posting_id, content_hash)`, with `health_status` where the source's health gates
 closing; a poll without postings, or one that failed, is a row with a null
 posting_id.
 
-State holds per source the number of successful polls, the numbers of its last
-`RECENT_POLLS` polls, and per posting the number of the poll that saw it last.  A
-batch touches only the postings it lists; misses of all others follow from the two
-numbers when the state is read.  A poll may arrive in several batches: its rows get
-the number it has.  A poll older than the newest one that was never numbered comes
-too late to be counted as a poll; its rows are kept in the table `late_rows`.
+State holds the polls that count, the sightings as they came, and per posting its
+first and last sighting.  Nothing in it depends on the number of a poll: numbers are
+an order statistic of the polls (polls per day and source, summed up, plus the place
+within the day) taken when the state is read.  So polls and parts of polls may come
+in any order and however late; a late poll shifts the numbers after it without a
+rewrite, and a batch touches only the sources and postings it lists.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, MutableMapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from vacantic.operators.lifecycle import lifecycle_state, telling
-from vacantic.plans.publish import save_state
+from vacantic.plans.state import BUCKETS, Layout, commit, read_appended, read_table
 from vacantic.rules import MISSES_CLOSED, MISSES_SUSPECTED
-from vacantic.sources.seeds import current_snapshot, read_state
+from vacantic.sources.seeds import current_snapshot
 
 LANDING = "source_id string, poll_ts timestamp, outcome string, posting_id string, content_hash string"
-RECENT_POLLS = 200  # per source; a poll's rows may arrive while it is among them
-SOURCES = "source_id string, polls long, last_poll_ts timestamp"
-RECENT = "source_id string, poll_ts timestamp, poll_no long"
-LATE = "source_id string, poll_ts timestamp, posting_id string, content_hash string"
-POSTINGS = ("source_id string, posting_id string, first_seen_at timestamp, last_seen_at timestamp, last_no long, "
-            "content_hash string, reopened_at timestamp, times_reopened long, last_changed_at timestamp")
+POLLS = "source_id string, poll_ts timestamp"
+SIGHTINGS = "source_id string, posting_id string, poll_ts timestamp, content_hash string"
+POSTINGS = "source_id string, posting_id string, first_seen_at timestamp, last_seen_at timestamp, content_hash string"
+BY_SOURCE, BY_POSTING = Layout("source_id"), Layout("source_id", within="posting_id", spread=8)
 
 
 def empty_state(spark: SparkSession) -> dict[str, DataFrame]:
-    return {"source_polls": spark.createDataFrame([], SOURCES), "recent_polls": spark.createDataFrame([], RECENT),
-            "late_rows": spark.createDataFrame([], LATE), "postings": spark.createDataFrame([], POSTINGS)}
-
-
-def apply_batch(state: dict[str, DataFrame], batch: DataFrame, suspected: int = MISSES_SUSPECTED) -> dict[str, DataFrame]:
-    """K1: state after one micro-batch of landed snapshots; one shuffle by source, one by (source, posting)."""
-    known, recent = state["source_polls"], state["recent_polls"]
-    good = telling(batch)
-    listed = good.select("source_id", "poll_ts").distinct().join(recent, ["source_id", "poll_ts"], "left").join(known, "source_id", "left")
-    # batches hold few polls per source: number the new ones after the ones already known
-    w = Window.partitionBy("source_id").orderBy("poll_ts")
-    newer = F.col("poll_no").isNull() & (F.col("last_poll_ts").isNull() | (F.col("poll_ts") > F.col("last_poll_ts")))
-    fresh = listed.where(newer).select("source_id", "poll_ts", (F.row_number().over(w) + F.coalesce("polls", F.lit(0))).cast("long").alias("poll_no"))
-    polls = fresh.unionByName(listed.where("poll_no is not null").select("source_id", "poll_ts", "poll_no"))
-    too_late = listed.where(F.col("poll_no").isNull() & (F.col("poll_ts") <= F.col("last_poll_ts"))).select("source_id", "poll_ts")
-    late = state["late_rows"].unionByName(good.join(too_late, ["source_id", "poll_ts"], "left_semi").select("source_id", "poll_ts", "posting_id", "content_hash"))
-    per_source = fresh.groupBy("source_id").agg(F.max("poll_no").alias("b_polls"), F.max("poll_ts").alias("b_ts"))
-    sources = known.join(per_source, "source_id", "full_outer").select(
-        "source_id", F.coalesce("b_polls", "polls").cast("long").alias("polls"), F.coalesce("b_ts", "last_poll_ts").alias("last_poll_ts"))
-    remembered = recent.unionByName(fresh).join(sources.select("source_id", "polls"), "source_id") \
-        .where(F.col("poll_no") > F.col("polls") - RECENT_POLLS).select("source_id", "poll_ts", "poll_no")
-
-    seen = good.where(F.col("posting_id").isNotNull()).groupBy("source_id", "posting_id", "poll_ts").agg(
-        F.max("content_hash").alias("content_hash")).join(polls, ["source_id", "poll_ts"])
-    old = state["postings"].withColumnsRenamed({c: f"o_{c}" for c in state["postings"].columns if c not in ("source_id", "posting_id")})
-    by_posting = Window.partitionBy("source_id", "posting_id").orderBy("poll_no")
-    steps = seen.join(old.select("source_id", "posting_id", "o_last_no", "o_content_hash"), ["source_id", "posting_id"], "left") \
-        .withColumn("prev_no", F.coalesce(F.lag("poll_no").over(by_posting), F.col("o_last_no"))) \
-        .withColumn("prev_hash", F.coalesce(F.lag("content_hash").over(by_posting), F.col("o_content_hash")))
-    back = F.col("prev_no").isNotNull() & (F.col("poll_no") - F.col("prev_no") - 1 >= suspected)
-    moved = (F.col("poll_no") > F.col("prev_no")) & ~F.col("prev_hash").eqNullSafe(F.col("content_hash"))
-    new = steps.groupBy("source_id", "posting_id").agg(
-        F.min("poll_ts").alias("n_first"), F.max("poll_ts").alias("n_last"), F.max("poll_no").alias("n_no"),
-        F.max_by("content_hash", "poll_no").alias("n_hash"), F.max(F.when(back, F.col("poll_ts"))).alias("n_reopened"),
-        F.count_if(back).alias("n_times"), F.max(F.when(moved, F.col("poll_ts"))).alias("n_changed"))
-    # rows of a poll that is not the newest one may come after newer sightings
-    later = F.coalesce(F.col("n_no") >= F.col("o_last_no"), F.col("n_no").isNotNull())
-    postings = old.join(new, ["source_id", "posting_id"], "full_outer").select(
-        "source_id", "posting_id", F.least("o_first_seen_at", "n_first").alias("first_seen_at"),
-        F.greatest("n_last", "o_last_seen_at").alias("last_seen_at"), F.greatest("n_no", "o_last_no").cast("long").alias("last_no"),
-        F.when(later, F.col("n_hash")).otherwise(F.col("o_content_hash")).alias("content_hash"),
-        F.greatest("n_reopened", "o_reopened_at").alias("reopened_at"),
-        (F.coalesce("o_times_reopened", F.lit(0)) + F.coalesce("n_times", F.lit(0))).cast("long").alias("times_reopened"),
-        F.greatest("n_changed", "o_last_changed_at").alias("last_changed_at"))
-    return {"source_polls": sources, "recent_polls": remembered, "late_rows": late, "postings": postings}
+    return {"polls": spark.createDataFrame([], POLLS), "sightings": spark.createDataFrame([], SIGHTINGS), "postings": spark.createDataFrame([], POSTINGS)}
+
+
+def new_rows(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Polls of a batch that count, and its sightings (one per posting and poll)."""
+    good = telling(batch).where(F.col("source_id").isNotNull() & F.col("poll_ts").isNotNull())
+    seen = good.where(F.col("posting_id").isNotNull()).groupBy("source_id", "posting_id", "poll_ts").agg(F.max("content_hash").alias("content_hash"))
+    return good.select("source_id", "poll_ts").distinct(), seen
+
+
+def merge_polls(known: DataFrame, polls: DataFrame) -> DataFrame:
+    return known.unionByName(polls).distinct()
+
+
+def merge_postings(known: DataFrame, seen: DataFrame) -> DataFrame:
+    """First and last sighting per posting; the content is that of the last one."""
+    last = F.max(F.struct("poll_ts", "content_hash"))
+    new = seen.groupBy("source_id", "posting_id").agg(F.min("poll_ts").alias("first_seen_at"), last.alias("_l")).select(
+        "source_id", "posting_id", "first_seen_at", F.col("_l.poll_ts").alias("last_seen_at"), F.col("_l.content_hash").alias("content_hash"))
+    return known.unionByName(new).groupBy("source_id", "posting_id").agg(
+        F.min("first_seen_at").alias("first_seen_at"), F.max(F.struct("last_seen_at", "content_hash")).alias("_l")).select(
+        "source_id", "posting_id", "first_seen_at", "_l.last_seen_at", "_l.content_hash")
+
+
+def apply_batch(state: dict[str, DataFrame], batch: DataFrame) -> dict[str, DataFrame]:
+    """K1: state after one micro-batch of landed snapshots, in any order of polls."""
+    polls, seen = new_rows(batch)
+    return {"polls": merge_polls(state["polls"], polls), "sightings": state["sightings"].unionByName(seen),
+            "postings": merge_postings(state["postings"], seen)}
+
+
+def number_by_slices(polls: DataFrame) -> DataFrame:
+    """`poll_no` of distinct (source_id, poll_ts), and `polls`, the number of the source's last one.
+
+    A number is the polls of earlier days plus the place within the day.  The windows hold a source's days and a day's
+    polls, never a source's history.
+    """
+    day = polls.withColumn("_day", F.to_date("poll_ts"))
+    counts = day.groupBy("source_id", "_day").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("source_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    slices = counts.select("source_id", "_day", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+                           F.sum("_n").over(Window.partitionBy("source_id")).alias("polls"))
+    place = F.row_number().over(Window.partitionBy("source_id", "_day").orderBy("poll_ts"))
+    return day.withColumn("_place", place).join(slices, ["source_id", "_day"]).select(
+        "source_id", "poll_ts", (F.col("_before") + F.col("_place")).cast("long").alias("poll_no"), F.col("polls").cast("long").alias("polls"))
 
 
 def current_lifecycle(state: dict[str, DataFrame], suspected: int = MISSES_SUSPECTED, closed: int = MISSES_CLOSED) -> DataFrame:
-    """State, miss count and times per posting, from the two numbers."""
-    out = state["postings"].join(state["source_polls"].select("source_id", "polls"), "source_id")
-    misses = (F.col("polls") - F.col("last_no")).cast("long")
-    return out.select("source_id", "posting_id", "first_seen_at", "last_seen_at", misses.alias("miss_count"),
-                      lifecycle_state(misses, suspected, closed).alias("state"), "reopened_at", "times_reopened")
+    """State, miss count and times per posting: misses from its last sighting's number, returns from the gaps of its sightings."""
+    numbers = number_by_slices(state["polls"])
+    by_posting = Window.partitionBy("source_id", "posting_id").orderBy("poll_no")
+    steps = state["sightings"].groupBy("source_id", "posting_id", "poll_ts").agg(F.max("content_hash").alias("content_hash")) \
+        .join(numbers.select("source_id", "poll_ts", "poll_no"), ["source_id", "poll_ts"]) \
+        .withColumn("_prev", F.lag("poll_no").over(by_posting)).withColumn("_hash", F.lag("content_hash").over(by_posting))
+    back = F.col("poll_no") - F.col("_prev") - 1 >= suspected
+    moved = F.col("_prev").isNotNull() & ~F.col("_hash").eqNullSafe(F.col("content_hash"))
+    history = steps.groupBy("source_id", "posting_id").agg(
+        F.max(F.when(back, F.col("poll_ts"))).alias("reopened_at"), F.count_if(F.coalesce(back, F.lit(False))).alias("times_reopened"),
+        F.max(F.when(moved, F.col("poll_ts"))).alias("last_changed_at"))
+    last = state["postings"].join(numbers.withColumnRenamed("poll_ts", "last_seen_at"), ["source_id", "last_seen_at"])
+    misses = (F.col("polls") - F.col("poll_no")).cast("long")
+    return last.join(history, ["source_id", "posting_id"]).select(
+        "source_id", "posting_id", "first_seen_at", "last_seen_at", misses.alias("miss_count"),
+        lifecycle_state(misses, suspected, closed).alias("state"), "reopened_at", "times_reopened", "last_changed_at", "content_hash")
+
+
+def read_tracked(spark: SparkSession, path: str) -> dict[str, DataFrame] | None:
+    """The tables of the current version of a tracked state, or None when there is none yet."""
+    if current_snapshot(spark, path) is None:
+        return None
+    return {"polls": read_table(spark, path, "polls"), "postings": read_table(spark, path, "postings"),
+            "sightings": read_appended(spark, path, "sightings").drop("run")}
 
 
 def track_stream(spark: SparkSession, landing: str, state_path: str, checkpoint: str, fmt: str = "parquet",
-                 files_per_batch: int | None = None):
-    """K1: follow a landing folder; every batch becomes a new snapshot of the state, exactly once."""
+                 files_per_batch: int | None = None, buckets: int = BUCKETS):
+    """K1: follow a landing folder; every batch becomes a new version of the state, exactly once.
+
+    Only the buckets of the sources and postings a batch lists are read and written; its sightings are appended.
+    """
     reader = spark.readStream.schema(LANDING).format(fmt)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -100,12 +122,20 @@ def track_stream(spark: SparkSession, landing: str, state_path: str, checkpoint:
 
     def step(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        now = current_snapshot(session, state_path)
-        if now is not None and now.get("batch_id") is not None and now["batch_id"] >= batch_id:
-            return  # replay of a batch whose snapshot is already current
-        state = read_state(session, state_path) or empty_state(session)
+        now = current_snapshot(session, state_path) or {}
+        if now.get("marks", {}).get("batch_id", -1) >= batch_id:
+            return  # replay of a batch whose version is already current
         batch.persist()
-        save_state(session, state_path, apply_batch(state, batch), batch_id)
+        polls, seen = new_rows(batch)
+        n, empty = now.get("buckets", buckets), empty_state(session)
+        by_source = BY_SOURCE.touched(polls.select("source_id"), n)
+        first = F.pmod(F.xxhash64("source_id"), F.lit(n)) + F.pmod(F.xxhash64("posting_id"), F.lit(BY_POSTING.spread))
+        by_posting = sorted(r[0] for r in seen.select(F.pmod(first, F.lit(n)).cast("int")).distinct().collect())
+        known = {name: read_table(session, state_path, name, touched) for name, touched in (("polls", by_source), ("postings", by_posting))}
+        known = {name: empty[name] if table is None else table for name, table in known.items()}
+        commit(session, state_path, {"polls": (merge_polls(known["polls"], polls), BY_SOURCE, by_source),
+                                     "postings": (merge_postings(known["postings"], seen), BY_POSTING, by_posting)},
+               {"sightings": seen}, {"batch_id": batch_id}, n)
         batch.unpersist()
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -123,33 +153,98 @@ def arrivals_stream(landing: DataFrame, key: str = "posting_id", watermark: str
 LIFECYCLE_OUT = "source_id string, posting_id string, state string, miss_count long, at_micros long"
 
 
+def lifecycle_step(number: int, before: set, listed: set, down: MutableMapping, due: MutableMapping,
+                   suspected: int = MISSES_SUSPECTED, closed: int = MISSES_CLOSED) -> Iterable[tuple[str, str, int]]:
+    """State changes (posting, state, misses) of poll `number`, which lists `listed` after the last one listed `before`.
+
+    `down`: number of the last sighting of each posting that is not listed now.  `due`: postings whose decisive miss falls
+    on a poll number, if they are not seen until then.  Only postings that come, go or are due are looked up.
+    """
+    for name in listed - before:
+        last = down.get(name)
+        if last is None:
+            yield name, "open", 0
+        else:
+            del down[name]
+            if number - last - 1 >= suspected:
+                yield name, "reopened", 0
+    gone = sorted(before - listed)
+    for name in gone:
+        down[name] = number - 1
+    if gone:
+        for misses in (suspected, closed):
+            at = number - 1 + misses
+            if at > number:
+                due[at] = [*(due.get(at) or []), *gone]
+    waiting = due.get(number)
+    for name in sorted({*(waiting or []), *(gone if 1 in (suspected, closed) else [])}):
+        last = down.get(name)
+        state = {closed: "closed", suspected: "suspected_closed"}.get(number - last) if last is not None else None
+        if state:
+            yield name, state, number - last
+    if waiting is not None:
+        del due[number]
+
+
+class _MapView(MutableMapping):
+    """A state map with one key and one value column as a mapping; it is never walked."""
+
+    def __init__(self, state):
+        self.state = state
+
+    def get(self, key, default=None):
+        return self.state.getValue((key,))[0] if self.state.containsKey((key,)) else default
+
+    __getitem__ = get
+
+    def __setitem__(self, key, value):
+        self.state.updateValue((key,), (value,))
+
+    def __delitem__(self, key):
+        self.state.removeKey((key,))
+
+    def __iter__(self):
+        raise TypeError("not walked")
+
+    __len__ = None
+
+
 def lifecycle_processor(suspected: int = MISSES_SUSPECTED, closed: int = MISSES_CLOSED):
-    """K2 for low latency: emits every state change as its poll arrives; one map of postings per (source, part)."""
+    """K2 for low latency: emits every state change as its poll arrives, by poll numbers per (source, part).
+
+    A poll that is not newer than the part's last one is not counted.
+    """
     from pyspark.sql.streaming import StatefulProcessor
 
+    names = T.ArrayType(T.StringType())
+
     class Lifecycle(StatefulProcessor):
         def init(self, handle) -> None:
-            value = T.StructType([T.StructField("misses", T.LongType())])
-            self.misses = handle.getMapState("misses", "posting_id string", value)
+            one = lambda name, kind: T.StructType([T.StructField(name, kind)])
+            self.last = handle.getValueState("last", T.StructType([T.StructField("number", T.LongType()), T.StructField("at", T.LongType()),
+                                                                   T.StructField("listed", names)]))
+            self.down = handle.getMapState("down", "posting_id string", one("number", T.LongType()))
+            self.due = handle.getMapState("due", "number long", one("postings", names))
 
         def handleInputRows(self, key, rows, timerValues):
             import pandas as pd
-            data = pd.concat(list(rows))
-            out = []
-            for at, poll in data.groupby("poll_micros", sort=True):
-                listed = set(poll["posting_id"].dropna())
-                held = {k[0]: v[0] for k, v in self.misses.iterator()}
-                for name in held.keys() - listed:
-                    self.misses.updateValue((name,), (held[name] + 1,))
-                    state = {suspected: "suspected_closed", closed: "closed"}.get(held[name] + 1)
-                    if state:
-                        out.append((key[0], name, state, held[name] + 1, int(at)))
-                for name in listed:
-                    if name not in held:
-                        out.append((key[0], name, "open", 0, int(at)))
-                    elif held[name] >= suspected:
-                        out.append((key[0], name, "reopened", 0, int(at)))
-                    self.misses.updateValue((name,), (0,))
+            polls: dict[int, set] = {}
+            for frame in rows:
+                for at, name in zip(frame["poll_micros"].tolist(), frame["posting_id"].tolist()):
+                    listed = polls.setdefault(at, set())
+                    if name is not None and name == name:  # neither null nor NaN
+                        listed.add(name)
+            number, newest, before = self.last.get() if self.last.exists() else (0, None, [])
+            before, out = set(before), []
+            for at in sorted(polls):
+                if newest is not None and at <= newest:
+                    continue
+                number, newest = number + 1, at
+                for name, state, misses in lifecycle_step(number, before, polls[at], _MapView(self.down), _MapView(self.due), suspected, closed):
+                    out.append((key[0], name, state, misses, at))
+                before = polls[at]
+            if newest is not None:
+                self.last.update((number, newest, sorted(before)))
             if out:
                 yield pd.DataFrame(out, columns=["source_id", "posting_id", "state", "miss_count", "at_micros"])
 
