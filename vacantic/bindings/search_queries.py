@@ -10,7 +10,7 @@ from vacantic.bindings.registry import POSTINGS, SOURCES, query
 from vacantic.operators import search
 from vacantic.operators.scale import group_rank
 from vacantic.operators.search import FilterSpec
-from vacantic.plans import publish, state
+from vacantic.plans import publish, state, text_index
 
 _STARTUPS = ["Customer#000000001", "Customer 000000005", "customer-000000010"]
 _SLUG = "trim(regexp_replace(lower(company_name), '[^a-z0-9]+', '-', 'g'), '-')"
@@ -124,6 +124,26 @@ def run_search(spark, sf):
     return search.search(base, spec).select("job_id", "title", "company_name")
 
 
+_HAY = "lower(title) || ' ' || lower(company_name) || ' ' || lower(concat_ws(', ', country, nullif(raw, ''))) || ' ' || discipline"
+
+
+@query("search_indexed", f"""
+WITH {POSTINGS}, hit AS (SELECT *, {_HAY} AS hay FROM post),
+a AS (SELECT 'ring 0001' AS q, * FROM (SELECT job_id, title FROM hit WHERE contains(hay, 'ring') AND contains(hay, '0001') ORDER BY posted DESC, job_id LIMIT 40)),
+b AS (SELECT 'ia 99 Customer' AS q, * FROM (SELECT job_id, title FROM hit WHERE contains(hay, 'ia') AND contains(hay, '99') AND contains(hay, 'customer') AND workplace_type = 'remote' ORDER BY title, company_name, job_id LIMIT 40)),
+c AS (SELECT 'nowhere' AS q, job_id, title FROM hit WHERE contains(hay, 'nowhere')),
+d AS (SELECT 'x' AS q, * FROM (SELECT job_id, title FROM hit ORDER BY posted DESC, job_id LIMIT 5))
+SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c UNION ALL SELECT * FROM d""")
+def search_indexed(spark, sf):
+    """Keyword searches over the trigram index: two tokens, tokens of two characters, no hit, no token."""
+    path = publish.scratch_folder(spark, "index")
+    text_index.write_text_index(t.postings(spark, sf), path)
+    specs = [FilterSpec(q="ring 0001", sort="newest", page_size=40), FilterSpec(q="ia 99 Customer", sort="title", workplace_types=["remote"], page_size=40),
+             FilterSpec(q="nowhere", sort="newest", page_size=40), FilterSpec(q="x", sort="newest", page_size=5)]
+    found = [text_index.search_indexed(spark, path, s).select(F.lit(s.q).alias("q"), "job_id", "title") for s in specs]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
 @query("search_newest", f"""
 WITH {POSTINGS} SELECT job_id, title FROM post WHERE posted >= TIMESTAMP '2001-08-05' - INTERVAL 30 DAY ORDER BY posted DESC, job_id LIMIT 10 OFFSET 10""")
 def search_newest(spark, sf):

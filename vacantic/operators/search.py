@@ -82,6 +82,11 @@ def discipline_label(ident: Column, labels: dict[str, str] | None = None) -> Col
     return F.coalesce(lookup(table, ident), spelled)
 
 
+def haystack() -> Column:
+    """The text that D5 searches: title, employer, places and discipline of a posting."""
+    return F.concat_ws(" ", F.lower("title"), F.lower("company_name"), location_text(F.col("locations")), F.col("disciplines.primary"))
+
+
 # --- filter ----------------------------------------------------------------------------------------
 def predicate(spec: FilterSpec, as_of: Column | None = None, last_visit: Column | None = None) -> Column:
     """L1: one Boolean column; cheap equality tests come first, text tests last."""
@@ -104,9 +109,7 @@ def predicate(spec: FilterSpec, as_of: Column | None = None, last_visit: Column
     if spec.regions:
         tests.append(in_region(regions(c("workplace_type"), c("locations")), spec.regions))
     if spec.q.strip():
-        hay = F.concat_ws(" ", F.lower("title"), F.lower("company_name"), location_text(c("locations")),
-                          c("disciplines.primary"))
-        tests.append(match_query(hay, spec.q))
+        tests.append(match_query(haystack(), spec.q))
     out = tests[0]
     for t in tests[1:]:
         out = out & t
