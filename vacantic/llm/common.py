@@ -55,6 +55,20 @@ def word_hashes(words: list):
     return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+def exact_id(name: str) -> list:
+    """Columns `id` (0 for null) and `no_id` of a nullable 64-bit column: pandas would turn a column with nulls into doubles."""
+    from pyspark.sql import functions as F
+    c = F.col(f"`{name}`").cast("bigint")
+    return [F.coalesce(c, F.lit(0)).alias("id"), c.isNull().alias("no_id")]
+
+
+def nullable_ids(ids, no_id):
+    """The ids as a nullable integer array."""
+    import numpy as np
+    import pandas as pd
+    return pd.arrays.IntegerArray(np.asarray(ids, dtype=np.int64), np.asarray(no_id, dtype=bool))
+
+
 def by_chars(texts: list, budget: int) -> list[tuple[int, int]]:
     """Slices of consecutive texts of about `budget` code points; a longer text is a slice of its own."""
     out, start, size = [], 0, 0

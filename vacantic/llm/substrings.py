@@ -56,10 +56,6 @@ def _words(text) -> list:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def _numbers(column: pd.Series) -> list:
-    return [None if pd.isna(x) else int(x) for x in column]
-
-
 def _spans(marks: list) -> list[tuple[int, int]]:
     """Runs (first, last) of sorted window numbers."""
     out: list[list[int]] = []
@@ -82,18 +78,18 @@ def _windows(packed: str, width: int) -> list[str]:
 
 
 def repeated_spans(rows: DataFrame, width: int, m: int, bucket_rows: int) -> DataFrame:
-    """(key, mark, spans): runs of repeated windows per row; `rows` has key, mark (hash of the text) and text."""
+    """(key, mark, spans): runs of repeated windows per row; `rows` has key, mark (hash of the text) and text, none of the first two null."""
     def cut(frames):
         for pdf in frames:
             found = [super_kmers(_words(t), width, m) for t in pdf["text"]]
             sizes = [len(x[0]) for x in found]
             if sum(sizes):
                 yield pd.DataFrame({
-                    "mini": np.concatenate([x[0] for x in found]), "key": pdf["key"].astype("Int64").repeat(sizes).array,
+                    "mini": np.concatenate([x[0] for x in found]), "key": pdf["key"].repeat(sizes).array,
                     "mark": pdf["mark"].repeat(sizes).array, "first": np.concatenate([x[1] for x in found]).astype(np.int32),
                     "n": np.concatenate([x[2] for x in found]).astype(np.int32)})
 
-    listed = stored(rows.mapInPandas(cut, "mini bigint, key bigint, mark int, first int, n int"))
+    listed = stored(rows.mapInPandas(cut, "mini bigint, key bigint, mark bigint, first int, n int"))
     again = stored(listed.groupBy("mini").agg(F.count("*").alias("places")).where("places > 1"))  # stored: the join below can split a hot minimiser
     asked = listed.join(again, "mini").groupBy("key", "mark").agg(F.collect_set(F.struct(
         "first", "n", "mini", (F.col("places") > bucket_rows).alias("hot"))).alias("asked"))
@@ -103,7 +99,7 @@ def repeated_spans(rows: DataFrame, width: int, m: int, bucket_rows: int) -> Dat
         def pack(frames):
             for pdf in frames:
                 out = []
-                for k, mark, text, asked in zip(_numbers(pdf["key"]), pdf["mark"], pdf["text"], pdf["asked"]):
+                for k, mark, text, asked in zip(pdf["key"], pdf["mark"], pdf["text"], pdf["asked"]):
                     asked = [r for r in asked if r["hot"] == hot]
                     if asked:
                         words = [w.decode("utf-8", "surrogatepass") for w in _words(text)]
@@ -115,14 +111,14 @@ def repeated_spans(rows: DataFrame, width: int, m: int, bucket_rows: int) -> Dat
                     yield _frame(out, ["mini", "key", "mark", "first", "packed"])
 
         return rows.join(asked.select(F.col("key").alias("k2"), F.col("mark").alias("m2"), "asked"),
-                         rows["key"].eqNullSafe(F.col("k2")) & (rows["mark"] == F.col("m2"))) \
-            .select("key", "mark", "text", "asked").mapInPandas(pack, "mini bigint, key bigint, mark int, first int, packed string")
+                         (rows["key"] == F.col("k2")) & (rows["mark"] == F.col("m2"))) \
+            .select("key", "mark", "text", "asked").mapInPandas(pack, "mini bigint, key bigint, mark bigint, first int, packed string")
 
     def sort_buckets(frames):
         """Input sorted by minimiser: one bucket after another, each of at most `bucket_rows` strings."""
         def stream():
             for pdf in frames:
-                yield from zip(pdf["mini"], _numbers(pdf["key"]), pdf["mark"], pdf["first"], pdf["packed"])
+                yield from zip(pdf["mini"], pdf["key"], pdf["mark"], pdf["first"], pdf["packed"])
         out = []
         for _, bucket in groupby(stream(), key=lambda r: r[0]):
             bucket = list(bucket)
@@ -142,7 +138,7 @@ def repeated_spans(rows: DataFrame, width: int, m: int, bucket_rows: int) -> Dat
             yield _frame(out, ["key", "mark", "first", "last"])
 
     cold = packed(False).repartition("mini").sortWithinPartitions("mini") \
-        .mapInPandas(sort_buckets, "key bigint, mark int, first int, last int")
+        .mapInPandas(sort_buckets, "key bigint, mark bigint, first int, last int")
 
     def explode(frames):
         for pdf in frames:
@@ -162,9 +158,7 @@ def repeated_spans(rows: DataFrame, width: int, m: int, bucket_rows: int) -> Dat
 
 
 def _frame(rows: list, columns: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=columns)
-    out["key"] = out["key"].astype("Int64")
-    return out
+    return pd.DataFrame(rows, columns=columns)
 
 
 def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 35, m: int = 6,
@@ -174,8 +168,10 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width
         raise ValueError("0 < m <= width is needed")
     named = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed", "kept")]
     rest = [c for c in named if c not in (key, text)]
-    every = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.hash(F.col(f"`{text}`")).alias("mark"),
-                        F.col(f"`{text}`").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else []))
+    ident, words = F.col(f"`{key}`").cast("bigint"), F.col(f"`{text}`")
+    # rows are told apart by (key, 64-bit hash of the text), rows without a key by 128 bits of their text; neither is ever null
+    every = docs.select(F.coalesce(ident, F.xxhash64(F.lit("no key"), words)).alias("key"), F.xxhash64(words).alias("mark"), ident.alias("ident"),
+                        words.alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else []))
     spans = repeated_spans(every.select("key", "mark", "text"), width, m, bucket_rows)
 
     @F.pandas_udf("n_words bigint, n_removed bigint, kept string")
@@ -196,7 +192,7 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width
         return pd.DataFrame({"n_words": total, "n_removed": removed, "kept": kept})
 
     joined = every.join(spans.select(F.col("key").alias("k2"), F.col("mark").alias("m2"), "spans"),
-                        every["key"].eqNullSafe(F.col("k2")) & (every["mark"] == F.col("m2")), "left")
+                        (every["key"] == F.col("k2")) & (every["mark"] == F.col("m2")), "left")
     done = joined.withColumn("clean", clean(F.col("text"), F.col("spans")))
-    back = {key: F.col("key"), text: F.col("text")} | {c: F.col(f"rest.`{c}`") for c in rest}
+    back = {key: F.col("ident"), text: F.col("text")} | {c: F.col(f"rest.`{c}`") for c in rest}
     return done.select(*[back[c].alias(c) for c in named], "clean.n_words", "clean.n_removed", "clean.kept")
