@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacantic.llm.common import free_name, mix64, stored, word_hashes
+from vacantic.llm.common import exact_id, free_name, mix64, nullable_ids, stored, word_hashes
 from vacantic.llm.components import components, in_blocks
 from vacantic.operators.scale import durable
 
@@ -108,15 +108,11 @@ def entries(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _ids(column: pd.Series):
-    return pd.array([None if pd.isna(x) else int(x) for x in column], dtype="Int64")
-
-
 def _members(rows: DataFrame, n: int) -> DataFrame:
     def run(frames):
         for pdf in frames:
             sets = [shingles(t, n) for t in pdf["text"]]
-            yield pd.DataFrame({"id": _ids(pdf["id"]), "node": [set_key(s) for s in sets], "n": [len(s) for s in sets]})
+            yield pd.DataFrame({"id": nullable_ids(pdf["id"], pdf["no_id"]), "node": [set_key(s) for s in sets], "n": [len(s) for s in sets]})
     return rows.mapInPandas(run, "id bigint, node bigint, n bigint")
 
 
@@ -160,8 +156,8 @@ def _sets(rows: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
             if out:
                 yield pd.DataFrame(out, columns=["node", "n", "point", "items"])
 
-    wanted = chosen.select(F.col("id").alias("k"), "node")
-    texts = rows.join(wanted, rows["id"].eqNullSafe(wanted["k"]))
+    wanted = chosen.select(F.coalesce("id", F.lit(0)).alias("k"), F.col("id").isNull().alias("no_k"), "node")
+    texts = rows.join(wanted, (rows["id"] == wanted["k"]) & (rows["no_id"] == wanted["no_k"]))
     return texts.select("text", "node").mapInPandas(run, "node bigint, n bigint, point binary, items binary")
 
 
@@ -274,7 +270,7 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "
     """(key, n_shingles, component_id) of every row: size of its set, and the smallest key that links reach."""
     if not 0 < percent <= 100:
         raise ValueError("percent is a share of 1 to 100")
-    rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
+    rows = docs.select(*exact_id(key), F.col(f"`{text}`").alias("text"))
     members = stored(_members(rows, n))
     w = Window.partitionBy("entry")
     listed = stored(_listed(rows, n, percent).withColumn("hub", F.min("node").over(w)).withColumn("_high", F.max("node").over(w))
