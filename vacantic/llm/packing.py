@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantic.llm.common import process_cache
+from vacantic.llm.common import exact_id, nullable_ids, process_cache
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -143,10 +143,10 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
     def stream(frames):
         enc = encoder(tokenizer_path)
         for pdf in frames:
-            keys, texts = pdf["k"].tolist(), pdf["t"].tolist()
+            keys, texts = [None if n else k for k, n in zip(pdf["id"].tolist(), pdf["no_id"].tolist())], pdf["t"].tolist()
             for s in range(0, len(keys), 256):
                 for k, ids in zip(keys[s:s + 256], enc.encode(texts[s:s + 256])):
-                    yield (None if pd.isna(k) else k), ids + end
+                    yield k, ids + end
 
     def run(frames):
         from pyspark import TaskContext
@@ -164,10 +164,10 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
         if rows:
             yield _frame(rows)
 
-    return docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).mapInPandas(run, SCHEMA)
+    return docs.select(*exact_id(key), F.col(f"`{text}`").alias("t")).mapInPandas(run, SCHEMA)
 
 
 def _frame(rows: list) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-    out["doc_id"] = out["doc_id"].astype("Int64")
+    out = pd.DataFrame([r[1:] for r in rows], columns=["start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+    out.insert(0, "doc_id", nullable_ids([r[0] or 0 for r in rows], [r[0] is None for r in rows]))
     return out
