@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacantic.llm.common import by_chars, stored
+from vacantic.llm.common import by_chars, nullable_ids, stored
 
 N = 4  # three characters of context fill one 64-bit number
 BITS = 21
@@ -66,12 +66,12 @@ def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "
     chars, n = rows.agg(F.sum(F.char_length("text")), F.count("*")).first()
     blocks = max(1, min(n, math.ceil((chars or 0) / block_chars)))
     block = F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.xxhash64("text"))), F.lit(blocks)).cast("int")
-    dealt = rows.withColumn("block", block)
+    dealt = rows.withColumn("block", block).withColumn("no_id", F.col("id").isNull()).withColumn("id", F.coalesce("id", F.lit(0)))
     chosen = target.select(F.col(f"`{key}`").cast("bigint").alias("id")).where("id is not null").distinct().withColumn("text", F.lit(None).cast("string")) \
         .withColumn("block", block).select("block", "id")
 
     def count(_, part: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        inside = part["id"].isin(set(wanted["id"])).to_numpy() & part["id"].notna().to_numpy()
+        inside = part["id"].isin(set(wanted["id"])).to_numpy() & ~part["no_id"].to_numpy(dtype=bool)
         texts, total = _texts(part), {}
         for a, b in by_chars(texts, 2_000_000):
             owner, context, char = _grams(texts[a:b])
@@ -117,7 +117,7 @@ def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "
                 for m in "tg":
                     sums_[m][a:b] = np.bincount(owner, loss[m][at], b - a)
         size = np.where(n_chars, n_chars, np.nan)
-        out = pd.DataFrame({"id": part["id"].astype("Int64"), "n_chars": n_chars, "loss_target": sums_["t"] / size, "loss_background": sums_["g"] / size})
+        out = pd.DataFrame({"id": nullable_ids(part["id"], part["no_id"]), "n_chars": n_chars, "loss_target": sums_["t"] / size, "loss_background": sums_["g"] / size})
         out["score"] = out["loss_target"] - out["loss_background"]
         return out.astype({c: "Float64" for c in ("loss_target", "loss_background", "score")})
 
