@@ -26,11 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantic.llm.common import stored
+from vacantic.llm.common import free_name, stored
 from vacantic.llm.components import components, forest, in_blocks
 from vacantic.operators.scale import durable
 
 MOST_PIVOTS = 4096
+MOST_LENGTHS = 100
 
 
 def _valid(v: str):
@@ -77,7 +78,23 @@ def linked(vectors: np.ndarray, lists: np.ndarray, high: int, least: float, own:
 
 def near_duplicates(table: DataFrame, least: float = 0.9, key: str = "vec_id", vector: str = "embedding", length: int = 8,
                     pivots: int | None = None, block: int = 1024) -> DataFrame:
-    """(key, n_links, component_id, kept) of every row."""
+    """(key, n_links, component_id, kept) of every row; vectors of different lengths are never linked, each length has an index of its own."""
+    size = free_name(table, "_size")
+    sized = table.select(F.col(f"`{key}`").cast("bigint").alias(key), F.col(f"`{vector}`").cast("array<double>").alias(vector))
+    sized = sized.withColumn(size, F.when(_valid(vector), F.size(vector)))
+    sizes = sorted(r[0] for r in sized.where(F.col(size).isNotNull()).select(size).distinct().limit(MOST_LENGTHS + 1).collect())
+    if len(sizes) > MOST_LENGTHS:
+        raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths: not a table of embeddings")
+    if len(sizes) < 2:
+        return _of_one_length(table, least, key, vector, length, pivots, block)
+    out = sized.where(F.col(size).isNull()).select(key, F.lit(0).cast("bigint").alias("n_links"), F.col(key).alias("component_id"), F.lit(True).alias("kept"))
+    for n in sizes:
+        out = out.unionByName(_of_one_length(sized.where(F.col(size) == n), least, key, vector, length, pivots, block))
+    return out
+
+
+def _of_one_length(table: DataFrame, least: float, key: str, vector: str, length: int, pivots: int | None, block: int) -> DataFrame:
+    """The join of the vectors of one length; all others in the table link with nothing."""
     rows = table.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v")).withColumn("ok", _valid("v"))
     # equal vectors are one entry; its number is a hash of the vector
     entry = F.when(F.col("ok"), F.xxhash64("v"))
