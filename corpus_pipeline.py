@@ -14,7 +14,7 @@ from vacantic.llm import jaccard, langid, packing, pii, substrings
 from vacantic.llm.common import free_name, stored
 
 PSEUDONYM_KEY = "sample key; give your own"
-ORACLE_SQL = None  # hyperdimensional profiles, pseudonyms and packing are beyond SQL: tests/llm/test_pipeline.py
+ORACLE_SQL = None  # hyperdimensional profiles, pseudonyms and packing are beyond SQL: tests/llm/test_table_operators.py
 
 
 def _resized(docs: DataFrame, text, columns: list[str]) -> DataFrame:
@@ -35,9 +35,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of windows that repeat anywhere; a text that loses none stays as it is."""
-    columns = docs.columns
-    cleaned = substrings.drop_repeats(docs)
-    return _resized(cleaned, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")), columns)
+    own = {c: free_name(docs, f"_own_{c}") for c in docs.columns if c.lower() in ("n_words", "n_removed", "kept")}
+    cleaned = substrings.drop_repeats(docs.withColumnsRenamed(own))
+    done = _resized(cleaned, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")), [own.get(c, c) for c in docs.columns])
+    return done.withColumnsRenamed({v: c for c, v in own.items()})
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
