@@ -66,9 +66,13 @@ WITH {POSTINGS}, r AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDE
 """
 
 
+# what ranks and sort orders read: ranks write their rows out, so they get no others
+_ORDERED = ["job_id", "company_id", "company_name", "title", "source_posted_at", "first_seen_at"]
+
+
 @query("diversify", _DIVERSE + "SELECT job_id, company_id, company_rank::BIGINT AS company_rank, strftime(top, '%Y-%m-%d') AS top FROM r")
 def diversify(spark, sf):
-    return search.diversify(t.postings(spark, sf)).select(
+    return search.diversify(t.postings(spark, sf).select(*_ORDERED)).select(
         "job_id", "company_id", F.col("company_rank").cast("long").alias("company_rank"), F.date_format("company_top", "yyyy-MM-dd").alias("top"))
 
 
@@ -84,7 +88,7 @@ SELECT job_id, row_number() OVER (ORDER BY posted DESC, job_id) AS newest, row_n
   row_number() OVER (ORDER BY title, company_name, job_id) AS by_title, row_number() OVER (ORDER BY cr, top DESC, company_name, company_id, job_id) AS diverse FROM r""")
 def sort_postings(spark, sf):
     """Position of every posting under each sort mode, by the exact distributed rank."""
-    df = search.diversify(t.postings(spark, sf))
+    df = search.diversify(t.postings(spark, sf).select(*_ORDERED))
     for mode, name in (("newest", "newest"), ("company", "by_company"), ("title", "by_title"), ("diverse", "diverse")):
         df = group_rank(df, [], search.sort_keys(mode), name)
     return df.select("job_id", *[F.col(c).cast("long").alias(c) for c in ("newest", "by_company", "by_title", "diverse")])
