@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import sys
-
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame
 
@@ -83,12 +85,42 @@ def by_chars(texts: list, budget: int) -> list[tuple[int, int]]:
     return out
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write a table once into the shared checkpoint folder and read it back: columnar and compressed, with no lineage."""
+_folders: ContextVar[list | None] = ContextVar("folders of the innermost open scope", default=None)
+
+
+def _write(df: DataFrame, folders: list | None) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    if folders is not None:
+        folders.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table once into the shared checkpoint folder and read it back: columnar and compressed, with no lineage.
+
+    Inside a `scope` it goes when the scope ends.
+    """
+    return _write(df, _folders.get())
+
+
+@contextmanager
+def scope(spark) -> Iterator:
+    """Tables that are `stored` inside the block are deleted at its end, also after an error.
+
+    Yields `keep`, which stores a table for longer: until the scope around this one ends, or for good.  What leaves the
+    block must have gone through it.
+    """
+    outer, mine = _folders.get(), []
+    token = _folders.set(mine)
+    try:
+        yield lambda df: _write(df, outer)
+    finally:
+        _folders.reset(token)
+        for folder in mine:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacantic.operators.scale import durable
+from vacantic.llm.common import stored
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,9 +59,9 @@ def components(links: DataFrame) -> DataFrame:
     ones, to its smallest neighbour.  The number of rounds grows with the logarithm of the component size; no node
     gathers its neighbours.
     """
-    distinct = durable(links.where("a <> b").select(F.least("a", "b").cast("bigint").alias("a"), F.greatest("a", "b").cast("bigint").alias("b")).distinct())
+    distinct = stored(links.where("a <> b").select(F.least("a", "b").cast("bigint").alias("a"), F.greatest("a", "b").cast("bigint").alias("b")).distinct())
     tasks = 1 + distinct.count() // TASK_LINKS
-    e = durable(_contract(distinct.coalesce(tasks)))
+    e = stored(_contract(distinct.coalesce(tasks)))
     if tasks == 1:
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     before = None
@@ -76,7 +76,7 @@ def components(links: DataFrame) -> DataFrame:
         joined = down.join(low, down["a"] == low["u"])
         small = joined.select("a", F.col("low").alias("b")).union(joined.select(F.col("b").alias("a"), F.col("low").alias("b"))) \
             .where("a <> b").distinct()
-        e = durable(_contract(small).distinct())
+        e = stored(_contract(small).distinct())
     return e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
 
 

@@ -30,9 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacantic.llm.common import exact_id, free_name, mix64, nullable_ids, stored, word_hashes
+from vacantic.llm.common import exact_id, free_name, mix64, nullable_ids, scope, stored, word_hashes
 from vacantic.llm.components import components, in_blocks
-from vacantic.operators.scale import durable
 
 GROUPS = 256  # coordinates of a point
 FULL = 255  # stands for this count and all larger ones
@@ -270,37 +269,41 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "
     """(key, n_shingles, component_id) of every row: size of its set, and the smallest key that links reach."""
     if not 0 < percent <= 100:
         raise ValueError("percent is a share of 1 to 100")
-    rows = docs.select(*exact_id(key), F.col(f"`{text}`").alias("text"))
-    members = stored(_members(rows, n))
-    w = Window.partitionBy("entry")
-    listed = stored(_listed(rows, n, percent).withColumn("hub", F.min("node").over(w)).withColumn("_high", F.max("node").over(w))
-                    .where("hub < _high").drop("_high").distinct())
-    # texts of the nodes that share an entry: one id stands for all equal sets
-    chosen = members.join(listed.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
-    sets = stored(_sets(rows, chosen, n))
-    tested = links = None
-    labels = None
-    for turn in range(rounds + 2):
+    with scope(docs.sparkSession) as keep:
+        rows = docs.select(*exact_id(key), F.col(f"`{text}`").alias("text"))
+        members = stored(_members(rows, n))
+        w = Window.partitionBy("entry")
+        listed = stored(_listed(rows, n, percent).withColumn("hub", F.min("node").over(w)).withColumn("_high", F.max("node").over(w))
+                        .where("hub < _high").drop("_high").distinct())
+        # texts of the nodes that share an entry: one id stands for all equal sets
+        chosen = members.join(listed.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
+        sets = stored(_sets(rows, chosen, n))
+        tested = links = None
+        labels = None
+        for turn in range(rounds + 2):
+            if labels is None:
+                asked = listed.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+            else:
+                # an entry that leaves no pair open now leaves none later: components only grow
+                found = stored(_open_pairs(listed, labels, tested, sets, percent, all_pairs=turn > rounds))
+                asked = found.select("a", "b").distinct()
+            asked = stored(asked)
+            if asked.isEmpty():
+                break
+            if labels is not None:
+                listed = stored(listed.join(found.select("entry").distinct(), "entry", "left_semi"))
+                # sets of other nodes are not asked for any more, and need not travel
+                sets = stored(sets.join(listed.select("node").distinct(), "node", "left_semi"))
+            good = stored(_verify(_possible(asked, sets, percent), sets, percent))
+            tested = asked if tested is None else tested.union(asked)
+            links = good if links is None else links.union(good)
+            labels = stored(components(links))
         if labels is None:
-            asked = listed.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-        else:
-            # an entry that leaves no pair open now leaves none later: components only grow
-            found = stored(_open_pairs(listed, labels, tested, sets, percent, all_pairs=turn > rounds))
-            asked = found.select("a", "b").distinct()
-            listed = stored(listed.join(found.select("entry").distinct(), "entry", "left_semi"))
-        asked = stored(asked)
-        if asked.isEmpty():
-            break
-        good = stored(_verify(_possible(asked, sets, percent), sets, percent))
-        tested = asked if tested is None else tested.union(asked)
-        links = good if links is None else links.union(good)
-        labels = durable(components(links))
-    if labels is None:
-        labels = members.select("node", F.col("node").alias("component")).limit(0)
-    named = members.where("n > 0").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    linked = named.join(least, "component").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionByName(members.where("n = 0").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
+            labels = members.select("node", F.col("node").alias("component")).limit(0)
+        named = members.where("n > 0").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        least = named.groupBy("component").agg(F.min("id").alias("component_id"))
+        linked = named.join(least, "component").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+        return keep(linked.unionByName(members.where("n = 0").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))))
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -310,12 +313,13 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id"
     with the same key the one with the smallest hash of its text stays, of equal texts any one.
     """
     row, same, component = (free_name(docs, f"_{x}") for x in ("row", "same_row", "component"))
-    # stored: the numbers have to be the same in every pass
-    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()))
-    found = stored(join_components(numbered.select(row, F.col(f"`{text}`").alias(text)), n, percent, row, text)
-                   .where("n_shingles > 0").select(F.col(row).alias(same), F.col("component_id").alias(component)))
-    ranked = numbered.select(row, F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("hash")) \
-        .join(found, F.col(row) == F.col(same)).groupBy(component) \
-        .agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "hash", F.col(row).alias("row"))).alias("first"), F.count("*").alias("rows"))
-    gone = found.join(ranked.where("rows > 1"), component).where(F.col(same) != F.col("first.row")).select(same)
+    with scope(docs.sparkSession) as keep:
+        # stored: the numbers have to be the same in every pass
+        numbered = keep(docs.withColumn(row, F.monotonically_increasing_id()))
+        found = stored(join_components(numbered.select(row, F.col(f"`{text}`").alias(text)), n, percent, row, text)
+                       .where("n_shingles > 0").select(F.col(row).alias(same), F.col("component_id").alias(component)))
+        ranked = numbered.select(row, F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("hash")) \
+            .join(found, F.col(row) == F.col(same)).groupBy(component) \
+            .agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "hash", F.col(row).alias("row"))).alias("first"), F.count("*").alias("rows"))
+        gone = keep(found.join(ranked.where("rows > 1"), component).where(F.col(same) != F.col("first.row")).select(same))
     return numbered.join(gone, numbered[row] == gone[same], "left_anti").drop(row)
