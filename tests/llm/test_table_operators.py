@@ -240,7 +240,7 @@ def plain_repeats(texts, width):
     return out
 
 
-@pytest.mark.parametrize("width, m, bucket_rows", [(6, 3, 1000), (6, 3, 2), (35, 8, 1000), (35, 8, 3)])
+@pytest.mark.parametrize("width, m, bucket_rows", [(6, 3, 1000), (6, 3, 2), (6, 3, 1), (35, 8, 1000), (35, 8, 3), (35, 8, 12)])
 def test_repeats_equal_brute_force(spark, width, m, bucket_rows):
     rng = random.Random(width)
     passage = [f"p{i}" for i in range(width + 9)]

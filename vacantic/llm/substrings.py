@@ -8,8 +8,10 @@ minimisers, so a window can only be repeated where its minimiser is.
 2. Those whose minimiser occurs again are cut out of their texts and travel, as one string of words each, to the
    bucket of the minimiser; there all windows are sorted, and equal neighbours are repeated windows.  The words
    themselves are compared, so the result does not rest on hashes.
-3. A minimiser with more than `bucket_rows` places never meets in one task: its distinct strings are counted first,
-   their windows are counted by a combining aggregate, and the runs found go back to the places by a join.
+3. A minimiser with more than `bucket_rows` places never meets in one task.  Equal strings of it become one with a
+   count; if more than `bucket_rows` are left, they are cut into super-k-mers again, by the smallest m-mer of another
+   hash, and sorted in the buckets of both minimisers, and so on for LEVELS hashes.  Windows of what is then still
+   frequent are counted by a combining aggregate.  The runs found go back to the places by a join.
 4. Every word under a marked window goes.
 
 Defined results: null text has no words; texts below `width` words are never changed; two rows with the same key and
@@ -26,11 +28,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantic.llm.common import mix64, stored, word_hashes
+from vacantic.llm.common import FULL, mix64, scope, stored, word_hashes
 
+LEVELS = 3  # hashes that split a frequent minimiser, one after the other
 
-def super_kmers(words: list, width: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimiser hash, first window and number of windows of each super-k-mer, in the order of the text."""
+
+def super_kmers(words: list, width: int, m: int, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minimiser hash, first window and number of windows of each super-k-mer, in the order of the text; every level has a hash of its own."""
     windows = len(words) - width + 1
     if windows < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -39,7 +43,7 @@ def super_kmers(words: list, width: int, m: int) -> tuple[np.ndarray, np.ndarray
     with np.errstate(over="ignore"):
         for j in range(m):
             mers = mers * np.uint64(0x9E3779B97F4A7C15) + h[j:j + count]
-    mers = mix64(mers)
+        mers = mix64(mers + np.uint64(level) * np.uint64(0xD1B54A32D192ED03))
     # upper half of the hash, then the place: the smallest such number is the leftmost smallest m-mer
     low = (mers & np.uint64(0xFFFFFFFF00000000)) | np.arange(count, dtype=np.uint64)
     span, step = width - m + 1, 1
@@ -77,57 +81,25 @@ def _windows(packed: str, width: int) -> list[str]:
     return [packed[starts[i]:ends[i + width - 1] - 1] for i in range(len(ends) - width + 1)]
 
 
-def repeated_spans(rows: DataFrame, width: int, m: int, bucket_rows: int) -> DataFrame:
-    """(key, mark, spans): runs of repeated windows per row; `rows` has key, mark (hash of the text) and text, none of the first two null."""
-    def cut(frames):
-        for pdf in frames:
-            found = [super_kmers(_words(t), width, m) for t in pdf["text"]]
-            sizes = [len(x[0]) for x in found]
-            if sum(sizes):
-                yield pd.DataFrame({
-                    "mini": np.concatenate([x[0] for x in found]), "key": pdf["key"].repeat(sizes).array,
-                    "mark": pdf["mark"].repeat(sizes).array, "first": np.concatenate([x[1] for x in found]).astype(np.int32),
-                    "n": np.concatenate([x[2] for x in found]).astype(np.int32)})
-
-    listed = stored(rows.mapInPandas(cut, "mini bigint, key bigint, mark bigint, first int, n int"))
-    again = stored(listed.groupBy("mini").agg(F.count("*").alias("places")).where("places > 1"))  # stored: the join below can split a hot minimiser
-    asked = listed.join(again, "mini").groupBy("key", "mark").agg(F.collect_set(F.struct(
-        "first", "n", "mini", (F.col("places") > bucket_rows).alias("hot"))).alias("asked"))
-
-    def packed(hot: bool) -> DataFrame:
-        """Super-k-mers as strings of words, of frequent minimisers or of all others."""
-        def pack(frames):
-            for pdf in frames:
-                out = []
-                for k, mark, text, asked in zip(pdf["key"], pdf["mark"], pdf["text"], pdf["asked"]):
-                    asked = [r for r in asked if r["hot"] == hot]
-                    if asked:
-                        words = [w.decode("utf-8", "surrogatepass") for w in _words(text)]
-                        out += [(r["mini"], k, mark, r["first"], " ".join(words[r["first"]:r["first"] + r["n"] + width - 1])) for r in asked]
-                    if len(out) > 20_000:
-                        yield _frame(out, ["mini", "key", "mark", "first", "packed"])
-                        out = []
-                if out:
-                    yield _frame(out, ["mini", "key", "mark", "first", "packed"])
+PIECE = "bucket bigint, key bigint, mark bigint, first int, packed string, n bigint"
+RUN = "key bigint, mark bigint, first int, last int"
 
-        return rows.join(asked.select(F.col("key").alias("k2"), F.col("mark").alias("m2"), "asked"),
-                         (rows["key"] == F.col("k2")) & (rows["mark"] == F.col("m2"))) \
-            .select("key", "mark", "text", "asked").mapInPandas(pack, "mini bigint, key bigint, mark bigint, first int, packed string")
 
-    def sort_buckets(frames):
-        """Input sorted by minimiser: one bucket after another, each of at most `bucket_rows` strings."""
+def _sorted_in_buckets(pieces: DataFrame, width: int) -> DataFrame:
+    """Runs of windows that occur again in their bucket, of at most `bucket_rows` strings; `n` is the number of a string's copies."""
+    def run(frames):
         def stream():
             for pdf in frames:
-                yield from zip(pdf["mini"], pdf["key"], pdf["mark"], pdf["first"], pdf["packed"])
+                yield from zip(pdf["bucket"], pdf["key"], pdf["mark"], pdf["first"], pdf["packed"], pdf["n"])
         out = []
         for _, bucket in groupby(stream(), key=lambda r: r[0]):
             bucket = list(bucket)
-            if len(bucket) > 1:
+            if len(bucket) > 1 or bucket[0][5] > 1:
                 marks: dict[int, list] = {}
                 found = sorted((w, i, j) for i, r in enumerate(bucket) for j, w in enumerate(_windows(r[4], width)))
                 for _, same in groupby(found, key=lambda x: x[0]):
                     same = list(same)
-                    if len(same) > 1:
+                    if len(same) > 1 or bucket[same[0][1]][5] > 1:
                         for _, i, j in same:
                             marks.setdefault(i, []).append(int(bucket[i][3]) + j)
                 out += [(bucket[i][1], bucket[i][2], a, b) for i, w in marks.items() for a, b in _spans(sorted(w))]
@@ -136,25 +108,106 @@ def repeated_spans(rows: DataFrame, width: int, m: int, bucket_rows: int) -> Dat
                 out = []
         if out:
             yield _frame(out, ["key", "mark", "first", "last"])
+    return pieces.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(run, RUN)
 
-    cold = packed(False).repartition("mini").sortWithinPartitions("mini") \
-        .mapInPandas(sort_buckets, "key bigint, mark bigint, first int, last int")
 
-    def explode(frames):
+def _split(pieces: DataFrame, width: int, m: int, level: int) -> DataFrame:
+    """Strings cut into the super-k-mers of another hash; a bucket is named by all its minimisers so far."""
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for bucket, key, mark, first, packed, n in zip(pdf["bucket"], pdf["key"], pdf["mark"], pdf["first"], pdf["packed"], pdf["n"]):
+                words = packed.split(" ")
+                mini, at, count = super_kmers(_words(packed), width, m, level)
+                inner = mix64(mini.view(np.uint64) ^ np.uint64(int(bucket) & FULL)).view(np.int64)
+                out += [(x, key, mark, first + a, " ".join(words[a:a + c + width - 1]), n) for x, a, c in zip(inner.tolist(), at.tolist(), count.tolist())]
+                if len(out) > 20_000:
+                    yield _frame(out, ["bucket", "key", "mark", "first", "packed", "n"])
+                    out = []
+            if out:
+                yield _frame(out, ["bucket", "key", "mark", "first", "packed", "n"])
+    return pieces.mapInPandas(run, PIECE)
+
+
+def _counted(pieces: DataFrame, width: int) -> DataFrame:
+    """Windows that occur again, as runs of one, by a combining aggregate over the windows themselves."""
+    def run(frames):
         for pdf in frames:
-            out = [(p, n, j, w) for p, n in zip(pdf["packed"], pdf["n"]) for j, w in enumerate(_windows(p, width))]
+            out = [(k, mark, f + j, w, n) for k, mark, f, p, n in zip(pdf["key"], pdf["mark"], pdf["first"], pdf["packed"], pdf["n"])
+                   for j, w in enumerate(_windows(p, width))]
             for s in range(0, len(out), 20_000):
-                yield pd.DataFrame(out[s:s + 20_000], columns=["packed", "n", "j", "window"])
-
-    places = packed(True)
-    parts = places.groupBy("packed").agg(F.count("*").alias("n")).mapInPandas(explode, "packed string, n bigint, j int, window string")
-    twice = parts.groupBy("window").agg(F.sum("n").alias("times")).where("times > 1").select("window")
-    marked = parts.join(twice, "window").groupBy("packed").agg(F.collect_set("j").alias("marks"))
-    edge = lambda step: F.sort_array(F.filter("marks", lambda j: ~F.array_contains("marks", j + step)))
-    runs = marked.select("packed", F.arrays_zip(edge(-1).alias("a"), edge(1).alias("b")).alias("runs"))
-    hot = places.join(runs, "packed").select("key", "mark", "first", F.explode("runs").alias("run")) \
-        .select("key", "mark", (F.col("first") + F.col("run.a")).alias("first"), (F.col("first") + F.col("run.b")).alias("last"))
-    return cold.unionByName(hot).groupBy("key", "mark").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+                yield pd.DataFrame(out[s:s + 20_000], columns=["key", "mark", "first", "window", "n"])
+    windows = pieces.mapInPandas(run, "key bigint, mark bigint, first int, window string, n bigint")
+    twice = stored(windows.groupBy("window").agg(F.sum("n").alias("times")).where("times > 1").select("window"))
+    return windows.join(twice, "window").select("key", "mark", "first", F.col("first").alias("last"))
+
+
+def _frequent(places: DataFrame, width: int, m: int, bucket_rows: int) -> DataFrame:
+    """(key, mark, first, last): runs of repeated windows of stored places (mini, key, mark, first, packed) whose minimisers are frequent."""
+    parts = stored(places.groupBy("mini", "packed").agg(F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
+    pieces = parts.select(F.col("mini").alias("bucket"), F.col("id").alias("key"), F.lit(0).cast("bigint").alias("mark"), F.lit(0).alias("first"), "packed", "n")
+    found = []
+    for level in range(LEVELS + 1):
+        large = stored(pieces.groupBy("bucket").agg(F.count("*").alias("strings")).where(F.col("strings") > bucket_rows).select("bucket"))
+        found.append(_sorted_in_buckets(pieces.join(large, "bucket", "left_anti"), width))
+        rest = pieces.join(large, "bucket", "left_semi")
+        if large.isEmpty():
+            break
+        if level == LEVELS:
+            found.append(_counted(rest, width))
+        else:
+            pieces = stored(_split(rest, width, m, level + 1))
+    runs = found[0]
+    for f in found[1:]:
+        runs = runs.unionByName(f)
+    runs = runs.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    # stored: the join with the places can split a string that a large part of them holds
+    runs = stored(parts.select("mini", "packed", "id").join(runs, F.col("id") == runs["key"]).select("mini", "packed", "runs"))
+    return places.join(runs, ["mini", "packed"]).select("key", "mark", "first", F.explode("runs").alias("run")) \
+        .select("key", "mark", (F.col("first") + F.col("run.first")).alias("first"), (F.col("first") + F.col("run.last")).alias("last"))
+
+
+def repeated_spans(rows: DataFrame, width: int, m: int, bucket_rows: int) -> DataFrame:
+    """(key, mark, spans): runs of repeated windows per row; `rows` has key, mark (hash of the text) and text, none of the first two null."""
+    def cut(frames):
+        for pdf in frames:
+            found = [super_kmers(_words(t), width, m) for t in pdf["text"]]
+            sizes = [len(x[0]) for x in found]
+            if sum(sizes):
+                yield pd.DataFrame({
+                    "mini": np.concatenate([x[0] for x in found]), "key": pdf["key"].repeat(sizes).array,
+                    "mark": pdf["mark"].repeat(sizes).array, "first": np.concatenate([x[1] for x in found]).astype(np.int32),
+                    "n": np.concatenate([x[2] for x in found]).astype(np.int32)})
+
+    with scope(rows.sparkSession) as keep:
+        listed = stored(rows.mapInPandas(cut, "mini bigint, key bigint, mark bigint, first int, n int"))
+        again = stored(listed.groupBy("mini").agg(F.count("*").alias("places")).where("places > 1"))  # stored: the join below can split a hot minimiser
+        asked = listed.join(again, "mini").groupBy("key", "mark").agg(F.collect_set(F.struct(
+            "first", "n", "mini", (F.col("places") > bucket_rows).alias("hot"))).alias("asked"))
+
+        def packed(hot: bool) -> DataFrame:
+            """Super-k-mers as strings of words, of frequent minimisers or of all others."""
+            def pack(frames):
+                for pdf in frames:
+                    out = []
+                    for k, mark, text, asked in zip(pdf["key"], pdf["mark"], pdf["text"], pdf["asked"]):
+                        asked = [r for r in asked if r["hot"] == hot]
+                        if asked:
+                            words = [w.decode("utf-8", "surrogatepass") for w in _words(text)]
+                            out += [(r["mini"], k, mark, r["first"], " ".join(words[r["first"]:r["first"] + r["n"] + width - 1])) for r in asked]
+                        if len(out) > 20_000:
+                            yield _frame(out, ["mini", "key", "mark", "first", "packed"])
+                            out = []
+                    if out:
+                        yield _frame(out, ["mini", "key", "mark", "first", "packed"])
+
+            return rows.join(asked.select(F.col("key").alias("k2"), F.col("mark").alias("m2"), "asked"),
+                             (rows["key"] == F.col("k2")) & (rows["mark"] == F.col("m2"))) \
+                .select("key", "mark", "text", "asked").mapInPandas(pack, "mini bigint, key bigint, mark bigint, first int, packed string")
+
+        cold = _sorted_in_buckets(packed(False).select(F.col("mini").alias("bucket"), "key", "mark", "first", "packed", F.lit(1).cast("bigint").alias("n")), width)
+        hot = _frequent(stored(packed(True)), width, m, bucket_rows)
+        return keep(cold.unionByName(hot).groupBy("key", "mark").agg(F.collect_set(F.struct("first", "last")).alias("spans")))
 
 
 def _frame(rows: list, columns: list[str]) -> pd.DataFrame:
