@@ -185,28 +185,24 @@ def repeated_spans(rows: DataFrame, width: int, m: int, bucket_rows: int) -> Dat
         asked = listed.join(again, "mini").groupBy("key", "mark").agg(F.collect_set(F.struct(
             "first", "n", "mini", (F.col("places") > bucket_rows).alias("hot"))).alias("asked"))
 
-        def packed(hot: bool) -> DataFrame:
-            """Super-k-mers as strings of words, of frequent minimisers or of all others."""
-            def pack(frames):
-                for pdf in frames:
-                    out = []
-                    for k, mark, text, asked in zip(pdf["key"], pdf["mark"], pdf["text"], pdf["asked"]):
-                        asked = [r for r in asked if r["hot"] == hot]
-                        if asked:
-                            words = [w.decode("utf-8", "surrogatepass") for w in _words(text)]
-                            out += [(r["mini"], k, mark, r["first"], " ".join(words[r["first"]:r["first"] + r["n"] + width - 1])) for r in asked]
-                        if len(out) > 20_000:
-                            yield _frame(out, ["mini", "key", "mark", "first", "packed"])
-                            out = []
-                    if out:
-                        yield _frame(out, ["mini", "key", "mark", "first", "packed"])
-
-            return rows.join(asked.select(F.col("key").alias("k2"), F.col("mark").alias("m2"), "asked"),
-                             (rows["key"] == F.col("k2")) & (rows["mark"] == F.col("m2"))) \
-                .select("key", "mark", "text", "asked").mapInPandas(pack, "mini bigint, key bigint, mark bigint, first int, packed string")
-
-        cold = _sorted_in_buckets(packed(False).select(F.col("mini").alias("bucket"), "key", "mark", "first", "packed", F.lit(1).cast("bigint").alias("n")), width)
-        hot = _frequent(stored(packed(True)), width, m, bucket_rows)
+        def pack(frames):
+            for pdf in frames:
+                out = []
+                for k, mark, text, asked in zip(pdf["key"], pdf["mark"], pdf["text"], pdf["asked"]):
+                    words = [w.decode("utf-8", "surrogatepass") for w in _words(text)]
+                    out += [(r["mini"], r["hot"], k, mark, r["first"], " ".join(words[r["first"]:r["first"] + r["n"] + width - 1])) for r in asked]
+                    if len(out) > 20_000:
+                        yield _frame(out, ["mini", "hot", "key", "mark", "first", "packed"])
+                        out = []
+                if out:
+                    yield _frame(out, ["mini", "hot", "key", "mark", "first", "packed"])
+
+        # stored: the texts move once for frequent and other minimisers
+        places = stored(rows.join(asked.select(F.col("key").alias("k2"), F.col("mark").alias("m2"), "asked"),
+                                  (rows["key"] == F.col("k2")) & (rows["mark"] == F.col("m2")))
+                        .select("key", "mark", "text", "asked").mapInPandas(pack, "mini bigint, hot boolean, key bigint, mark bigint, first int, packed string"))
+        cold = _sorted_in_buckets(places.where("not hot").select(F.col("mini").alias("bucket"), "key", "mark", "first", "packed", F.lit(1).cast("bigint").alias("n")), width)
+        hot = _frequent(places.where("hot"), width, m, bucket_rows)
         return keep(cold.unionByName(hot).groupBy("key", "mark").agg(F.collect_set(F.struct("first", "last")).alias("spans")))
 
 
