@@ -199,6 +199,17 @@ def test_deep_page_equals_top_k(spark, monkeypatch):
 
 
 # --- dedupe ------------------------------------------------------------------------------------------------------------
+def test_dedupe_keeps_rows_without_an_id(spark):
+    at = dt.datetime(2025, 9, 1)
+    rows = [(None, "Acme", "One", at, at, ["b", "a"]), (None, "Acme", "Two", at, at, None), ("x", "Acme", "Three", at, at, ["c"]),
+            ("y", "Acme", "One", at, at, ["c"]), (None, "Beta", "Four", at, at, []), (None, "Beta", "Four", at, at, ["d"])]
+    df = spark.createDataFrame(rows, "job_id string, company_name string, title string, first_seen_at timestamp, last_seen_at timestamp, skills array<string>")
+    out = dedupe.dedupe(df, places=F.array().cast("array<string>"), hash_fields={"company_name": "company_name", "title": "title"})
+    assert out.columns == [c for c in df.columns if c not in ("first_seen_at", "last_seen_at", "skills")] + ["first_seen_at", "last_seen_at", "skills"]
+    got = {r.title: (r.job_id, r.skills) for r in out.collect()}
+    assert got == {"One": ("y", ["a", "b", "c"]), "Two": (None, []), "Three": ("x", ["c"]), "Four": (None, ["d"])} and out.count() == 4
+
+
 def test_merge_and_dedupe(spark):
     rows = [("j1", "Acme", "Dev", ["Python"], 1, 5), ("j2", "ACME ", "dev", ["React", "Python"], 2, 9), ("j3", "Other", "Dev", [], 3, 3), ("j1", "Acme", "Dev", ["SQL"], 4, 4)]
     df = spark.createDataFrame([(a, b, c, d, T0 + dt.timedelta(hours=e), T0 + dt.timedelta(hours=f)) for a, b, c, d, e, f in rows],

@@ -101,7 +101,7 @@ def merge_group(df: DataFrame, keys: list[str], salts: int = SALTS) -> DataFrame
     others = [c for c in df.columns if c not in ("skills", "first_seen_at", "last_seen_at")]
     group = [f"_k_{k}" for k in keys]
     names = F.array_sort(F.array_distinct(F.flatten(F.collect_set("skills")))).alias("skills")  # at most one list per distinct set
-    order = F.struct("first_seen_at", "job_id")
+    order = F.struct("first_seen_at", F.col("job_id").isNull().alias("no_id"), "job_id")
     salted = df.withColumns({**{f"_k_{k}": F.col(k) for k in keys},
                              "_salt": F.pmod(F.xxhash64("job_id", "first_seen_at", "last_seen_at"), F.lit(salts))})
     part = salted.groupBy(*group, "_salt").agg(
@@ -119,19 +119,21 @@ def dedupe(df: DataFrame, company: str = "company_name", title: str = "title", p
 
     By default the fingerprint holds company, title and all places, the content hash the eleven fields of a posting;
     narrower keys have to be asked for.  Both keys are computed once, right after the first merge, and only ids, keys,
-    times and skills go through the later merges; the wide rows join back at the end by their unique id.
+    times and skills go through the later merges; the wide rows join back at the end by a row number.  Rows without an
+    id are no copies of each other by id, but may be by the other two keys; a row with an id is canonical before them.
     """
     fields = hash_fields or posting_fields(df)
-    one = merge_group(df, ["job_id"]).drop("merged_rows")
+    apart = F.when(F.col("job_id").isNull(), F.monotonically_increasing_id())
+    one = merge_group(df.withColumn("_apart", apart), ["job_id", "_apart"]).drop("merged_rows", "_apart")
     # skills change while rows merge, so they take part in the content key as they are by then
     stable = {k: c for k, c in fields.items() if k != "skills" and not (isinstance(c, str) and c == "skills")}
-    keyed = durable(with_content_hash(with_fingerprint(one, company, title, places), stable, "_content"))
-    slim = keyed.select("job_id", "fingerprint", "_content", "first_seen_at", "last_seen_at", "skills")
+    keyed = durable(with_content_hash(with_fingerprint(one, company, title, places), stable, "_content").withColumn("_row", F.monotonically_increasing_id()))
+    slim = keyed.select("_row", "job_id", "fingerprint", "_content", "first_seen_at", "last_seen_at", "skills")
     two = merge_group(slim, ["fingerprint"]).drop("merged_rows")
     if len(stable) < len(fields):
         two = two.withColumn("_content", F.sha2(F.concat_ws("|", "_content", F.array_join("skills", ",")), 256))
-    three = merge_group(two, ["_content"]).select("job_id", "first_seen_at", "last_seen_at", "skills")
-    return keyed.drop("fingerprint", "_content", "first_seen_at", "last_seen_at", "skills").join(three, "job_id")
+    three = merge_group(two, ["_content"]).select("_row", "first_seen_at", "last_seen_at", "skills")
+    return keyed.drop("fingerprint", "_content", "first_seen_at", "last_seen_at", "skills").join(three, "_row").drop("_row")
 
 
 def find_duplicates(df: DataFrame, company: str = "company_name", title: str = "title",
