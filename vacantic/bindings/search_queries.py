@@ -250,14 +250,18 @@ def write_meta(spark, sf):
 WITH {POSTINGS}, f AS (SELECT * FROM post WHERE lifecycle = 'open' ORDER BY posted DESC, job_id LIMIT 500), n AS (SELECT count(*) AS items FROM f),
 i AS (SELECT string_agg('<item><title>' || title || '</title><link>https://jobs.example.com/' || source_job_id || '</link><guid isPermaLink="false">' || job_id || '</guid><pubDate>'
     || strftime(posted, '%a, %d %b %Y %H:%M:%S +0000') || '</pubDate><description>' || summary || '</description></item>', '' ORDER BY posted DESC, job_id) AS items,
+  string_agg('<entry><title>' || title || '</title><link href="https://jobs.example.com/' || source_job_id || '"/><id>' || job_id || '</id><updated>'
+    || strftime(last_seen_at, '%a, %d %b %Y %H:%M:%S +0000') || '</updated><summary>' || summary || '</summary><author><name>' || company_name || '</name></author></entry>', '' ORDER BY posted DESC, job_id) AS entries,
   string_agg('{{"id":"' || job_id || '","url":"https://jobs.example.com/' || source_job_id || '","title":"' || title || '","content_text":"' || summary || '","date_published":"'
     || strftime(posted, '%Y-%m-%dT%H:%M:%SZ') || '","authors":[{{"name":"' || company_name || '"}}]}}', ',' ORDER BY posted DESC, job_id) AS json FROM f)
 SELECT 'rss' AS format, n.items, sha256('<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<rss version="2.0"><channel><title>Roles</title><link>https://x.example.com</link><description>New roles</description><lastBuildDate>Mon, 31 Dec 2001 00:00:00 +0000</lastBuildDate>'
   || i.items || '</channel></rss>') AS digest FROM n, i UNION ALL
+SELECT 'atom', n.items, sha256('<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<feed xmlns="http://www.w3.org/2005/Atom"><title>Roles</title><link href="https://x.example.com"/><id>https://x.example.com</id><updated>Mon, 31 Dec 2001 00:00:00 +0000</updated>'
+  || i.entries || '</feed>') FROM n, i UNION ALL
 SELECT 'json', n.items, sha256('{{"version":"https://jsonfeed.org/version/1.1","title":"Roles","home_page_url":"https://x.example.com","feed_url":"https://x.example.com/feeds/jobs.json","description":"New roles","items":[' || json || ']}}') FROM n, i""")
 def write_feeds(spark, sf):
     docs = publish.feed_documents(_public(spark, sf), "Roles", "https://x.example.com", "New roles", t.ts(t.AS_OF))
-    return docs.where(F.col("format") != "atom").select("format", "items", F.sha2("document", 256).alias("digest"))
+    return docs.select("format", "items", F.sha2("document", 256).alias("digest"))
 
 
 @query("archive_month", "SELECT strftime(ts, '%Y-%m') AS month, count(*) AS rows FROM events GROUP BY 1")
