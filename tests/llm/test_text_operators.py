@@ -173,6 +173,21 @@ def test_shared_prefix_walk_equals_plain_viterbi():
         assert abs(sum(score[i] for i in ids if i in score) - sum(score[i] for i in want[2] if i in score)) < 1e-6
 
 
+def test_encoded_texts_equal_plain_viterbi_over_their_words():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("aehnrst  ñ漢²3._\n-▁") for _ in range(rng.randint(0, 60))) for _ in range(300)] + [None, "", "  ", "²." * 3]
+    for limit in (100_000, 5):  # a small limit forgets words all the time
+        model = pieces.Pieces(PIECES, limit)
+        ids = [x.tolist() for t in texts for x in model.encode([t])]
+        assert ids == [x.tolist() for x in model.encode(texts)]
+        for t, got in zip(texts, ids):
+            marked = re.findall("▁+[^▁]*", "▁" + t.replace(" ", "▁")) if t else []
+            score = {i: s for s, i in model.table.values()}
+            want = [i for w in marked for i in plain_viterbi(model, w)[2]]
+            assert len(got) == len(want) and abs(sum(score.get(i, 0) for i in got) - sum(score.get(i, 0) for i in want)) < 1e-6
+    assert model.decode([np.array([], "<i4"), None]) == ["", None]
+
+
 def test_pieces_round_trip_and_library_decode(spark):
     from sentencepiece import SentencePieceProcessor
     sp = SentencePieceProcessor(model_file=PIECES)
@@ -182,6 +197,9 @@ def test_pieces_round_trip_and_library_decode(spark):
     for r, t in zip(rows, texts):
         assert r.back == (t or "") and (bool(r.ids) == bool(t))
         assert sp.decode(list(r.ids)) == (t or "")
+    both = pieces.coded(docs(spark, texts, ids="old", Decoded="old"), PIECES).orderBy("doc_id").collect()
+    assert [(list(r.ids), r.decoded) for r in both] == [(list(r.ids), r.back) for r in rows]
+    assert pieces.coded(docs(spark, texts).limit(0), PIECES).count() == 0
 
 
 # --- pseudonyms --------------------------------------------------------------------------------

@@ -49,9 +49,7 @@ FROM o WHERE conv_id IN (SELECT conv_id FROM keep) GROUP BY conv_id
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer("piece_bpe_32k.model")
-    coded = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("ids", pieces.encode(F.col("text"), path))
-    return coded.withColumn("decoded", pieces.decode(F.col("ids"), path)).select(
+    return pieces.coded(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("piece_bpe_32k.model")).select(
         "doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.xxhash64("ids").alias("ids_xxhash64"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
