@@ -58,3 +58,16 @@ def test_only_matching_row_groups_are_read(spark, postings, tmp_path):
     buckets = {r.bucket for r in found.collect()}
     plan = text_index.matching_rows(spark, path, "customer#000000017")._jdf.queryExecution().executedPlan().toString()
     assert len(buckets) < 8 and "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket#", "[bucket")
+
+
+def test_lists_of_one_task_need_no_shuffle_and_ids_may_repeat(spark, postings, tmp_path, monkeypatch):
+    """Slices of seven rows: a key is counted once however many lists name the row."""
+    monkeypatch.setattr(text_index, "LIST_ROWS", 7)
+    path = str(tmp_path)
+    text_index.write_text_index(postings.unionByName(postings.limit(40)), path, buckets=2)
+    lists = spark.read.parquet(f"{path}/grams")
+    assert lists.agg(F.max(F.size("rows"))).first()[0] <= 7 and dict(lists.dtypes)["rows"] == "array<int>"
+    want = postings.where(text_index.haystack().contains("ring")).select("job_id").distinct().count()
+    assert text_index.matching_rows(spark, path, "ring").where(text_index.haystack().contains("ring")).select("job_id").distinct().count() == want > 0
+    assert len(text_index._keys(["".join(chr(200 + i) for i in range(70))])) == 68  # more keys than one number has bits
+    assert text_index.candidates(spark, path, "".join(chr(200 + i) for i in range(70))).count() == 0
