@@ -70,3 +70,16 @@ def test_word_marks(one):
     assert has("we use c++ here", "c++") and not has("we use c++ here", "c")
     assert has("c, sql", "c") and has("next.js apps", "next.js") and not has("goal", "go")
     assert has("ci/cd", "ci/cd")
+
+
+def test_batches_of_long_texts_are_bounded_by_bytes(spark):
+    """Rows that go to Python come in batches of some megabytes, however many of them a partition holds."""
+    from pyspark.sql import types as T
+
+    @F.pandas_udf(T.StringType())
+    def held(values):
+        return values.map(lambda _: str(values.dropna().map(len).sum()), na_action="ignore")
+
+    rows = spark.range(0, 1000, 1, 1).select(F.concat(F.lit("é"), F.repeat(F.lit("x"), F.lit(20_000))).alias("t"))
+    most = rows.select(text._either(F.col("t"), text._ascii, F.trim, held).cast("long").alias("n")).agg(F.max("n")).first()[0]
+    assert most <= 4 * text.BATCH_BYTES  # 20 MB in one batch before

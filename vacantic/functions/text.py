@@ -15,7 +15,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,20 @@ _BLOCK, _TAG, _CTRL = re.compile(BLOCK_END), re.compile(TAG), re.compile(CONTROL
 
 
 # --- rows that need Unicode or entity work: one Arrow pass ---------------------------------
+BATCH_BYTES = 1 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches() -> None:
+    """Bound an Arrow batch of texts by bytes, not only by 10,000 rows, unless the session sets a bound of its own.
+
+    A worker holds some ten copies of a batch (Arrow, strings in and out, in several columns).
+    """
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _LIMIT not in spark.conf.getAll:
+        spark.conf.set(_LIMIT, str(BATCH_BYTES))
+
+
 def _decode(value: str) -> str:
     for _ in range(4):
         if "&" not in value:
@@ -138,6 +152,7 @@ def _jvm_canonical(text: Column) -> Column:
 def _either(text: Column, simple: Callable[[Column], Column], jvm: Callable[[Column], Column],
             udf: Callable[[Column], Column]) -> Column:
     """JVM way for simple rows; all others, and only they, go to Python."""
+    small_batches()
     text = F.coalesce(text, F.lit(""))
     return F.when(simple(text), let(text, jvm)).otherwise(udf(F.when(~simple(text), text)))
 
@@ -159,6 +174,7 @@ def canonical_text(text: Column) -> Column:
 
 def normalize_ws_list(texts: Column) -> Column:
     """C1 for an array of short strings."""
+    small_batches()
     texts = F.transform(texts, lambda t: F.coalesce(t, F.lit("")))
     simple = F.forall(texts, _ascii)
     return F.when(simple, F.transform(texts, _jvm_one_line)).otherwise(_one_line_list_udf(F.when(~simple, texts)))
@@ -166,6 +182,7 @@ def normalize_ws_list(texts: Column) -> Column:
 
 def html_list_to_text(texts: Column) -> Column:
     """C2 for an array of fragments, element by element."""
+    small_batches()
     texts = F.transform(texts, lambda t: F.coalesce(t, F.lit("")))
     simple = F.forall(texts, _ascii_without_entities)
     return F.when(simple, F.transform(texts, _jvm_plain)).otherwise(_plain_list_udf(F.when(~simple, texts)))
@@ -173,6 +190,7 @@ def html_list_to_text(texts: Column) -> Column:
 
 def canonical_text_list(texts: Column) -> Column:
     """C3 for an array of short strings."""
+    small_batches()
     texts = F.transform(texts, lambda t: F.coalesce(t, F.lit("")))
     simple = F.forall(texts, _ascii_without_entities)
     return F.when(simple, F.transform(texts, _jvm_canonical)).otherwise(_canonical_list_udf(F.when(~simple, texts)))
