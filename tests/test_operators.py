@@ -440,3 +440,57 @@ def test_an_unhealthy_source_closes_nothing(spark):
         polled = spark.createDataFrame([("s", health)], "source_id string, health_status string")
         out = lifecycle.advance_lifecycle(state, seen.limit(0), polled, F.lit(T0)).first()
         assert (out.miss_count, out.state) == want
+
+
+def test_rank_over_all_rows_moves_them_once(spark):
+    """Places in a range are numbered where the range is written; only one small row per range meets the rows again."""
+    df = spark.range(0, 1000).select((F.col("id") * 7919 % 1000).alias("v"), "id")
+    ranked = group_rank(df, [], [F.col("v").desc(), F.col("id")], "n", parts=8)
+    assert [r.n for r in ranked.orderBy(F.col("v").desc(), F.col("id")).collect()] == list(range(1, 1001))
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_state_map_reads_and_writes_a_key_once():
+    """Every access to a stream's state is a call into the JVM."""
+    class State(dict):
+        calls = 0
+
+        def getValue(self, key):
+            self.calls += 1
+            return self.get(key)
+
+        def updateValue(self, key, value):
+            self.calls += 1
+            self[key] = value
+
+        def removeKey(self, key):
+            self.calls += 1
+            del self[key]
+
+    state = State({("a",): (1,), ("b",): (2,)})
+    view = track._MapView(state)
+    for i in range(10):
+        view["c"] = i
+        assert view.get("a") == 1 and view.get("c") == i and view.get("d") is None
+    del view["a"]
+    view["e"] = 1
+    del view["e"]
+    assert view.get("a", 7) == 7
+    view.flush()
+    assert dict(state) == {("b",): (2,), ("c",): (9,)} and state.calls == 4  # a and d read, a removed, c written
+
+
+def test_small_pieces_share_a_call(spark):
+    """Pieces of seven rows of one group are solved in a few calls, not one call each; files are those of one pass."""
+    df = spark.range(0, 500).select(F.lit(1).alias("bucket"), "id", (F.col("id") * 31 % 17 + 1).alias("w"))
+    got = publish.chunk_by_budget(df, ["bucket"], [F.col("id")], F.col("w"), 7, 60, segment=7, parts=4)
+    chunks, chunk, rows, size = [], 0, 0, 1
+    for i in range(500):
+        w = i * 31 % 17 + 1
+        if rows and (rows + 1 > 7 or size + w + 1 > 60):
+            chunk, rows, size = chunk + 1, 0, 1
+        chunks, rows, size = [*chunks, chunk], rows + 1, size + w + 1
+    assert [r.chunk for r in got.orderBy("id").collect()] == chunks
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInPandas [bucket" in plan and "_block" in plan

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -349,11 +351,12 @@ def retire_sources(spark, sf):
 
 
 # --- streaming ------------------------------------------------------------------------------------------------------
-def land(spark: SparkSession, sf: str, folder: str) -> None:
-    """events as landed snapshots: one file per third of the month, in time order."""
+def land(spark: SparkSession, sf: str, folder: str) -> Iterator[None]:
+    """events as landed snapshots, a third of the month at a time; a stream follows each before the next one lands."""
     rows = t.sightings(spark, sf).select("source_id", "poll_ts", F.lit("ok").alias("outcome"), "posting_id", F.sha2("posting_id", 256).alias("content_hash"))
     for low, high in (("2000-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2100-01-01")):
-        rows.where((F.col("poll_ts") >= low) & (F.col("poll_ts") < high)).coalesce(1).write.mode("append").parquet(folder)
+        rows.where((F.col("poll_ts") >= low) & (F.col("poll_ts") < high)).write.mode("append").parquet(folder)
+        yield
 
 
 @query("track_stream", f"""
@@ -364,8 +367,8 @@ FROM now n LEFT JOIN back b USING (source_id, posting_id)""")
 def track_stream(spark, sf):
     """The incremental run over three landed batches, one micro-batch each."""
     root = scratch_folder(spark, "track")
-    land(spark, sf, f"{root}/landing")
-    track.track_stream(spark, f"{root}/landing", f"{root}/state", f"{root}/offsets", files_per_batch=1).awaitTermination()
+    for _ in land(spark, sf, f"{root}/landing"):
+        track.track_stream(spark, f"{root}/landing", f"{root}/state", f"{root}/offsets").awaitTermination()
     return track.current_lifecycle(track.read_tracked(spark, f"{root}/state")).select(
         "source_id", "posting_id", "miss_count", "state", stamp("reopened_at"), "times_reopened")
 
@@ -399,8 +402,8 @@ def track_late_polls(spark, sf):
     root = scratch_folder(spark, "late")
     rows = t.sightings(spark, sf).select("source_id", "poll_ts", F.lit("ok").alias("outcome"), "posting_id", F.sha2("posting_id", 256).alias("content_hash"))
     for part in range(4):
-        rows.where(F.pmod(F.xxhash64("source_id", "poll_ts"), F.lit(4)) == part).coalesce(1).write.mode("append").parquet(f"{root}/landing")
-    track.track_stream(spark, f"{root}/landing", f"{root}/state", f"{root}/offsets", files_per_batch=1).awaitTermination()
+        rows.where(F.pmod(F.xxhash64("source_id", "poll_ts"), F.lit(4)) == part).write.mode("append").parquet(f"{root}/landing")
+        track.track_stream(spark, f"{root}/landing", f"{root}/state", f"{root}/offsets").awaitTermination()
     return track.current_lifecycle(track.read_tracked(spark, f"{root}/state")).select(
         "source_id", "posting_id", "miss_count", "state", stamp("reopened_at"), "times_reopened")
 
@@ -431,16 +434,16 @@ UNION ALL SELECT source_id, posting_id, 'open', {_ts('min(d)', 'at')} FROM st GR
 def lifecycle_stream(spark, sf):
     """Every state change as a stateful stream emits it."""
     root = scratch_folder(spark, "lifecycle")
-    land(spark, sf, f"{root}/landing")
-    rows = spark.readStream.schema(track.LANDING).option("maxFilesPerTrigger", 1).parquet(f"{root}/landing")
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        q = (
-            track.lifecycle_changes(rows, parts=4).writeStream.outputMode("update").foreachBatch(
-                lambda b, n: b.write.mode("append").parquet(f"{root}/out")))
-        q.option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).start().awaitTermination()
+        for _ in land(spark, sf, f"{root}/landing"):
+            rows = spark.readStream.schema(track.LANDING).parquet(f"{root}/landing")
+            q = (
+                track.lifecycle_changes(rows, parts=4).writeStream.outputMode("update").foreachBatch(
+                    lambda b, n: b.write.mode("append").parquet(f"{root}/out")))
+            q.option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(provider, before)
     return spark.read.parquet(f"{root}/out").select("source_id", "posting_id", "state", stamp("at"))
@@ -449,8 +452,8 @@ def lifecycle_stream(spark, sf):
 @query("arrivals", "SELECT event_type AS posting_id FROM events GROUP BY event_type")
 def arrivals(spark, sf):
     root = scratch_folder(spark, "arrivals")
-    land(spark, sf, f"{root}/landing")
-    rows = spark.readStream.schema(track.LANDING).option("maxFilesPerTrigger", 1).parquet(f"{root}/landing")
-    track.arrivals_stream(rows).select("posting_id").writeStream.format("parquet").option("path", f"{root}/out") \
-        .option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).start().awaitTermination()
+    for _ in land(spark, sf, f"{root}/landing"):
+        rows = spark.readStream.schema(track.LANDING).parquet(f"{root}/landing")
+        track.arrivals_stream(rows).select("posting_id").writeStream.format("parquet").option("path", f"{root}/out") \
+            .option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{root}/out")

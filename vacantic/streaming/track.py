@@ -17,12 +17,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, MutableMapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from vacantic.operators.lifecycle import lifecycle_state, telling
+from vacantic.operators.scale import spread
 from vacantic.plans.state import BUCKETS, Layout, commit, read_appended, read_table
 from vacantic.rules import MISSES_CLOSED, MISSES_SUSPECTED
 from vacantic.sources.seeds import current_snapshot
@@ -125,7 +126,7 @@ def track_stream(spark: SparkSession, landing: str, state_path: str, checkpoint:
         now = current_snapshot(session, state_path) or {}
         if now.get("marks", {}).get("batch_id", -1) >= batch_id:
             return  # replay of a batch whose version is already current
-        batch.persist()
+        batch = spread(batch).persist()
         polls, seen = new_rows(batch)
         n, empty = now.get("buckets", buckets), empty_state(session)
         by_source = BY_SOURCE.touched(polls.select("source_id"), n)
@@ -187,21 +188,37 @@ def lifecycle_step(number: int, before: set, listed: set, down: MutableMapping,
 
 
 class _MapView(MutableMapping):
-    """A state map with one key and one value column as a mapping; it is never walked."""
+    """A state map with one key and one value column as a mapping; it is never walked.
+
+    Every access to the state is a call into the JVM, so a key is read once, and written once if it changed (`flush`).
+    """
 
     def __init__(self, state):
-        self.state = state
+        self.state, self.stored, self.now = state, {}, {}
 
     def get(self, key, default=None):
-        return self.state.getValue((key,))[0] if self.state.containsKey((key,)) else default
+        if key not in self.now:
+            value = self.state.getValue((key,))
+            self.stored[key] = self.now[key] = value[0] if value is not None else None
+        value = self.now[key]
+        return default if value is None else value
 
     __getitem__ = get
 
     def __setitem__(self, key, value):
-        self.state.updateValue((key,), (value,))
+        self.now[key] = value
 
     def __delitem__(self, key):
-        self.state.removeKey((key,))
+        self.now[key] = None
+
+    def flush(self) -> None:
+        for key, value in self.now.items():
+            if key in self.stored and self.stored[key] == value:
+                continue
+            if value is not None:
+                self.state.updateValue((key,), (value,))
+            elif key in self.stored:
+                self.state.removeKey((key,))
 
     def __iter__(self):
         raise TypeError("not walked")
@@ -212,41 +229,38 @@ class _MapView(MutableMapping):
 def lifecycle_processor(suspected: int = MISSES_SUSPECTED, closed: int = MISSES_CLOSED):
     """K2 for low latency: emits every state change as its poll arrives, by poll numbers per (source, part).
 
-    A poll that is not newer than the part's last one is not counted.
+    A poll that is not newer than the part's last one is not counted.  Postings with a decisive miss ahead are those that
+    went within the last few polls, so they are kept with the last listing.
     """
     from pyspark.sql.streaming import StatefulProcessor
 
     names = T.ArrayType(T.StringType())
+    waiting = T.ArrayType(T.StructType([T.StructField("number", T.LongType()), T.StructField("postings", names)]))
 
     class Lifecycle(StatefulProcessor):
         def init(self, handle) -> None:
-            one = lambda name, kind: T.StructType([T.StructField(name, kind)])
             self.last = handle.getValueState("last", T.StructType([T.StructField("number", T.LongType()), T.StructField("at", T.LongType()),
-                                                                   T.StructField("listed", names)]))
-            self.down = handle.getMapState("down", "posting_id string", one("number", T.LongType()))
-            self.due = handle.getMapState("due", "number long", one("postings", names))
+                                                                   T.StructField("listed", names), T.StructField("due", waiting)]))
+            self.down = handle.getMapState("down", "posting_id string", "number long")
 
         def handleInputRows(self, key, rows, timerValues):
-            import pandas as pd
             polls: dict[int, set] = {}
-            for frame in rows:
-                for at, name in zip(frame["poll_micros"].tolist(), frame["posting_id"].tolist()):
-                    listed = polls.setdefault(at, set())
-                    if name is not None and name == name:  # neither null nor NaN
-                        listed.add(name)
-            number, newest, before = self.last.get() if self.last.exists() else (0, None, [])
-            before, out = set(before), []
+            for row in rows:
+                listed = polls.setdefault(row["poll_micros"], set())
+                if row["posting_id"] is not None:
+                    listed.add(row["posting_id"])
+            number, newest, before, ahead = self.last.get() or (0, None, [], [])
+            before, due, down = set(before), {n: list(p) for n, p in ahead}, _MapView(self.down)
             for at in sorted(polls):
                 if newest is not None and at <= newest:
                     continue
                 number, newest = number + 1, at
-                for name, state, misses in lifecycle_step(number, before, polls[at], _MapView(self.down), _MapView(self.due), suspected, closed):
-                    out.append((key[0], name, state, misses, at))
+                for name, state, misses in lifecycle_step(number, before, polls[at], down, due, suspected, closed):
+                    yield Row(source_id=key[0], posting_id=name, state=state, miss_count=misses, at_micros=at)
                 before = polls[at]
+            down.flush()
             if newest is not None:
-                self.last.update((number, newest, sorted(before)))
-            if out:
-                yield pd.DataFrame(out, columns=["source_id", "posting_id", "state", "miss_count", "at_micros"])
+                self.last.update((number, newest, sorted(before), sorted(due.items())))
 
         def close(self) -> None:
             pass
@@ -272,6 +286,6 @@ def lifecycle_changes(landing: DataFrame, parts: int = 16, watermark: str | None
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     cols = ["source_id", F.unix_micros("poll_ts").alias("poll_micros"), "posting_id", F.col("part").cast("int").alias("part")]
     keyed = own.select(*cols).unionByName(ticks.select(*cols))
-    out = keyed.groupBy("source_id", "part").transformWithStateInPandas(
+    out = keyed.groupBy("source_id", "part").transformWithState(
         lifecycle_processor(), LIFECYCLE_OUT, outputMode="Update", timeMode="None")
     return out.select("source_id", "posting_id", "state", "miss_count", F.timestamp_micros("at_micros").alias("at"))
