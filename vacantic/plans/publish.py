@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,21 +50,31 @@ def chunk_by_budget(df: DataFrame, keys: list[str], order: list[Column], size: C
     key_types = ", ".join(f"{k} {slim.schema[k].dataType.simpleString()}" for k in keys)
     halo = slim.where((F.col("_seg") > 0) & (F.col("_pos") % segment < max_rows)).withColumn("_seg", F.col("_seg") - 1)
     pieces = slim.unionByName(halo)
-    group = [*keys, "_seg"]
+    # small pieces share a task's call: a block has at most SEGMENT_ROWS rows and as many of the pieces after its own
+    block = F.floor(F.col("_seg") / max(1, SEGMENT_ROWS // segment)).alias("_block")
+
+    def each_piece(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, int, int, int, np.ndarray]]:
+        """The pieces of a block: sorted rows, where the piece begins, its number, how many rows are its own, next starts."""
+        pdf = pdf.sort_values(["_seg", "_pos"])
+        segs, pos, sizes = (pdf[c].to_numpy() for c in ("_seg", "_pos", "_size"))
+        numbers, begins = np.unique(segs, return_index=True)
+        for seg, low, high in zip(numbers.tolist(), begins.tolist(), [*begins[1:].tolist(), len(pdf)]):
+            own = int(np.searchsorted(pos[low:high], (seg + 1) * segment))
+            yield pdf, low, seg, own, _next_start(sizes[low:high], max_rows, max_bytes)
 
     def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_pos")
-        seg = int(pdf["_seg"].iloc[0])
-        own = int((pdf["_pos"] < (seg + 1) * segment).sum())
-        nxt = _next_start(pdf["_size"].to_numpy(), max_rows, max_bytes)
-        out, files = np.zeros(own, dtype=np.int64), np.zeros(own, dtype=np.int64)
-        for i in range(own - 1, -1, -1):
-            j = nxt[i]
-            out[i], files[i] = (j - own, 1) if j >= own else (out[j], files[j] + 1)
-        head = min(own, max_rows)
-        new = [i for i in range(head) if i == 0 or out[i] != out[i - 1] or files[i] != files[i - 1]]
-        rows = {k: [pdf[k].iloc[0]] * len(new) for k in keys}
-        return pd.DataFrame({**rows, "_seg": seg, "lo": new, "exit": out[new], "files": files[new]})
+        found = []
+        for _, _, seg, own, nxt in each_piece(pdf):
+            nxt, out, files = nxt.tolist(), [0] * own, [0] * own
+            for i in range(own - 1, -1, -1):
+                j = nxt[i]
+                out[i], files[i] = (j - own, 1) if j >= own else (out[j], files[j] + 1)
+            found += [(seg, i, out[i], files[i]) for i in range(min(own, max_rows))
+                      if i == 0 or out[i] != out[i - 1] or files[i] != files[i - 1]]
+        steps = pd.DataFrame(found, columns=["_seg", "lo", "exit", "files"])
+        for k in keys:
+            steps[k] = pdf[k].iloc[0]
+        return steps[[*keys, "_seg", "lo", "exit", "files"]]
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_seg", "lo"])
@@ -78,25 +89,25 @@ def chunk_by_budget(df: DataFrame, keys: list[str], order: list[Column], size: C
         return out[[*keys, "_seg", "_entry", "_first"]]
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_pos")
-        seg, entry, first = (int(pdf[c].iloc[0]) for c in ("_seg", "_entry", "_first"))
-        own = int((pdf["_pos"] < (seg + 1) * segment).sum())
-        nxt = _next_start(pdf["_size"].to_numpy(), max_rows, max_bytes)
-        chunk = np.full(own, first - 1, dtype=np.int64)
-        i, number = entry, first
-        while i < own:
-            chunk[i:min(nxt[i], own)] = number
-            i, number = nxt[i], number + 1
-        return pdf.iloc[:own].assign(chunk=chunk)[[*keys, "_pos", "chunk"]]
+        done = []
+        for rows, low, _, own, nxt in each_piece(pdf):
+            i, number = (int(rows[c].iloc[low]) for c in ("_entry", "_first"))
+            chunk = np.full(own, number - 1, dtype=np.int64)
+            while i < own:
+                chunk[i:min(nxt[i], own)] = number
+                i, number = nxt[i], number + 1
+            done.append((low, chunk))
+        at = np.concatenate([np.arange(low, low + len(c)) for low, c in done])
+        return rows.iloc[at].assign(chunk=np.concatenate([c for _, c in done]))[[*keys, "_pos", "chunk"]]
 
     long_groups = (slim.agg(F.max("_seg")).first()[0] or 0) > 0
     if long_groups:
-        steps = pieces.groupBy(*group).applyInPandas(exits, f"{key_types}, _seg long, lo long, exit long, files long")
+        steps = pieces.groupBy(*keys, block).applyInPandas(exits, f"{key_types}, _seg long, lo long, exit long, files long")
         entries = steps.groupBy(*keys).applyInPandas(chain, f"{key_types}, _seg long, _entry long, _first long")
-        pieces = pieces.join(entries, group)
+        pieces = pieces.join(entries, [*keys, "_seg"])
     else:
         pieces = pieces.withColumn("_entry", F.lit(0)).withColumn("_first", F.lit(0))
-    numbered = pieces.groupBy(*group).applyInPandas(fill, f"{key_types}, _pos long, chunk long")
+    numbered = pieces.groupBy(*keys, block).applyInPandas(fill, f"{key_types}, _pos long, chunk long")
     return ranked.join(numbered, [*keys, "_pos"]).withColumn("chunk", F.col("chunk").cast("int")) \
         .withColumnRenamed("_size", "row_bytes").withColumnRenamed("_pos", "position")
 
