@@ -107,8 +107,8 @@ def track_run(spark, sf):
     root = scratch_folder(spark, "runs")
     polls = landed_polls(spark, sf)
     for low in range(0, RUNS, 2):
-        polls.where((F.col("run_at") >= _time(F.lit(low))) & (F.col("run_at") < _time(F.lit(low + 2)))).coalesce(1).write.mode("append").parquet(f"{root}/landing")
-    run.track_runs(spark, f"{root}/landing", f"{root}/state", f"{root}/offsets", files_per_batch=1, buckets=32).awaitTermination()
+        polls.where((F.col("run_at") >= _time(F.lit(low))) & (F.col("run_at") < _time(F.lit(low + 2)))).write.mode("append").parquet(f"{root}/landing")
+        run.track_runs(spark, f"{root}/landing", f"{root}/state", f"{root}/offsets", buckets=32).awaitTermination()
     state = f"{root}/state"
     events = read_appended(spark, state, "events").groupBy("job_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
         F.struct("at", "event_type"))), lambda e: F.concat(e["event_type"], F.lit("@"), _hours(e["at"]))), ",").alias("events"))

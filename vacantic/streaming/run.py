@@ -24,7 +24,7 @@ from vacantic.operators.companies import SOURCE_FIELDS, merge_seeds, resolve_com
 from vacantic.operators.discovery import boards_from_postings, promotable
 from vacantic.operators.health import DEGRADED_AFTER, FAILING_AFTER, next_due
 from vacantic.operators.lifecycle import lifecycle_state, upsert_postings
-from vacantic.operators.scale import durable
+from vacantic.operators.scale import durable, spread
 from vacantic.plans.normalize import normalize
 from vacantic.plans.state import BUCKETS, Layout, commit, read_table
 from vacantic.rules import MISSES_SUSPECTED, RuleSet
@@ -268,7 +268,7 @@ def track_runs(spark: SparkSession, landing: str, path: str, checkpoint: str, fm
 
     def step(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        batch.persist()
+        batch = spread(batch).persist()  # a landed file is one split, and a run parses and normalizes its payloads where they are
         apply_batch(session, path, batch, batch_id, seeds, rules, buckets)
         batch.unpersist()
 
