@@ -130,6 +130,14 @@ def test_union_and_normalize(spark):
     assert a.eligibility.origin_match == "unknown" and a.mobility.visa_sponsorship.status == "unknown"
 
 
+def test_cleaned_text_is_not_cleaned_again_in_every_place_that_reads_it(spark):
+    raw = boards.ingest_greenhouse(payload(spark, "greenhouse", GREENHOUSE))
+    plan = normalize(raw).select("job_id", "summary", "career_level", "workplace_type")._jdf.queryExecution().optimizedPlan().toString()
+    readings = [line for line in plan.splitlines() if "$.content" in line]
+    # the select that reads the text, and the Python pass before it
+    assert len(readings) <= 2 and plan.count("$.content") <= 8, plan.count("$.content")
+
+
 def test_unknown_adapters(spark):
     assert boards.unknown_adapters(payload(spark, "carrier-pigeon", [])).collect()[0].payloads == 1
 

@@ -83,6 +83,22 @@ SCOPES = [
     (["Remote"], "", "location_limited", [], []), (["Berlin, Germany"], "", "unknown", [], [])]
 
 
+def test_workplace_gates_keep_every_match(spark):
+    df, rows = table(spark, [(t,) for t in ("office based", "in-office role", "in office", "on-site", "on site", "work from home", "wfh", "distributed team",
+                                            "anywhere", "telecommute", "remote", "hybrid", "websites", "plain", "")], "t string")
+    by_gate = [places._says(F.col("t"), p, g) for p, g in ((places.HYBRID_WORDS, ["hybrid"]), (places.REMOTE_WORDS, places.REMOTE_GATE),
+                                                           (places.ONSITE_WORDS, ["site", "office"]))]
+    plain = [F.col("t").rlike(p) for p in (places.HYBRID_WORDS, places.REMOTE_WORDS, places.ONSITE_WORDS)]
+    assert all(r.a == r.b for r in rows(df.select("i", F.array(*by_gate).alias("a"), F.array(*plain).alias("b"))))
+
+
+def test_rule_words_from_marks(spark):
+    df, rows = table(spark, [("software engineer, c++ intern",), ("",), ("data--science_x new grad",), ("straße café software",)], "t string")
+    marked = classify.rule_words(F.col("t"), None, classify.mark_words(F.col("t")))
+    assert all(r.a == r.b for r in rows(df.select("i", F.array_sort(F.filter(marked, lambda w: w != "")).alias("a"),
+                                                  F.array_sort(F.filter(classify.rule_words(F.col("t")), lambda w: w != "")).alias("b"))))
+
+
 def test_remote_scope(spark):
     df, rows = table(spark, [c[:2] for c in SCOPES], "locations_raw array<string>, d string")
     for r, (_, _, *want) in zip(rows(places.enrich_remote_scope(df, description="d")), SCOPES):

@@ -58,6 +58,20 @@ def test_truncate_keeps_words(one):
     assert one(text.truncate_summary(F.col("s")), s="  short  ") == "short"
 
 
+def test_truncate_as_the_plain_patterns_do(spark):
+    rnd = random.Random(5)
+    rows = ["".join(rnd.choice(["a", "bc", " ", "  ", "\n", "\u2028", "\u00a0", "é", "\t"]) for _ in range(rnd.randint(0, 30))) for _ in range(500)]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, s string")
+
+    def strip_end(c):
+        return F.regexp_replace(c, r"(?U)\s+$", "")
+
+    t = strip_end(F.regexp_replace("s", r"(?U)^\s+", ""))
+    cut = F.regexp_replace(strip_end(F.substring(t, 1, 11)), r" [^ ]*$", "")
+    want = F.when(F.col("s") != "", F.when(F.length(t) <= 12, t).otherwise(F.concat(cut, F.lit("…"))))
+    assert df.where(~want.eqNullSafe(text.truncate_summary(F.col("s"), 12))).count() == 0
+
+
 def test_markup_soup_is_empty(one):
     assert one(text.clean_summary(F.col("s")), s="<<<>>><<&&& a") == ""
     assert one(text.clean_summary(F.col("s")), s="<b>Real</b> words &amp; more of them") == "Real words & more of them"
