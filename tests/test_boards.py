@@ -138,6 +138,15 @@ def test_cleaned_text_is_not_cleaned_again_in_every_place_that_reads_it(spark):
     assert len(readings) <= 2 and plan.count("$.content") <= 8, plan.count("$.content")
 
 
+def test_a_field_is_read_once_where_it_is_named(spark):
+    lever = boards.ingest_lever(payload(spark, "lever", [{"id": "x", "text": "[Intern]", "hostedUrl": "{u}", "categories": {"team": {"a": 1}, "department": []}}]))
+    r = lever.first()
+    assert (r.title, r.job_url, r.metadata.team, r.department) == ("[Intern]", "{u}", None, None)
+    plan = lever.select("job_url")._jdf.queryExecution().optimizedPlan().toString()
+    # in the test for a missing URL and in the result
+    assert plan.count("$.hostedUrl, StringType") <= 2, plan.count("$.hostedUrl, StringType")
+
+
 def test_unknown_adapters(spark):
     assert boards.unknown_adapters(payload(spark, "carrier-pigeon", [])).collect()[0].payloads == 1
 
