@@ -15,9 +15,16 @@ from vacantic.operators.scale import checkpoint_dir
 FULL = (1 << 64) - 1
 
 
-def process_cache() -> dict:
-    """A dictionary that lives as long as the Python worker; only things that can be made again go into it."""
-    return sys.__dict__.setdefault("_vacantic_llm_cache", {})
+def process_cache(owner: str) -> dict:
+    """A dictionary that lives as long as the Python worker; only things that can be made again go into it.
+
+    It goes when the worker, which Spark keeps from stage to stage, serves another owner.
+    """
+    kept = sys.__dict__.setdefault("_vacantic_llm_cache", {})
+    if owner not in kept:
+        kept.clear()
+        kept[owner] = {}
+    return kept[owner]
 
 
 def free_name(df: DataFrame, base: str) -> str:
@@ -53,7 +60,7 @@ class WordHashes(dict):
 def word_hashes(words: list):
     """The words' hashes as a numpy array of uint64."""
     import numpy as np
-    cache = process_cache().setdefault("words", WordHashes())
+    cache = process_cache("words").setdefault("words", WordHashes())
     return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
 
 

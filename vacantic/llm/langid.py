@@ -18,11 +18,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vacantic.functions.text import small_batches
 from vacantic.llm.common import by_chars, free_name, mix64, process_cache
 
 UNKNOWN = "und"
 BLOCK = 4096  # n-gram vectors held at once
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 300_000  # code points whose n-grams are held at once
 
 
 @dataclass
@@ -36,7 +37,7 @@ class Model:
 
 
 def _is_letter() -> np.ndarray:
-    cache = process_cache()
+    cache = process_cache("langid")
     if "letters" not in cache:
         cache["letters"] = np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
     return cache["letters"]
@@ -132,6 +133,7 @@ def fit(docs: DataFrame, label: str = "lang", text: str = "text", n: int = 3, di
         for x, v in total.items():
             yield pd.DataFrame({"l": x, "pos": np.arange(dim, dtype=np.int32), "v": v})
 
+    small_batches()
     rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(label).alias("l"))
     added = rows.mapInPandas(sums, "l string, pos int, v bigint").groupBy("l", "pos").agg(F.sum("v").alias("v")) \
         .groupBy("l").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("v"))
@@ -169,6 +171,8 @@ def scores(model: Model, texts: list) -> tuple[list[str], np.ndarray, np.ndarray
 
 def language(model: Model, text: Column) -> Column:
     """Struct (lang_pred, score, n_grams) of a text column."""
+    small_batches()
+
     @F.pandas_udf("lang_pred string, score double, n_grams bigint")
     def run(batches: pd.Series) -> pd.DataFrame:
         pred, score, size = scores(model, batches.tolist())

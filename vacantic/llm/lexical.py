@@ -70,7 +70,7 @@ class Block:
     def automaton(self):
         """Made once in each worker process; the last one is kept."""
         import ahocorasick
-        cache = process_cache()
+        cache = process_cache("lexical")
         if cache.get("automaton", ("",))[0] != self.name:
             made = ahocorasick.Automaton(ahocorasick.STORE_INTS)
             for k, w in enumerate(self.words):

@@ -69,7 +69,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """One encoder per Python worker and file."""
-    cache = process_cache()
+    cache = process_cache("packing")
     if ("bpe", path) not in cache:
         cache["bpe", path] = Encoder(path)
     return cache["bpe", path]

@@ -211,7 +211,7 @@ class Pieces:
 
 def pieces(path: str) -> Pieces:
     """One vocabulary per Python worker and file."""
-    cache = process_cache()
+    cache = process_cache("pieces")
     if ("pieces", path) not in cache:
         cache["pieces", path] = Pieces(path)
     return cache["pieces", path]

@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vacantic.functions.text import small_batches
 from vacantic.llm.common import FULL, mix64, scope, stored, word_hashes
 
 LEVELS = 3  # hashes that split a frequent minimiser, one after the other
@@ -215,6 +216,7 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     """Add `n_words`, `n_removed` and `kept` (the remaining words joined by one blank) to every row."""
     if not 0 < m <= width:
         raise ValueError("0 < m <= width is needed")
+    small_batches()
     named = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed", "kept")]
     rest = [c for c in named if c not in (key, text)]
     ident, words = F.col(f"`{key}`").cast("bigint"), F.col(f"`{text}`")

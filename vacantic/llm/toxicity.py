@@ -209,7 +209,7 @@ def toxicity(model: Model, text: Column, spark) -> Column:
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
         model, weights = shared.value
-        memory = process_cache().setdefault("toxicity", {})
+        memory = process_cache("toxicity").setdefault("toxicity", {})
         if memory.get("model") is not shared:
             memory.clear()
             memory.update(model=shared, words={})
