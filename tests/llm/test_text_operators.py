@@ -88,6 +88,31 @@ def test_encoder_equals_the_tokenizer():
             assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_new_parts_are_encoded_together():
+    class Counted:
+        def __init__(self, inner):
+            self.inner, self.calls, self.texts = inner, 0, 0
+
+        def encode_batch_fast(self, texts, **kw):
+            self.calls, self.texts = self.calls + 1, self.texts + len(texts)
+            return self.inner.encode_batch_fast(texts, **kw)
+
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcdeé漢'7!") for _ in range(rng.randint(1, 9))) for _ in range(300)) for _ in range(20)]
+    for limit in (50, 100_000):
+        enc = packing.Encoder(BPE, limit)
+        plain, enc.tokenizer = enc.tokenizer, Counted(enc.tokenizer)
+        got = [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)]
+        assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert enc.tokenizer.texts < 100 and len(enc.known) <= limit
+        if limit > 50:
+            enc.encode(texts)
+            assert enc.tokenizer.texts < 100
+        else:
+            enc.bytes_of[:] = 7  # a file whose ids can't be dealt out: parts are encoded each on their own
+            assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == got
+
+
 def check_pieces(rows, texts, capacity):
     from tokenizers import Tokenizer
     plain = Tokenizer.from_file(BPE)
