@@ -129,5 +129,22 @@ def scope(spark) -> Iterator:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sifted(rows: DataFrame, wanted: DataFrame, key: str, bits: int = 1 << 24) -> DataFrame:
+    """The rows whose key may be one of `wanted`: all that are, and few others, so that a join moves little.
+
+    The hashed keys of `wanted` are broadcast as a bitmap, at most `bits` bits in pieces of 4 KB; with more keys than
+    that it holds nothing back, and stays right.
+    """
+    from pyspark.sql import functions as F
+    place = F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(bits))
+    piece, at, bitmap = (free_name(rows, f"_{x}") for x in ("piece", "at", "bitmap"))
+    maps = wanted.select(F.bitmap_bucket_number(place).alias(piece), F.bitmap_bit_position(place).alias(at)) \
+        .groupBy(piece).agg(F.bitmap_construct_agg(at).alias(bitmap))
+    byte = F.conv(F.hex(F.substring(bitmap, F.floor(F.col(at) / 8) + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.withColumn(piece, F.bitmap_bucket_number(place)).join(F.broadcast(maps), piece) \
+        .withColumn(at, F.bitmap_bit_position(place)) \
+        .where(F.getbit(byte, F.col(at) % 8) == 1).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

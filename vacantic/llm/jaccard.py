@@ -23,6 +23,7 @@ a row; other columns are not carried.
 
 from __future__ import annotations
 
+import re
 from itertools import groupby
 
 import numpy as np
@@ -30,7 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacantic.llm.common import exact_id, free_name, mix64, nullable_ids, scope, stored, word_hashes
+from vacantic.functions.text import small_batches
+from vacantic.llm.common import exact_id, free_name, mix64, nullable_ids, scope, sifted, stored
 from vacantic.llm.components import components, in_blocks
 
 GROUPS = 256  # coordinates of a point
@@ -38,19 +40,54 @@ FULL = 255  # stands for this count and all larger ones
 LEAF = 32  # points of a leaf
 BLOCK = 512  # rows of an entry that meet in one task
 PORTION = 500  # sets that are compared with one asked set in one task
+CHUNK = 1 << 20  # bytes of a text that are hashed at once
+PLACES = 64  # places within a word with random numbers of their own
+RANDOM = mix64(np.arange(1, 256 * PLACES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))  # by place and byte
+WORD_BYTE = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
+_BLANK = re.compile(rb"[\t-\r ]")
+
+
+def _hashes(data: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words of some bytes: the sum of a random number for each byte at each place, mixed."""
+    inside = WORD_BYTE[data]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    if not len(edges):
+        return np.zeros(0, np.uint64)
+    lens = edges[1::2] - edges[::2]
+    first = np.cumsum(lens) - lens
+    letters = data[inside]
+    place = np.arange(len(letters)) - np.repeat(first, lens)
+    terms = RANDOM[((place % PLACES) << 8) + letters]
+    if lens.max() > PLACES:
+        far = np.flatnonzero(place >= PLACES)
+        with np.errstate(over="ignore"):
+            terms[far] = mix64(terms[far] + (place[far] // PLACES).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    return mix64(np.add.reduceat(terms, first))
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """Hashes of the words, capitals A-Z as small letters."""
+    data, out, start = text.encode("utf-8", "surrogatepass").lower(), [], 0
+    while start < len(data):
+        blank = _BLANK.search(data, start + CHUNK) if len(data) - start > CHUNK else None
+        end = blank.start() if blank else len(data)
+        out.append(_hashes(np.frombuffer(data, np.uint8, end - start, start)))
+        start = end
+    return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def shingles(text, n: int) -> np.ndarray:
-    """Sorted distinct hashes of the n-grams of the words, capitals A-Z as small letters."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    h, size = word_hashes(words), min(n, len(words))
-    count, out = len(words) - size + 1, np.full(1, size, np.uint64)
+    """Sorted distinct hashes of the n-grams of the words."""
+    h = word_hashes(text) if text else np.zeros(0, np.uint64)
+    if not len(h):
+        return h
+    size = min(n, len(h))
+    count, out = len(h) - size + 1, np.full(1, size, np.uint64)
     with np.errstate(over="ignore"):
         for j in range(size):
             out = out * np.uint64(0x9E3779B97F4A7C15) + h[j:j + count]
-    return np.unique(mix64(out))
+    out = np.sort(mix64(out))
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def set_key(s: np.ndarray) -> int:
@@ -156,6 +193,7 @@ def _sets(rows: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
                 yield pd.DataFrame(out, columns=["node", "n", "point", "items"])
 
     wanted = chosen.select(F.coalesce("id", F.lit(0)).alias("k"), F.col("id").isNull().alias("no_k"), "node")
+    rows = sifted(rows, wanted.select(F.col("k").alias("id")), "id")  # other texts need not travel
     texts = rows.join(wanted, (rows["id"] == wanted["k"]) & (rows["no_id"] == wanted["no_k"]))
     return texts.select("text", "node").mapInPandas(run, "node bigint, n bigint, point binary, items binary")
 
@@ -269,6 +307,7 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "
     """(key, n_shingles, component_id) of every row: size of its set, and the smallest key that links reach."""
     if not 0 < percent <= 100:
         raise ValueError("percent is a share of 1 to 100")
+    small_batches()
     with scope(docs.sparkSession) as keep:
         rows = docs.select(*exact_id(key), F.col(f"`{text}`").alias("text"))
         members = stored(_members(rows, n))
@@ -276,7 +315,7 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "
         listed = stored(_listed(rows, n, percent).withColumn("hub", F.min("node").over(w)).withColumn("_high", F.max("node").over(w))
                         .where("hub < _high").drop("_high").distinct())
         # texts of the nodes that share an entry: one id stands for all equal sets
-        chosen = members.join(listed.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
+        chosen = stored(members.join(listed.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")))
         sets = stored(_sets(rows, chosen, n))
         tested = links = None
         labels = None
@@ -293,7 +332,8 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "
             if labels is not None:
                 listed = stored(listed.join(found.select("entry").distinct(), "entry", "left_semi"))
                 # sets of other nodes are not asked for any more, and need not travel
-                sets = stored(sets.join(listed.select("node").distinct(), "node", "left_semi"))
+                left = stored(listed.select("node").distinct())
+                sets = stored(sifted(sets, left, "node").join(left, "node", "left_semi"))
             good = stored(_verify(_possible(asked, sets, percent), sets, percent))
             tested = asked if tested is None else tested.union(asked)
             links = good if links is None else links.union(good)
