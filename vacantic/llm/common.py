@@ -95,12 +95,25 @@ def by_chars(texts: list, budget: int) -> list[tuple[int, int]]:
 _folders: ContextVar[list | None] = ContextVar("folders of the innermost open scope", default=None)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def _write(df: DataFrame, folders: list | None) -> DataFrame:
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     if folders is not None:
         folders.append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    # nothing reads the shuffle files of this write again: Spark deletes them at its end, not when the driver collects its garbage
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -129,11 +142,11 @@ def scope(spark) -> Iterator:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def sifted(rows: DataFrame, wanted: DataFrame, key: str, bits: int = 1 << 24) -> DataFrame:
+def sifted(rows: DataFrame, wanted: DataFrame, key: str, bits: int = 1 << 24, rest: bool = False) -> DataFrame:
     """The rows whose key may be one of `wanted`: all that are, and few others, so that a join moves little.
 
     The hashed keys of `wanted` are broadcast as a bitmap, at most `bits` bits in pieces of 4 KB; with more keys than
-    that it holds nothing back, and stays right.
+    that it holds nothing back, and stays right.  With `rest` it returns exactly the rows that it would leave out.
     """
     from pyspark.sql import functions as F
     place = F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(bits))
@@ -141,9 +154,10 @@ def sifted(rows: DataFrame, wanted: DataFrame, key: str, bits: int = 1 << 24) ->
     maps = wanted.select(F.bitmap_bucket_number(place).alias(piece), F.bitmap_bit_position(place).alias(at)) \
         .groupBy(piece).agg(F.bitmap_construct_agg(at).alias(bitmap))
     byte = F.conv(F.hex(F.substring(bitmap, F.floor(F.col(at) / 8) + 1, F.lit(1))), 16, 10).cast("int")
-    return rows.withColumn(piece, F.bitmap_bucket_number(place)).join(F.broadcast(maps), piece) \
+    held = F.getbit(byte, F.col(at) % 8) == 1
+    return rows.withColumn(piece, F.bitmap_bucket_number(place)).join(F.broadcast(maps), piece, "left" if rest else "inner") \
         .withColumn(at, F.bitmap_bit_position(place)) \
-        .where(F.getbit(byte, F.col(at) % 8) == 1).select(*[F.col(f"`{c}`") for c in rows.columns])
+        .where(~F.coalesce(held, F.lit(False)) if rest else held).select(*[F.col(f"`{c}`") for c in rows.columns])
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:

@@ -14,7 +14,8 @@ two; a set is listed in its own class, and in all those below where a smaller pa
   their largest coordinates).  Boxes and then points whose bound is too low are left out; every set asks for its most
   promising partner in another component.  This repeats, with the entries that had one, until no bound leaves a pair open; after `rounds` turns all open
   pairs are asked at once.  So every linked pair is either compared or already in one component.
-* Asked pairs are verified on the sets themselves; they travel to the asked set, in portions of bounded size.
+* Asked pairs that their points leave open are verified on the sets themselves; the texts of these, and no others, travel to
+  the asked set, in portions of bounded size.
 
 Defined results: null text and text without words are empty sets, linked with nothing; a text with fewer words than n has
 one n-gram, all its words; equal sets are one node, whatever their number; null ids are allowed; repeated rows each get
@@ -40,6 +41,7 @@ FULL = 255  # stands for this count and all larger ones
 LEAF = 32  # points of a leaf
 BLOCK = 512  # rows of an entry that meet in one task
 PORTION = 500  # sets that are compared with one asked set in one task
+RECENT = 1 << 24  # bytes of sets that a task remembers
 CHUNK = 1 << 20  # bytes of a text that are hashed at once
 PLACES = 64  # places within a word with random numbers of their own
 RANDOM = mix64(np.arange(1, 256 * PLACES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))  # by place and byte
@@ -148,8 +150,9 @@ def _members(rows: DataFrame, n: int) -> DataFrame:
     def run(frames):
         for pdf in frames:
             sets = [shingles(t, n) for t in pdf["text"]]
-            yield pd.DataFrame({"id": nullable_ids(pdf["id"], pdf["no_id"]), "node": [set_key(s) for s in sets], "n": [len(s) for s in sets]})
-    return rows.mapInPandas(run, "id bigint, node bigint, n bigint")
+            yield pd.DataFrame({"id": nullable_ids(pdf["id"], pdf["no_id"]), "mark": pdf["mark"].array, "node": [set_key(s) for s in sets],
+                                "n": [len(s) for s in sets]})
+    return rows.mapInPandas(run, "id bigint, mark bigint, node bigint, n bigint")
 
 
 def _listed(rows: DataFrame, n: int, percent: int) -> DataFrame:
@@ -176,26 +179,32 @@ def _listed(rows: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def _sets(rows: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
-    """(node, n, point, items) of the nodes in `chosen` (id, node); rows that repeat a text stand once per partition."""
+    """(node, n, point) of the nodes in `chosen` (id, node), once each; texts stay where they are read."""
     def run(frames):
         seen = set()
         for pdf in frames:
             out = []
-            for text, node in zip(pdf["text"], pdf["node"]):
+            for text in pdf["text"]:
                 s = shingles(text, n)
-                if node not in seen and set_key(s) == node:
+                node = set_key(s)
+                if node not in seen:
                     seen.add(node)
-                    out.append((node, len(s), point(s).tobytes(), s.tobytes()))
-                if len(out) == 500:
-                    yield pd.DataFrame(out, columns=["node", "n", "point", "items"])
-                    out = []
+                    out.append((node, len(s), point(s).tobytes()))
             if out:
-                yield pd.DataFrame(out, columns=["node", "n", "point", "items"])
+                yield pd.DataFrame(out, columns=["node", "n", "point"])
+
+    near = sifted(rows, chosen.select(F.coalesce("id", F.lit(0)).alias("id")), "id")  # other texts need no points
+    points = near.select("text").mapInPandas(run, "node bigint, n bigint, point binary")
+    return points.join(chosen.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+
 
-    wanted = chosen.select(F.coalesce("id", F.lit(0)).alias("k"), F.col("id").isNull().alias("no_k"), "node")
-    rows = sifted(rows, wanted.select(F.col("k").alias("id")), "id")  # other texts need not travel
-    texts = rows.join(wanted, (rows["id"] == wanted["k"]) & (rows["no_id"] == wanted["no_k"]))
-    return texts.select("text", "node").mapInPandas(run, "node bigint, n bigint, point binary, items binary")
+def _texts(rows: DataFrame, chosen: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of `nodes`, from the rows that `chosen` (node, id, mark) names."""
+    wanted = chosen.join(nodes, "node", "left_semi").select(
+        F.coalesce("id", F.lit(0)).alias("k"), F.col("id").isNull().alias("no_k"), F.col("mark").alias("m"), "node")
+    near = sifted(rows, wanted.select(F.col("k").alias("id")), "id")  # other texts need not travel
+    same = (near["id"] == wanted["k"]) & (near["no_id"] == wanted["no_k"]) & (near["mark"] == wanted["m"])
+    return near.join(wanted, same).select("node", "text").dropDuplicates(["node"])
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -214,21 +223,25 @@ def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInPandas(run, "a bigint, b bigint")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The linked ones of pairs (a, b).  Each a's set travels to b's portion, where b's set comes first."""
+def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """The linked ones of pairs (a, b).  Each a's text, shorter than its set, travels to b's portion, where b's text comes first."""
     sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / PORTION).cast("int").alias("portions"))
     asked = pairs.join(sizes, "b").withColumn("portion", F.pmod(F.xxhash64("a"), "portions").cast("int"))
-    items = sets.select("node", "items")
-    guests = asked.join(items, asked["a"] == items["node"]).select("b", "portion", F.lit(1).alias("part"), "a", "items")
-    hosts = sizes.join(items, sizes["b"] == items["node"]).select(
-        "b", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"), F.lit(0).alias("part"), F.col("b").alias("a"), "items")
+    guests = asked.join(texts, asked["a"] == texts["node"]).select("b", "portion", F.lit(1).alias("part"), "a", "text")
+    hosts = sizes.join(texts, sizes["b"] == texts["node"]).select(
+        "b", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"), F.lit(0).alias("part"), F.col("b").alias("a"), "text")
 
     def run(frames):
-        host, own = None, np.zeros(0, np.uint64)
+        host, own, recent, size = None, np.zeros(0, np.uint64), {}, 0
         for pdf in frames:
             out = []
-            for b, part, a, data in zip(pdf["b"], pdf["part"], pdf["a"], pdf["items"]):
-                s = np.frombuffer(data, dtype=np.uint64)
+            for b, part, a, text in zip(pdf["b"], pdf["part"], pdf["a"], pdf["text"]):
+                s = recent.get(a)
+                if s is None:
+                    s = shingles(text, n)
+                    if size + s.nbytes > RECENT:
+                        recent, size = {}, 0
+                    recent[a], size = s, size + s.nbytes
                 if part == 0:
                     host, own = b, s
                 elif b == host:
@@ -309,13 +322,14 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "
         raise ValueError("percent is a share of 1 to 100")
     small_batches()
     with scope(docs.sparkSession) as keep:
-        rows = docs.select(*exact_id(key), F.col(f"`{text}`").alias("text"))
+        rows = docs.select(*exact_id(key), F.xxhash64(F.col(f"`{text}`")).alias("mark"), F.col(f"`{text}`").alias("text"))
         members = stored(_members(rows, n))
         w = Window.partitionBy("entry")
         listed = stored(_listed(rows, n, percent).withColumn("hub", F.min("node").over(w)).withColumn("_high", F.max("node").over(w))
                         .where("hub < _high").drop("_high").distinct())
-        # texts of the nodes that share an entry: one id stands for all equal sets
-        chosen = stored(members.join(listed.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")))
+        # the nodes that share an entry: one row (id, hash of its text) stands for all equal sets
+        chosen = stored(members.join(listed.select("node").distinct(), "node", "left_semi").groupBy("node")
+                        .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first")).select("node", "first.id", "first.mark"))
         sets = stored(_sets(rows, chosen, n))
         tested = links = None
         labels = None
@@ -331,10 +345,12 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "
                 break
             if labels is not None:
                 listed = stored(listed.join(found.select("entry").distinct(), "entry", "left_semi"))
-                # sets of other nodes are not asked for any more, and need not travel
+                # points of other nodes are not asked for any more, and need not travel
                 left = stored(listed.select("node").distinct())
                 sets = stored(sifted(sets, left, "node").join(left, "node", "left_semi"))
-            good = stored(_verify(_possible(asked, sets, percent), sets, percent))
+            likely = stored(_possible(asked, sets, percent))
+            texts = stored(_texts(rows, chosen, likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+            good = stored(_verify(likely, texts, n, percent))
             tested = asked if tested is None else tested.union(asked)
             links = good if links is None else links.union(good)
             labels = stored(components(links))
@@ -349,17 +365,26 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component, that of the smallest key (nulls last), and all rows with an empty set; columns stay as they are.
 
-    Rows are told apart by a number of their own, so keys may be null, repeat, or stand on different texts.  Of rows
-    with the same key the one with the smallest hash of its text stays, of equal texts any one.
+    Rows are told apart by a 64-bit hash of key and text, so keys may be null, repeat, or stand on different texts.  Of rows
+    with the same key the one with the smallest hash of its text stays, of equal texts any one.  Only rows that go, or
+    that stand several times, move.
     """
-    row, same, component = (free_name(docs, f"_{x}") for x in ("row", "same_row", "component"))
+    tag, same, component, gone, copy = (free_name(docs, f"_{x}") for x in ("tag", "same", "component", "gone", "copy"))
+    own, words = F.col(f"`{key}`"), F.col(f"`{text}`")
+    tagged = docs.withColumn(tag, F.xxhash64(own.isNull(), own, words.isNull(), words))
     with scope(docs.sparkSession) as keep:
-        # stored: the numbers have to be the same in every pass
-        numbered = keep(docs.withColumn(row, F.monotonically_increasing_id()))
-        found = stored(join_components(numbered.select(row, F.col(f"`{text}`").alias(text)), n, percent, row, text)
-                       .where("n_shingles > 0").select(F.col(row).alias(same), F.col("component_id").alias(component)))
-        ranked = numbered.select(row, F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("hash")) \
-            .join(found, F.col(row) == F.col(same)).groupBy(component) \
-            .agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "hash", F.col(row).alias("row"))).alias("first"), F.count("*").alias("rows"))
-        gone = keep(found.join(ranked.where("rows > 1"), component).where(F.col(same) != F.col("first.row")).select(same))
-    return numbered.join(gone, numbered[row] == gone[same], "left_anti").drop(row)
+        found = stored(join_components(tagged.select(tag, words.alias(text)), n, percent, tag, text).where("n_shingles > 0")
+                       .groupBy(F.col("component_id").alias(component), F.col(tag).alias(same)).agg(F.count("*").alias("copies")))
+        marks = tagged.select(tag, own.alias("key"), F.xxhash64(words).alias("hash")).distinct()
+        first = found.join(marks, F.col(same) == F.col(tag)).groupBy(component) \
+            .agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "hash", F.col(tag).alias("row"))).alias("first"), F.sum("copies").alias("rows")) \
+            .where("rows > 1").select(component, "first.row")
+        grouped = found.join(first, component).select(F.col(same).alias(tag), (F.col(same) != F.col("row")).alias(gone), "copies")
+        others = keep(grouped.where(gone).select(tag, gone))
+        repeated = keep(grouped.where(~F.col(gone) & (F.col("copies") > 1)).select(tag, gone))
+    fate = others.union(repeated)
+    doubtful = sifted(tagged, fate, tag).join(fate.withColumnRenamed(tag, same), F.col(tag) == F.col(same), "left") \
+        .where(F.col(gone).isNull() | ~F.col(gone)) \
+        .withColumn(copy, F.when(F.col(same).isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0))).dropDuplicates([tag, copy])
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return sifted(tagged, fate, tag, rest=True).select(*names).union(doubtful.select(*names))

@@ -4,8 +4,10 @@ A window is `width` consecutive words.  Its minimiser is the m-mer (m consecutiv
 the leftmost of equal ones; consecutive windows with the same minimiser form a super-k-mer.  Equal windows have equal
 minimisers, so a window can only be repeated where its minimiser is.
 
-1. Super-k-mers of all texts are listed as numbers (minimiser, row, place) and minimisers counted.
-2. Those whose minimiser occurs again are cut out of their texts and travel, as one string of words each, to the
+1. Super-k-mers of all texts are listed as numbers (minimiser, row, place) and minimisers counted.  A window reaches at least
+   half of its other words beyond its minimiser on one side; so of a minimiser that is not frequent only those places
+   are kept whose words up to there, on the left or on the right, occur again (as hashes).
+2. These are cut out of their texts and travel, as one string of words each, to the
    bucket of the minimiser; there all windows are sorted, and equal neighbours are repeated windows.  The words
    themselves are compared, so the result does not rest on hashes.
 3. A minimiser with more than `bucket_rows` places never meets in one task.  Equal strings of it become one with a
@@ -25,20 +27,33 @@ from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacantic.functions.text import small_batches
-from vacantic.llm.common import FULL, mix64, scope, stored, word_hashes
+from vacantic.llm.common import FULL, mix64, scope, sifted, stored, word_hashes
 
 LEVELS = 3  # hashes that split a frequent minimiser, one after the other
 
 
-def super_kmers(words: list, width: int, m: int, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimiser hash, first window and number of windows of each super-k-mer, in the order of the text; every level has a hash of its own."""
+def _beside(mers: np.ndarray, at: np.ndarray, reach: int, m: int, side: int) -> np.ndarray:
+    """32-bit hashes, never 0, of the m-mers `at` some places with the `reach` words before (side -1) or after them (1); 0 where there are fewer."""
+    inside = (at >= reach) if side < 0 else (at + reach < len(mers))
+    x = mers[at]
+    with np.errstate(over="ignore"):
+        for step in [*range(m, reach, m), reach] if reach else []:  # m-mers that cover these words
+            x = mix64(x) + mers[np.where(inside, at + side * step, at)]
+    return np.where(inside, (mix64(x) >> np.uint64(32)) | np.uint64(1), np.uint64(0)).astype(np.uint32).view(np.int32)
+
+
+def super_kmers(words: list, width: int, m: int, level: int = 0, sides: bool = False) -> tuple[np.ndarray, ...]:
+    """Minimiser hash, first window and number of windows of each super-k-mer, in the order of the text; every level has a hash of its own.
+
+    With `sides` also hashes of the minimiser with the words that a window holds at least on its left, or on its right.
+    """
     windows = len(words) - width + 1
     if windows < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.int32),) * (2 * sides)
     h, count = word_hashes(words), len(words) - m + 1
     mers = np.zeros(count, dtype=np.uint64)
     with np.errstate(over="ignore"):
@@ -54,7 +69,9 @@ def super_kmers(words: list, width: int, m: int, level: int = 0) -> tuple[np.nda
     low = np.minimum(low[:windows], low[span - step:span - step + windows])
     at = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return mers[at[first]].view(np.int64), first, np.diff(np.append(first, windows))
+    reach = (width - m + 1) // 2
+    beside = tuple(_beside(mers, at[first], reach, m, side) for side in (-1, 1)) if sides else ()
+    return mers[at[first]].view(np.int64), first, np.diff(np.append(first, windows)), *beside
 
 
 def _words(text) -> list:
@@ -172,19 +189,25 @@ def repeated_spans(rows: DataFrame, width: int, m: int, bucket_rows: int) -> Dat
     """(key, mark, spans): runs of repeated windows per row; `rows` has key, mark (hash of the text) and text, none of the first two null."""
     def cut(frames):
         for pdf in frames:
-            found = [super_kmers(_words(t), width, m) for t in pdf["text"]]
+            found = [super_kmers(_words(t), width, m, sides=True) for t in pdf["text"]]
             sizes = [len(x[0]) for x in found]
             if sum(sizes):
                 yield pd.DataFrame({
                     "mini": np.concatenate([x[0] for x in found]), "key": pdf["key"].repeat(sizes).array,
                     "mark": pdf["mark"].repeat(sizes).array, "first": np.concatenate([x[1] for x in found]).astype(np.int32),
-                    "n": np.concatenate([x[2] for x in found]).astype(np.int32)})
+                    "n": np.concatenate([x[2] for x in found]).astype(np.int32),
+                    "before": np.concatenate([x[3] for x in found]), "after": np.concatenate([x[4] for x in found])})
 
     with scope(rows.sparkSession) as keep:
-        listed = stored(rows.mapInPandas(cut, "mini bigint, key bigint, mark bigint, first int, n int"))
-        again = stored(listed.groupBy("mini").agg(F.count("*").alias("places")).where("places > 1"))  # stored: the join below can split a hot minimiser
-        asked = listed.join(again, "mini").groupBy("key", "mark").agg(F.collect_set(F.struct(
-            "first", "n", "mini", (F.col("places") > bucket_rows).alias("hot"))).alias("asked"))
+        listed = stored(rows.mapInPandas(cut, "mini bigint, key bigint, mark bigint, first int, n int, before int, after int"))
+        again = stored(listed.groupBy("mini").agg(F.count("*").alias("places")).where("places > 1"))  # stored: the joins below can split a hot minimiser
+        near = sifted(listed, again, "mini")  # the others need not travel
+        twice = [(F.col(side) != 0) & (F.count("*").over(Window.partitionBy("mini", side)) > 1) for side in ("before", "after")]
+        place = ["key", "mark", F.struct("first", "n", "mini", (F.col("places") > bucket_rows).alias("hot")).alias("place")]
+        few = near.join(again.where(F.col("places") <= bucket_rows), "mini").withColumn("twice", twice[0] | twice[1]).where("twice").select(*place)
+        many = near.join(again.where(F.col("places") > bucket_rows), "mini").select(*place)
+        asked = stored(few.unionByName(many).groupBy(F.col("key").alias("k2"), F.col("mark").alias("m2")).agg(F.collect_set("place").alias("asked"))
+                       .withColumn("row", F.xxhash64("k2", "m2")))
 
         def pack(frames):
             for pdf in frames:
@@ -198,9 +221,9 @@ def repeated_spans(rows: DataFrame, width: int, m: int, bucket_rows: int) -> Dat
                 if out:
                     yield _frame(out, ["mini", "hot", "key", "mark", "first", "packed"])
 
-        # stored: the texts move once for frequent and other minimisers
-        places = stored(rows.join(asked.select(F.col("key").alias("k2"), F.col("mark").alias("m2"), "asked"),
-                                  (rows["key"] == F.col("k2")) & (rows["mark"] == F.col("m2")))
+        # stored: the texts with such places move once for frequent and other minimisers
+        texts = sifted(rows.withColumn("row", F.xxhash64("key", "mark")), asked, "row")
+        places = stored(texts.join(asked.drop("row"), (texts["key"] == F.col("k2")) & (texts["mark"] == F.col("m2")))
                         .select("key", "mark", "text", "asked").mapInPandas(pack, "mini bigint, hot boolean, key bigint, mark bigint, first int, packed string"))
         cold = _sorted_in_buckets(places.where("not hot").select(F.col("mini").alias("bucket"), "key", "mark", "first", "packed", F.lit(1).cast("bigint").alias("n")), width)
         hot = _frequent(places.where("hot"), width, m, bucket_rows)
@@ -242,8 +265,11 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width
             kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
         return pd.DataFrame({"n_words": total, "n_removed": removed, "kept": kept})
 
-    joined = every.join(spans.select(F.col("key").alias("k2"), F.col("mark").alias("m2"), "spans"),
-                        (every["key"] == F.col("k2")) & (every["mark"] == F.col("m2")), "left")
+    every = every.withColumn("row", F.xxhash64("key", "mark"))
+    found = spans.select(F.col("key").alias("k2"), F.col("mark").alias("m2"), "spans")
+    repeating = sifted(every, spans.select(F.xxhash64("key", "mark").alias("row")), "row")  # other texts need not travel
+    joined = repeating.join(found, (repeating["key"] == F.col("k2")) & (repeating["mark"] == F.col("m2")), "left").drop("k2", "m2").unionByName(
+        sifted(every, spans.select(F.xxhash64("key", "mark").alias("row")), "row", rest=True).withColumn("spans", F.lit(None).cast(found.schema["spans"].dataType)))
     done = joined.withColumn("clean", clean(F.col("text"), F.col("spans")))
     back = {key: F.col("ident"), text: F.col("text")} | {c: F.col(f"rest.`{c}`") for c in rest}
     return done.select(*[back[c].alias(c) for c in named], "clean.n_words", "clean.n_removed", "clean.kept")
