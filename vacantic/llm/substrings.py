@@ -199,15 +199,16 @@ def repeated_spans(rows: DataFrame, width: int, m: int, bucket_rows: int) -> Dat
                     "before": np.concatenate([x[3] for x in found]), "after": np.concatenate([x[4] for x in found])})
 
     with scope(rows.sparkSession) as keep:
-        listed = stored(rows.mapInPandas(cut, "mini bigint, key bigint, mark bigint, first int, n int, before int, after int"))
-        again = stored(listed.groupBy("mini").agg(F.count("*").alias("places")).where("places > 1"))  # stored: the joins below can split a hot minimiser
-        near = sifted(listed, again, "mini")  # the others need not travel
-        twice = [(F.col(side) != 0) & (F.count("*").over(Window.partitionBy("mini", side)) > 1) for side in ("before", "after")]
-        place = ["key", "mark", F.struct("first", "n", "mini", (F.col("places") > bucket_rows).alias("hot")).alias("place")]
-        few = near.join(again.where(F.col("places") <= bucket_rows), "mini").withColumn("twice", twice[0] | twice[1]).where("twice").select(*place)
-        many = near.join(again.where(F.col("places") > bucket_rows), "mini").select(*place)
-        asked = stored(few.unionByName(many).groupBy(F.col("key").alias("k2"), F.col("mark").alias("m2")).agg(F.collect_set("place").alias("asked"))
-                       .withColumn("row", F.xxhash64("k2", "m2")))
+        with scope(rows.sparkSession) as hand:  # the lists go before texts move
+            listed = stored(rows.mapInPandas(cut, "mini bigint, key bigint, mark bigint, first int, n int, before int, after int"))
+            again = stored(listed.groupBy("mini").agg(F.count("*").alias("places")).where("places > 1"))  # stored: the joins below can split a hot minimiser
+            near = sifted(listed, again, "mini")  # the others need not travel
+            twice = [(F.col(side) != 0) & (F.count("*").over(Window.partitionBy("mini", side)) > 1) for side in ("before", "after")]
+            place = ["key", "mark", F.struct("first", "n", "mini", (F.col("places") > bucket_rows).alias("hot")).alias("place")]
+            few = near.join(again.where(F.col("places") <= bucket_rows), "mini").withColumn("twice", twice[0] | twice[1]).where("twice").select(*place)
+            many = near.join(again.where(F.col("places") > bucket_rows), "mini").select(*place)
+            asked = hand(few.unionByName(many).groupBy(F.col("key").alias("k2"), F.col("mark").alias("m2")).agg(F.collect_set("place").alias("asked"))
+                        .withColumn("row", F.xxhash64("k2", "m2")))
 
         def pack(frames):
             for pdf in frames:
