@@ -252,6 +252,20 @@ def test_promotion_is_idempotent_and_skips_other_urls(spark):
     assert discovery.promote_from_postings(jobs, first, at_now()).count() == 0
 
 
+def _jobs_and_tracked_boards(spark):
+    tenant = F.concat(F.lit("T"), (F.col("id") % 4).cast("string"))
+    jobs = spark.range(8).repartition(2).select(
+        "id", F.concat(F.lit("https://jobs.lever.co/"), tenant).alias("apply_url"),
+        F.when(F.col("id") % 4 == 3, "Zürich GmbH").otherwise(F.concat(F.lit("Team "), tenant)).alias("company_name"),
+        F.when(F.col("id") % 2 == 0, "www.lever.co").alias("company_domain"))
+    return jobs, discovery.promotable(discovery.boards_from_postings(jobs.where("id % 4 < 2")), "simplify", at_now())
+
+
+def test_boards_of_postings_are_promoted_next_to_tracked_ones(spark):
+    found = discovery.promote_from_postings(*_jobs_and_tracked_boards(spark), at_now()).collect()
+    assert {r.adapter_tenant: r.company_domain for r in found} == {"t2": "team-t2.com", "t3": "zürich-gmbh.com"}
+
+
 def test_validation_reasons(spark):
     rows = [("ftp://x.example/", None), ("https:///x", None), ("https://sub.indeed.com/x", None), ("http://x.example/", 0.2), ("http://x.example/", 0.4), ("https://boards.greenhouse.io/a", 0.5),
             ("https://jobs.lever.co/a", 0.5)]

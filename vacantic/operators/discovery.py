@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vacantic.functions import ids
 from vacantic.functions.denylist import domain_blocked
-from vacantic.functions.let import let
+from vacantic.functions.let import in_place, let
 from vacantic.functions.text import canonical_text
 from vacantic.functions.urls import detect_platform, domain, hostname, scheme
 from vacantic.operators.companies import SOURCE_FIELDS
@@ -174,7 +174,8 @@ def boards_from_postings(postings: DataFrame, platforms: tuple[str, ...] = FAST_
     base = postings.withColumn("_m", detect_platform(F.col("apply_url"))) \
         .where(F.col("_m.platform").isin(list(platforms)) & F.col("_m.supported") & F.col("_m.tenant").isNotNull())
     name = F.coalesce(F.nullif(F.trim("company_name"), F.lit("")), F.col("_m.tenant"))
-    base = base.withColumn("_name", name).withColumn("_norm", F.replace(canonical_text(name), F.lit(" "), F.lit("-")))
+    # in place: the domain made of it is filtered on, and a Python call copied into a filter may stay where Spark cannot evaluate it
+    base = base.withColumn("_name", name).withColumn("_norm", in_place(F.replace(canonical_text(name), F.lit(" "), F.lit("-"))))
     given = F.regexp_replace(F.lower(F.trim(F.coalesce("company_domain", F.lit("")))), r"^www\.", "")
     hosted = "^$|" + "|".join(token.replace(".", r"\.") for token in PLATFORM_DOMAIN_TOKENS)
     own = F.concat(F.coalesce(F.nullif(F.col("_norm"), F.lit("")), F.col("_m.tenant")), F.lit(".com"))
