@@ -266,6 +266,11 @@ def test_boards_of_postings_are_promoted_next_to_tracked_ones(spark):
     assert {r.adapter_tenant: r.company_domain for r in found} == {"t2": "team-t2.com", "t3": "zürich-gmbh.com"}
 
 
+def test_a_run_polls_tracked_boards_and_those_it_found(spark):
+    fed = discovery.promotion_feedback(*_jobs_and_tracked_boards(spark), at_now()).collect()
+    assert {(r.adapter_tenant, r.found_in_run) for r in fed} == {("t0", False), ("t1", False), ("t2", True), ("t3", True)}
+
+
 def test_validation_reasons(spark):
     rows = [("ftp://x.example/", None), ("https:///x", None), ("https://sub.indeed.com/x", None), ("http://x.example/", 0.2), ("http://x.example/", 0.4), ("https://boards.greenhouse.io/a", 0.5),
             ("https://jobs.lever.co/a", 0.5)]
