@@ -158,3 +158,40 @@ def test_bad_payloads_give_no_rows(spark):
     names = F.array(*[F.lit(n) for n in boards.READERS])
     every = df.drop("adapter").withColumn("adapter", F.explode(names)).select(*df.columns)
     assert boards.union_sources(every).count() == 0
+
+
+def test_a_member_of_any_kind_reads_as_a_look_at_its_path_does(spark):
+    items = ['{"id": "1", "name": 7, "ref": 1.50, "slug": "{a}", "uuid": "[b]", "location": {"city": "Rome", "region": ["x"], "country": null}}',
+             '{"id": 2, "name": "B", "ref": {"a": 1}, "slug": [1], "uuid": "", "ID": "other", "location": "Oslo", "department": {"label": "L"}}',
+             '{"id": true, "name": "", "jobAdTitle": "C", "location": ["Oslo"], "department": "D", "typeOfEmployment": {"label": {"x": 1}}}', '[1]', 'null']
+    p = payload(spark, "smartrecruiters", '{"content": [' + ", ".join(items) + "]}")
+    names = ["id", "name", "ref", "slug", "uuid", "location", "location.city", "location.region", "location.country", "department.label",
+             "department", "typeOfEmployment.label", "missing", "missing.too"]
+    df = boards._rows(p, "smartrecruiters", boards._items(F.col("payload"), "content"), *names)
+    got = df.select(*[boards._member(n).alias(f"m{i}") for i, n in enumerate(names)], *[boards._text(F.col("v"), f"$.{n}").alias(f"t{i}") for i, n in enumerate(names)],
+                    boards._string_member("name").alias("ms"), boards._string(F.col("v"), "$.name").alias("ts")).collect()
+    assert len(got) == 3
+    for r in got:
+        assert [r[f"m{i}"] for i in range(len(names))] == [r[f"t{i}"] for i in range(len(names))] and r.ms == r.ts
+    assert [r.m0 for r in got] == ["1", "2", "true"] and [r.m6 for r in got] == ["Rome", None, None] and [r.m3 for r in got] == ["{a}", None, None]
+
+
+def test_an_object_is_opened_once_and_missing_members_are_not_looked_for(spark):
+    df = boards.ingest_smartrecruiters(payload(spark, "smartrecruiters", {"content": [{"id": 1, "name": "A", "typeOfEmployment": "full"}]}))
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("StructField(slug,") == 1 and "$.slug, StringType" not in plan
+    assert [(r.source_job_id, r.employment_type, r.department) for r in df.collect()] == [("1", "full", None)]
+
+
+def test_long_expressions_are_kept_out_of_methods_that_are_never_compiled(spark):
+    key = "spark.sql.codegen.hugeMethodLimit"
+    spark.conf.unset(key)
+    none = spark.createDataFrame([], SCHEMA)
+    boards.union_sources(none)
+    assert spark.conf.get(key) == "8000"
+    spark.conf.set(key, "65535")
+    boards.union_sources(none)
+    assert spark.conf.get(key) == "65535"
+    spark.conf.unset(key)

@@ -171,3 +171,16 @@ def test_rule_files():
     r = read_rule_files("disciplines:\n  - {id: x, label: X Y, aliases: [b, a]}\ncareer_levels:\n  - {id: l, patterns: [p q]}\n", "skills:\n  C++: {aliases: [cpp]}\n  Go:\n")
     assert r.disciplines == [("x", "X Y", ["b", "a"])] and r.career_levels == [("l", ["p q"])] and r.skills == [("C++", ["cpp"]), ("Go", [])]
     assert read_rule_files("", "") == RuleSet()
+
+
+def test_level_counts_phrases_of_title_and_body_by_the_words_that_start_them(spark):
+    rules = RuleSet(career_levels=[("a", ["big co", "c++ lab", "&", "big co"]), ("b", ["lab", "big company"])])
+    rows = [("big co", "lab of the big co"), ("x", "big company & c++ lab"), ("nothing", "labs"), ("big", "co"), (None, "lab"), ("lab", None)]
+    df = spark.createDataFrame(rows, "t string, b string")
+    made = classify.career_level(F.col("t"), F.trim(F.concat_ws(" ", "t", "b")), None, rules)
+    got = [(r.l.level, round(r.l.confidence, 2)) for r in df.select(made.alias("l")).collect()]
+    assert got == [("a", 0.92), ("a", 0.44), ("unknown", 0.0), ("a", 0.44), ("unknown", 0.0), ("b", 0.82)]
+    heads = spark.range(1).select(classify.rule_words(F.lit("lab big lab x co"), rules).alias("w")).first().w
+    assert [w for w in heads if w in ("lab", "big")] == ["lab", "big"] and "x" not in heads
+    plan = df.select(made.alias("l"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan
